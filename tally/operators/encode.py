@@ -17,29 +17,61 @@ from tally.operators.ordered import dense_index
 
 
 # ---------------------------------------------------------------- E1 / E2
+# Level lists at most this long are brought to the driver (they become literal
+# maps in the plan); longer ones are encoded with the distributed dense index.
+MAX_DRIVER_LEVELS = 50_000
+
+
+def fit_levels(fit: DataFrame, columns: list[str], max_levels: int = MAX_DRIVER_LEVELS) -> dict[str, list | None]:
+    """Sorted distinct non-NULL levels per column, fetched in one pass when small.
+
+    First a fixed-memory HyperLogLog pass checks every column's cardinality;
+    only columns under the bound are collected (one aggregate for all of them).
+    Columns over the bound map to None (use the distributed path).
+    """
+    if not columns:
+        return {}
+    est = fit.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    small = [c for c in columns if est[c] <= max_levels // 2]
+    out: dict[str, list | None] = {c: None for c in columns}
+    if small:
+        row = fit.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in small]).first()
+        for c in small:
+            out[c] = list(row[c])
+    return out
+
+
+def _lookup(column: str, lvls: list) -> Column:
+    """Code of ``column`` from a literal level list (NULL when unseen)."""
+    if not lvls:
+        return F.lit(None).cast("int")
+    m = F.create_map(*[x for i, v in enumerate(lvls) for x in (F.lit(v), F.lit(i))])
+    return m[F.col(column)]
+
+
 def label_codes(fit: DataFrame, column: str) -> DataFrame:
-    """E1 fit: sorted distinct non-NULL values of ``column`` -> code 0..k-1 (value, code)."""
+    """E1 fit, distributed form: sorted distinct non-NULL values -> code 0..k-1 (value, code)."""
     return dense_index(fit.select(column), [], column, "code")
 
 
 def label_encode(df: DataFrame, columns: list[str], fit: DataFrame | None = None,
-                 suffix: str = "") -> DataFrame:
-    """Replace each categorical by its code (sorted-order position, fitted on ``fit``).
+                 suffix: str = "", max_levels: int = MAX_DRIVER_LEVELS) -> DataFrame:
+    """Replace each categorical by its code (position in sorted order, fitted on ``fit``).
 
-    A value absent from the fitted table gets a NULL code (the reference raises).
-    The code table is joined back; it is small per column and AQE broadcasts it
-    when its measured size allows.
+    A value absent from the fitted levels gets a NULL code (the reference raises).
     """
     fit = fit if fit is not None else df
-    out = df
+    lv = fit_levels(fit, columns, max_levels)
+    out = df.withColumns({c + suffix: _lookup(c, lv[c]) for c in columns if lv[c] is not None})
     for c in columns:
-        codes = label_codes(fit, c).withColumnRenamed("code", f"_code_{c}")
-        out = out.join(codes, c, "left").withColumn(c + suffix, F.col(f"_code_{c}")).drop(f"_code_{c}")
+        if lv[c] is None:
+            codes = label_codes(fit, c).withColumnRenamed("code", f"_code_{c}")
+            out = out.join(codes, c, "left").withColumn(c + suffix, F.col(f"_code_{c}")).drop(f"_code_{c}")
     return out
 
 
 def code_table(fit: DataFrame, columns: list[str]) -> DataFrame:
-    """E1 state as one long table (column, value, code)."""
+    """E1 state as one long table (column, value, code), built distributed."""
     parts = [label_codes(fit, c).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "code")
              for c in columns]
     out = parts[0]
@@ -62,10 +94,12 @@ def cardinalities(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E3 / E4 / E5
-def levels(fit: DataFrame, column: str) -> list:
+def levels(fit: DataFrame, column: str, max_levels: int = MAX_DRIVER_LEVELS) -> list:
     """Sorted distinct non-NULL levels (brought to the driver: they define output columns)."""
-    rows = fit.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()
-    return [r[0] for r in rows]
+    lv = fit_levels(fit, [column], max_levels)[column]
+    if lv is None:
+        raise ValueError(f"{column}: too many levels for one-hot columns")
+    return lv
 
 
 def one_hot(df: DataFrame, column: str, lvls: list | None = None, drop_first: bool = False,
@@ -135,7 +169,9 @@ class Prep:
     _params: Column | None = None
 
     def fit(self, df: DataFrame) -> "Prep":
-        self._levels = {c: levels(df, c) for c in self.categorical}
+        self._levels = fit_levels(df, self.categorical)
+        if any(v is None for v in self._levels.values()):
+            raise ValueError("categorical column with too many levels for one-hot columns")
         self._params = scaling_params(df, self.numeric) if self.numeric else None
         return self
 
