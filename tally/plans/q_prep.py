@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tally.operators import clean, encode, splits
 from tally.plans import fixtures as fx
-from tally.plans.registry import register
+from tally.plans.registry import dsql, register
 from tally.plans.sqlparts import stratified_split_ctes
 from tally.sources.tables import Tables
 
@@ -60,3 +60,269 @@ def risk_split_balance(spark: SparkSession, sf: str) -> DataFrame:
         F.round("a", 6).alias("mean_amount"), F.round("b", 6).alias("mean_balance"),
         F.round("s", 6).alias("mean_segment_code"),
     )
+
+
+# ------------------------------------------------------------------ helpers
+def R(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.risk_raw(Tables(spark, sf))
+
+
+def numeric_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """risk_raw with balance parsed (P2) and the 'Other' priority excluded."""
+    r = clean.to_numeric(R(spark, sf), "balance_txt", out="balance").drop("balance_txt")
+    return clean.exclude_value(r, "priority", "Other")
+
+
+def r6(df: DataFrame) -> DataFrame:
+    from tally.plans.q_metrics import r6 as _r6
+    return _r6(df)
+
+
+NUMERIC_SQL = """nr AS (
+  SELECT id, segment, priority, status, flag_a, amount, y,
+         TRY_CAST(CASE WHEN balance_txt = 'N/A' THEN NULL ELSE balance_txt END AS DOUBLE) AS balance
+  FROM risk_raw WHERE priority IS DISTINCT FROM 'Other')"""
+
+FILLED_SQL = NUMERIC_SQL + """,
+nf AS (SELECT * REPLACE (COALESCE(balance, (SELECT quantile_cont(balance, 0.5) FROM nr)) AS balance) FROM nr)"""
+
+
+def split_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """Filled table with the 70/10/20 stratified split column."""
+    r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
+    return splits.stratified_split(r, "y", "id", 0.2, 0.1, seed=42)
+
+
+SPLIT_SQL = FILLED_SQL + ",\n" + stratified_split_ctes("nf", name="sp")
+
+
+# ------------------------------------------------------------------ P1 / P2 / P3 / P4
+@register("drop_columns", "P1 S1", views=("risk_raw",), oracle="""
+SELECT id, segment, priority, status, amount, y FROM risk_raw""")
+def drop_columns(spark, sf):
+    return clean.drop_columns(R(spark, sf), ["balance_txt", "flag_a", "not_a_column"])
+
+
+@register("to_numeric", "P2", views=("risk_raw",), oracle="""
+SELECT id, TRY_CAST(CASE WHEN balance_txt = 'N/A' THEN NULL ELSE balance_txt END AS DOUBLE) AS balance FROM risk_raw""")
+def to_numeric(spark, sf):
+    return clean.to_numeric(R(spark, sf), "balance_txt", out="balance").select("id", "balance")
+
+
+@register("exclude_value", "P3", views=("risk_raw",), oracle="""
+SELECT priority, COUNT(*) AS n FROM risk_raw WHERE priority IS DISTINCT FROM 'Other' GROUP BY priority""")
+def exclude_value(spark, sf):
+    return clean.exclude_value(R(spark, sf), "priority", "Other").groupBy("priority") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("impute", "P4", views=("risk_raw",), oracle=f"""
+WITH {NUMERIC_SQL},
+md AS (SELECT (SELECT quantile_cont(balance, 0.5) FROM nr) AS med, (SELECT AVG(amount) FROM nr) AS mu,
+              (SELECT segment FROM nr WHERE segment IS NOT NULL GROUP BY segment ORDER BY COUNT(*) DESC, segment LIMIT 1) AS mo)
+SELECT id, ROUND(COALESCE(balance, med), 6) AS balance,
+       ROUND(COALESCE(CASE WHEN id % 7 = 0 THEN NULL ELSE amount END, mu), 6) AS amount,
+       COALESCE(CASE WHEN id % 11 = 0 THEN NULL ELSE segment END, mo) AS segment
+FROM nr, md""")
+def impute(spark, sf):
+    """Median fill of the dirty balance; mean and mode fills on columns with injected holes."""
+    r = numeric_risk(spark, sf)
+    holes = r.withColumns({
+        "amount": F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("amount")),
+        "segment": F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("segment")),
+    })
+    out = clean.impute(holes, {"balance": "median", "amount": "mean", "segment": "mode"}, fit=r)
+    return r6(out.select("id", "balance", "amount", "segment"))
+
+
+@register("impute_stats", "P4 A1", views=("risk_raw",), oracle=f"""
+WITH {NUMERIC_SQL}
+SELECT 'amount' AS "column", ROUND(AVG(amount), 6) AS mean, ROUND(quantile_cont(amount, 0.5), 6) AS median,
+       (SELECT amount FROM nr GROUP BY amount ORDER BY COUNT(*) DESC, amount LIMIT 1) AS mode FROM nr
+UNION ALL
+SELECT 'balance', ROUND(AVG(balance), 6), ROUND(quantile_cont(balance, 0.5), 6),
+       (SELECT balance FROM nr WHERE balance IS NOT NULL GROUP BY balance ORDER BY COUNT(*) DESC, balance LIMIT 1) FROM nr""")
+def impute_stats(spark, sf):
+    r = numeric_risk(spark, sf)
+    parts = []
+    for c in ("amount", "balance"):
+        f = clean.fill_values(r, {c: "median"})[c]
+        mode = clean.fill_values(r, {c: "mode"})[c]
+        parts.append(r.agg(F.avg(c).alias("mean")).select(
+            F.lit(c).alias("column"), "mean", f.alias("median"), mode.cast("double").alias("mode")))
+    return r6(parts[0].unionByName(parts[1]))
+
+
+# ------------------------------------------------------------------ E1 / E2 / J5 / P5
+@register("label_encode", "E1 J5", views=("risk_raw",), oracle="""
+SELECT r.id,
+       CAST(DENSE_RANK() OVER (ORDER BY segment) - 1 AS INTEGER) AS segment,
+       CAST(DENSE_RANK() OVER (ORDER BY priority) - 1 AS INTEGER) AS priority,
+       CAST(DENSE_RANK() OVER (ORDER BY status) - 1 AS INTEGER) AS status,
+       CAST(DENSE_RANK() OVER (ORDER BY flag_a) - 1 AS INTEGER) AS flag_a
+FROM risk_raw r""")
+def label_encode(spark, sf):
+    return encode.label_encode(R(spark, sf), [*CATS, "flag_a"]).select("id", *CATS, "flag_a")
+
+
+@register("label_code_table", "E1 S8", views=("risk_raw",), oracle="""
+SELECT 'segment' AS "column", segment AS value, CAST(ROW_NUMBER() OVER (ORDER BY segment) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT segment FROM risk_raw)
+UNION ALL SELECT 'priority', priority, CAST(ROW_NUMBER() OVER (ORDER BY priority) - 1 AS INTEGER) FROM (SELECT DISTINCT priority FROM risk_raw)
+UNION ALL SELECT 'status', status, CAST(ROW_NUMBER() OVER (ORDER BY status) - 1 AS INTEGER) FROM (SELECT DISTINCT status FROM risk_raw)""")
+def label_code_table(spark, sf):
+    """E1 state as a table, built with the distributed dense index (the path for huge vocabularies)."""
+    return encode.code_table(R(spark, sf), CATS)
+
+
+@register("cardinalities", "E2", views=("risk_raw",), oracle="""
+SELECT 'segment' AS "column", COUNT(DISTINCT segment) AS n_unique,
+       COUNT(DISTINCT segment) + MAX(CASE WHEN segment IS NULL THEN 1 ELSE 0 END) AS n_unique_with_null FROM risk_raw
+UNION ALL SELECT 'priority', COUNT(DISTINCT priority), COUNT(DISTINCT priority) + MAX(CASE WHEN priority IS NULL THEN 1 ELSE 0 END) FROM risk_raw
+UNION ALL SELECT 'status', COUNT(DISTINCT status), COUNT(DISTINCT status) + MAX(CASE WHEN status IS NULL THEN 1 ELSE 0 END) FROM risk_raw
+UNION ALL SELECT 'balance_txt', COUNT(DISTINCT balance_txt), COUNT(DISTINCT balance_txt) + MAX(CASE WHEN balance_txt IS NULL THEN 1 ELSE 0 END) FROM risk_raw""")
+def cardinalities(spark, sf):
+    return encode.cardinalities(R(spark, sf), [*CATS, "balance_txt"])
+
+
+@register("typed_features", "P5 D3", views=("risk_raw",), oracle=f"""
+WITH {FILLED_SQL}
+SELECT id, CAST(flag_a AS FLOAT) AS label, [CAST(y AS BIGINT), CAST(flag_a AS BIGINT)] AS x_categ,
+       [CAST(amount AS FLOAT), CAST(balance AS FLOAT)] AS x_cont FROM nf""")
+def typed_features(spark, sf):
+    r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
+    t = clean.typed_features(r.select("id", "y", "flag_a", "amount", "balance").withColumn("lab", F.col("flag_a")),
+                             ["y", "flag_a"], ["amount", "balance"], "lab")
+    return t.select("id", "label", "x_categ", "x_cont")
+
+
+# ------------------------------------------------------------------ E3 / E4 / E5
+@register("one_hot", "E3", views=("risk_raw",), oracle="""
+SELECT id, CASE WHEN segment = 'AUTOMOBILE' THEN 1 ELSE 0 END AS segment_AUTOMOBILE,
+       CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END AS segment_BUILDING,
+       CASE WHEN segment = 'FURNITURE' THEN 1 ELSE 0 END AS segment_FURNITURE,
+       CASE WHEN segment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS segment_HOUSEHOLD,
+       CASE WHEN segment = 'MACHINERY' THEN 1 ELSE 0 END AS segment_MACHINERY
+FROM risk_raw""")
+def one_hot(spark, sf):
+    return encode.one_hot(R(spark, sf).select("id", "segment"), "segment")
+
+
+@register("align_one_hot", "E4 E5", views=("risk_raw",), oracle=f"""
+WITH {SPLIT_SQL}
+SELECT id, split, CASE WHEN priority = '2-HIGH' THEN 1 ELSE 0 END AS priority_2_HIGH,
+       CASE WHEN priority = '3-MEDIUM' THEN 1 ELSE 0 END AS priority_3_MEDIUM,
+       CASE WHEN priority = '4-NOT SPECIFIED' THEN 1 ELSE 0 END AS "priority_4_NOT SPECIFIED",
+       CASE WHEN priority = '5-LOW' THEN 1 ELSE 0 END AS priority_5_LOW
+FROM sp WHERE split <> 'train'""")
+def align_one_hot(spark, sf):
+    """Levels fitted on train (first level dropped), applied to val and test."""
+    s = split_risk(spark, sf)
+    lv = encode.levels(s.where(F.col("split") == "train"), "priority")
+    out = encode.one_hot(s.where(F.col("split") != "train").select("id", "split", "priority"), "priority", lv,
+                         drop_first=True)
+    return out.select("id", "split", *[F.col(f"`{c}`").alias(c.replace("-", "_")) for c in out.columns[2:]])
+
+
+# ------------------------------------------------------------------ E6 / E7 / E8 / E10
+@register("standard_scale", "E6", views=("risk_raw",), oracle=f"""
+WITH {SPLIT_SQL},
+st AS (SELECT AVG(amount) AS ma, STDDEV_POP(amount) AS sa, AVG(balance) AS mb, STDDEV_POP(balance) AS sb FROM sp WHERE split = 'train')
+SELECT id, split, ROUND((amount - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END, 6) AS amount,
+       ROUND((balance - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END, 6) AS balance,
+       ROUND((flag_a - 0.0) / 1, 6) AS flag_const
+FROM sp, st""")
+def standard_scale(spark, sf):
+    s = split_risk(spark, sf).withColumn("flag_const", F.lit(0.0) + F.col("flag_a") * 0 + F.col("flag_a"))
+    s = s.withColumn("flag_const", F.col("flag_a").cast("double"))
+    out = encode.standard_scale(s, ["amount", "balance"], fit=s.where(F.col("split") == "train"))
+    return r6(out.select("id", "split", "amount", "balance", "flag_const"))
+
+
+@register("mean_std", "E7", views=("risk_raw",), oracle=f"""
+WITH {FILLED_SQL}
+SELECT 'amount' AS "column", ROUND(AVG(amount), 6) AS mean, ROUND(STDDEV_SAMP(amount), 6) AS std FROM nf
+UNION ALL SELECT 'balance', ROUND(AVG(balance), 6), ROUND(STDDEV_SAMP(balance), 6) FROM nf
+UNION ALL SELECT 'flag_a', ROUND(AVG(flag_a), 6), ROUND(STDDEV_SAMP(flag_a), 6) FROM nf""")
+def mean_std(spark, sf):
+    r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
+    return r6(encode.mean_std(r, ["amount", "balance", "flag_a"]))
+
+
+@register("column_transformer", "E8 E5 E6", views=("risk_raw",), oracle=f"""
+WITH {SPLIT_SQL},
+st AS (SELECT AVG(amount) AS ma, STDDEV_POP(amount) AS sa, AVG(balance) AS mb, STDDEV_POP(balance) AS sb FROM sp WHERE split = 'train')
+SELECT id, split, flag_a, y, ROUND((amount - ma) / sa, 6) AS amount, ROUND((balance - mb) / sb, 6) AS balance,
+       CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END AS segment_BUILDING,
+       CASE WHEN segment = 'FURNITURE' THEN 1 ELSE 0 END AS segment_FURNITURE,
+       CASE WHEN segment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS segment_HOUSEHOLD,
+       CASE WHEN segment = 'MACHINERY' THEN 1 ELSE 0 END AS segment_MACHINERY,
+       CASE WHEN status = 'O' THEN 1 ELSE 0 END AS status_O,
+       CASE WHEN status = 'P' THEN 1 ELSE 0 END AS status_P
+FROM sp, st""")
+def column_transformer(spark, sf):
+    s = split_risk(spark, sf).select("id", "split", "flag_a", "y", "amount", "balance", "segment", "status")
+    prep = encode.Prep(numeric=["amount", "balance"], categorical=["segment", "status"]).fit(
+        s.where(F.col("split") == "train"))
+    return r6(prep.transform(s).drop("priority"))
+
+
+@register("class_weights", "E10", views=("risk_raw",), oracle=f"""
+WITH {SPLIT_SQL},
+c AS (SELECT split, COUNT(*) AS n, SUM(y)::BIGINT AS n_pos FROM sp GROUP BY split)
+SELECT split, n, n_pos, n - n_pos AS n_neg, ROUND(CAST(n - n_pos AS DOUBLE) / n_pos, 6) AS scale_pos_weight,
+       ROUND(SQRT(CAST(n - n_pos AS DOUBLE) / n_pos), 6) AS sqrt_pos_weight,
+       ROUND(n / (CAST(2 AS DOUBLE) * (n - n_pos)), 6) AS weight_neg, ROUND(n / (CAST(2 AS DOUBLE) * n_pos), 6) AS weight_pos
+FROM c""")
+def class_weights(spark, sf):
+    return r6(encode.class_weights(split_risk(spark, sf), "y", ["split"]))
+
+
+# ------------------------------------------------------------------ R4 / R5 / U1 / J3
+def kfold_sql(src: str, k: int, seeds: list[int], name: str = "kf") -> str:
+    parts = []
+    for r, seed in enumerate(seeds, start=1):
+        parts.append(f"""SELECT s.*, {r} AS repeat,
+       CAST((COALESCE(o.off, 0) + ROW_NUMBER() OVER (PARTITION BY s.y ORDER BY md5('{seed}|' || CAST(s.id AS VARCHAR)), s.id) - 1) % {k} AS INTEGER) AS fold
+FROM {src} s JOIN (SELECT y, SUM(COUNT(*)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off
+                   FROM {src} GROUP BY y) o ON s.y = o.y""")
+    return f"{name} AS (\n" + "\nUNION ALL\n".join(parts) + ")"
+
+
+@register("stratified_kfold", "R4", views=("risk_raw",), oracle=f"""
+WITH {FILLED_SQL}, {kfold_sql('nf', 10, [42, 43, 44])}
+SELECT repeat, fold, y, COUNT(*) AS n, SUM(id)::BIGINT AS id_sum FROM kf GROUP BY repeat, fold, y""")
+def stratified_kfold(spark, sf):
+    r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
+    f = splits.repeated_kfold(r, "y", "id", k=10, repeats=3, seed=42)
+    return f.groupBy("repeat", "fold", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+
+
+@register("holdout_from_fold", "R5", views=("risk_raw",), oracle=f"""
+WITH {FILLED_SQL}, {kfold_sql('nf', 10, [42])},
+tr AS (SELECT f.fold AS held, k.* FROM (SELECT DISTINCT fold FROM kf) f JOIN kf k ON k.fold <> f.fold),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY held ORDER BY md5('7|' || CAST(id AS VARCHAR)), id) AS r,
+              COUNT(*) OVER (PARTITION BY held) AS n FROM tr)
+SELECT held AS fold, CASE WHEN r <= FLOOR({dsql(0.8)} * n) THEN 'fit' ELSE 'holdout' END AS part,
+       COUNT(*) AS n, SUM(y)::BIGINT AS n_pos
+FROM rk GROUP BY ALL""")
+def holdout_from_fold(spark, sf):
+    """For each outer fold: its training part (other folds) split 80/20 without stratification."""
+    r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
+    f = splits.stratified_kfold(r, "y", "id", k=10, seed=42)
+    tr = f.withColumn("fold_out", F.explode(F.sequence(F.lit(0), F.lit(9)))).where(F.col("fold") != F.col("fold_out"))
+    h = splits.holdout_from_fold(tr.drop("fold").withColumnRenamed("fold_out", "fold"), "id", 0.8, seed=7,
+                                 group_cols=["fold"])
+    return h.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
+
+
+@register("union_splits", "U1 J3", views=("risk_raw",), oracle=f"""
+WITH {SPLIT_SQL}
+SELECT y, COUNT(*) AS n, ROUND(AVG(amount), 6) AS mean_amount FROM sp WHERE split IN ('train', 'val') GROUP BY y""")
+def union_splits(spark, sf):
+    """Train + val pooled (UNION ALL of the two parts), features re-paired with labels by id."""
+    s = split_risk(spark, sf)
+    x = s.where(F.col("split") == "train").unionByName(s.where(F.col("split") == "val"))
+    feats, labels = x.select("id", "amount"), x.select("id", "y")
+    return r6(feats.join(labels, "id").groupBy("y").agg(F.count(F.lit(1)).alias("n"),
+                                                         F.avg("amount").alias("mean_amount")))
