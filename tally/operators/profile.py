@@ -88,14 +88,15 @@ def kde(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     x = df.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     st = x.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n"),
                F.stddev_samp("_v").alias("sd")).select(F.struct("lo", "hi", "n", "sd")).scalar()
-    lo, hi, n, sd = (st.getField(f) for f in ("lo", "hi", "n", "sd"))
+    x = x.withColumns({f"_{f}": st.getField(f) for f in ("lo", "hi", "n", "sd")})
+    lo, hi, n, sd = (F.col(f"_{f}") for f in ("lo", "hi", "n", "sd"))
     bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
     i = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    g = x.select("_v", i.alias("i"))
+    g = x.select("_v", "_lo", "_hi", "_n", "_sd", i.alias("i"))
     at = lo + F.col("i") * (hi - lo) / F.lit(float(points - 1))
     u = (at - F.col("_v")) / bw
     contrib = F.exp(-0.5 * u * u)
-    out = g.groupBy("i").agg(F.sum(contrib).alias("_s"))
+    out = g.groupBy("i", "_lo", "_hi", "_n", "_sd").agg(F.sum(contrib).alias("_s"))
     return out.select("i", at.alias("x"),
                       (F.col("_s") / (n.cast("double") * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
