@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.session import checkpoint_dir
+
 PID = "_pid"
 
 
@@ -23,9 +25,17 @@ def _parts(df: DataFrame, parts: int | None) -> int:
 
 
 def range_split(df: DataFrame, group_cols: list[str], order_col: str, parts: int | None = None) -> DataFrame:
-    """Range-partition on (groups, order) and tag each row with its range id ``_pid``."""
+    """Range-partition on (groups, order) and tag each row with its range id ``_pid``.
+
+    Range boundaries come from a sample drawn anew each time the exchange runs,
+    so the tagged frame is checkpointed (reliable checkpoint in the session's
+    shared ``spark.checkpoint.dir``): every later branch — totals, offsets and
+    in-range windows — then sees the same ids, also after an executor is lost.
+    """
+    checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in group_cols] + [F.col(order_col)]
-    return df.repartitionByRange(_parts(df, parts), *keys).withColumn(PID, F.spark_partition_id())
+    tagged = df.repartitionByRange(_parts(df, parts), *keys).withColumn(PID, F.spark_partition_id())
+    return tagged.checkpoint(eager=True)
 
 
 def _wgroup(group_cols: list[str]) -> Window:
