@@ -112,11 +112,12 @@ def parse_checkpoint_name(df: DataFrame, name_col: str = "name") -> DataFrame:
     A missing epoch and an epoch of 0 both sort as 999.
     """
     name = F.col(name_col)
-    ep = F.regexp_extract(F.lower(name), r"epoch[_]?(\d+)", 1)
-    epoch = F.when(ep == "", F.lit(None)).otherwise(ep.cast("int"))
+    is_best = F.lower(name).contains("best")
+    ep = F.regexp_extract(name, r"epoch[_]?(\d+)", 1)
+    epoch = F.when(is_best | ~name.contains("epoch") | (ep == ""), F.lit(None)).otherwise(ep.cast("int"))
     return df.withColumns({
         "epoch": epoch,
-        "is_best": F.lower(name).contains("best"),
+        "is_best": is_best,
         "sort_epoch": F.coalesce(F.nullif(epoch, F.lit(0)), F.lit(999)),
     })
 
@@ -127,5 +128,5 @@ def format_share(n: Column | str, d: Column | str) -> Column:
 
 
 def format_pct(x: Column | str) -> Column:
-    """P10: '70.0%' (x is a percentage)."""
-    return F.format_string("%.1f%%", col(x).cast("double"))
+    """P10: '70.0%' (x is a percentage); half-to-even like Python's format."""
+    return F.format_string("%.1f%%", F.bround(col(x).cast("double"), 1))
