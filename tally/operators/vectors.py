@@ -149,17 +149,30 @@ def rff_params(dim: int, n_features: int, gamma: float, seed: int) -> tuple[np.n
     return w, b
 
 
+def _const_array(values) -> Column:
+    """A double-array constant as ONE literal (JSON parsed at plan time by constant folding)."""
+    import json
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
 def rbf_features(x: Column | str, dim: int, n_features: int = 64, gamma: float = 1.0, seed: int = 0) -> Column:
-    """z(x) = sqrt(2/D) cos(W x + b) as an array expression (W, b are literals: D x dim values)."""
+    """z(x) = sqrt(2/D) cos(W x + b) — random Fourier features (Rahimi & Recht 2007).
+
+    W (D x dim) and b are one constant array each; the per-row work is a
+    ``transform`` over feature indices with ``dim`` multiply-adds per feature.
+    """
     w, b = rff_params(dim, n_features, gamma, seed)
     c = F.col(x) if isinstance(x, str) else x
-    feats = []
-    for k in range(n_features):
-        dot = F.lit(float(b[k]))
+    wl, bl = _const_array(w.ravel()), _const_array(b)
+    scale = math.sqrt(2.0 / n_features)
+
+    def feature(k):
+        dot = F.element_at(bl, k + 1)
         for j in range(dim):
-            dot = dot + F.lit(float(w[k, j])) * c[j]
-        feats.append(F.cos(dot) * math.sqrt(2.0 / n_features))
-    return F.array(*feats)
+            dot = dot + F.element_at(wl, k * dim + (j + 1)) * c[j]
+        return F.cos(dot) * F.lit(scale)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), feature)
 
 
 def polynomial_features(x: Column | str, dim: int, degree: int = 3) -> Column:
