@@ -64,3 +64,18 @@ def test_read_table_csv_na_tokens(spark):
                            T.StructField("g", T.StringType())])
     rows = read_table(spark, p, schema).collect()
     assert [(r.id, r.bmi, r.g) for r in rows] == [(1, None, "a"), (2, 30.5, None), (3, None, "b")]
+
+
+def test_streaming_confusion_matches_batch(spark):
+    from tally.streaming.metrics import start_memory_sink, streaming_confusion
+    d = tempfile.mkdtemp()
+    src = os.path.join(d, "in")
+    rows = [("a", i % 2, (i % 10) / 10.0) for i in range(50)]
+    spark.createDataFrame(rows, "g string, y int, score double").write.parquet(src)
+    stream = spark.readStream.schema("g string, y int, score double").parquet(src)
+    q = start_memory_sink(streaming_confusion(stream, ["g"]), "cm_stream", os.path.join(d, "ck"))
+    q.processAllAvailable()
+    got = spark.sql("SELECT * FROM cm_stream").first()
+    q.stop()
+    tp = sum(1 for _, y, s in rows if y == 1 and s >= 0.5)
+    assert got.tp == tp
