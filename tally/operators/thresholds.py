@@ -99,9 +99,13 @@ def _top1(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
 
 
-def pr_best_f1_threshold(df: DataFrame, keys: list[str], score: str = "score", label: str = "y") -> DataFrame:
-    """Argmax of 2PR/(P+R+1e-10) over the exact PR points (lowest threshold on ties)."""
-    pr = M.pr_curve(df, keys, score, label).where(F.col("threshold").isNotNull())
+def pr_best_f1_threshold(df: DataFrame, keys: list[str], score: str = "score", label: str = "y",
+                         pr: DataFrame | None = None) -> DataFrame:
+    """Argmax of 2PR/(P+R+1e-10) over the exact PR points (lowest threshold on ties).
+
+    ``pr``: a PR curve already computed for ``df`` (several searches can share one).
+    """
+    pr = (pr if pr is not None else M.pr_curve(df, keys, score, label)).where(F.col("threshold").isNotNull())
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(1e-10))
     pr = pr.withColumn("f1", f1)
     return _top1(pr, keys, F.desc("f1"), F.asc("threshold")).select(*keys, "threshold", "f1")
@@ -114,9 +118,9 @@ def youden_threshold(df: DataFrame, keys: list[str], score: str = "score", label
 
 
 def target_threshold(df: DataFrame, keys: list[str], target: float, on: str = "recall", score: str = "score",
-                     label: str = "y") -> DataFrame:
+                     label: str = "y", pr: DataFrame | None = None) -> DataFrame:
     """PR point nearest to a target recall or precision (lowest threshold on ties)."""
-    pr = M.pr_curve(df, keys, score, label).where(F.col("threshold").isNotNull())
+    pr = (pr if pr is not None else M.pr_curve(df, keys, score, label)).where(F.col("threshold").isNotNull())
     pr = pr.withColumn("dist", F.abs(F.col(on) - F.lit(float(target))))
     return _top1(pr, keys, F.asc("dist"), F.asc("threshold")).select(*keys, "threshold", on, "dist")
 

@@ -243,10 +243,11 @@ SELECT model, target, threshold, ROUND(dist, 6) AS dist FROM t_recall WHERE rk =
 UNION ALL SELECT model, target, threshold, ROUND(dist, 6) FROM t_precision WHERE rk = 1""")
 def target_threshold(spark, sf):
     tv = S(spark, sf).where(F.col("split").isin("train", "val"))
-    a = TH.target_threshold(tv, ["model"], 0.75, "recall").select("model", F.lit("recall").alias("target"),
-                                                                   "threshold", "dist")
-    b = TH.target_threshold(tv, ["model"], 0.8, "precision").select("model", F.lit("precision").alias("target"),
-                                                                    "threshold", "dist")
+    pr = M.pr_curve(tv, ["model"])
+    a = TH.target_threshold(tv, ["model"], 0.75, "recall", pr=pr).select(
+        "model", F.lit("recall").alias("target"), "threshold", "dist")
+    b = TH.target_threshold(tv, ["model"], 0.8, "precision", pr=pr).select(
+        "model", F.lit("precision").alias("target"), "threshold", "dist")
     return r6(a.unionByName(b))
 
 
@@ -270,13 +271,14 @@ def evaluate_thresholds(spark, sf):
     s = S(spark, sf)
     tv = s.where(F.col("split").isin("train", "val"))
     test = s.where(F.col("split") == "test")
-    models = s.select("model").distinct()
-    named = (models.select("model", F.lit("default").alias("name"), F.lit(0.5).alias("threshold"))
-             .unionByName(TH.pr_best_f1_threshold(tv, ["model"]).select("model", F.lit("best_f1").alias("name"),
-                                                                        "threshold"))
-             .unionByName(TH.target_threshold(tv, ["model"], 0.75, "recall")
+    pr = M.pr_curve(tv, ["model"])
+    named = (pr.select("model").distinct().select("model", F.lit("default").alias("name"),
+                                                  F.lit(0.5).alias("threshold"))
+             .unionByName(TH.pr_best_f1_threshold(tv, ["model"], pr=pr).select(
+                 "model", F.lit("best_f1").alias("name"), "threshold"))
+             .unionByName(TH.target_threshold(tv, ["model"], 0.75, "recall", pr=pr)
                           .select("model", F.lit("recall_0.75").alias("name"), "threshold"))
-             .unionByName(TH.target_threshold(tv, ["model"], 0.8, "precision")
+             .unionByName(TH.target_threshold(tv, ["model"], 0.8, "precision", pr=pr)
                           .select("model", F.lit("precision_0.80").alias("name"), "threshold")))
     return r6(TH.evaluate_thresholds(test, named, ["model"], op=">"))
 

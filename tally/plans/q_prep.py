@@ -9,6 +9,7 @@ from tally.operators import clean, encode, splits
 from tally.plans import fixtures as fx
 from tally.plans.registry import dsql, register
 from tally.plans.sqlparts import stratified_split_ctes
+from tally.session import checkpoint_dir
 from tally.sources.tables import Tables
 
 CATS = ["segment", "priority", "status"]
@@ -16,10 +17,7 @@ CATS = ["segment", "priority", "status"]
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
     """risk_raw -> to_numeric(balance) -> exclude 'Other' -> median impute -> label codes."""
-    r = fx.risk_raw(Tables(spark, sf))
-    r = clean.to_numeric(r, "balance_txt", out="balance").drop("balance_txt")
-    r = clean.exclude_value(r, "priority", "Other")
-    r = clean.impute(r, {"balance": "median"})
+    r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
     return encode.label_encode(r, CATS)
 
 
@@ -68,9 +66,15 @@ def R(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numeric_risk(spark: SparkSession, sf: str) -> DataFrame:
-    """risk_raw with balance parsed (P2) and the 'Other' priority excluded."""
+    """risk_raw with balance parsed (P2) and the 'Other' priority excluded.
+
+    Materialised once (checkpoint in the shared folder): the fitted statistics
+    (median, levels, class quotas, scaling) each need a pass, and those passes
+    read this narrow cleaned table instead of re-running the source join.
+    """
+    checkpoint_dir(spark)
     r = clean.to_numeric(R(spark, sf), "balance_txt", out="balance").drop("balance_txt")
-    return clean.exclude_value(r, "priority", "Other")
+    return clean.exclude_value(r, "priority", "Other").checkpoint(eager=True)
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -88,9 +92,14 @@ nf AS (SELECT * REPLACE (COALESCE(balance, (SELECT quantile_cont(balance, 0.5) F
 
 
 def split_risk(spark: SparkSession, sf: str) -> DataFrame:
-    """Filled table with the 70/10/20 stratified split column."""
+    """Filled table with the 70/10/20 stratified split column, materialised once.
+
+    Train-fitted steps (levels, scaling, weights, models) each read the split; a
+    checkpoint keeps them from replaying impute + rank for every pass (the
+    reference writes its split files for the same reason).
+    """
     r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
-    return splits.stratified_split(r, "y", "id", 0.2, 0.1, seed=42)
+    return splits.stratified_split(r, "y", "id", 0.2, 0.1, seed=42).checkpoint(eager=True)
 
 
 SPLIT_SQL = FILLED_SQL + ",\n" + stratified_split_ctes("nf", name="sp")
