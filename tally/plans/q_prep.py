@@ -335,3 +335,41 @@ def union_splits(spark, sf):
     feats, labels = x.select("id", "amount"), x.select("id", "y")
     return r6(feats.join(labels, "id").groupBy("y").agg(F.count(F.lit(1)).alias("n"),
                                                          F.avg("amount").alias("mean_amount")))
+
+
+# ------------------------------------------------------------------ E9 / J6
+SMOTE_FEATURES = ["segment", "priority", "status", "flag_a", "amount", "balance"]
+
+
+def smote_train(spark: SparkSession, sf: str) -> DataFrame:
+    """Label-encoded, imputed, split table (SMOTE runs after encoding, before scaling)."""
+    checkpoint_dir(spark)
+    return splits.stratified_split(prepared(spark, sf), "y", "id", 0.2, 0.1, seed=42) \
+        .where(F.col("split") == "train").checkpoint(eager=True)
+
+
+_d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SMOTE_FEATURES)
+
+
+@register("knn_minority", "J6 E9", views=("risk_raw",), oracle=f"""
+WITH {PREPARED_SQL},
+{stratified_split_ctes('prepared')},
+m AS (SELECT id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SMOTE_FEATURES)} FROM splitted WHERE split = 'train' AND y = 1),
+d AS (SELECT a.id, b.id AS nn_id, {_d2} AS dist2 FROM m a JOIN m b ON a.id <> b.id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY dist2, nn_id) AS nn_rank FROM d)
+SELECT id, CAST(nn_rank AS INTEGER) AS nn_rank, nn_id, ROUND(SQRT(dist2), 6) AS dist FROM r WHERE nn_rank <= 5""")
+def knn_minority(spark, sf):
+    """Exact 5 nearest minority neighbours of every minority training row (the SMOTE neighbour stage)."""
+    from tally.operators import resample
+    t = smote_train(spark, sf).where(F.col("y") == 1)
+    pts = t.select("id", F.array(*[F.col(c).cast("double") for c in SMOTE_FEATURES]).alias("v"))
+    nn = resample.knn(pts, "id", "v", len(SMOTE_FEATURES), k=5)
+    return r6(nn.select("id", "nn_rank", "nn_id", F.sqrt("dist2").alias("dist")))
+
+
+@register("smote", "E9")
+def smote(spark, sf):
+    """Train split oversampled to class parity; synthetic rows counted per label."""
+    from tally.operators import resample
+    out = resample.smote(smote_train(spark, sf), "y", "id", SMOTE_FEATURES, k=5, seed=42)
+    return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))

@@ -110,3 +110,32 @@ def test_class_weights(spark):
 def test_clean_vector(spark):
     df = spark.createDataFrame([([1.0, float("nan"), float("inf"), float("-inf")],)], "v array<double>")
     assert df.select(clean.clean_vector("v").alias("v")).first().v == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_knn_exact_vs_brute_force(spark):
+    import numpy as np
+    from tally.operators import resample
+    rng = np.random.default_rng(5)
+    X = np.round(rng.normal(size=(120, 3)), 1)  # coarse values: many distance ties
+    df = spark.createDataFrame([(i, [float(x) for x in X[i]]) for i in range(120)], "id long, v array<double>")
+    got = {(r.id, r.nn_rank): r.nn_id for r in resample.knn(df, "id", "v", 3, k=4).collect()}
+    for i in range(120):
+        d = sorted((float(np.sum((X[i] - X[j]) ** 2)), j) for j in range(120) if j != i)
+        assert [got[(i, r + 1)] for r in range(4)] == [j for _, j in d[:4]]
+
+
+def test_smote_parity_and_segments(spark):
+    import numpy as np
+    from tally.operators import resample
+    rows = [(i, float(i % 13), float((i * 7) % 5), 1 if i % 5 == 0 else 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    out = resample.smote(df, "y", "id", ["a", "b"], k=3, seed=1)
+    c = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+    assert c[0] == c[1] == 160
+    pts = {r.id: np.array([r.a, r.b]) for r in df.where("y = 1").collect()}
+    nn = {(r.id, r.nn_id) for r in resample.knn(df.where("y = 1").select(
+        "id", F.array("a", "b").alias("v")), "id", "v", 2, k=3).collect()}
+    for r in out.where("synthetic").collect():
+        assert (r.base_id, r.nn_id) in nn and 0 <= r.gap < 1
+        want = pts[r.base_id] + r.gap * (pts[r.nn_id] - pts[r.base_id])
+        assert np.allclose([r.a, r.b], want)
