@@ -118,5 +118,5 @@ def evaluate_experiment(spark, sf):
     path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    scored = MD.predict(loaded, test).withColumn("_g", F.lit(0))
-    return r6(C.report(scored, ["_g"], 0.5, ">").drop("_g"))
+    scored = MD.predict(loaded, test)
+    return r6(C.report(scored, [], 0.5, ">"))

@@ -123,8 +123,8 @@ SELECT tp, fp, fn, tn,
        ROUND(auc, 6) AS auc, tp + fp + fn + tn AS n, ROUND((tp + fn) * 100.0 / (tp + fp + fn + tn), 6) AS positive_pct
 FROM cm, auc""")
 def study_metrics(spark, sf):
-    s = studies.study_score(SL(spark, sf)).withColumn("_g", F.lit(0))
-    return r6(C.report(s, ["_g"], threshold=0.5, op=">").drop("_g"))
+    s = studies.study_score(SL(spark, sf))
+    return r6(C.report(s, [], threshold=0.5, op=">"))
 
 
 @register("slice_metrics", "M19", views=("slices",), oracle=f"""
@@ -149,13 +149,15 @@ SELECT (SELECT COUNT(*) FROM ok) AS n_valid, (SELECT COUNT(*) FROM v) - (SELECT
 FROM cm, auc""")
 def slice_metrics(spark, sf):
     """Metrics over real (unpadded) slice positions; NaN predictions are dropped and counted."""
-    v = ordered(spark, sf).where(F.col("pos") < MAX_LEN).withColumn("_g", F.lit(0))
+    v = ordered(spark, sf).where(F.col("pos") < MAX_LEN)
     ok = v.where(~F.isnan("slice_score"))
-    cm = M.with_rates(M.confusion(ok, ["_g"], "slice_score", "label", 0.5, ">"))
-    auc = M.auroc(ok, ["_g"], "slice_score", "label")
-    counts = v.groupBy("_g").agg(F.sum((~F.isnan("slice_score")).cast("long")).alias("n_valid"),
-                                 F.sum(F.isnan("slice_score").cast("long")).alias("n_nan_dropped"))
-    return r6(counts.join(cm, "_g").join(auc, "_g").drop("_g"))
+    cm = M.with_rates(M.confusion(ok, [], "slice_score", "label", 0.5, ">"))
+    auc = M.auroc(ok, [], "slice_score", "label").select("auc").scalar()
+    counts = v.agg(F.sum((~F.isnan("slice_score")).cast("long")).alias("n_valid"),
+                   F.sum(F.isnan("slice_score").cast("long")).alias("n_nan_dropped"))
+    c = counts.select(F.struct("n_valid", "n_nan_dropped")).scalar()
+    return r6(cm.select(c.getField("n_valid").alias("n_valid"), c.getField("n_nan_dropped").alias("n_nan_dropped"),
+                        "*", auc.alias("auc")))
 
 
 @register("masked_bce", "M18 M17", views=("slices",), oracle=f"""
