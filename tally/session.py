@@ -28,6 +28,7 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
     )
     spark = b.getOrCreate()
