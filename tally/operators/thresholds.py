@@ -87,16 +87,20 @@ def threshold_sweep(df: DataFrame, keys: list[str], g: Grid = GRID_A, op: str =
 
 def best_f1_threshold(sweep: DataFrame, keys: list[str], default: float = 0.5) -> DataFrame:
     """First grid point with the highest F1 (strict improvement); ``default`` if no F1 > 0."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(
-        F.desc("f1"), F.asc("threshold"))
-    top = sweep.withColumn("_rk", F.row_number().over(w)).where("_rk = 1")
+    top = _top1(sweep, keys, F.struct("f1", (-F.col("threshold")).alias("t")), ["threshold", "f1"])
     return top.select(*keys, F.when(F.col("f1") > 0, F.col("threshold")).otherwise(F.lit(default))
                       .alias("best_threshold"), F.col("f1").alias("best_f1"))
 
 
-def _top1(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
+def _top1(df: DataFrame, keys: list[str], best: Column, cols: list[str], largest: bool = True) -> DataFrame:
+    """Row with the largest (or smallest) ``best`` per group, as a distributed aggregate.
+
+    ``max_by`` / ``min_by`` combine map-side, so a group with billions of curve
+    points is never gathered in one task (a ranked window would be). ``best``
+    is a struct whose later fields break ties.
+    """
+    pick = (F.max_by if largest else F.min_by)(F.struct(*cols), best)
+    return df.groupBy(*keys).agg(pick.alias("_top")).select(*keys, "_top.*")
 
 
 def pr_best_f1_threshold(df: DataFrame, keys: list[str], score: str = "score", label: str = "y",
@@ -108,13 +112,13 @@ def pr_best_f1_threshold(df: DataFrame, keys: list[str], score: str = "score", l
     pr = (pr if pr is not None else M.pr_curve(df, keys, score, label)).where(F.col("threshold").isNotNull())
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(1e-10))
     pr = pr.withColumn("f1", f1)
-    return _top1(pr, keys, F.desc("f1"), F.asc("threshold")).select(*keys, "threshold", "f1")
+    return _top1(pr, keys, F.struct("f1", (-F.col("threshold")).alias("t")), ["threshold", "f1"])
 
 
 def youden_threshold(df: DataFrame, keys: list[str], score: str = "score", label: str = "y") -> DataFrame:
     """Argmax of tpr - fpr on the ROC curve (highest threshold on ties, as the curve descends)."""
     roc = M.roc_curve(df, keys, score, label).withColumn("j", F.col("tpr") - F.col("fpr"))
-    return _top1(roc, keys, F.desc("j"), F.desc("threshold")).select(*keys, "threshold", "tpr", "fpr", "j")
+    return _top1(roc, keys, F.struct("j", "threshold"), ["threshold", "tpr", "fpr", "j"])
 
 
 def target_threshold(df: DataFrame, keys: list[str], target: float, on: str = "recall", score: str = "score",
@@ -122,7 +126,7 @@ def target_threshold(df: DataFrame, keys: list[str], target: float, on: str = "r
     """PR point nearest to a target recall or precision (lowest threshold on ties)."""
     pr = (pr if pr is not None else M.pr_curve(df, keys, score, label)).where(F.col("threshold").isNotNull())
     pr = pr.withColumn("dist", F.abs(F.col(on) - F.lit(float(target))))
-    return _top1(pr, keys, F.asc("dist"), F.asc("threshold")).select(*keys, "threshold", on, "dist")
+    return _top1(pr, keys, F.struct("dist", "threshold"), ["threshold", on, "dist"], largest=False)
 
 
 def evaluate_thresholds(df: DataFrame, thresholds: DataFrame, keys: list[str], score: str = "score",
