@@ -102,3 +102,30 @@ def calibrate(platt_model: PipelineModel, scored: DataFrame, label: str = "y") -
 def weighted(df: DataFrame, label: str = "y") -> DataFrame:
     """Balanced class weights of ``df`` as column 'weight' (E10)."""
     return with_weight(df, label, "weight")
+
+
+def gbt_early_stopping(params: dict, train: DataFrame, val: DataFrame, feature_cols: list[str],
+                       patience: int, label: str = "y", weight: str | None = "weight", seed: int = 42):
+    """L2 + W2: early_stopping_rounds for the boosters.
+
+    Fit ``maxIter`` trees, compute the validation log-loss after every tree
+    (``evaluateEachIteration``: one value per tree, a short list), replay it with
+    the early-stopping operator (patience in rounds), then refit with the best
+    number of trees (same seed, so the first trees are the same).
+    Returns (model, history DataFrame (iteration, val_loss), stop DataFrame).
+    """
+    from tally.operators.history import early_stopping
+    est = gbt(params, label, weight, seed=seed)
+    full = fit(est, train, feature_cols)
+    gbt_model = full.stages[-1]
+    asm = full.stages[0]
+    if weight and weight not in val.columns:
+        val = val.withColumn(weight, F.lit(1.0))  # validation loss is unweighted
+    losses = gbt_model.evaluateEachIteration(asm.transform(val))  # the model's logistic loss
+    spark = train.sparkSession
+    hist = spark.createDataFrame([("gbt", i + 1, float(v)) for i, v in enumerate(losses)],
+                                 "run string, iteration int, val_loss double")
+    stop = early_stopping(hist, "run", "iteration", "val_loss", patience=patience, mode="min")
+    best = stop.first()["best_epoch"]
+    refit = fit(gbt({**params, "n_estimators": int(best)}, label, weight, seed=seed), train, feature_cols)
+    return refit, hist, stop

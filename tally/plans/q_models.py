@@ -120,3 +120,19 @@ def evaluate_experiment(spark, sf):
     loaded = PipelineModel.load(path)
     scored = MD.predict(loaded, test)
     return r6(C.report(scored, [], 0.5, ">"))
+
+
+@register("model_gbt_early_stopping", "L2 W2")
+def model_gbt_early_stopping(spark, sf):
+    """Boosting with early stopping on the validation split (patience 3 rounds); its loss history."""
+    s = split_risk(spark, sf).select("id", "split", "y", "flag_a", *NUM, *CAT)
+    prep = Prep(numeric=NUM, categorical=CAT).fit(s.where(F.col("split") == "train"))
+    p = prep.transform(s)
+    feats = [c for c in p.columns if c not in ("id", "split", "y")]
+    train = MD.weighted(p.where(F.col("split") == "train")).checkpoint(eager=True)
+    val = p.where(F.col("split") == "val")
+    _, hist, stop = MD.gbt_early_stopping({"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3}, train, val,
+                                          feats, patience=3)
+    st = stop.first()
+    return r6(hist.withColumns({"stop_iteration": F.lit(st["stop_epoch"]).cast("int"),
+                                "best_iteration": F.lit(st["best_epoch"]).cast("int")}))

@@ -44,3 +44,14 @@ def test_run_dispatch():
         raise AssertionError("expected ValueError")
     except ValueError:
         pass
+
+
+def test_gbt_early_stopping_history(spark):
+    h = q_models.model_gbt_early_stopping(spark, SF).collect()
+    assert len(h) == 20
+    best = h[0].best_iteration
+    losses = {r.iteration: r.val_loss for r in h}
+    stop = h[0].stop_iteration
+    # the best iteration is the minimum validation loss up to the stop (or the end)
+    last = stop or 20
+    assert losses[best] == min(losses[i] for i in range(1, last + 1))
