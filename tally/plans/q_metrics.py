@@ -158,8 +158,8 @@ def pr_curve(spark, sf):
 
 # ------------------------------------------------------------------ M9 - M14
 def grid_sql(g: TH.Grid) -> str:
-    return (f"(SELECT i, CAST({g.start} + i * {g.step} AS DOUBLE) / CAST({g.denom} AS DOUBLE) AS threshold "
-            f"FROM range(0, {g.count}) r(i))")
+    return (f"(SELECT CAST(i AS INTEGER) AS i, CAST({g.start} + i * {g.step} AS DOUBLE) / CAST({g.denom} AS DOUBLE) "
+            f"AS threshold FROM range(0, {g.count}) r(i))")
 
 
 def sweep_sql(src: str, keys: str, g: TH.Grid, op: str) -> str:

@@ -97,7 +97,7 @@ def histogram_density(spark, sf):
 WITH {FILLED_SQL},
 st AS (SELECT MIN(amount) AS lo, MAX(amount) AS hi, COUNT(*) AS n, STDDEV_SAMP(amount) * POW(CAST(COUNT(*) AS DOUBLE), -0.2) AS bw FROM nf),
 g AS (SELECT i, lo + i * (hi - lo) / 49.0::DOUBLE AS x FROM st, range(0, 50) r(i))
-SELECT g.i, ROUND(g.x, 6) AS x, ROUND(SUM(EXP(-0.5 * ((g.x - nf.amount) / bw) * ((g.x - nf.amount) / bw))) / (n * bw * SQRT(2 * PI())) * 1e6, 6) AS density_e6
+SELECT CAST(g.i AS INTEGER) AS i, ROUND(g.x, 6) AS x, ROUND(SUM(EXP(-0.5 * ((g.x - nf.amount) / bw) * ((g.x - nf.amount) / bw))) / (n * bw * SQRT(2 * PI())) * 1e6, 6) AS density_e6
 FROM g, nf, st GROUP BY g.i, g.x, n, bw""")
 def kde(spark, sf):
     k = profile.kde(filled(spark, sf), "amount", 50)

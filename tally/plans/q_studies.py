@@ -71,7 +71,8 @@ def merge_slice_features(spark, sf):
     m = studies.merge_stores([a, b, c])
     lab = studies.study_label(o).select("study_id", "label")
     return m.join(lab, "study_id").select("study_id", "pos", F.size("vec").alias("dim"),
-                                          F.col("vec")[0].alias("first"), F.col("vec")[63].alias("last"), "label")
+                                          F.col("vec")[0].cast("float").alias("first"),
+                                          F.col("vec")[63].cast("float").alias("last"), "label")
 
 
 @register("pad_sequence", "E13 D8", views=("slices",), oracle=f"""

@@ -43,8 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     when it is unset — local runs and tests — do we create a scratch folder.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="tally-ckpt-")
+    current = sc.getCheckpointDir()
+    if current:  # already set (Spark appends its own sub-folder; never set it again)
+        return current
+    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tally-ckpt-")
     sc.setCheckpointDir(d)
-    return d
+    return sc.getCheckpointDir()

@@ -28,3 +28,10 @@ def test_query_names_plain():
 def test_sinks_exist():
     from tally.sources import sinks
     assert callable(sinks.write_splits) and callable(sinks.write_report) and callable(sinks.run)
+
+
+def test_checkpoint_dir_is_stable(spark):
+    from tally.session import checkpoint_dir
+    a = checkpoint_dir(spark)
+    b = checkpoint_dir(spark)
+    assert a == b
