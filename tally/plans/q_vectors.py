@@ -89,11 +89,11 @@ def normalize_image(spark, sf):
 
 @register("resize_volume", "E17 E16", views=("slices",))
 def resize_volume(spark, sf):
-    """Volumes of each study resized to 16^3 (NumPy trilinear, one study per group)."""
+    """Volumes of each study resized to 16^3: separable trilinear resize distributed by output slice."""
     v = studies.stack_volume(ordered(spark, sf), planes(spark, sf), 64, "zero")
-    r = vectors.resize_volumes(v, "study_id", "z", "plane", side=8, size=16)
-    return r.select("study_id", "shape", F.round(F.aggregate("voxels", F.lit(0.0), lambda a, b: a + b), 6)
-                    .alias("voxel_sum"))
+    r = vectors.resize_volumes_long(v, "study_id", "z", "plane", side=8, size=16)
+    s = r.select("study_id", F.aggregate("plane", F.lit(0.0), lambda a, b: a + b).alias("_s"))
+    return s.groupBy("study_id").agg(F.count(F.lit(1)).alias("depth"), F.round(F.sum("_s"), 6).alias("voxel_sum"))
 
 
 @register("resize_images", "E18", views=("tiles",))
