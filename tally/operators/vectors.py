@@ -101,18 +101,25 @@ def resize_volumes_long(volumes: DataFrame, study: str, z: str, plane: str, side
     j = out.join(a, [study, "_zlo"]).join(b, [study, "_zhi"])
     blended = F.zip_with("_plo", "_phi", lambda p, q: p * (1 - F.col("_wz")) + q * F.col("_wz"))
     j = j.select(study, "z_out", blended.alias("_b"))
-    n_in = F.lit(side)
+    # In-plane sampling depends only on (side, size): source indices and weights are constants.
+    lo_r, hi_r, w_r = _linear_axis(side, size)
+    idx = [[], [], [], []]
+    wts = [[], [], [], []]
+    for r in range(size):
+        for c in range(size):
+            for t, (rr, cc, wgt) in enumerate(((lo_r[r], lo_r[c], (1 - w_r[r]) * (1 - w_r[c])),
+                                                (lo_r[r], hi_r[c], (1 - w_r[r]) * w_r[c]),
+                                                (hi_r[r], lo_r[c], w_r[r] * (1 - w_r[c])),
+                                                (hi_r[r], hi_r[c], w_r[r] * w_r[c]))):
+                idx[t].append(int(rr) * side + int(cc) + 1)
+                wts[t].append(float(wgt))
+    I = [_const_int_array(v) for v in idx]
+    W = [_const_array(v) for v in wts]
 
     def pixel(k: Column) -> Column:
-        r, c = (k / size).cast("int"), k % size
-        r0, r1, wr = _axis_sources(n_in, size, r)
-        c0, c1, wc = _axis_sources(n_in, size, c)
-
-        def at(rr, cc):
-            return F.element_at(F.col("_b"), rr * side + cc + 1)
-        top = at(r0, c0) * (1 - wc) + at(r0, c1) * wc
-        bot = at(r1, c0) * (1 - wc) + at(r1, c1) * wc
-        v = top * (1 - wr) + bot * wr
+        k1 = k + 1
+        v = sum((F.element_at(F.col("_b"), F.element_at(I[t], k1)) * F.element_at(W[t], k1) for t in range(4)),
+                F.lit(0.0))
         return F.least(F.greatest(v, F.lit(clip[0])), F.lit(clip[1]))
 
     return j.select(study, F.col("z_out").alias(z),
@@ -196,6 +203,11 @@ def rff_params(dim: int, n_features: int, gamma: float, seed: int) -> tuple[np.n
     return w, b
 
 
+def _const_int_array(values) -> Column:
+    import json
+    return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<int>")
+
+
 def _const_array(values) -> Column:
     """A double-array constant as ONE literal (JSON parsed at plan time by constant folding)."""
     import json

@@ -90,7 +90,10 @@ def normalize_image(spark, sf):
 @register("resize_volume", "E17 E16", views=("slices",))
 def resize_volume(spark, sf):
     """Volumes of each study resized to 16^3: separable trilinear resize distributed by output slice."""
-    v = studies.stack_volume(ordered(spark, sf), planes(spark, sf), 64, "zero")
+    from tally.session import checkpoint_dir
+    checkpoint_dir(spark)
+    # the resize reads the volume three times (depth, lower and upper source slice): materialise it once
+    v = studies.stack_volume(ordered(spark, sf), planes(spark, sf), 64, "zero").checkpoint(eager=True)
     r = vectors.resize_volumes_long(v, "study_id", "z", "plane", side=8, size=16)
     s = r.select("study_id", F.aggregate("plane", F.lit(0.0), lambda a, b: a + b).alias("_s"))
     return s.groupBy("study_id").agg(F.count(F.lit(1)).alias("depth"), F.round(F.sum("_s"), 6).alias("voxel_sum"))
