@@ -94,6 +94,27 @@ def platt(scored_train: DataFrame, label: str = "y") -> PipelineModel:
     return Pipeline(stages=[LogisticRegression(labelCol=label, maxIter=100)]).fit(x)
 
 
+def platt_out_of_fold(estimator, train: DataFrame, feature_cols: list[str], k: int = 5, label: str = "y",
+                      id_col: str = "id", seed: int = 42) -> PipelineModel:
+    """L5 as the library does it: margins for calibration come from k-fold out-of-fold fits.
+
+    Each fold's rows are scored by a model fitted on the other folds (stratified
+    folds, R4); the calibrator is fitted on the union of those margins.
+    """
+    from tally.operators.splits import stratified_kfold
+    from tally.session import checkpoint_dir
+    checkpoint_dir(train.sparkSession)
+    folded = stratified_kfold(train, label, id_col, k=k, seed=seed).checkpoint(eager=True)
+    parts = []
+    for f in range(k):
+        m = fit(estimator, folded.where(F.col("fold") != f).drop("fold"), feature_cols)
+        parts.append(predict(m, folded.where(F.col("fold") == f).drop("fold"), id_col, label))
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
+    return platt(oof, label)
+
+
 def calibrate(platt_model: PipelineModel, scored: DataFrame, label: str = "y") -> DataFrame:
     x = scored.withColumn("features", array_to_vector(F.array("score")))
     return platt_model.transform(x).select(*scored.columns[:-1], vector_to_array("probability")[1].alias("score"))

@@ -61,8 +61,9 @@ def model_random_forest(spark, sf):
 def model_svm_platt(spark, sf):
     train, test, feats = prepared_splits(spark, sf)
     n = train.count()
-    model = MD.fit(MD.linear_svm(C=1.0, n=n), train, feats)
-    cal = MD.platt(MD.predict(model, train))
+    svm = MD.linear_svm(C=1.0, n=n)
+    model = MD.fit(svm, train, feats)
+    cal = MD.platt_out_of_fold(svm, train, feats, k=3)
     return r6(MD.calibrate(cal, MD.predict(model, test)))
 
 

@@ -373,3 +373,14 @@ def smote(spark, sf):
     from tally.operators import resample
     out = resample.smote(smote_train(spark, sf), "y", "id", SMOTE_FEATURES, k=5, seed=42)
     return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stratified_split_72_8_20", "R1", views=("risk_raw",), oracle=f"""
+WITH {FILLED_SQL},
+{stratified_split_ctes('nf', val=0.1, val_of_rest=True)}
+SELECT split, y, COUNT(*) AS n, SUM(id)::BIGINT AS id_sum FROM splitted GROUP BY split, y""")
+def stratified_split_72_8_20(spark, sf):
+    """The multimodal variant: 20 % test, then 10 % of the rest as validation (72/8/20)."""
+    r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
+    s = splits.stratified_split(r, "y", "id", test=0.2, val=0.1, seed=42, val_of_rest=True)
+    return s.groupBy("split", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))

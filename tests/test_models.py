@@ -55,3 +55,10 @@ def test_gbt_early_stopping_history(spark):
     # the best iteration is the minimum validation loss up to the stop (or the end)
     last = stop or 20
     assert losses[best] == min(losses[i] for i in range(1, last + 1))
+
+
+def test_svm_platt_probabilities(spark):
+    s = q_models.model_svm_platt(spark, SF)
+    r = s.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    assert 0.0 <= r.lo <= r.hi <= 1.0
+    assert M.auroc(s.withColumn("g", F.lit("svm")), ["g"]).first().auc > 0.55
