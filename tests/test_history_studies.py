@@ -55,3 +55,11 @@ def test_merge_history_keeps_first_longest(spark):
     rows = {(r.version, r.epoch): (r.taken, r.is_final)
             for r in history.merge_history(c, "run", ["version", "epoch"], "n").collect()}
     assert rows[("v1", 2)] == (True, True) and rows[("v2", 2)] == (False, False)
+
+
+def test_early_stopping_delta_moves_best_only_on_enough_gain(spark):
+    # losses 1.0, 0.95 (gain .05 < delta .1: counts), 0.85 (gain .15 >= .1: new best), 0.84, 0.83
+    h = spark.createDataFrame([("r", e, v) for e, v in enumerate([1.0, 0.95, 0.85, 0.84, 0.83], 1)],
+                              "run string, epoch int, loss double")
+    r = history.early_stopping(h, "run", "epoch", "loss", patience=2, delta=0.1).first()
+    assert r.best_epoch == 3 and r.stop_epoch == 5
