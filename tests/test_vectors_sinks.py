@@ -95,3 +95,42 @@ def test_resize_volume_distributed_matches_numpy(spark):
     # the grouped NumPy form agrees too
     grouped = {r.study_id: np.array(r.voxels) for r in vectors.resize_volumes(df, "study_id", "z", "plane", 4, 6).collect()}
     assert np.allclose(grouped[1], np.clip(vectors.resize_array(vols[1], (6, 6, 6)), 0, 1).ravel())
+
+
+def test_read_image_folder_labels_sorted_classes(spark):
+    from tally.sources import images
+    root = tempfile.mkdtemp()
+    for cls, n in (("stroke", 2), ("normal", 3)):
+        os.makedirs(os.path.join(root, cls))
+        for i in range(n):
+            with open(os.path.join(root, cls, f"{i}.png"), "wb") as fh:
+                fh.write(bytes([i, 1, 2]))
+    m = images.read_image_folder(spark, root, pattern="*.png").collect()
+    assert len(m) == 5
+    assert {r["class"]: r.label for r in m} == {"normal": 0, "stroke": 1}
+    linked, missing = images.link_records(
+        spark.createDataFrame([(m[0].path,), ("/nope/x.png",)], "path string"),
+        spark.createDataFrame([(r.path,) for r in m], "path string"))
+    assert sorted(r.found for r in linked.collect()) == [False, True]
+    assert [r.path for r in missing.collect()] == ["/nope/x.png"]
+
+
+def test_save_load_state_round_trip(spark):
+    from tally.operators import encode, models as MD
+    d = tempfile.mkdtemp()
+    df = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(60)], "id long, x double, y int")
+    codes = encode.code_table(df, ["y"])
+    model = MD.fit(MD.logistic(1.0, None, weight=None), df, ["x"])
+    sinks.save_state({"codes": codes}, model, os.path.join(d, "state"))
+    tables, back = sinks.load_state(spark, os.path.join(d, "state"), ["codes"])
+    assert sorted(tuple(r) for r in tables["codes"].collect()) == sorted(tuple(r) for r in codes.collect())
+    a = [r.score for r in MD.predict(model, df).orderBy("id").collect()]
+    b = [r.score for r in MD.predict(back, df).orderBy("id").collect()]
+    assert a == b
+
+
+def test_align_columns_raw_frames(spark):
+    from tally.operators import encode
+    val = spark.createDataFrame([(1, 1, 0)], "id int, c_a int, c_z int")
+    out = encode.align_columns(val, ["id", "c_a", "c_b"])
+    assert out.columns == ["id", "c_a", "c_b"] and tuple(out.first()) == (1, 1, 0)
