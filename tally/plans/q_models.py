@@ -67,10 +67,13 @@ def model_svm_platt(spark, sf):
     return r6(MD.calibrate(cal, MD.predict(model, test)))
 
 
-@register("model_mlp", "L6 L7")
+@register("model_mlp", "L6 L7 E9")
 def model_mlp(spark, sf):
+    """MLP head; it takes no weight column, so the training split is balanced with SMOTE first."""
+    from tally.operators import resample
     train, test, feats = prepared_splits(spark, sf)
-    model = MD.fit(MD.mlp([len(feats), 16, 8, 2], max_iter=50), train, feats)
+    balanced = resample.smote(train, "y", "id", feats, k=5, seed=42).select(*feats, "y").checkpoint(eager=True)
+    model = MD.fit(MD.mlp([len(feats), 16, 8, 2], max_iter=50), balanced, feats)
     return r6(MD.predict(model, test))
 
 
