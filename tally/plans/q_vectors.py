@@ -114,7 +114,19 @@ def augment_images(spark, sf):
                     F.round(F.aggregate("augmented", F.lit(0.0), lambda x, y: x + y), 6).alias("px_sum"))
 
 
-@register("rbf_features", "E20", views=("risk_raw",))
+def _rff_oracle() -> str:
+    w, b = vectors.rff_params(2, 16, 0.5, 7)
+    wl = "[" + ", ".join(repr(float(x)) for x in w.ravel()) + "]"
+    bl = "[" + ", ".join(repr(float(x)) for x in b) + "]"
+    z = (f"SQRT(2.0 / 16) * COS(b[k + 1] + w[k * 2 + 1] * x1 + w[k * 2 + 2] * x2)")
+    return f"""WITH c AS (SELECT {wl}::DOUBLE[] AS w, {bl}::DOUBLE[] AS b),
+r AS (SELECT id, amount / 1e5 AS x1, CAST(flag_a AS DOUBLE) AS x2 FROM risk_raw)
+SELECT id, 16 AS n_features,
+       ROUND(list_sum(list_transform(range(16), lambda k: ({z}) * ({z}))), 6) AS sq_norm
+FROM r, c"""
+
+
+@register("rbf_features", "E20", views=("risk_raw",), oracle=_rff_oracle())
 def rbf_features(spark, sf):
     r = R(spark, sf).select("id", F.array((F.col("amount") / 1e5), F.col("flag_a").cast("double")).alias("x"))
     z = r.select("id", vectors.rbf_features("x", dim=2, n_features=16, gamma=0.5, seed=7).alias("z"))
