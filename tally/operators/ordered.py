@@ -126,7 +126,8 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
         F.sum("_cnt").over(wg).alias("_n"),
     )
     ps = F.array(*[F.lit(float(p)) for p in probs])
-    tg = (summ.select(*group_cols, "_n").distinct()
+    # one row per group: its first range (offset 0) carries the group total
+    tg = (summ.where(F.col("_off") == 0).select(*group_cols, "_n")
           .select(*group_cols, "_n", F.explode(ps).alias("p"))
           .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
           .withColumn("_r", F.explode(F.array_distinct(F.array(
