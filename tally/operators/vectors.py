@@ -101,10 +101,18 @@ def resize_volumes_long(volumes: DataFrame, study: str, z: str, plane: str, side
     j = out.join(a, [study, "_zlo"]).join(b, [study, "_zhi"])
     blended = F.zip_with("_plo", "_phi", lambda p, q: p * (1 - F.col("_wz")) + q * F.col("_wz"))
     j = j.select(study, "z_out", blended.alias("_b"))
-    # In-plane sampling depends only on (side, size): source indices and weights are constants.
+    return j.select(study, F.col("z_out").alias(z), plane_resample("_b", side, size, clip).alias(plane))
+
+
+def plane_tables(side: int, size: int) -> tuple[list[list[int]], list[list[float]]]:
+    """Bilinear sampling of a side x side plane onto size x size (half-pixel centres).
+
+    For output pixel k: 1-based source indices I[t][k] and weights W[t][k] of its
+    four neighbours t = (lo,lo), (lo,hi), (hi,lo), (hi,hi) in (row, column).
+    """
     lo_r, hi_r, w_r = _linear_axis(side, size)
-    idx = [[], [], [], []]
-    wts = [[], [], [], []]
+    idx: list[list[int]] = [[], [], [], []]
+    wts: list[list[float]] = [[], [], [], []]
     for r in range(size):
         for c in range(size):
             for t, (rr, cc, wgt) in enumerate(((lo_r[r], lo_r[c], (1 - w_r[r]) * (1 - w_r[c])),
@@ -113,28 +121,29 @@ def resize_volumes_long(volumes: DataFrame, study: str, z: str, plane: str, side
                                                 (hi_r[r], hi_r[c], w_r[r] * w_r[c]))):
                 idx[t].append(int(rr) * side + int(cc) + 1)
                 wts[t].append(float(wgt))
+    return idx, wts
+
+
+def plane_resample(px: Column | str, side: int, size: int, clip: tuple[float, float] | None = None) -> Column:
+    """Bilinear resample of one flattened plane; the sampling tables are constants (JVM side)."""
+    c = F.col(px) if isinstance(px, str) else px
+    idx, wts = plane_tables(side, size)
     I = [_const_int_array(v) for v in idx]
     W = [_const_array(v) for v in wts]
 
     def pixel(k: Column) -> Column:
         k1 = k + 1
-        v = sum((F.element_at(F.col("_b"), F.element_at(I[t], k1)) * F.element_at(W[t], k1) for t in range(4)),
-                F.lit(0.0))
-        return F.least(F.greatest(v, F.lit(clip[0])), F.lit(clip[1]))
+        v = F.lit(0.0)
+        for t in range(4):
+            v = v + F.element_at(c, F.element_at(I[t], k1)).cast("double") * F.element_at(W[t], k1)
+        return F.least(F.greatest(v, F.lit(clip[0])), F.lit(clip[1])) if clip else v
 
-    return j.select(study, F.col("z_out").alias(z),
-                    F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), pixel).alias(plane))
+    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), pixel)
 
 
 def resize_images(df: DataFrame, id_col: str, px: str, side: int, size: int) -> DataFrame:
-    """E18 (resize part): square one-channel images side x side -> size x size, bilinear."""
-    def per_batch(it):
-        for pdf in it:
-            out = [resize_array(np.asarray(p, dtype=np.float64).reshape(side, side), (size, size)).ravel().tolist()
-                   for p in pdf[px]]
-            yield pd.DataFrame({id_col: pdf[id_col], "resized": out})
-
-    return df.select(id_col, px).mapInPandas(per_batch, f"{id_col} long, resized array<double>")
+    """E18 (resize part): square one-channel images side x side -> size x size, bilinear, in SQL."""
+    return df.select(id_col, plane_resample(px, side, size).alias("resized"))
 
 
 # ---------------------------------------------------------------- E19 augmentation

@@ -99,11 +99,31 @@ def resize_volume(spark, sf):
     return s.groupBy("study_id").agg(F.count(F.lit(1)).alias("depth"), F.round(F.sum("_s"), 6).alias("voxel_sum"))
 
 
-@register("resize_images", "E18", views=("tiles",))
+def _lst(v) -> str:
+    return "[" + ", ".join(repr(x) for x in v) + "]"
+
+
+def _resample_sql(src: str, side: int, size: int, clip: bool = False) -> str:
+    """DuckDB form of the bilinear plane resample with the same constant tables."""
+    idx, wts = vectors.plane_tables(side, size)
+    terms = " + ".join(f"CAST({src}[(CAST({_lst(idx[t])} AS INTEGER[]))[k + 1]] AS DOUBLE) * "
+                       f"(CAST({_lst(wts[t])} AS DOUBLE[]))[k + 1]" for t in range(4))
+    v = f"(CAST(0 AS DOUBLE) + {terms})"
+    if clip:
+        v = f"LEAST(GREATEST({v}, 0.0), 1.0)"
+    return f"list_transform(range({size * size}), lambda k: {v})"
+
+
+@register("resize_images", "E18", views=("tiles",), oracle=f"""
+WITH r AS (SELECT id, {_resample_sql('px', 8, 16)} AS resized FROM tiles)
+SELECT id, CAST(len(resized) AS INTEGER) AS n_px, ROUND(list_sum(resized), 6) AS px_sum,
+       ROUND(resized[1], 6) AS first, ROUND(resized[137], 6) AS mid FROM r""")
 def resize_images(spark, sf):
     t = fx.tiles(Tables(spark, sf))
     r = vectors.resize_images(t, "id", "px", side=8, size=16)
-    return r.select("id", F.size("resized").alias("n_px"))
+    return r6(r.select("id", F.size("resized").alias("n_px"),
+                       F.aggregate("resized", F.lit(0.0), lambda a, b: a + b).alias("px_sum"),
+                       F.col("resized")[0].alias("first"), F.col("resized")[136].alias("mid")))
 
 
 @register("augment_images", "E19", views=("tiles",))
