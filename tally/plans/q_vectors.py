@@ -87,18 +87,6 @@ def normalize_image(spark, sf):
                        F.col("n")[0].alias("first")))
 
 
-@register("resize_volume", "E17 E16", views=("slices",))
-def resize_volume(spark, sf):
-    """Volumes of each study resized to 16^3: separable trilinear resize distributed by output slice."""
-    from tally.session import checkpoint_dir
-    checkpoint_dir(spark)
-    # the resize reads the volume three times (depth, lower and upper source slice): materialise it once
-    v = studies.stack_volume(ordered(spark, sf), planes(spark, sf), 64, "zero").checkpoint(eager=True)
-    r = vectors.resize_volumes_long(v, "study_id", "z", "plane", side=8, size=16)
-    s = r.select("study_id", F.aggregate("plane", F.lit(0.0), lambda a, b: a + b).alias("_s"))
-    return s.groupBy("study_id").agg(F.count(F.lit(1)).alias("depth"), F.round(F.sum("_s"), 6).alias("voxel_sum"))
-
-
 def _lst(v) -> str:
     return "[" + ", ".join(repr(x) for x in v) + "]"
 
@@ -114,6 +102,38 @@ def _resample_sql(src: str, side: int, size: int, clip: bool = False) -> str:
     return f"list_transform(range({size * size}), lambda k: {v})"
 
 
+def _resize_volume_sql() -> str:
+    from tally.plans.q_studies import VOLUME_SQL
+    zero = "list_transform(range(64), lambda i: CAST(0 AS DOUBLE))"
+    return f"""WITH {VOLUME_SQL},
+f AS (SELECT study_id, MIN(pos) AS first FROM x WHERE readable GROUP BY study_id),
+v AS (SELECT x.study_id, x.pos - f.first AS z, CASE WHEN readable THEN plane ELSE {zero} END AS plane
+      FROM x JOIN f ON x.study_id = f.study_id WHERE x.pos >= f.first
+      UNION ALL SELECT DISTINCT study_id, 0, {zero} FROM x WHERE study_id NOT IN (SELECT study_id FROM f)),
+d AS (SELECT study_id, COUNT(*) AS dd FROM v GROUP BY study_id),
+s AS (SELECT study_id, dd, j, LEAST(GREATEST((CAST(j AS DOUBLE) + CAST(0.5 AS DOUBLE)) * (CAST(dd AS DOUBLE) / CAST(16 AS DOUBLE))
+                                      - CAST(0.5 AS DOUBLE), CAST(0 AS DOUBLE)), CAST(dd - 1 AS DOUBLE)) AS src
+      FROM d, range(16) t(j)),
+w AS (SELECT study_id, j, CAST(FLOOR(src) AS INTEGER) AS lo, LEAST(CAST(FLOOR(src) AS INTEGER) + 1, dd - 1) AS hi,
+             src - CAST(FLOOR(src) AS INTEGER) AS wz FROM s),
+b AS (SELECT w.study_id, w.j, list_transform(range(64), lambda i: a.plane[i + 1] * (1 - w.wz) + c.plane[i + 1] * w.wz) AS bl
+      FROM w JOIN v a ON a.study_id = w.study_id AND a.z = w.lo JOIN v c ON c.study_id = w.study_id AND c.z = w.hi),
+r AS (SELECT study_id, list_sum({_resample_sql('bl', 8, 16, clip=True)}) AS ps FROM b)
+SELECT study_id, COUNT(*) AS depth, ROUND(SUM(ps), 6) AS voxel_sum FROM r GROUP BY study_id"""
+
+
+@register("resize_volume", "E17 E16", views=("slices",), oracle=_resize_volume_sql())
+def resize_volume(spark, sf):
+    """Volumes of each study resized to 16^3: separable trilinear resize distributed by output slice."""
+    from tally.session import checkpoint_dir
+    checkpoint_dir(spark)
+    # the resize reads the volume three times (depth, lower and upper source slice): materialise it once
+    v = studies.stack_volume(ordered(spark, sf), planes(spark, sf), 64, "zero").checkpoint(eager=True)
+    r = vectors.resize_volumes_long(v, "study_id", "z", "plane", side=8, size=16)
+    s = r.select("study_id", F.aggregate("plane", F.lit(0.0), lambda a, b: a + b).alias("_s"))
+    return s.groupBy("study_id").agg(F.count(F.lit(1)).alias("depth"), F.round(F.sum("_s"), 6).alias("voxel_sum"))
+
+
 @register("resize_images", "E18", views=("tiles",), oracle=f"""
 WITH r AS (SELECT id, {_resample_sql('px', 8, 16)} AS resized FROM tiles)
 SELECT id, CAST(len(resized) AS INTEGER) AS n_px, ROUND(list_sum(resized), 6) AS px_sum,
