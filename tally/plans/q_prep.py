@@ -384,3 +384,33 @@ def stratified_split_72_8_20(spark, sf):
     r = clean.impute(numeric_risk(spark, sf), {"balance": "median"})
     s = splits.stratified_split(r, "y", "id", test=0.2, val=0.1, seed=42, val_of_rest=True)
     return s.groupBy("split", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+
+
+def _smote_sql(k: int = 5, seed: int = 42) -> str:
+    feats = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SMOTE_FEATURES)
+    new = ",\n       ".join(f"ROUND(b.{c} + g.gap * (n.{c} - b.{c}), 6) AS {c}" for c in SMOTE_FEATURES)
+    return f"""WITH {PREPARED_SQL},
+{stratified_split_ctes('prepared')},
+tr AS (SELECT * FROM splitted WHERE split = 'train'),
+m AS (SELECT id, {feats} FROM tr WHERE y = 1),
+d AS (SELECT a.id, b.id AS nn_id, {_d2} AS dist2 FROM m a JOIN m b ON a.id <> b.id),
+nn AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY dist2, nn_id) AS nn_rank FROM d) WHERE nn_rank <= {k}),
+c AS (SELECT (SELECT COUNT(*) FROM tr WHERE y = 0) - (SELECT COUNT(*) FROM m) AS need, (SELECT COUNT(*) FROM m) AS n_min),
+rk AS (SELECT id, ROW_NUMBER() OVER (ORDER BY md5('{seed}|' || CAST(id AS VARCHAR))) AS rk FROM m),
+per AS (SELECT rk.id, CAST(FLOOR(c.need / c.n_min) AS BIGINT) + CASE WHEN rk.rk <= c.need % c.n_min THEN 1 ELSE 0 END AS cnt
+        FROM rk, c),
+ex AS (SELECT id, unnest(range(1, cnt + 1)) AS j FROM per WHERE cnt > 0),
+gen AS (SELECT id, j, md5('{seed}|' || CAST(id AS VARCHAR) || '|' || CAST(j AS VARCHAR)) AS h FROM ex),
+g AS (SELECT id, j, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % {k} + 1 AS INTEGER) AS nn_rank,
+             CAST('0x' || substr(h, 9, 13) AS BIGINT) / CAST({float(16 ** 13)!r} AS DOUBLE) AS gap FROM gen)
+SELECT g.id AS base_id, nn.nn_id, ROUND(g.gap, 6) AS gap,
+       {new}
+FROM g JOIN nn ON g.id = nn.id AND g.nn_rank = nn.nn_rank JOIN m b ON b.id = g.id JOIN m n ON n.id = nn.nn_id"""
+
+
+@register("smote_synthetic", "E9 J6", views=("risk_raw",), oracle=_smote_sql())
+def smote_synthetic(spark, sf):
+    """Every synthetic minority row: its base point, chosen neighbour, gap and interpolated features."""
+    from tally.operators import resample
+    out = resample.smote(smote_train(spark, sf), "y", "id", SMOTE_FEATURES, k=5, seed=42)
+    return r6(out.where("synthetic").select("base_id", "nn_id", "gap", *SMOTE_FEATURES))
