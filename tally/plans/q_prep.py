@@ -367,7 +367,13 @@ def knn_minority(spark, sf):
     return r6(nn.select("id", "nn_rank", "nn_id", F.sqrt("dist2").alias("dist")))
 
 
-@register("smote", "E9")
+@register("smote", "E9", views=("risk_raw",), oracle=f"""
+WITH {PREPARED_SQL},
+{stratified_split_ctes('prepared')},
+tr AS (SELECT * FROM splitted WHERE split = 'train')
+SELECT y, false AS synthetic, COUNT(*) AS n FROM tr GROUP BY y
+UNION ALL
+SELECT 1, true, (SELECT COUNT(*) FROM tr WHERE y = 0) - (SELECT COUNT(*) FROM tr WHERE y = 1)""")
 def smote(spark, sf):
     """Train split oversampled to class parity; synthetic rows counted per label."""
     from tally.operators import resample
