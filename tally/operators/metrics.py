@@ -129,8 +129,8 @@ def auroc_from_points(pts: DataFrame, keys: list[str]) -> DataFrame:
     below = F.col("N") - F.col("fps")
     s = F.sum(F.col("pos").cast("double") * (below.cast("double") + F.col("neg").cast("double") / 2))
     return pts.groupBy(*keys).agg(
-        (s / (F.first("P").cast("double") * F.first("N").cast("double"))).alias("_auc"),
-        F.first("P").alias("_P"), F.first("N").alias("_N"),
+        (s / (F.max("P").cast("double") * F.max("N").cast("double"))).alias("_auc"),
+        F.max("P").alias("_P"), F.max("N").alias("_N"),
     ).select(*keys, F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_auc")).alias("auc"))
 
 

@@ -106,11 +106,13 @@ def dense_index(df: DataFrame, group_cols: list[str], order_col: str, index_col:
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    parts: int | None = None) -> DataFrame:
+                    parts: int | None = None, with_stats: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas default) per group.
 
     Returns (groups..., p, q). Only the ranges that hold a target rank are ranked
-    row by row; everything else is counted.
+    row by row; everything else is counted. ``with_stats`` adds count, mean,
+    sample std, min and max per group, computed from the same materialised
+    frame (no second scan of the input).
     """
     out_groups = list(group_cols)
     df, group_cols, _ = _with_group(df, group_cols)
@@ -141,5 +143,11 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
     lo = F.min_by("_v", "_r")
     hi = F.max_by("_v", "_r")
     frac = F.col("_h") - F.floor("_h")
-    return (hit.groupBy(*group_cols, "p", "_h").agg(lo.alias("_lo"), hi.alias("_hi"))
-            .select(*out_groups, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("q")))
+    q = (hit.groupBy(*group_cols, "p", "_h").agg(lo.alias("_lo"), hi.alias("_hi"))
+         .select(*group_cols, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("q")))
+    if with_stats:
+        st = x.groupBy(*group_cols).agg(
+            F.count(F.lit(1)).alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
+            F.min("_v").alias("min"), F.max("_v").alias("max"))
+        q = q.join(st, group_cols)
+    return q.select(*out_groups, *[c for c in q.columns if c not in group_cols])

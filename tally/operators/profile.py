@@ -19,15 +19,12 @@ def long_values(df: DataFrame, columns: list[str], keys: list[str] | None = None
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A1: count, mean, sample std, min, exact quartiles (linear), max per column."""
+    """A1: count, mean, sample std, min, exact quartiles (linear), max per column — one pass + ranks."""
     lv = long_values(df, columns)
-    basic = lv.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(lv, ["column"], "value", [0.25, 0.5, 0.75])
-    qw = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
-                                   for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return basic.join(qw, "column", "left")
+    q = exact_quantiles(lv, ["column"], "value", [0.25, 0.5, 0.75], with_stats=True)
+    stats = ["count", "mean", "std", "min", "max"]
+    return q.groupBy("column", *stats).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
+                                             for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
 
 
 def info(df: DataFrame) -> DataFrame:
