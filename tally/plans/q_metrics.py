@@ -297,7 +297,7 @@ def compare_splits(spark, sf):
     return r6(C.compare_splits(S(spark, sf), ["model"]))
 
 
-@register("compare_models", "M16 W4 U2", views=("scored",), oracle=f"""
+COMPARE_MODELS_SQL = f"""
 WITH cm AS (SELECT model, {cm_sql('>=')} FROM scored GROUP BY model),
 {points_sql('scored', 'model')}, {auc_sql('model')},
 r AS (SELECT cm.*, auc.auc, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1v
@@ -306,7 +306,10 @@ SELECT model, tp, fp, fn, tn, {rates_sql()}, ROUND(auc, 6) AS auc, tp + fp + fn
        ROUND((tp + fn) * CAST(100 AS DOUBLE) / (tp + fp + fn + tn), 6) AS positive_pct,
        CASE WHEN f1v > {dsql(C.VERDICT_BETTER)} THEN 'better' WHEN f1v > {dsql(C.VERDICT_EQUAL)} THEN 'equal' ELSE 'worse' END AS verdict,
        CAST(ROW_NUMBER() OVER (ORDER BY f1v DESC, model) AS INTEGER) AS rank
-FROM r""")
+FROM r"""
+
+
+@register("compare_models", "M16 W4 U2", views=("scored",), oracle=COMPARE_MODELS_SQL)
 def compare_models(spark, sf):
     return r6(C.compare_models(S(spark, sf)))
 
@@ -333,3 +336,15 @@ def sigmoid_bce(spark, sf):
     bce = y * softplus(-F.col("z")) + (1 - y) * softplus(F.col("z"))
     return r6(x.groupBy("model").agg(F.avg(sigmoid("z")).alias("mean_prob"), F.max("pw").alias("pos_weight"),
                                      F.avg(wbce).alias("weighted_bce"), F.avg(bce).alias("bce")))
+
+
+@register("write_read_report", "S10 M16", views=("scored",), oracle=COMPARE_MODELS_SQL)
+def write_read_report(spark, sf):
+    """The model comparison written as a CSV report and read back with its schema."""
+    import uuid
+    from tally.session import checkpoint_dir
+    from tally.sources import sinks
+    rep = compare_models(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/reports/{uuid.uuid4().hex}"
+    sinks.write_report(rep, path)
+    return spark.read.schema(rep.schema).option("header", True).csv(path)

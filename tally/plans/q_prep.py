@@ -420,3 +420,16 @@ def smote_synthetic(spark, sf):
     from tally.operators import resample
     out = resample.smote(smote_train(spark, sf), "y", "id", SMOTE_FEATURES, k=5, seed=42)
     return r6(out.where("synthetic").select("base_id", "nn_id", "gap", *SMOTE_FEATURES))
+
+
+@register("write_read_splits", "S7", views=("risk_raw",), oracle=f"""
+WITH {SPLIT_SQL}
+SELECT y, COUNT(*) AS n, ROUND(AVG(amount), 6) AS mean_amount FROM sp WHERE split = 'test' GROUP BY y""")
+def write_read_splits(spark, sf):
+    """Persist the split partitioned by split (shared folder), read back only the test partition."""
+    import uuid
+    from tally.sources import sinks
+    path = f"{checkpoint_dir(spark).rstrip('/')}/splits/{uuid.uuid4().hex}"
+    sinks.write_splits(split_risk(spark, sf).select("id", "y", "amount", "split"), path)
+    test = sinks.read_split(spark, path, "test")  # partition pruning: only split=test files are read
+    return r6(test.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount")))
