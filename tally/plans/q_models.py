@@ -140,3 +140,21 @@ def model_gbt_early_stopping(spark, sf):
     st = stop.first()
     return r6(hist.withColumns({"stop_iteration": F.lit(st["stop_epoch"]).cast("int"),
                                 "best_iteration": F.lit(st["best_epoch"]).cast("int")}))
+
+
+@register("run_experiment", "S11 L1 L10")
+def run_experiment(spark, sf):
+    """Config-driven dispatch (experiment_type 'ml'): fit the configured model, report test metrics."""
+    from tally.sources import sinks
+
+    def ml(exp, out_path):
+        train, test, feats = prepared_splits(spark, sf)
+        est = {"logistic": lambda: MD.logistic(exp.params.get("C", 1.0),
+                                               train.agg(F.sum("weight")).first()[0]),
+               "random_forest": lambda: MD.random_forest(exp.params.get("n_estimators", 20),
+                                                         exp.params.get("max_depth", 8))}[exp.model]()
+        scored = MD.predict(MD.fit(est, train, feats), test)
+        return r6(C.report(scored, [], 0.5, ">")).withColumn("experiment", F.lit(exp.key))
+
+    exp = sinks.Experiment("ml", data="risk", model="logistic", params={"C": 1.0})
+    return sinks.run(exp, {"ml": ml}, checkpoint_dir(spark))

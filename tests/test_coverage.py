@@ -1,4 +1,4 @@
-"""Every SURVEY §2 operator id maps to a registered catalogue query (S11, the runner, is a function)."""
+"""Every SURVEY §2 operator id maps to a registered catalogue query."""
 
 import re
 
@@ -6,7 +6,7 @@ from tally.plans import catalogue  # noqa: F401
 from tally.plans.registry import ORACLE, QUERIES, SURVEY_ID
 
 EXPECTED = (
-    [f"S{i}" for i in range(1, 11)] + [f"P{i}" for i in range(1, 11)] + [f"E{i}" for i in range(1, 21)]
+    [f"S{i}" for i in range(1, 12)] + [f"P{i}" for i in range(1, 11)] + [f"E{i}" for i in range(1, 21)]
     + [f"J{i}" for i in range(1, 7)] + [f"U{i}" for i in range(1, 4)] + [f"A{i}" for i in range(1, 14)]
     + [f"R{i}" for i in range(1, 6)] + [f"W{i}" for i in range(1, 6)] + [f"M{i}" for i in range(1, 22)]
     + [f"L{i}" for i in range(1, 11)]
