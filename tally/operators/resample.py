@@ -14,8 +14,6 @@ Work grows with the band populations, not with the square of the class size.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

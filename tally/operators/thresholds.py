@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.functions.exprs import safe_div
 from tally.operators import metrics as M
 
 
