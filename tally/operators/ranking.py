@@ -22,13 +22,15 @@ def ranked(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str,
     """Add ``rank_col`` = 1-based position of each row inside ``group_cols`` ordered by (key, tie)."""
     b = "_bucket"
     x = df.withColumn(b, hash_bucket(key_col, bits))
-    sizes = x.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias("_bn"))
+    # one exchange on (group, bucket): the in-bucket row number, and — from the same
+    # partitioning, without another pass over the input — each bucket's size
+    w_in = Window.partitionBy(*group_cols, b).orderBy(key_col, tie_col)
+    x = x.withColumn("_rn", F.row_number().over(w_in))
+    sizes = x.groupBy(*group_cols, b).agg(F.max("_rn").alias("_bn"))
     w_off = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group_cols, b, F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(*group_cols, b).orderBy(key_col, tie_col)
     return (
-        x.withColumn("_rn", F.row_number().over(w_in))
-        .join(offsets, [*group_cols, b])
+        x.join(offsets, [*group_cols, b])
         .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))
         .drop(b, "_rn", "_off")
     )
