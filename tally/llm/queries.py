@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe
-from tally.llm.common import table
+from tally.llm import bpe, langid, token_counts
+from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +27,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by a model that learns from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(docs.doc_id, 4) == 2
+    model = langid.fit(docs.filter(~held))
+    return langid.predict(docs, model).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole texts and whether they exceed the context length."""
+    out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
