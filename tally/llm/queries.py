@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, langid, token_counts
+from tally.llm import bpe, langid, neardup, token_counts
 from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of whole texts and whether they exceed the context length."""
     out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@register
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of whole documents on 2-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
