@@ -70,7 +70,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POW = [np.ones(1, _U), np.ones(1, _U)]
 
@@ -94,8 +94,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and each text's offsets into them."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and each text's offsets into them.
+
+    ``second`` gives another, independent hash.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
@@ -108,7 +111,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends[:-1] &= ~inside[1:] | edge[1:n]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends)
     p, inv = _powers(n)
-    run = _BYTE[low]
+    run = _BYTE[int(second)][low]
     run *= p
     run = np.cumsum(run, dtype=_U)
     h = run[e] - np.where(s > 0, run[s - 1], _U(0))

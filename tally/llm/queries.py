@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, langid, neardup, token_counts
+from tally.llm import bpe, ctw, langid, neardup, token_counts
 from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of whole documents on 2-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+@register
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree weighting scores and unigram base of whole documents."""
+    docs = table(spark, sf_dir, "documents")
+    out = ctw.lm_scores(docs, remainder(docs.doc_id, 5) == 1)
+    return out.withColumn("bits_per_byte", -F.col("score") * F.lit(3.321928094887362) / (F.col("n_bytes") + 1))
