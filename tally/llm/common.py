@@ -70,6 +70,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+SYMBOLS = _SPACE.copy()  # every ASCII character but letters and digits
+SYMBOLS[:128] = [not chr(c).isalnum() for c in range(128)]
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POW = [np.ones(1, _U), np.ones(1, _U)]
@@ -94,16 +96,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, second: bool = False, breaks: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and each text's offsets into them.
 
-    ``second`` gives another, independent hash.
+    ``second`` gives another, independent hash; ``breaks`` marks the bytes between words;
+    with ``prefixes`` the result has a column for the word and one for each prefix of so many bytes.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, _U), np.zeros(len(offsets), np.int64)
     low = _LOWER[data]
-    inside = ~_SPACE[low]
+    inside = ~breaks[low]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins, ends = inside.copy(), inside.copy()
@@ -114,10 +117,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, second: bool = False) ->
     run = _BYTE[int(second)][low]
     run *= p
     run = np.cumsum(run, dtype=_U)
-    h = run[e] - np.where(s > 0, run[s - 1], _U(0))
-    h *= inv[s]
-    h += (e - s).astype(_U)
-    return mix(h), np.searchsorted(s, offsets).astype(np.int64)
+    before = np.where(s > 0, run[s - 1], _U(0))
+    inv = inv[s]
+
+    def hashed(last: np.ndarray, tag: int) -> np.ndarray:
+        return mix((run[last] - before) * inv + (last - s).astype(_U) + _U(tag << 32))
+
+    h = hashed(e, 0)
+    if prefixes:
+        h = np.stack([h, *(hashed(np.minimum(e, s + k - 1), k) for k in prefixes)], 1)
+    return h, np.searchsorted(s, offsets).astype(np.int64)
 
 
 def shingle_hashes(words: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

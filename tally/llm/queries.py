@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, ctw, langid, neardup, token_counts
+from tally.llm import bpe, ctw, langid, neardup, token_counts, toxicity
 from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,12 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = ctw.lm_scores(docs, remainder(docs.doc_id, 5) == 1)
     return out.withColumn("bits_per_byte", -F.col("score") * F.lit(3.321928094887362) / (F.col("n_bytes") + 1))
+
+
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by a classifier that learns from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(*toxicity.sample(docs, labels.filter(remainder(labels.doc_id, 5) != 0)))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
