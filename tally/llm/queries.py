@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, ctw, langid, neardup, token_counts, toxicity
+from tally.llm import ann, bpe, ctw, decontaminate, langid, linededup, neardup, token_counts, toxicity
 from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every row whose id is divisible by 20."""
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of documents with benchmark items."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the multi-line chunks that occur before in the table."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
