@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, ctw, decontaminate, langid, linededup, neardup, token_counts, toxicity
+from tally.llm import ann, bpe, ctw, decontaminate, langid, licenses, linededup, neardup, token_counts, toxicity
 from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the multi-line chunks that occur before in the table."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every whole text."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
