@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -50,3 +50,14 @@ def nan_to_zero(x: Column) -> Column:
 
 def round6(c: ColumnOrName) -> Column:
     return F.round(col(c), 6)
+
+
+def keyed_values(table: DataFrame, keys: list[str], values: list[str]) -> dict[str, Column]:
+    """Columns that look up ``values`` of a small table by ``keys``, as one map-valued scalar subquery.
+
+    For tables with a row per class, model, fold or split: rows are not shuffled on
+    such a key, which a few values would carry. NULL keys match NULL keys.
+    """
+    entry = F.struct(F.struct(*keys).alias("k"), F.struct(*values).alias("v"))
+    found = table.select(F.map_from_entries(F.collect_list(entry))).scalar()
+    return {v: found[F.struct(*keys)].getField(v) for v in values}

@@ -2,8 +2,8 @@
 
 Fitted state is data, not driver objects: label codes are a (column, value,
 code) table, scaling parameters a one-row aggregate consumed as scalar
-subqueries. One-hot level lists are the only thing brought to the driver,
-because they decide the output schema.
+subqueries. Level lists reach the driver only for wide one-hot output, where
+they decide the schema.
 """
 
 from __future__ import annotations
@@ -17,57 +17,33 @@ from tally.operators.ordered import dense_index
 
 
 # ---------------------------------------------------------------- E1 / E2
-# Level lists at most this long are brought to the driver (they become literal
-# maps in the plan); longer ones are encoded with the distributed dense index.
-MAX_DRIVER_LEVELS = 50_000
-
-
-def fit_levels(fit: DataFrame, columns: list[str], max_levels: int = MAX_DRIVER_LEVELS) -> dict[str, list | None]:
-    """Sorted distinct non-NULL levels per column, fetched in one pass when small.
-
-    First a fixed-memory HyperLogLog pass checks every column's cardinality;
-    only columns under the bound are collected (one aggregate for all of them).
-    Columns over the bound map to None (use the distributed path).
-    """
-    if not columns:
-        return {}
-    est = fit.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if est[c] <= max_levels // 2]
-    out: dict[str, list | None] = {c: None for c in columns}
-    if small:
-        row = fit.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in small]).first()
-        for c in small:
-            out[c] = list(row[c])
-    return out
-
-
-def _lookup(column: str, lvls: list) -> Column:
-    """Code of ``column`` from a literal level list (NULL when unseen)."""
-    if not lvls:
-        return F.lit(None).cast("int")
-    m = F.create_map(*[x for i, v in enumerate(lvls) for x in (F.lit(v), F.lit(i))])
-    return m[F.col(column)]
+# Wide one-hot output has a column per level: a plan can't hold more than this many.
+MAX_COLUMNS = 10_000
 
 
 def label_codes(fit: DataFrame, column: str) -> DataFrame:
-    """E1 fit, distributed form: sorted distinct non-NULL values -> code 0..k-1 (value, code)."""
+    """E1 fit: sorted distinct non-NULL values -> code 0..k-1 (value, code), built distributed."""
     return dense_index(fit.select(column), [], column, "code")
 
 
 def label_encode(df: DataFrame, columns: list[str], fit: DataFrame | None = None,
-                 suffix: str = "", max_levels: int = MAX_DRIVER_LEVELS) -> DataFrame:
+                 suffix: str = "", strict: bool = True) -> DataFrame:
     """Replace each categorical by its code (position in sorted order, fitted on ``fit``).
 
-    A value absent from the fitted levels gets a NULL code (the reference raises).
+    The code table is joined back, whatever its size. A value absent from the
+    fitted levels fails the query as in the reference; with ``strict=False`` it
+    gets a NULL code. NULL stays NULL.
     """
-    fit = fit if fit is not None else df
-    lv = fit_levels(fit, columns, max_levels)
-    out = df.withColumns({c + suffix: _lookup(c, lv[c]) for c in columns if lv[c] is not None})
+    out = df
     for c in columns:
-        if lv[c] is None:
-            codes = label_codes(fit, c).withColumnRenamed("code", f"_code_{c}")
-            out = out.join(codes, c, "left").withColumn(c + suffix, F.col(f"_code_{c}")).drop(f"_code_{c}")
-    return out
+        codes = label_codes(fit if fit is not None else df, c).withColumnRenamed("code", f"_code_{c}")
+        out = out.join(codes, c, "left")
+        code = F.col(f"_code_{c}")
+        if strict and fit is not None:
+            unseen = F.raise_error(F.concat(F.lit(f"{c}: value not among the fitted levels: "), F.col(c).cast("string")))
+            code = F.when(F.col(c).isNotNull() & code.isNull(), unseen.cast("int")).otherwise(code)
+        out = out.withColumn(c + suffix, code).drop(f"_code_{c}")
+    return out if suffix else out.select(*df.columns)
 
 
 def code_table(fit: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,12 +70,31 @@ def cardinalities(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E3 / E4 / E5
-def levels(fit: DataFrame, column: str, max_levels: int = MAX_DRIVER_LEVELS) -> list:
-    """Sorted distinct non-NULL levels (brought to the driver: they define output columns)."""
-    lv = fit_levels(fit, [column], max_levels)[column]
-    if lv is None:
-        raise ValueError(f"{column}: too many levels for one-hot columns")
-    return lv
+def levels(fit: DataFrame, column: str) -> list:
+    """Sorted distinct non-NULL levels (brought to the driver: they name the output columns).
+
+    Raises if there are more levels than columns a plan can hold; ``one_hot_vector``
+    has no such limit.
+    """
+    got = fit.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect()
+    if len(got) > MAX_COLUMNS:
+        raise ValueError(f"{column}: more than {MAX_COLUMNS} levels; use one_hot_vector")
+    return sorted(r[0] for r in got)
+
+
+def one_hot_vector(df: DataFrame, column: str, fit: DataFrame | None = None, drop_first: bool = False,
+                   out: str | None = None) -> DataFrame:
+    """E3/E5 without a limit on levels: struct (size, index) of the one position that is 1.
+
+    ``size`` counts the fitted levels (less one with ``drop_first``). NULL, unseen
+    values and the dropped first level have a NULL index: all zeros.
+    """
+    fit = fit if fit is not None else df
+    codes = label_codes(fit, column).withColumnRenamed("code", "_code")
+    size = codes.select(F.coalesce(F.max("_code") + 1, F.lit(0))).scalar() - int(drop_first)
+    index = F.col("_code") - int(drop_first)
+    hot = F.struct(F.greatest(size, F.lit(0)).cast("int").alias("size"), F.when(index >= 0, index).cast("int").alias("index"))
+    return df.join(codes, column, "left").withColumn(out or f"{column}_hot", hot).drop("_code")
 
 
 def one_hot(df: DataFrame, column: str, lvls: list | None = None, drop_first: bool = False,
@@ -169,9 +164,7 @@ class Prep:
     _params: Column | None = None
 
     def fit(self, df: DataFrame) -> "Prep":
-        self._levels = fit_levels(df, self.categorical)
-        if any(v is None for v in self._levels.values()):
-            raise ValueError("categorical column with too many levels for one-hot columns")
+        self._levels = {c: levels(df, c) for c in self.categorical}
         self._params = scaling_params(df, self.numeric) if self.numeric else None
         return self
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.functions.exprs import keyed_values
 from tally.operators.ordered import exact_quantiles
 
 
@@ -58,7 +59,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, keys: list[str] | None
     x = df.select(*keys, F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     stats = [F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n")]
     if keys:
-        x = x.join(x.groupBy(*keys).agg(*stats), keys)
+        x = x.withColumns(keyed_values(x.groupBy(*keys).agg(*stats), keys, ["lo", "hi", "n"]))
     else:
         st = x.agg(*stats).select(F.struct("lo", "hi", "n")).scalar()
         x = x.withColumns({f: st.getField(f) for f in ("lo", "hi", "n")})
@@ -78,24 +79,23 @@ def histogram(df: DataFrame, column: str, bins: int = 30, keys: list[str] | None
 def kde(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     """Exact Gaussian KDE (Scott bandwidth: std * n^(-1/5)) on ``points`` grid points over [min, max].
 
-    Each row emits its contribution to every grid point inside the scan and the
-    contributions are summed by partial aggregation — the row x grid product
-    is streamed through, never shuffled.
+    One aggregate with a sum per grid point: each row adds its contributions in
+    place, nothing is multiplied or shuffled but the partial sums.
     """
     x = df.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     st = x.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n"),
                F.stddev_samp("_v").alias("sd")).select(F.struct("lo", "hi", "n", "sd")).scalar()
-    x = x.withColumns({f"_{f}": st.getField(f) for f in ("lo", "hi", "n", "sd")})
-    lo, hi, n, sd = (F.col(f"_{f}") for f in ("lo", "hi", "n", "sd"))
-    bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
-    i = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    g = x.select("_v", "_lo", "_hi", "_n", "_sd", i.alias("i"))
-    at = lo + F.col("i") * (hi - lo) / F.lit(float(points - 1))
-    u = (at - F.col("_v")) / bw
-    contrib = F.exp(-0.5 * u * u)
-    out = g.groupBy("i", "_lo", "_hi", "_n", "_sd").agg(F.sum(contrib).alias("_s"))
-    return out.select("i", at.alias("x"),
-                      (F.col("_s") / (n.cast("double") * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    lo, hi, n, sd = (st.getField(f) for f in ("lo", "hi", "n", "sd"))
+    x = x.withColumns({"_lo": lo, "_step": (hi - lo) / F.lit(float(points - 1)),
+                       "_bw": sd * F.pow(n.cast("double"), F.lit(-0.2))})
+    at = lambda i: F.col("_lo") + F.lit(i) * F.col("_step")
+    sums = [F.sum(F.exp(-0.5 * F.pow((at(i) - F.col("_v")) / F.col("_bw"), F.lit(2.0)))).alias(f"s{i}")
+            for i in range(points)]
+    g = x.agg(F.first("_lo").alias("_lo"), F.first("_step").alias("_step"), F.first("_bw").alias("_bw"),
+              F.count(F.lit(1)).alias("_n"), *sums)
+    out = g.select("_lo", "_step", "_bw", "_n", F.posexplode(F.array(*[f"s{i}" for i in range(points)])).alias("i", "_s"))
+    return out.where(F.col("_n") > 0).select("i", (F.col("_lo") + F.col("i") * F.col("_step")).alias("x"),
+                      (F.col("_s") / (F.col("_n").cast("double") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 def boxplot_stats(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -104,7 +104,8 @@ def boxplot_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     qw = q.groupBy(by).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
                              for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     qw = qw.withColumn("iqr", F.col("q3") - F.col("q1"))
-    x = df.select(by, F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull()).join(qw, by)
+    x = df.select(by, F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    x = x.withColumns(keyed_values(qw, [by], ["q1", "median", "q3", "iqr"]))
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)

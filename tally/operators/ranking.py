@@ -18,8 +18,11 @@ from tally.functions.exprs import hash_bucket
 
 
 def ranked(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str,
-           rank_col: str = "rank", bits: int = 16) -> DataFrame:
-    """Add ``rank_col`` = 1-based position of each row inside ``group_cols`` ordered by (key, tie)."""
+           rank_col: str = "rank", bits: int = 16, size_col: str | None = None) -> DataFrame:
+    """Add ``rank_col`` = 1-based position of each row inside ``group_cols`` ordered by (key, tie).
+
+    ``size_col`` also adds the group's size, from the bucket sizes at hand.
+    """
     b = "_bucket"
     x = df.withColumn(b, hash_bucket(key_col, bits))
     # one exchange on (group, bucket): the in-bucket row number, and — from the same
@@ -28,7 +31,8 @@ def ranked(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str,
     x = x.withColumn("_rn", F.row_number().over(w_in))
     sizes = x.groupBy(*group_cols, b).agg(F.max("_rn").alias("_bn"))
     w_off = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group_cols, b, F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"))
+    extra = [F.sum("_bn").over(Window.partitionBy(*group_cols)).alias(size_col)] if size_col else []
+    offsets = sizes.select(*group_cols, b, F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"), *extra)
     return (
         x.join(offsets, [*group_cols, b])
         .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))

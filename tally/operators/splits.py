@@ -9,12 +9,10 @@ inside a class come from ``ranking.ranked`` so no class is ranked in one task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.functions.exprs import seeded_key
+from tally.functions.exprs import keyed_values, seeded_key
 from tally.operators.ranking import ranked
 
 
@@ -45,6 +43,14 @@ def _held_out_quota(counts: DataFrame, grp: list[str], label: str, cnt: str, fra
     return kept.withColumn(out, F.col(cnt) - F.col("_keep")).drop("_keep")
 
 
+def _by_quota(ranked_rows: DataFrame, quotas: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The first ``_q_test`` ranks of a class are test, the next ``_q_val`` val, the rest train."""
+    q = keyed_values(quotas, keys, ["_q_test", "_q_val"])
+    split = (F.when(F.col("_rank") <= q["_q_test"], "test")
+             .when(F.col("_rank") <= q["_q_test"] + q["_q_val"], "val").otherwise("train"))
+    return ranked_rows.withColumn(out, split).drop("_key", "_rank")
+
+
 def stratified_split(df: DataFrame, label: str = "y", id_col: str = "id", test: float = 0.2,
                      val: float = 0.1, seed: int = 42, val_of_rest: bool = False,
                      out: str = "split", group_cols: list[str] | None = None) -> DataFrame:
@@ -61,10 +67,7 @@ def stratified_split(df: DataFrame, label: str = "y", id_col: str = "id", test:
     c = _held_out_quota(c, grp, label, "_rest", v, "_q_val").select(*grp, label, "_q_test", "_q_val")
     x = df.withColumn("_key", seeded_key(seed, id_col))
     x = ranked(x, [*grp, label], "_key", id_col, "_rank")
-    x = x.join(c, [*grp, label])
-    split = (F.when(F.col("_rank") <= F.col("_q_test"), "test")
-             .when(F.col("_rank") <= F.col("_q_test") + F.col("_q_val"), "val").otherwise("train"))
-    return x.withColumn(out, split).drop("_key", "_rank", "_q_test", "_q_val")
+    return _by_quota(x, c, [*grp, label], out)
 
 
 def per_class_split(df: DataFrame, class_col: str, id_col: str, test: float = 0.2, val: float = 0.1,
@@ -75,10 +78,7 @@ def per_class_split(df: DataFrame, class_col: str, id_col: str, test: float = 0.
     c = c.withColumn("_q_test", F.ceil(F.lit(float(test)) * F.col("_c").cast("double")))
     c = c.withColumn("_q_val", F.ceil(F.lit(float(v)) * (F.col("_c") - F.col("_q_test")).cast("double")))
     x = ranked(df.withColumn("_key", seeded_key(seed, id_col)), [class_col], "_key", id_col, "_rank")
-    x = x.join(c.drop("_c"), class_col)
-    split = (F.when(F.col("_rank") <= F.col("_q_test"), "test")
-             .when(F.col("_rank") <= F.col("_q_test") + F.col("_q_val"), "val").otherwise("train"))
-    return x.withColumn(out, split).drop("_key", "_rank", "_q_test", "_q_val")
+    return _by_quota(x, c, [class_col], out)
 
 
 def stratified_shuffle_split(df: DataFrame, label: str, id_col: str, held_out: float = 0.3,
@@ -89,10 +89,9 @@ def stratified_shuffle_split(df: DataFrame, label: str, id_col: str, held_out: f
     c = c.withColumn("_temp", F.col("_q_temp"))
     c = _held_out_quota(c, [], label, "_temp", second, "_q_test").select(label, "_q_temp", "_q_test")
     x = ranked(df.withColumn("_key", seeded_key(seed, id_col)), [label], "_key", id_col, "_rank")
-    x = x.join(c, label)
-    split = (F.when(F.col("_rank") <= F.col("_q_test"), "test")
-             .when(F.col("_rank") <= F.col("_q_temp"), "val").otherwise("train"))
-    return x.withColumn(out, split).drop("_key", "_rank", "_q_temp", "_q_test")
+    q = keyed_values(c, [label], ["_q_temp", "_q_test"])
+    split = F.when(F.col("_rank") <= q["_q_test"], "test").when(F.col("_rank") <= q["_q_temp"], "val").otherwise("train")
+    return x.withColumn(out, split).drop("_key", "_rank")
 
 
 def stratified_kfold(df: DataFrame, label: str = "y", id_col: str = "id", k: int = 10, seed: int = 42,
@@ -109,9 +108,8 @@ def stratified_kfold(df: DataFrame, label: str = "y", id_col: str = "id", k: int
     off = c.select(*grp, label, F.coalesce(F.sum("_c").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
                                            F.lit(0)).alias("_off"))
     x = ranked(df.withColumn("_key", seeded_key(seed, id_col)), [*grp, label], "_key", id_col, "_rank")
-    x = x.join(off, [*grp, label])
-    return x.withColumn(out, ((F.col("_off") + F.col("_rank") - 1) % k).cast("int")) \
-        .drop("_key", "_rank", "_off")
+    first = keyed_values(off, [*grp, label], ["_off"])["_off"]
+    return x.withColumn(out, ((first + F.col("_rank") - 1) % k).cast("int")).drop("_key", "_rank")
 
 
 def repeated_kfold(df: DataFrame, label: str = "y", id_col: str = "id", k: int = 10, repeats: int = 3,
@@ -124,30 +122,17 @@ def repeated_kfold(df: DataFrame, label: str = "y", id_col: str = "id", k: int =
     wg = Window.partitionBy("repeat").orderBy(label)
     off = c.select("repeat", label, F.coalesce(F.sum("_c").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
                                                F.lit(0)).alias("_off"))
-    x = ranked(x, ["repeat", label], "_key", id_col, "_rank").join(off, ["repeat", label])
-    return x.withColumn("fold", ((F.col("_off") + F.col("_rank") - 1) % k).cast("int")) \
-        .drop("_seed", "_key", "_rank", "_off")
+    x = ranked(x, ["repeat", label], "_key", id_col, "_rank")
+    first = keyed_values(off, ["repeat", label], ["_off"])["_off"]
+    return x.withColumn("fold", ((first + F.col("_rank") - 1) % k).cast("int")).drop("_seed", "_key", "_rank")
 
 
 def holdout_from_fold(df: DataFrame, id_col: str = "id", frac: float = 0.8, seed: int = 42,
                       group_cols: list[str] | None = None, out: str = "part") -> DataFrame:
     """Unstratified int(frac * n) rows -> 'fit', the rest -> 'holdout' (per group)."""
     grp = list(group_cols or [])
-    n = df.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")) if grp else None
     x = df.withColumn("_key", seeded_key(seed, id_col)).withColumn("_one", F.lit(1))
-    x = ranked(x, [*grp, "_one"], "_key", id_col, "_rank")
-    if grp:
-        x = x.join(n, grp)
-        cut = F.floor(F.lit(float(frac)) * F.col("_n").cast("double"))
-    else:
-        cut = F.floor(F.lit(float(frac)) * df.select(F.count(F.lit(1))).scalar().cast("double"))
+    x = ranked(x, [*grp, "_one"], "_key", id_col, "_rank", size_col="_n")
+    cut = F.floor(F.lit(float(frac)) * F.col("_n").cast("double"))
     return x.withColumn(out, F.when(F.col("_rank") <= cut, "fit").otherwise("holdout")) \
         .drop("_key", "_rank", "_one", "_n")
-
-
-def split_sizes(n: int, test: float = 0.2, val: float = 0.1) -> tuple[int, int, int]:
-    """Driver-side check of the size arithmetic (train, val, test)."""
-    n_test = math.ceil(test * n)
-    rest = n - n_test
-    n_val = math.ceil(val / (1 - test) * rest)
-    return rest - n_val, n_val, n_test

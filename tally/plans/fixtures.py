@@ -84,7 +84,7 @@ def slices(t: Tables) -> DataFrame:
         F.col("ts").alias("z_pos"),
         F.when(F.col("value") > 245, 1).otherwise(0).alias("label"),
         F.when(F.col("value") > 490, F.lit(1.0)).otherwise(F.col("value") / 490).alias("slice_score"),
-        (F.col("event_id") % 500).alias("vec_id"),
+        (F.col("event_id") % t.embeddings.select(F.count(F.lit(1))).scalar()).alias("vec_id"),
     )
 
 

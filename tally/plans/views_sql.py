@@ -30,7 +30,7 @@ SELECT event_type AS run, CAST(EXTRACT(DAY FROM ts) AS INT) AS epoch, ROUND(AVG(
 FROM events GROUP BY event_type, CAST(EXTRACT(DAY FROM ts) AS INT)""",
     "slices": """
 SELECT user_id AS study_id, event_id AS slice_id, ts AS z_pos, CASE WHEN value > 245 THEN 1 ELSE 0 END AS label,
-       CASE WHEN value > 490 THEN CAST(1 AS DOUBLE) ELSE value / 490 END AS slice_score, event_id % 500 AS vec_id
+       CASE WHEN value > 490 THEN CAST(1 AS DOUBLE) ELSE value / 490 END AS slice_score, event_id % (SELECT COUNT(*) FROM embeddings) AS vec_id
 FROM events""",
     "trials": """
 SELECT p_brand AS model, CAST(p_partkey AS INT) AS run,

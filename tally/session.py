@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,11 +17,8 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    cpus = os.environ.get("BENCH_CPUS") or "8"
-    parts = str(partitions or int(cpus))
     b = (
-        b.config("spark.sql.shuffle.partitions", parts)
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -29,8 +26,9 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
     )
+    if partitions:  # otherwise the cluster's own setting holds
+        b = b.config("spark.sql.shuffle.partitions", str(partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -39,13 +37,17 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set (a shared, fault-tolerant path). Only
-    when it is unset — local runs and tests — do we create a scratch folder.
+    Executors read what others wrote there, so it has to be set unless the master
+    is local; only local runs and tests get a scratch folder of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:  # already set (Spark appends its own sub-folder; never set it again)
         return current
-    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tally-ckpt-")
+    d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="tally-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()
