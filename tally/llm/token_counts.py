@@ -101,8 +101,9 @@ def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 docs = []
                 for key, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
                     uses = Counter(pretokens(text or ""))
-                    for w in uses.keys() - words.keys():
-                        words[w] = len(words)
+                    for w in uses:
+                        if w not in words:
+                            words[w] = len(words)
                     slots = np.fromiter(map(words.__getitem__, uses), np.uint32, len(uses))
                     order = np.argsort(slots)
                     counts = np.fromiter(uses.values(), np.uint32, len(uses))[order]
