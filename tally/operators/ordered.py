@@ -109,45 +109,29 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
                     parts: int | None = None, with_stats: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas default) per group.
 
-    Returns (groups..., p, q). Only the ranges that hold a target rank are ranked
-    row by row; everything else is counted. ``with_stats`` adds count, mean,
-    sample std, min and max per group, computed from the same materialised
-    frame (no second scan of the input).
+    Returns (groups..., p, q). Rows collapse to counts of distinct values first, so
+    that a tied value is one row whatever its share; running counts over the
+    distinct values then show which value holds each target rank. ``with_stats``
+    adds count, mean, sample std, min and max per group (one more partial aggregate).
     """
     out_groups = list(group_cols)
     df, group_cols, _ = _with_group(df, group_cols)
     x = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    x = range_split(x, group_cols, "_v", parts)
-    gp = [*group_cols, PID]
-    summ = x.groupBy(*gp).agg(F.count(F.lit(1)).alias("_cnt"))
-    wg = _wgroup(group_cols)
-    summ = summ.select(
-        *gp, "_cnt",
-        F.coalesce(F.sum("_cnt").over(wg.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_off"),
-        F.sum("_cnt").over(wg).alias("_n"),
-    )
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    # one row per group: its first range (offset 0) carries the group total
-    tg = (summ.where(F.col("_off") == 0).select(*group_cols, "_n")
-          .select(*group_cols, "_n", F.explode(ps).alias("p"))
-          .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
-          .withColumn("_r", F.explode(F.array_distinct(F.array(
-              (F.floor("_h") + 1).cast("long"), (F.ceil("_h") + 1).cast("long"))))))
-    need = tg.join(summ.drop("_n"), group_cols) \
-        .where((F.col("_r") > F.col("_off")) & (F.col("_r") <= F.col("_off") + F.col("_cnt")))
-    hot = need.select(*gp, "_off").distinct()
-    w_in = Window.partitionBy(*gp).orderBy("_v")
-    ranked = x.join(hot, gp).withColumn("_rank", F.col("_off") + F.row_number().over(w_in))
-    hit = ranked.join(need.select(*gp, "p", "_h", F.col("_r").alias("_rank"), "_r"), [*gp, "_rank"])
-    lo = F.min_by("_v", "_r")
-    hi = F.max_by("_v", "_r")
+    counts = x.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    r = running_counts(counts, group_cols, "_v", ["_c"], parts)
+    targets = []
+    for p in probs:
+        h = (F.col("tot__c") - 1).cast("double") * F.lit(float(p))
+        targets += [F.struct(F.lit(float(p)).alias("p"), h.alias("_h"), (f(h) + 1).cast("long").alias("_r"))
+                    for f in (F.floor, F.ceil)]
+    held = F.filter(F.array(*targets), lambda t: (t["_r"] <= F.col("cum__c")) & (t["_r"] > F.col("cum__c") - F.col("_c")))
+    hit = r.select(*group_cols, "_v", F.explode(F.array_distinct(held)).alias("_t")).select(*group_cols, "_v", "_t.*")
     frac = F.col("_h") - F.floor("_h")
-    q = (hit.groupBy(*group_cols, "p", "_h").agg(lo.alias("_lo"), hi.alias("_hi"))
+    q = (hit.groupBy(*group_cols, "p", "_h").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
          .select(*group_cols, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("q")))
     if with_stats:
         st = x.groupBy(*group_cols).agg(
             F.count(F.lit(1)).alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
             F.min("_v").alias("min"), F.max("_v").alias("max"))
-        q = q.join(st, group_cols)
+        q = q.join(st, group_cols)  # a row per group on either side
     return q.select(*out_groups, *[c for c in q.columns if c not in group_cols])

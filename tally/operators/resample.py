@@ -1,69 +1,154 @@
 """Minority oversampling (E9, SMOTE) and its exact nearest-neighbour join.
 
 Exact k-NN without an all-pairs product:
-1. project every point on a fixed unit vector u (|u.p - u.q| <= ||p - q||);
-2. rank points along u (exact distributed rank) and measure each point against
-   its 2k rank-neighbours: the k-th smallest of those distances, r, bounds its
-   true k-th neighbour distance;
-3. every true neighbour therefore lies in the projection band [u.p - r, u.p + r]:
-   points are bucketed in projection cells, each point visits only the cells its
-   band overlaps, candidates are verified with exact distances, and the k
-   nearest (ties by id) are kept.
-Work grows with the band populations, not with the square of the class size.
+1. equal vectors become one vector with its k + 1 smallest ids, which is all an
+   answer can hold; a bounded sample of the vectors is cut into cells by median
+   splits (a k-d tree of fixed cell size, whatever the number of points);
+2. the k-th distance inside a vector's own cell bounds its true k-th distance;
+3. the vector visits just the cells whose box (of the points in it) is not
+   farther than that, distances there are exact, and the k nearest (ties by id)
+   are kept.
+A vector meets the points of its own and of neighbouring cells, so that the work
+per point stays level as points are added (in few dimensions; in many, boxes
+overlap and more cells have to be visited).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.exprs import seeded_key
 from tally.operators.ordered import running_counts
 
+SAMPLE = 20_000  # vectors that decide the cuts
+CELL = 1024  # points of a cell, about
+MAX_CELLS = SAMPLE // 4
+
+
+def _cuts(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and value of the cut of every inner node of a complete k-d tree (axis -1: nothing to cut)."""
+    depth = max(0, (cells - 1).bit_length())
+    axis, value = np.full(1 << depth, -1), np.zeros(1 << depth)
+    parts = {1: sample}
+    for node in range(1, 1 << depth):
+        x = parts.pop(node)
+        if len(x) > 1:
+            spread = x.max(0) - x.min(0)
+            j = int(spread.argmax())
+            if spread[j] > 0:
+                axis[node] = j
+                value[node] = np.partition(x[:, j], len(x) // 2)[len(x) // 2]
+        right = x[:, axis[node]] >= value[node] if axis[node] >= 0 else np.zeros(len(x), bool)
+        parts[2 * node], parts[2 * node + 1] = x[~right], x[right]
+    return axis, value
+
+
+def _cells(x: np.ndarray, axis: np.ndarray, value: np.ndarray) -> np.ndarray:
+    node = np.ones(len(x), np.int64)
+    for _ in range(len(axis).bit_length() - 1):
+        a = axis[node]
+        node = 2 * node + ((a >= 0) & (x[np.arange(len(x)), a] >= value[node]))
+    return node
+
+
+def _dist2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x and y, summed in feature order."""
+    out = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        out += np.square(x[:, j, None] - y[None, :, j])
+    return out
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64).reshape(-1, dim)
+
+
+def knn(points: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, seed: int = 0, stats: dict | None = None) -> DataFrame:
+    """Exact k nearest neighbours (excluding self) -> (id, nn_rank 1..k, nn_id, dist2).
+
+    Raises if there are not more than k points, as the library does. ``stats`` gets
+    the number of cells and of visits of vectors to cells.
+    """
+    from tally.session import checkpoint_dir
+
+    checkpoint_dir(points.sparkSession)
+    p = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    p = p.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 equals 0.0
+    n = p.count()
+    if n <= k:
+        raise ValueError(f"{n} points are too few for {k} neighbours")
+    ids = p.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r").checkpoint(eager=True)
+    nodes = ids.groupBy("v").agg(F.min("id").alias("node"))
+    some = nodes.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(SAMPLE).toArrow()
+    axis, value = _cuts(_matrix(some["v"], dim), int(min(MAX_CELLS, n // CELL + 1)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("cell", pa.array(_cells(_matrix(batch.column("v"), dim), axis, value)))
+
+    id_type = points.schema[id_col].dataType.simpleString()
+    placed = nodes.select("node", "v").mapInArrow(place, f"node {id_type}, v array<double>, cell long").checkpoint(eager=True)
+
+    def reach(t: pa.Table) -> pa.Table:
+        x = _matrix(t["v"], dim)
+        far = np.full(len(x), np.inf)
+        if len(x) > k:
+            for i in range(0, len(x), 256):
+                far[i:i + 256] = np.partition(_dist2(x[i:i + 256], x), k, axis=1)[:, k]
+        return t.append_column("far", pa.array(far))
+
+    known = placed.groupBy("cell").applyInArrow(reach, f"node {id_type}, v array<double>, cell long, far double").checkpoint(eager=True)
+    edges = [f(F.col("v")[j]).alias(f"{c}{j}") for j in range(dim) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    boxes = placed.groupBy("cell").agg(*edges).toArrow()  # at most MAX_CELLS x 2 rows
+    cells = boxes["cell"].to_numpy()
+    lo, hi = (np.stack([boxes[f"{c}{j}"].to_numpy() for j in range(dim)], 1) for c in ("lo", "hi"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                x = _matrix(part.column("v"), dim)
+                gap = np.zeros((len(x), len(cells)))
+                for j in range(dim):
+                    gap += np.square(np.maximum(0, np.maximum(lo[None, :, j] - x[:, j, None], x[:, j, None] - hi[None, :, j])))
+                row, at = np.nonzero(gap <= part.column("far").to_numpy()[:, None] * (1 + 1e-12))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(cells[at])], ["node", "v", "cell"])
+
+    visits = known.select("node", "v", "cell", "far").mapInArrow(visit, f"node {id_type}, v array<double>, cell long")
+    if stats is not None:
+        stats.update(cells=len(cells), visits=visits.count(), points=placed.count())
+
+    def nearest(asks: pa.Table, there: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if asks.num_rows and there.num_rows:
+            x, y = _matrix(asks["v"], dim), _matrix(there["v"], dim)
+            mine, names = np.array(asks["node"].to_pylist()), np.array(there["node"].to_pylist())
+            for i in range(0, len(x), 256):
+                d = _dist2(x[i:i + 256], y)
+                for r in range(len(d)):
+                    at = np.flatnonzero(d[r] <= np.partition(d[r], min(k, len(y) - 1))[min(k, len(y) - 1)])
+                    at = at[names[at] != mine[i + r]]
+                    at = at[np.lexsort((names[at], d[r][at]))][:k]
+                    out[0] += [mine[i + r]] * len(at)
+                    out[1] += names[at].tolist()
+                    out[2] += d[r][at].tolist()
+        return pa.table({"node": pa.array(out[0], asks["node"].type), "other": pa.array(out[1], asks["node"].type), "dist2": pa.array(out[2], pa.float64())})
 
-def _direction(dim: int, seed: int) -> list[float]:
-    v = np.random.default_rng(seed).normal(size=dim)
-    v = np.abs(v) + 0.1
-    return list(v / np.linalg.norm(v))
-
-
-def _sqdist(a: str, b: str, dim: int) -> Column:
-    """Squared Euclidean distance, summed in feature order."""
-    acc = F.lit(0.0)
-    for j in range(dim):
-        d = F.col(a)[j] - F.col(b)[j]
-        acc = acc + d * d
-    return acc
-
-
-def knn(points: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, seed: int = 0) -> DataFrame:
-    """Exact k nearest neighbours (excluding self) -> (id, nn_rank 1..k, nn_id, dist2)."""
-    u = _direction(dim, seed)
-    proj = sum((F.col(vec)[j] * F.lit(u[j]) for j in range(dim)), F.lit(0.0))
-    p = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).withColumn("proj", proj)
-    # 1-2. rank along u; distances to the 2k rank-neighbours bound the k-th neighbour distance.
-    r = running_counts(p.withColumn("_ord", F.struct("proj", "id")).withColumn("_one", F.lit(1)), [], "_ord", ["_one"])
-    r = r.select("id", "v", "proj", F.col("cum__one").alias("rk"))
-    offs = F.explode(F.array(*[F.lit(o) for o in range(-2 * k, 2 * k + 1) if o != 0]))
-    near = r.select("id", "v", "rk", offs.alias("_o")).select("id", "v", (F.col("rk") + F.col("_o")).alias("rk")) \
-        .join(r.select(F.col("rk"), F.col("v").alias("w")), "rk")
-    near = near.withColumn("d2", _sqdist("v", "w", dim))
-    wk = Window.partitionBy("id").orderBy("d2")
-    bound = near.withColumn("_n", F.row_number().over(wk)).where(F.col("_n") == k) \
-        .select("id", F.sqrt("d2").alias("radius"))
-    # 3. band join over projection cells. Any positive cell width keeps the join exact; the
-    #    approximate median radius (fixed-memory sketch, a scalar subquery) keeps bands ~3 cells wide.
-    width = bound.select(F.greatest(F.percentile_approx("radius", 0.5, 1000), F.lit(1e-12))).scalar()
-    pts = r.join(bound, "id").withColumn("cell", F.floor(F.col("proj") / width).cast("long"))
-    visits = pts.select("id", "v", "proj", "radius", F.explode(F.sequence(
-        F.floor((F.col("proj") - F.col("radius")) / width).cast("long"),
-        F.floor((F.col("proj") + F.col("radius")) / width).cast("long"))).alias("cell"))
-    cand = visits.join(pts.select(F.col("id").alias("nn_id"), F.col("v").alias("w"), F.col("proj").alias("q"),
-                                  "cell"), "cell")
-    cand = cand.where((F.col("nn_id") != F.col("id")) & (F.abs(F.col("q") - F.col("proj")) <= F.col("radius")))
-    cand = cand.withColumn("dist2", _sqdist("v", "w", dim))
-    top = cand.withColumn("nn_rank", F.row_number().over(Window.partitionBy("id").orderBy("dist2", "nn_id")))
+    found = visits.groupBy("cell").cogroup(placed.select(F.col("cell").alias("of"), "node", "v").groupBy("of")).applyInArrow(
+        nearest, f"node {id_type}, other {id_type}, dist2 double")
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("dist2", "other"))).where(F.col("_r") <= k)
+    own = nodes.select("node", F.col("node").alias("other"), F.lit(0.0).alias("dist2"))  # copies of the vector itself
+    members = ids.join(nodes, "v").select(F.col("node").alias("other"), F.col("id").alias("nn_id"))
+    near = best.select("node", "other", "dist2").unionByName(own).join(members, "other").select("node", "nn_id", "dist2")
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("dist2", "nn_id"))).where(F.col("_r") <= k + 1)
+    asked = p.join(nodes, "v").select("id", "node")
+    top = asked.join(near, "node").where(F.col("nn_id") != F.col("id"))
+    top = top.withColumn("nn_rank", F.row_number().over(Window.partitionBy("id").orderBy("dist2", "nn_id")))
     return top.where(F.col("nn_rank") <= k).select("id", "nn_rank", "nn_id", "dist2")
 
 

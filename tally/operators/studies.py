@@ -100,14 +100,13 @@ def stack_volume(ordered: DataFrame, planes: DataFrame, dim: int, on_missing: st
     x = ordered.select(study, "pos", "vec_id").join(planes, "vec_id", "left") \
         .withColumn("readable", F.coalesce(F.col("readable"), F.lit(False)))
     zero = F.array_repeat(F.lit(0.0), dim)
+    readable = F.col("readable")
+    per = x.groupBy(study).agg(F.min(F.when(readable, F.col("pos"))).alias("_first"), F.min("pos").alias("_any"))
     if on_missing == "zero":
-        first = x.where("readable").groupBy(study).agg(F.min("pos").alias("_first"))
-        kept = x.join(first, study).where(F.col("pos") >= F.col("_first")) \
-            .select(study, (F.col("pos") - F.col("_first")).alias("z"),
-                    F.when(F.col("readable"), F.col("plane")).otherwise(zero).alias("plane"))
-    else:
-        r = running_counts(x.where("readable").withColumn("_one", F.lit(1)), [study], "pos", ["_one"])
-        kept = r.select(study, (F.col("cum__one") - 1).cast("int").alias("z"), "plane")
-    empty = x.select(study).distinct().join(kept.select(study).distinct(), study, "left_anti") \
-        .select(study, F.lit(0).alias("z"), zero.alias("plane"))
-    return kept.withColumn("z", F.col("z").cast("int")).unionByName(empty)
+        # the row of a study without readable slices that is kept stands for its one zero plane
+        y = x.join(per, study).where((F.col("pos") >= F.col("_first")) | (F.col("_first").isNull() & (F.col("pos") == F.col("_any"))))
+        return y.select(study, F.coalesce(F.col("pos") - F.col("_first"), F.lit(0)).cast("int").alias("z"),
+                        F.when(readable, F.col("plane")).otherwise(zero).alias("plane"))
+    r = running_counts(x.where("readable").withColumn("_one", F.lit(1)), [study], "pos", ["_one"])
+    kept = r.select(study, (F.col("cum__one") - 1).cast("int").alias("z"), "plane")
+    return kept.unionByName(per.where("_first IS NULL").select(study, F.lit(0).alias("z"), zero.alias("plane")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.operators import metrics as M
@@ -61,21 +61,18 @@ def sweep_counts(df: DataFrame, keys: list[str], g: Grid, op: str = ">", score:
     s = df.where(F.col(score).isNotNull()).groupBy(*keys, slot(F.col(score), g, op).alias("_slot")).agg(
         F.sum(F.col(label).cast("long")).alias("_pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("_neg"))
-    grid_rows = s.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0), F.lit(g.count - 1))).alias("_at"))
-    # slot k contributes to grid points i < k: place it at k - 0.5 and sum from the top.
-    u = s.select(*keys, (F.col("_slot") - 0.5).alias("_at"), "_pos", "_neg", F.lit(False).alias("_grid")) \
-        .unionByName(grid_rows.select(*keys, F.col("_at").cast("double").alias("_at"), F.lit(0).cast("long")
-                                      .alias("_pos"), F.lit(0).cast("long").alias("_neg"),
-                                      F.lit(True).alias("_grid")))
-    wk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    wdesc = wk.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumns({"tp": F.sum("_pos").over(wdesc), "fp": F.sum("_neg").over(wdesc),
-                       "P": F.sum("_pos").over(wk), "N": F.sum("_neg").over(wk)})
-    i = F.col("_at").cast("int")
-    return u.where("_grid").select(
-        *keys, i.alias("i"), g.at(i).alias("threshold"), "tp", "fp",
-        (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"))
+    # at most count + 1 slots per group: a bounded array, from which every grid point is read
+    at = s.groupBy(*keys).agg(F.collect_list(F.struct("_slot", "_pos", "_neg")).alias("_slots"))
+    at = at.select(*keys, "_slots", F.explode(F.sequence(F.lit(0), F.lit(g.count - 1))).alias("i"))
+
+    def total(field: str, above: bool) -> Column:
+        """Sum over the slots that clear grid point i (slot > i), or over those that do not."""
+        keep = F.filter("_slots", lambda x: (x["_slot"] > F.col("i")) == F.lit(above))
+        return F.aggregate(keep, F.lit(0).cast("long"), lambda acc, x: acc + x[field])
+
+    return at.select(
+        *keys, F.col("i").cast("int").alias("i"), g.at(F.col("i")).alias("threshold"), total("_pos", True).alias("tp"),
+        total("_neg", True).alias("fp"), total("_pos", False).alias("fn"), total("_neg", False).alias("tn"))
 
 
 def threshold_sweep(df: DataFrame, keys: list[str], g: Grid = GRID_A, op: str = ">", score: str = "score",
@@ -136,8 +133,11 @@ def evaluate_thresholds(df: DataFrame, thresholds: DataFrame, keys: list[str], s
     number of) named thresholds multiplies distinct scores, not rows.
     """
     g = M.score_groups(df, keys, score, label)
-    j = g.join(thresholds, keys) if keys else g.join(thresholds.withColumn("_k", F.lit(0)),
-                                                      F.lit(0) == F.col("_k"))
+    if keys:
+        j = g.join(thresholds, keys)
+    else:  # the named thresholds as one array value
+        named = thresholds.select(F.collect_list(F.struct("name", "threshold"))).scalar()
+        j = g.withColumn("_t", F.explode(named)).select("*", "_t.name", "_t.threshold").drop("_t")
     pred = (F.col("score") > F.col("threshold")) if op == ">" else (F.col("score") >= F.col("threshold"))
     cm = j.groupBy(*keys, "name", "threshold").agg(
         F.sum(F.when(pred, F.col("pos")).otherwise(0)).alias("tp"),

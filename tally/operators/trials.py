@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.functions.exprs import keyed_values
 from tally.operators.clean import format_pct, format_share
 from tally.operators.ordered import running_counts
 
@@ -12,11 +13,11 @@ from tally.operators.ordered import running_counts
 def param_mode(trials: DataFrame, model: str, run: str, params: list[str]) -> DataFrame:
     """A10: most frequent parameter combination per model; ties go to the combination seen first."""
     c = trials.groupBy(model, *params).agg(F.count(F.lit(1)).alias("count"), F.min(run).alias("_first"))
-    w = Window.partitionBy(model)
-    c = c.withColumn("n", F.sum("count").over(w))
-    top = c.withColumn("_rk", F.row_number().over(w.orderBy(F.desc("count"), F.asc("_first")))).where("_rk = 1")
-    return top.select(model, *params, "count", "n", format_share("count", "n").alias("share"),
-                      format_pct(F.col("count") * 100.0 / F.col("n")).alias("pct"))
+    top = c.groupBy(model).agg(F.max_by(F.struct(*params, "count"), F.struct("count", -F.col("_first"))).alias("_top"),
+                               F.sum("count").alias("n"))
+    return top.select(model, *[f"_top.{p}" for p in params], F.col("_top.count").alias("count"), "n",
+                      format_share("_top.count", "n").alias("share"),
+                      format_pct(F.col("_top.count") * 100.0 / F.col("n")).alias("pct"))
 
 
 def param_value_distribution(trials: DataFrame, model: str, params: list[str]) -> DataFrame:
@@ -24,7 +25,8 @@ def param_value_distribution(trials: DataFrame, model: str, params: list[str]) -
     kv = trials.select(model, F.explode(F.create_map(*[x for p in params for x in (F.lit(p), F.col(p).cast("string"))]))
                        .alias("param", "value"))
     c = kv.groupBy(model, "param", "value").agg(F.count(F.lit(1)).alias("count"))
-    return c.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(model, "param")))
+    total = keyed_values(c.groupBy(model, "param").agg(F.sum("count").alias("total")), [model, "param"], ["total"])
+    return c.withColumn("share", F.col("count") / total["total"])
 
 
 def trial_log(trials: DataFrame, model: str, run: str, folds: int = 10) -> DataFrame:

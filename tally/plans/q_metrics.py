@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tally.functions.exprs import sigmoid, softplus
+from tally.functions.exprs import keyed_values, sigmoid, softplus
 from tally.operators import compare as C
 from tally.operators import metrics as M
 from tally.operators import thresholds as TH
@@ -329,8 +329,7 @@ FROM l GROUP BY model""")
 def sigmoid_bce(spark, sf):
     s = S(spark, sf).withColumn("z", F.col("score") * 10 - 5)
     pw = F.sqrt(F.sum(1 - F.col("y")).cast("double") / F.sum("y"))
-    w = s.groupBy("model").agg(pw.alias("pw"))
-    x = s.join(w, "model")
+    x = s.withColumns(keyed_values(s.groupBy("model").agg(pw.alias("pw")), ["model"], ["pw"]))
     y = F.col("y")
     wbce = F.col("pw") * y * softplus(-F.col("z")) + (1 - y) * softplus(F.col("z"))
     bce = y * softplus(-F.col("z")) + (1 - y) * softplus(F.col("z"))

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tally.operators import clean, encode, ordered, splits
+from tally.operators import clean, encode, ordered, resample, splits
 
 
 def test_exclude_keeps_null(spark):
@@ -113,8 +114,6 @@ def test_clean_vector(spark):
 
 
 def test_knn_exact_vs_brute_force(spark):
-    import numpy as np
-    from tally.operators import resample
     rng = np.random.default_rng(5)
     X = np.round(rng.normal(size=(120, 3)), 1)  # coarse values: many distance ties
     df = spark.createDataFrame([(i, [float(x) for x in X[i]]) for i in range(120)], "id long, v array<double>")
@@ -125,8 +124,6 @@ def test_knn_exact_vs_brute_force(spark):
 
 
 def test_smote_parity_and_segments(spark):
-    import numpy as np
-    from tally.operators import resample
     rows = [(i, float(i % 13), float((i * 7) % 5), 1 if i % 5 == 0 else 0) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, a double, b double, y int")
     out = resample.smote(df, "y", "id", ["a", "b"], k=3, seed=1)
@@ -139,3 +136,65 @@ def test_smote_parity_and_segments(spark):
         assert (r.base_id, r.nn_id) in nn and 0 <= r.gap < 1
         want = pts[r.base_id] + r.gap * (pts[r.nn_id] - pts[r.base_id])
         assert np.allclose([r.a, r.b], want)
+
+
+def _points(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+
+
+def test_knn_with_duplicates_outlier_and_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(resample, "CELL", 16)
+    rng = np.random.default_rng(5)
+    cases = [np.vstack([np.ones((12, 2)), rng.normal(size=(8, 2))]),  # most points equal
+             np.vstack([rng.normal(size=(60, 3)), [[1e9, 0, 0]]]), rng.normal(size=(150, 20)),
+             np.vstack([rng.integers(0, 2, (80, 4)).astype(float)])]
+    for x in cases:
+        got = {(r.id, r.nn_rank): (r.nn_id, r.dist2) for r in resample.knn(_points(spark, x), "id", "v", x.shape[1], k=5).collect()}
+        for i, v in enumerate(x):
+            d = np.zeros(len(x))
+            for j in range(x.shape[1]):
+                d += np.square(x[:, j] - v[j])
+            want = sorted((d[j], j) for j in range(len(x)) if j != i)[:5]
+            assert [got[i, r] for r in range(1, 6)] == [(j, dj) for dj, j in want]
+
+
+def test_knn_visits_stay_level(spark, monkeypatch):
+    """Four times the points: about as many candidates for each."""
+    monkeypatch.setattr(resample, "CELL", 64)
+    rng = np.random.default_rng(6)
+    for dim in (2, 6):
+        per = []
+        for n in (1500, 6000):
+            stats = {}
+            resample.knn(_points(spark, rng.normal(size=(n, dim))), "id", "v", dim, k=5, stats=stats)
+            per.append(stats["visits"] / n * n / stats["cells"])
+        assert per[1] < 2 * per[0], (dim, per)
+
+
+def test_too_few_points_raise(spark):
+    with pytest.raises(ValueError, match="3 points are too few for 5"):
+        resample.knn(_points(spark, np.eye(3)), "id", "v", 3, k=5)
+
+
+def test_unseen_level_raises(spark):
+    fit, df = spark.createDataFrame([("a",), ("b",)], "c string"), spark.createDataFrame([("a",), ("z",), (None,)], "c string")
+    with pytest.raises(Exception, match="value not among the fitted levels: z"):
+        encode.label_encode(df, ["c"], fit).collect()
+    assert sorted((r.c for r in encode.label_encode(df, ["c"], fit, strict=False).collect()), key=str) == [0, None, None]
+
+
+def test_one_hot_vector(spark):
+    fit = spark.createDataFrame([("a",), ("b",), ("c",)], "c string")
+    df = spark.createDataFrame([("a",), ("c",), ("z",), (None,)], "c string")
+    got = sorted(((r.c, r.c_hot.size, r.c_hot.index) for r in encode.one_hot_vector(df, "c", fit, drop_first=True).collect()), key=str)
+    assert got == sorted([("a", 2, None), ("c", 2, 1), ("z", 2, None), (None, 2, None)], key=str)
+
+
+def test_quantiles_of_a_tied_value(spark):
+    """80 % of the rows hold one value: one row after counting."""
+    x = np.concatenate([np.zeros(8000), np.random.default_rng(7).normal(size=2000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    from tally.operators.ordered import exact_quantiles
+    got = {r.p: r.q for r in exact_quantiles(df, [], "x", [0.05, 0.5, 0.93]).collect()}
+    for p in got:
+        assert abs(got[p] - np.quantile(x, p)) < 1e-12
