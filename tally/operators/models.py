@@ -6,6 +6,8 @@ evaluation operators apply unchanged. Class weights are a weight column (E10).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.operators.encode import with_weight
+from tally.operators.vectors import polynomial_features, rbf_features
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -35,16 +38,41 @@ def logistic(C: float = 1.0, weight_sum: float | None = None, label: str = "y",
 GBT_PARAM_MAP = {
     "n_estimators": "maxIter", "iterations": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth",
     "depth": "maxDepth", "subsample": "subsamplingRate", "bagging_fraction": "subsamplingRate",
-    "min_child_samples": "minInstancesPerNode", "gamma": "minInfoGain",
+    "min_child_samples": "minInstancesPerNode", "gamma": "minInfoGain", "colsample_bytree": "featureSubsetStrategy",
+    "feature_fraction": "featureSubsetStrategy",
 }
+# Names that change nothing here: the loss is logistic, every tree is subsampled, seeds are arguments.
+NO_EFFECT = {"objective", "eval_metric", "loss_function", "use_label_encoder", "random_state", "n_jobs", "verbose",
+             "bagging_freq", "class_weight", "probability", "scale_pos_weight"}
+# Regularisers without a counterpart: accepted, and reported by ``unmapped``.
+NO_COUNTERPART = {"l2_leaf_reg", "reg_alpha", "reg_lambda"}
+MAX_DEPTH = 30  # of a tree, an engine limit
+
+
+def unmapped(params: dict) -> list[str]:
+    """Parameters that were given but have no counterpart in the engine."""
+    return sorted(NO_COUNTERPART & params.keys())
+
+
+def _check(params: dict, known: set[str], what: str) -> None:
+    unknown = sorted(params.keys() - known - NO_EFFECT)
+    if unknown:
+        raise ValueError(f"unknown {what} parameters: {', '.join(unknown)}")
 
 
 def gbt(params: dict, label: str = "y", weight: str | None = "weight", validation: str | None = None,
         seed: int = 42) -> GBTClassifier:
-    """L2: one gradient-boosted-trees operator for the three boosters; unknown keys are ignored."""
+    """L2: one gradient-boosted-trees operator for the three boosters; unknown keys raise.
+
+    ``num_leaves`` bounds the depth (a tree of that many leaves is at least that deep);
+    ``unmapped`` lists what has no counterpart.
+    """
+    _check(params, GBT_PARAM_MAP.keys() | NO_COUNTERPART | {"num_leaves"}, "booster")
     kw = {GBT_PARAM_MAP[k]: v for k, v in params.items() if k in GBT_PARAM_MAP}
-    if "colsample_bytree" in params or "feature_fraction" in params:
-        kw["featureSubsetStrategy"] = str(params.get("colsample_bytree", params.get("feature_fraction")))
+    if "featureSubsetStrategy" in kw:
+        kw["featureSubsetStrategy"] = str(float(kw["featureSubsetStrategy"])) if kw["featureSubsetStrategy"] < 1 else "all"
+    if "num_leaves" in params:
+        kw["maxDepth"] = min(kw.get("maxDepth", MAX_DEPTH), (int(params["num_leaves"]) - 1).bit_length())
     g = GBTClassifier(labelCol=label, seed=seed, **kw)
     if weight:
         g = g.setWeightCol(weight)
@@ -53,20 +81,87 @@ def gbt(params: dict, label: str = "y", weight: str | None = "weight", validatio
     return g
 
 
-def random_forest(n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1,
-                  label: str = "y", weight: str | None = "weight", seed: int = 42) -> RandomForestClassifier:
-    """L3: max_depth None -> 30 (Spark's limit)."""
-    rf = RandomForestClassifier(labelCol=label, numTrees=n_estimators, maxDepth=max_depth or 30,
-                                minInstancesPerNode=min_samples_leaf, featureSubsetStrategy="sqrt", seed=seed)
+def random_forest(n_estimators: int = 100, max_depth: int = 8, min_samples_leaf: int = 1, min_samples_split: int = 2,
+                  max_features: str = "sqrt", label: str = "y", weight: str | None = "weight",
+                  seed: int = 42) -> RandomForestClassifier:
+    """L3. No depth limit is beyond the engine: depth has to be given, at most 30.
+
+    A node of ``min_samples_split`` rows is split into children of at least half as many.
+    """
+    if max_depth is None or max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth must be at most {MAX_DEPTH} (trees without a limit are not available)")
+    rf = RandomForestClassifier(labelCol=label, numTrees=n_estimators, maxDepth=max_depth,
+                                minInstancesPerNode=max(min_samples_leaf, (min_samples_split + 1) // 2),
+                                featureSubsetStrategy=max_features, seed=seed)
     return rf.setWeightCol(weight) if weight else rf
 
 
 def linear_svm(C: float = 1.0, n: int | None = None, label: str = "y", weight: str | None = "weight") -> LinearSVC:
-    """L4: linear SVM (kernels via E20 features); regParam = 1 / (C * n)."""
+    """L4: linear SVM (kernels via ``kernel_map``); regParam = 1 / (C * n)."""
     svc = LinearSVC(labelCol=label, regParam=1.0 / (C * n) if n else 0.0, maxIter=100)
     return svc.setWeightCol(weight) if weight else svc
 
 
+def svm_gamma(train: DataFrame, cols: list[str], gamma: float | str = "scale") -> float:
+    """Kernel width: 'scale' is 1 / (features * variance of all values), 'auto' 1 / features."""
+    if gamma == "auto":
+        return 1.0 / len(cols)
+    if gamma == "scale":
+        values = train.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v"))
+        var = values.agg(F.var_pop("v")).first()[0]
+        return 1.0 / (len(cols) * var) if var else 1.0
+    return float(gamma)
+
+
+def kernel_map(df: DataFrame, cols: list[str], kernel: str, gamma: float, n_features: int = 256, degree: int = 3,
+               seed: int = 0, prefix: str = "_k") -> tuple[DataFrame, list[str]]:
+    """Columns on which a linear SVM acts like one with the kernel.
+
+    'rbf': random Fourier features; 'poly': monomials up to ``degree`` of
+    sqrt(gamma) x; 'linear': the columns themselves.
+    """
+    if kernel == "linear":
+        return df, list(cols)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    if kernel == "rbf":
+        z, n = rbf_features(x, len(cols), n_features, gamma, seed), n_features
+    elif kernel == "poly":
+        z = polynomial_features(F.transform(x, lambda v: v * F.lit(float(gamma) ** 0.5)), len(cols), degree)
+        n = math.comb(len(cols) + degree, degree) - 1
+    else:
+        raise ValueError(f"unknown kernel {kernel!r}")
+    out = df.withColumn(prefix, z)
+    names = [f"{prefix}{i}" for i in range(n)]
+    return out.select("*", *[F.col(prefix)[i].alias(c) for i, c in enumerate(names)]).drop(prefix), names
+
+
+def estimator(kind: str, params: dict, train: DataFrame, cols: list[str], label: str = "y", seed: int = 42):
+    """An estimator by model kind and the reference's parameter names.
+
+    Returns (estimator, feature columns, prepare), where ``prepare`` adds the feature
+    columns to a frame (kernel features for an SVM, otherwise nothing).
+    """
+    same = lambda df: df
+    if kind in ("xgboost", "lightgbm", "catboost"):
+        return gbt(params, label, seed=seed), cols, same
+    if kind == "random_forest":
+        _check(params, {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features"}, kind)
+        return random_forest(**{k: v for k, v in params.items() if k not in NO_EFFECT}, label=label, seed=seed), cols, same
+    if kind == "logistic":
+        _check(params, {"C", "max_iter"}, kind)
+        return logistic(params.get("C", 1.0), train.agg(F.sum("weight")).first()[0], label, max_iter=params.get("max_iter", 100)), cols, same
+    if kind == "svm":
+        _check(params, {"C", "kernel", "gamma", "degree"}, kind)
+        kernel = params.get("kernel", "rbf")
+        gamma = svm_gamma(train, cols, params.get("gamma", "scale")) if kernel != "linear" else 0.0
+        make = lambda df: kernel_map(df, cols, kernel, gamma, degree=params.get("degree", 3))
+        return linear_svm(params.get("C", 1.0), train.count(), label), make(train.limit(0))[1], lambda df: make(df)[0]
+    if kind == "mlp":
+        _check(params, {"hidden", "epochs"}, kind)
+        return mlp([len(cols), *params.get("hidden", [128, 64]), 2], label, seed, params.get("epochs", 100)), cols, same
+    raise ValueError(f"unknown model {kind!r}")
+
+
 def mlp(layers: list[int], label: str = "y", seed: int = 42, max_iter: int = 200) -> MultilayerPerceptronClassifier:
     """MLP head; layers = [input dim, hidden..., 2]."""
     return MultilayerPerceptronClassifier(labelCol=label, layers=layers, seed=seed, maxIter=max_iter)

@@ -10,6 +10,7 @@ from tally.operators import search
 from tally.operators.encode import Prep
 from tally.plans.q_metrics import r6
 from tally.plans.q_prep import split_risk
+from tally.plans.presets import PRESETS
 from tally.plans.registry import register
 from tally.session import checkpoint_dir
 
@@ -52,19 +53,32 @@ def model_gbt(spark, sf):
                                                  "subsample": 0.8}))
 
 
+def _preset(spark, sf, name):
+    """Fit a named preset on train and score the test split."""
+    kind, params, _ = PRESETS[name]
+    train, test, feats = prepared_splits(spark, sf)
+    est, cols, prepare = MD.estimator(kind, params, train, feats)
+    return MD.fit(est, prepare(train), cols), prepare(train), prepare(test), cols, est
+
+
 @register("model_random_forest", "L3 L7")
 def model_random_forest(spark, sf):
-    return _scored(spark, sf, lambda tr: MD.random_forest(n_estimators=30, max_depth=8, min_samples_leaf=10))
+    model, _, test, _, _ = _preset(spark, sf, "rf_tuned")
+    return r6(MD.predict(model, test))
 
 
 @register("model_svm_platt", "L4 L5 L7")
 def model_svm_platt(spark, sf):
-    train, test, feats = prepared_splits(spark, sf)
-    n = train.count()
-    svm = MD.linear_svm(C=1.0, n=n)
-    model = MD.fit(svm, train, feats)
-    cal = MD.platt_out_of_fold(svm, train, feats, k=3)
-    return r6(MD.calibrate(cal, MD.predict(model, test)))
+    """The linear preset with out-of-fold Platt calibration (five folds, as the library)."""
+    model, train, test, cols, est = _preset(spark, sf, "svm_tuned")
+    return r6(MD.calibrate(MD.platt_out_of_fold(est, train, cols, k=5), MD.predict(model, test)))
+
+
+@register("model_svm_rbf", "L4 E20 L7")
+def model_svm_rbf(spark, sf):
+    """The RBF preset: random Fourier features of width gamma = 'auto'."""
+    model, _, test, _, _ = _preset(spark, sf, "svm_baseline")
+    return r6(MD.predict(model, test))
 
 
 @register("model_mlp", "L6 L7 E9")
@@ -73,8 +87,9 @@ def model_mlp(spark, sf):
     from tally.operators import resample
     train, test, feats = prepared_splits(spark, sf)
     balanced = resample.smote(train, "y", "id", feats, k=5, seed=42).select(*feats, "y").checkpoint(eager=True)
-    model = MD.fit(MD.mlp([len(feats), 16, 8, 2], max_iter=50), balanced, feats)
-    return r6(MD.predict(model, test))
+    kind, params, _ = PRESETS["tabular_deep_baseline"]
+    est, _, _ = MD.estimator(kind, params, balanced, feats)
+    return r6(MD.predict(MD.fit(est, balanced, feats), test))
 
 
 @register("model_comparison", "L1 L2 L3 M16 W4")
@@ -151,7 +166,7 @@ def run_experiment(spark, sf):
         train, test, feats = prepared_splits(spark, sf)
         est = {"logistic": lambda: MD.logistic(exp.params.get("C", 1.0),
                                                train.agg(F.sum("weight")).first()[0]),
-               "random_forest": lambda: MD.random_forest(exp.params.get("n_estimators", 20),
+               "random_forest": lambda: MD.random_forest(exp.params.get("n_estimators", 100),
                                                          exp.params.get("max_depth", 8))}[exp.model]()
         scored = MD.predict(MD.fit(est, train, feats), test)
         return r6(C.report(scored, [], 0.5, ">")).withColumn("experiment", F.lit(exp.key))

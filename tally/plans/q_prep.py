@@ -239,12 +239,11 @@ WITH {SPLIT_SQL},
 st AS (SELECT AVG(amount) AS ma, STDDEV_POP(amount) AS sa, AVG(balance) AS mb, STDDEV_POP(balance) AS sb FROM sp WHERE split = 'train')
 SELECT id, split, ROUND((amount - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END, 6) AS amount,
        ROUND((balance - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END, 6) AS balance,
-       ROUND((flag_a - 0.0) / 1, 6) AS flag_const
+       CAST(0 AS DOUBLE) AS flag_const
 FROM sp, st""")
 def standard_scale(spark, sf):
-    s = split_risk(spark, sf).withColumn("flag_const", F.lit(0.0) + F.col("flag_a") * 0 + F.col("flag_a"))
-    s = s.withColumn("flag_const", F.col("flag_a").cast("double"))
-    out = encode.standard_scale(s, ["amount", "balance"], fit=s.where(F.col("split") == "train"))
+    s = split_risk(spark, sf).withColumn("flag_const", F.lit(3.0))  # no variance: divided by 1
+    out = encode.standard_scale(s, ["amount", "balance", "flag_const"], fit=s.where(F.col("split") == "train"))
     return r6(out.select("id", "split", "amount", "balance", "flag_const"))
 
 
