@@ -1,0 +1,160 @@
+"""Language ID, toxicity and language-model scores."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+from helpers import ROWS, SF, docs, fixture, texts
+
+from tally.llm import ctw, langid, queries, toxicity
+from tally.llm.common import remainder, word_hashes
+
+SF2 = "/root/testdata/sf0.01"
+
+
+def _crc(i, mod):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % mod
+
+
+def test_languages_of_held_out_documents(spark):
+    lang = {r[0]: r[2] for r in fixture("documents")}
+    got = queries.QUERIES["op2_langid"](spark, SF).collect()
+    assert len(got) == len(lang)
+    assert all(r.held_out == (_crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_language_edges(spark):
+    model = langid.fit(docs(spark, [(1, "der die das und"), (2, "the and of with"), (3, None)]))
+    assert model.langs == ["en"]
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.predict(docs(spark), model).collect()), key=str)
+    assert [(i, l) for i, l, _ in got] == sorted([(i, "en" if t and any(c.isalpha() for c in t) else "und") for i, t in ROWS], key=str)
+    assert langid.predict(docs(spark).limit(0), model).count() == 0
+    empty = langid.fit(docs(spark).limit(0))
+    assert {r.lang_pred for r in langid.predict(docs(spark), empty).collect()} == {"und"}
+
+
+def test_bayes_by_hand():
+    model = langid.Model(["a", "b"], np.log(np.array([[0.9, 0.1], [0.1, 0.9], [1, 1]])).astype(np.float32), np.log([0.5, 0.5]))
+    by_order, offs = langid.grams(["xy"], 2)
+    n = sum(np.bincount(g, minlength=3) for g in by_order)
+    odds = math.log(9) * (n[0] - n[1])
+    lang, p = model.score(["xy"])
+    assert lang == ["a" if odds >= 0 else "b"] and abs(p[0] - 1 / (1 + math.exp(-abs(odds)))) < 1e-5
+
+
+def test_toxicity_learns_and_is_calibrated(spark):
+    marks = {r[0]: r[2] for r in fixture_labels()}
+    got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, SF2).collect()}
+    held = [(r.score, marks[i]) for i, r in got.items() if i in marks and r.held_out]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert auc > 0.75 and all(r.predicted == int(r.score >= 0.5) and r.held_out == (_crc(i, 5) == 0) for i, r in got.items())
+
+
+def fixture_labels():
+    import duckdb
+    return duckdb.connect().sql(f"select * from '{SF2}/labels.parquet'").fetchall()
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (5, 0, 0), (6, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows, y, lang = toxicity.sample(docs(spark), labels)
+    assert sorted(y.tolist()) == [0.0, 1.0, 1.0, 1.0] and len(rows) == len(lang) == 4
+    model = toxicity.train(rows, y, lang)
+    out = toxicity.score(docs(spark), model).collect()
+    assert len(out) == len(ROWS) and all(0 <= r.score <= 1 for r in out)
+    assert toxicity.train(rows[:1], y[:1], lang[:1]) is None
+    assert {r.score for r in toxicity.score(docs(spark), None).collect()} == {0.0}
+    assert toxicity.score(docs(spark).limit(0), model).count() == 0
+
+
+def test_pooling_against_loops():
+    rng = np.random.default_rng(0)
+    m = toxicity.Model(rng.normal(size=(8, toxicity.DIM)), rng.normal(size=(toxicity.DIM, sum(toxicity.WIDTHS) * toxicity.FILTERS)), rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS), None, 0, None, None, 1)
+    x, offs = rng.normal(size=(7, toxicity.DIM)), np.array([0, 2, 2, 7])
+    got, _ = toxicity.convolve(m, x, offs)
+    for t, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
+        for i, w in enumerate(toxicity.WIDTHS):
+            kernel = m.filters[:, toxicity._taps(w)].reshape(toxicity.DIM, w, toxicity.FILTERS)
+            for f in range(toxicity.FILTERS):
+                z = [sum(x[s + k] @ kernel[:, k, f] for k in range(w) if s + k < b) + m.bias[i * toxicity.FILTERS + f] for s in range(a, b)]
+                assert abs(got[t, i * toxicity.FILTERS + f] - max([0, *z])) < 1e-9
+
+
+def _brute_ctw(train, text, depth):
+    """Context-tree weighting with dictionaries: log10 probability of a text after counting training texts."""
+    def events(t):
+        b = [255] * depth + list(t.encode().lower()) + [255]
+        for i in range(depth, len(b)):
+            for j in range(8):
+                yield (b[i] >> (8 - j)) | (1 << j), tuple(b[i - depth:i]), (b[i] >> (7 - j)) & 1
+    counts = Counter()
+    contexts = set()
+    for t in train:
+        for prefix, ctx, bit in events(t):
+            for d in range(depth + 1):
+                counts[prefix, ctx[depth - d:], bit] += 1
+                contexts.add((prefix, ctx[depth - d:]))
+    below = {}
+    for prefix, ctx in contexts:
+        if ctx:
+            below.setdefault((prefix, ctx[1:]), []).append((prefix, ctx))
+
+    def kt(node):
+        a, b = counts[(*node, 0)], counts[(*node, 1)]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    memo = {}
+
+    def weighted(node):
+        if node not in memo:
+            own = kt(node)
+            memo[node] = own if len(node[1]) == depth else np.logaddexp(own, sum(weighted(c) for c in below.get(node, []))) - math.log(2)
+        return memo[node]
+
+    total = 0.0
+    for prefix, ctx, bit in events(text):
+        p = None
+        for d in range(depth, -1, -1):
+            node = (prefix, ctx[depth - d:])
+            a, b = counts[(*node, 0)], counts[(*node, 1)]
+            own = ((b if bit else a) + 0.5) / (a + b + 1)
+            stop = math.exp(kt(node) - math.log(2) - weighted(node)) if d < depth else 1
+            p = own if p is None else stop * own + (1 - stop) * p
+        total += math.log10(p)
+    return total
+
+
+def test_ctw_against_dictionaries(spark):
+    rows = [(i, t) for i, t in texts()[:6] if t] + [(100, "Abra cadabra abra"), (101, ""), (102, None)]
+    rows = [(i, t[:150] if t else t) for i, t in rows]
+    frame = docs(spark, rows)
+    for depth in (2, 3):
+        got = {r.doc_id: r for r in ctw.lm_scores(frame, remainder(frame.doc_id, 5) == 1, depth=depth, block_bytes=300).collect()}
+        train = [t or "" for i, t in rows if _crc(i, 5) != 1]
+        for i, t in rows:
+            assert abs(got[i].score - _brute_ctw(train, t or "", depth)) < 1e-4 * (1 + len(t or "")), (depth, i)
+
+
+def test_base_and_edges(spark):
+    frame = docs(spark)
+    got = sorted(ctw.lm_scores(frame, remainder(frame.doc_id, 5) == 1, block_bytes=100_000).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+    toks = sorted(((str(i), [*(t or "").lower().encode().split(), b""], _crc(i, 5) == 1) for i, t in ROWS), key=lambda x: (x[0], len(x[1])))
+    c = Counter(w for _, ws, held in toks if not held for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r, (i, ws, held) in zip(got, toks, strict=True):
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        assert (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, held, len(ws), sum(c[w] > 0 for w in ws), n)
+        assert abs(r.base_score - base) <= 1e-9 * abs(base) and r.score < 0
+    assert ctw.lm_scores(frame.limit(0), remainder(frame.doc_id, 5) == 1).count() == 0
+
+
+def test_word_hashes_cut_words_as_specified():
+    parts = [b"A b\x0bB", b"", b" \t", "é x A".encode(), b"b"]
+    data, offs = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    h, wo = word_hashes(data, offs)
+    assert np.diff(wo).tolist() == [3, 0, 0, 2, 1]
+    assert h[1] == h[2] == h[5] and h[0] == h[4] and len(set(h.tolist())) == 3
