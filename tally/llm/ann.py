@@ -15,7 +15,8 @@ bucket; a group with more than ``group_rows`` vectors is split by vector and its
 visit every part, so that no task holds a hot bucket whole.
 
 Vectors that are null, empty, all zero or hold a null or non-finite component take no
-part, neither do null ids; vectors of different lengths are never compared. Several rows
+part, neither do null ids; vectors of different lengths are never compared (each length has
+tables of its own). Several rows
 of one id are separate rows. Ties go to the smaller id. Other input columns are ignored;
 an empty table gives an empty result; fewer than k candidates give fewer rows.
 """
@@ -119,7 +120,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 part = batch.filter(pa.array(dims == dim))
                 h = hashes(dim)
                 for t, places in enumerate(h.places(_matrix(part["vec"]), False)):
-                    yield pa.RecordBatch.from_pydict({**{c: part[c] for c in ("node", "vec", "least")}, "tab": pa.array(np.full(part.num_rows, t, np.int32)), "bucket": pa.array(h.buckets(np.floor(places), t))})
+                    yield pa.RecordBatch.from_pydict({**{c: part[c] for c in ("node", "vec", "least")}, "tab": pa.array(np.full(part.num_rows, dim * TABLES + t, np.int32)), "bucket": pa.array(h.buckets(np.floor(places), t))})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +132,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                     h = hashes(dim)
                     for t, places in enumerate(h.places(_matrix(part["vec"]), True)):
                         visit = h.visited(places, t)
-                        yield pa.RecordBatch.from_pydict({"node": part["node"], "vec": part["vec"], "tab": pa.array(np.full(len(visit), t, np.int32)), "visit": pa.array(list(visit), pa.list_(pa.int64()))})
+                        yield pa.RecordBatch.from_pydict({"node": part["node"], "vec": part["vec"], "tab": pa.array(np.full(len(visit), dim * TABLES + t, np.int32)), "visit": pa.array(list(visit), pa.list_(pa.int64()))})
 
     placed = nodes.select("node", "vec", "least", "dim").mapInArrow(index, "node string, vec binary, least long, tab int, bucket long")
     size = ids.select("node").distinct().count()

@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
 Candidate blocks are the stretches of a text around words that license notices use. A block
-is compressed alone and with each template as a raw zstandard dictionary; templates are
-ranked by how much smaller they make it. The best ones are confirmed, in that order, by the
+is compressed (in lower case) alone and with each template as a raw zstandard dictionary;
+templates are ranked by how much smaller they make it. The best ones are confirmed, in that order, by the
 exact differences in wording: a template matches if at most ``tolerance`` of its words are
 missing from the block in order. What stands before and after a match is scanned again, so
 that several notices in one block are all found.
@@ -79,12 +79,12 @@ class Scanner:
     def __init__(self, templates: dict[str, str], tolerance: float):
         self.tolerance = tolerance
         self.alone = zstandard.ZstdCompressor(level=9)
-        self.given = {k: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(_HOLE.sub("", t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in sorted(templates.items())}
+        self.given = {k: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(_HOLE.sub("", t).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in sorted(templates.items())}
         self.words = {k: [w for w, _, _ in words(_HOLE.sub(" ", t))] for k, t in templates.items()}
 
     def savings(self, block: str) -> list[tuple[str, int]]:
         """Templates by the bytes they save, most first."""
-        raw = block.encode("utf-8", "surrogatepass")
+        raw = block.lower().encode("utf-8", "surrogatepass")
         size = len(self.alone.compress(raw))
         return sorted(((k, size - len(c.compress(raw))) for k, c in self.given.items()), key=lambda x: -x[1])
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -200,7 +201,7 @@ def test_longest_overlap_against_all_stretches():
 def test_licenses(spark):
     t = licenses.TEMPLATES
     rows = [(1, "Intro.\n" + t["Apache-2.0"] + "\nMore."), (2, t["MIT-text"].replace("free of charge", "at no cost") + "\n" + t["GPL-3.0"]), (3, "Copyright laws are discussed here at length, and licenses too."),
-            (4, None), (5, ""), (None, t["ISC"].upper()), (6, "Copyright 2020 Jane Doe. All rights reserved."), (1, "no notice"), (7, "word " * 50_000 + t["CC-BY-NC-4.0"] + " word" * 50_000), (8, "# " + "\n# ".join(t["Apache-2.0-header"].split(" ")))]
+            (4, None), (5, ""), (None, t["ISC"].upper()), (6, "Copyright 2020 Jane Doe. All rights reserved."), (1, "no notice"), (7, "word " * 50_000 + t["CC-BY-NC-4.0"] + " word" * 50_000), (8, "# " + "\n# ".join(textwrap.wrap(t["Apache-2.0-header"], 60)))]
     got = sorted((str(r.doc_id), r.license, r.n_missing) for r in licenses.scan(docs(spark, rows)).collect())
     assert got == sorted([("1", "Apache-2.0", 0), ("2", "MIT-text", 3), ("2", "GPL-3.0", 0), ("None", "ISC", 0), ("6", "all-rights-reserved", 0), ("7", "CC-BY-NC-4.0", 0), ("8", "Apache-2.0-header", 0)])
     assert licenses.scan(docs(spark).limit(0)).count() == 0
