@@ -84,16 +84,16 @@ def levels(fit: DataFrame, column: str) -> list:
 
 def one_hot_vector(df: DataFrame, column: str, fit: DataFrame | None = None, drop_first: bool = False,
                    out: str | None = None) -> DataFrame:
-    """E3/E5 without a limit on levels: struct (size, index) of the one position that is 1.
+    """E3/E5 without a limit on levels: struct (size, position) of the one entry that is 1.
 
     ``size`` counts the fitted levels (less one with ``drop_first``). NULL, unseen
-    values and the dropped first level have a NULL index: all zeros.
+    values and the dropped first level have a NULL position: all zeros.
     """
     fit = fit if fit is not None else df
     codes = label_codes(fit, column).withColumnRenamed("code", "_code")
     size = codes.select(F.coalesce(F.max("_code") + 1, F.lit(0))).scalar() - int(drop_first)
     index = F.col("_code") - int(drop_first)
-    hot = F.struct(F.greatest(size, F.lit(0)).cast("int").alias("size"), F.when(index >= 0, index).cast("int").alias("index"))
+    hot = F.struct(F.greatest(size, F.lit(0)).cast("int").alias("size"), F.when(index >= 0, index).cast("int").alias("position"))
     return df.join(codes, column, "left").withColumn(out or f"{column}_hot", hot).drop("_code")
 
 

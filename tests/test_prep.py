@@ -186,7 +186,7 @@ def test_unseen_level_raises(spark):
 def test_one_hot_vector(spark):
     fit = spark.createDataFrame([("a",), ("b",), ("c",)], "c string")
     df = spark.createDataFrame([("a",), ("c",), ("z",), (None,)], "c string")
-    got = sorted(((r.c, r.c_hot.size, r.c_hot.index) for r in encode.one_hot_vector(df, "c", fit, drop_first=True).collect()), key=str)
+    got = sorted(((r.c, r.c_hot.size, r.c_hot.position) for r in encode.one_hot_vector(df, "c", fit, drop_first=True).collect()), key=str)
     assert got == sorted([("a", 2, None), ("c", 2, 1), ("z", 2, None), (None, 2, None)], key=str)
 
 
