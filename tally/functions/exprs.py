@@ -48,10 +48,6 @@ def nan_to_zero(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x)
 
 
-def round6(c: ColumnOrName) -> Column:
-    return F.round(col(c), 6)
-
-
 def keyed_values(table: DataFrame, keys: list[str], values: list[str]) -> dict[str, Column]:
     """Columns that look up ``values`` of a small table by ``keys``, as one map-valued scalar subquery.
 

@@ -68,22 +68,6 @@ def impute(df: DataFrame, spec: dict, fit: DataFrame | None = None) -> DataFrame
     return df.withColumns({c: F.coalesce(F.col(c), v.cast(df.schema[c].dataType)) for c, v in fills.items()})
 
 
-def impute_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """P4 statistics table: (column, mean, median, mode) — mode as string."""
-    parts = []
-    for c in columns:
-        med = exact_quantiles(df, [], c, [0.5]).select(F.col("q").alias("median"))
-        mean = df.select(F.avg(c).alias("mean"))
-        mode = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-                .orderBy(F.desc("_n"), F.asc(c)).limit(1).select(F.col(c).cast("string").alias("mode")))
-        parts.append(mean.select(F.lit(c).alias("column"), "mean", med.scalar().alias("median"),
-                                 mode.scalar().alias("mode")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def typed_features(df: DataFrame, cat_cols: list[str], cont_cols: list[str], label: str) -> DataFrame:
     """P5: x_categ array<bigint>, x_cont array<float>, label float (the typed matrices)."""
     return df.select(

@@ -41,37 +41,6 @@ def _linear_axis(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return lo, hi, src - lo
 
 
-def resize_array(a: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
-    """Separable (bi/tri)linear resize of an n-d array."""
-    out = a.astype(np.float64)
-    for axis, n_out in enumerate(shape):
-        lo, hi, w = _linear_axis(out.shape[axis], n_out)
-        a_lo = np.take(out, lo, axis=axis)
-        a_hi = np.take(out, hi, axis=axis)
-        wshape = [1] * out.ndim
-        wshape[axis] = n_out
-        w = w.reshape(wshape)
-        out = a_lo * (1 - w) + a_hi * w
-    return out
-
-
-def resize_volumes(volumes: DataFrame, study: str, z: str, plane: str, side: int, size: int,
-                   clip: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
-    """Per study, stack planes (side x side) in z order and resize to size^3; clip to [0, 1].
-
-    Output: (study, shape array<int>, voxels array<double>) — one study per group.
-    """
-    def per_study(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(z)
-        vol = np.stack([np.asarray(p, dtype=np.float64).reshape(side, side) for p in pdf[plane]])
-        r = np.clip(resize_array(vol, (size, size, size)), *clip)
-        return pd.DataFrame({study: [pdf[study].iloc[0]], "shape": [[size, size, size]],
-                             "voxels": [r.ravel().tolist()]})
-
-    schema = f"{study} long, shape array<int>, voxels array<double>"
-    return volumes.select(study, z, plane).groupBy(study).applyInPandas(per_study, schema)
-
-
 def _axis_sources(n_in: Column, n_out: int, j: Column) -> tuple[Column, Column, Column]:
     """Column form of ``_linear_axis``: (lo, hi, weight) for output index j (half-pixel centres)."""
     src = (j.cast("double") + 0.5) * (n_in.cast("double") / F.lit(float(n_out))) - 0.5

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.operators import clean, profile
+from tally.plans import fixtures as fx
 from tally.plans.q_metrics import r6
 from tally.plans.q_prep import FILLED_SQL, numeric_risk
 from tally.plans.registry import register
+from tally.sources.tables import Tables
 
 
 def filled(spark, sf):
@@ -57,6 +59,18 @@ def class_ratio(spark, sf):
     return r6(profile.value_counts(R(spark, sf), "y"))
 
 
+@register("document_classes", "E10 L1", views=("doc_risk",), oracle="""
+WITH c AS (SELECT lang, COUNT(*) AS n, SUM(y)::BIGINT AS n_pos FROM doc_risk GROUP BY lang)
+SELECT lang, n, n_pos, n - n_pos AS n_neg, ROUND(CAST(n - n_pos AS DOUBLE) / n_pos, 6) AS scale_pos_weight,
+       ROUND(SQRT(CAST(n - n_pos AS DOUBLE) / n_pos), 6) AS sqrt_pos_weight,
+       ROUND(n / (CAST(2 AS DOUBLE) * (n - n_pos)), 6) AS weight_neg, ROUND(n / (CAST(2 AS DOUBLE) * n_pos), 6) AS weight_pos
+FROM c""")
+def document_classes(spark, sf):
+    """Class weights of the second labelled table (documents with real labels) by language."""
+    from tally.operators import encode
+    return r6(encode.class_weights(fx.doc_risk(Tables(spark, sf)), "y", ["lang"]))
+
+
 @register("crosstab", "A4", views=("risk_raw",), oracle="""
 SELECT segment, SUM(CASE WHEN y = 0 THEN 1 ELSE 0 END)::BIGINT AS y_0, SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END)::BIGINT AS y_1
 FROM risk_raw GROUP BY segment""")

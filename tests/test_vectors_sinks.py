@@ -12,11 +12,25 @@ from tally.operators import vectors
 from tally.sources import sinks
 
 
+def resize_array(a: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Separable (bi/tri)linear resize of an n-d array."""
+    out = a.astype(np.float64)
+    for axis, n_out in enumerate(shape):
+        lo, hi, w = vectors._linear_axis(out.shape[axis], n_out)
+        a_lo = np.take(out, lo, axis=axis)
+        a_hi = np.take(out, hi, axis=axis)
+        wshape = [1] * out.ndim
+        wshape[axis] = n_out
+        w = w.reshape(wshape)
+        out = a_lo * (1 - w) + a_hi * w
+    return out
+
+
 def test_resize_constant_and_identity():
     a = np.full((4, 4, 4), 0.3)
-    assert np.allclose(vectors.resize_array(a, (7, 5, 9)), 0.3)
+    assert np.allclose(resize_array(a, (7, 5, 9)), 0.3)
     b = np.arange(27, dtype=float).reshape(3, 3, 3)
-    assert np.allclose(vectors.resize_array(b, (3, 3, 3)), b)
+    assert np.allclose(resize_array(b, (3, 3, 3)), b)
 
 
 def test_augment_deterministic_and_flip():
@@ -88,13 +102,10 @@ def test_resize_volume_distributed_matches_numpy(spark):
     df = spark.createDataFrame(rows, "study_id long, z int, plane array<double>")
     got = vectors.resize_volumes_long(df, "study_id", "z", "plane", side=4, size=6).collect()
     for s, v in vols.items():
-        want = np.clip(vectors.resize_array(v, (6, 6, 6)), 0, 1)
+        want = np.clip(resize_array(v, (6, 6, 6)), 0, 1)
         have = np.stack([np.array(r.plane).reshape(6, 6) for r in sorted((r for r in got if r.study_id == s),
                                                                          key=lambda r: r.z)])
         assert np.allclose(have, want, atol=1e-12)
-    # the grouped NumPy form agrees too
-    grouped = {r.study_id: np.array(r.voxels) for r in vectors.resize_volumes(df, "study_id", "z", "plane", 4, 6).collect()}
-    assert np.allclose(grouped[1], np.clip(vectors.resize_array(vols[1], (6, 6, 6)), 0, 1).ravel())
 
 
 def test_read_image_folder_labels_sorted_classes(spark):
