@@ -11,7 +11,7 @@ blocks' distinct grams are summed over all blocks, subtrees are weighted by thei
 the two levels above (at most 256 x 255 and 255 nodes) are finished from their sums. The
 result, one log-probability per distinct gram, is joined to the blocks' grams, and texts
 are summed up within their block. Word counts for the unigram base go the same way, words
-being known by 128-bit hashes.
+being known by 64-bit hashes (a billion distinct words: 3 % for one pair to collide).
 
 Null text counts as empty: its end mark alone is scored. Null ids count as the empty id.
 Repeated rows are scored (and learnt) one by one; other input columns are ignored; an
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import _LOWER, mix, pieces, string_buffer, text_ranges, word_hashes, written
+from tally.llm.common import _LOWER, pieces, string_buffer, text_ranges, word_hashes, written
 
 BLOCK_BYTES = 64 << 20  # texts of a block at most
 LEAST_BYTES = 4 << 20  # of a block, where there are more tasks than blocks
@@ -57,39 +57,35 @@ def gram_keys(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarra
 
 
 def word_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit keys (as pairs) of each text's words and its end (0, 0); each text's offsets."""
+    """Keys (64-bit hashes) of each text's words and its end (0); each text's offsets."""
     h, wo = word_hashes(data, offs)
     n = np.diff(wo)
     new = np.concatenate([[0], np.cumsum(n + 1)])
-    out = np.zeros((2, int(new[-1])), _U)
-    at = np.repeat(new[:-1] - wo[:-1], n) + np.arange(len(h))
-    out[0, at] = h | _U(1)
-    out[1, at] = word_hashes(data, offs, second=True)[0]
+    out = np.zeros(int(new[-1]), _U)
+    out[np.repeat(new[:-1] - wo[:-1], n) + np.arange(len(h))] = np.maximum(h, _U(1))
     return out, new
 
 
-def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct (hi, lo) keys of several parts with their counts added, in order."""
-    hi, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((lo, hi))
-    hi, lo, n = hi[order], lo[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])) if len(hi) else np.zeros(0, np.int64)
-    return hi[first], lo[first], np.add.reduceat(n, first) if len(hi) else n
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several parts with their counts added, in order."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
-def counted(data: np.ndarray, offs: np.ndarray, held: np.ndarray, depth: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Distinct grams and words of some texts with their counts in the training texts (0: held out only)."""
-    grams, words = [], []
+def counted(data: np.ndarray, offs: np.ndarray, held: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams, and distinct words, of some texts with their counts in the training texts (0: held out only)."""
+    out: list[list] = [[], []]
     for a, b in pieces(offs):
         part, cut = data[offs[a]: offs[b]], offs[a: b + 1] - offs[a]
-        keys, new = gram_keys(part, cut, depth)
-        learnt = np.repeat(~held[a:b], np.diff(new))
-        k, c = np.unique(keys[learnt], return_counts=True)
-        r = np.unique(keys[~learnt])
-        grams.append((np.zeros(len(k) + len(r), _U), np.concatenate([k, r]), np.concatenate([c, np.zeros(len(r), np.int64)])))
-        pair, new = word_keys(part, cut)
-        words.append((pair[0], pair[1], np.repeat(~held[a:b], np.diff(new)).astype(np.int64)))
-    return summed(grams), summed(words)
+        for parts, (keys, new) in zip(out, (gram_keys(part, cut, depth), word_keys(part, cut)), strict=True):
+            learnt = np.repeat(~held[a:b], np.diff(new))
+            parts.append(np.unique(keys[learnt], return_counts=True))
+            rest = np.unique(keys[~learnt])
+            parts.append((rest, np.zeros(len(rest), np.int64)))
+    return [summed(parts) for parts in out]
 
 
 # --- context-tree weighting ------------------------------------------------------------------------------
@@ -209,16 +205,23 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 # --- scoring of documents --------------------------------------------------------------------------------
-def lookup(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+class Lookup:
     """Places of keys that are all in ``table`` (sorted), by a hash index and a search for what it missed."""
-    bits = max(8, int(len(table) * 4).bit_length())
-    slot = lambda k: (k * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)
-    index = np.zeros(1 << bits, np.int32)
-    index[slot(table)] = np.arange(len(table), dtype=np.int32)
-    at = index[slot(keys)]
-    miss = np.flatnonzero(table[at] != keys)
-    at[miss] = np.searchsorted(table, keys[miss])
-    return at
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.shift = _U(64 - max(8, int(len(table) * 2).bit_length()))
+        self.index = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.index[self._slot(table)] = np.arange(len(table), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _U(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.index[self._slot(keys)]
+        miss = np.flatnonzero(self.table[at] != keys)
+        at[miss] = np.searchsorted(self.table, keys[miss])
+        return at
 
 
 def packed(rows: DataFrame, block_bytes: int) -> DataFrame:
@@ -251,12 +254,12 @@ def unpacked(batch) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndar
 
 
 def block_counts(packs: DataFrame, depth: int) -> DataFrame:
-    """``block, is_word, hi, lo, n``: distinct grams (lo) and words (hi, lo) of each block (or part of one)."""
+    """``block, is_word, key, n``: distinct grams and words of each block (or part of one)."""
 
     def rows_of(block: int, grams: list, words: list) -> Iterator[pa.RecordBatch]:
         for is_word, parts in ((False, grams), (True, words)):
-            hi, lo, n = summed(parts)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(n), block)), "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "n": pa.array(n), "is_word": pa.array(np.full(len(n), is_word))})
+            keys, n = summed(parts)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(n), block)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n), "is_word": pa.array(np.full(len(n), is_word))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, grams, words = None, [], []
@@ -274,7 +277,7 @@ def block_counts(packs: DataFrame, depth: int) -> DataFrame:
         if grams:
             yield from rows_of(now, grams, words)
 
-    return packs.mapInArrow(run, "block long, hi long, lo long, n long, is_word boolean")
+    return packs.mapInArrow(run, "block long, key long, n long, is_word boolean")
 
 
 def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -286,32 +289,36 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     n_blocks = max(size // block_bytes + 1, min(rows.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES + 1))
     packs = written(packed(rows.coalesce(n_blocks), block_bytes), "lm-packs")  # few large blocks repeat fewer grams
     counts = written(block_counts(packs, depth), "lm-counts", partition_by="is_word")
-    words, grams = counts.filter("is_word").select("block", "hi", "lo", "n"), counts.filter("not is_word").select("block", F.col("lo").alias("gram"), "n")
-    by_word = words.groupBy("hi", "lo").agg(F.sum("n").alias("c"))
+    words, grams = counts.filter("is_word").drop("is_word"), counts.filter("not is_word").drop("is_word")
+    by_word = written(words.groupBy("key").agg(F.sum("n").alias("c")), "lm-words")
     totals = by_word.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1))).first()
     n_all, distinct = totals[0] or 0, totals[1] or 0
-    scores = written(gram_scores(grams.groupBy("gram").agg(F.sum("n").alias("n")), depth), "lm-grams")
-    word_rows = words.select("block", "hi", "lo").join(by_word, ["hi", "lo"]).select(F.col("block").alias("of"), "hi", "lo", F.lit(None).cast("float").alias("value"), "c")
-    gram_rows = grams.select("block", "gram").join(scores, "gram").select(F.col("block").alias("of"), F.lit(None).cast("long").alias("hi"), F.col("gram").alias("lo"), F.col("value").cast("float").alias("value"), F.lit(None).cast("long").alias("c"))
+    by_gram = written(grams.groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "lm-grams")
+    scores = written(gram_scores(by_gram, depth), "lm-scores")
+    word_rows = words.select("block", "key").join(by_word, "key").select(F.col("block").alias("of"), "key", F.lit(None).cast("float").alias("value"), "c")
+    gram_rows = grams.select("block", F.col("key").alias("gram")).join(scores, "gram").select(F.col("block").alias("of"), F.col("gram").alias("key"), F.col("value").cast("float").alias("value"), F.lit(None).cast("long").alias("c"))
 
     def add_up(docs: pa.Table, known: pa.Table) -> pa.Table:
-        part = known.filter(known["value"].is_valid())
-        gram, value = part["lo"].to_numpy().astype(_U), part["value"].to_numpy().astype(np.float64)
-        order = np.argsort(gram)
-        gram, value = gram[order], value[order]
-        part = known.filter(known["c"].is_valid())
-        word = mix(part["hi"].to_numpy().view(_U)) ^ part["lo"].to_numpy().view(_U)
-        order = np.argsort(word)
-        word, c = word[order], part["c"].to_numpy()[order]
+        def ordered(column: str, kind) -> tuple[Lookup, np.ndarray]:
+            part = known.select(["key", column]).filter(known[column].is_valid())
+            keys = part["key"].to_numpy().view(_U)
+            order = np.argsort(keys)
+            return Lookup(keys[order]), part[column].to_numpy()[order].astype(kind)
+
+        gram_at, value = ordered("value", np.float64)
+        word_at, c = ordered("c", np.int64)
+        del known
         logs = np.log10((c + 0.5) / (n_all + 0.5 * (distinct + 1)))
         out: dict[str, list] = {x: [] for x in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes")}
         for _, ids, held, data, offs in unpacked(docs):
             keys, new = gram_keys(data, offs, depth)
-            pair, cut = word_keys(data, offs)
-            at = lookup(mix(pair[0]) ^ pair[1], word)
-            got = ids, held, np.diff(cut), np.add.reduceat((c[at] > 0).astype(np.int64), cut[:-1]), np.add.reduceat(logs[at], cut[:-1]), np.add.reduceat(value[lookup(keys, gram)], new[:-1]), np.diff(offs)
+            toks, cut = word_keys(data, offs)
+            at = word_at(toks)
+            got = ids, held, np.diff(cut), np.add.reduceat((c[at] > 0).astype(np.int64), cut[:-1]), np.add.reduceat(logs[at], cut[:-1]), np.add.reduceat(value[gram_at(keys)], new[:-1]), np.diff(offs)
             for col, x in zip(out.values(), got, strict=True):
                 col.append(pa.array(x, pa.int64()) if col is out["doc_id"] else pa.array(x))
+        del gram_at, word_at, value, c, logs
+        pa.default_memory_pool().release_unused()
         cols = {k: pa.chunked_array(v) for k, v in out.items()}
         return pa.table({**cols, "train_tokens": pa.array(np.full(len(cols["doc_id"]), n_all))})
 
