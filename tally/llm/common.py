@@ -72,7 +72,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 SYMBOLS = _SPACE.copy()  # every ASCII character but letters and digits
 SYMBOLS[:128] = [not chr(c).isalnum() for c in range(128)]
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POW = [np.ones(1, _U), np.ones(1, _U)]
 
@@ -96,10 +96,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, second: bool = False, breaks: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and each text's offsets into them.
 
-    ``second`` gives another, independent hash; ``breaks`` marks the bytes between words;
+    ``breaks`` marks the bytes between words;
     with ``prefixes`` the result has a column for the word and one for each prefix of so many bytes.
     """
     n = len(data)
@@ -114,7 +114,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, second: bool = False, bre
     ends[:-1] &= ~inside[1:] | edge[1:n]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends)
     p, inv = _powers(n)
-    run = _BYTE[int(second)][low]
+    run = _BYTE[low]
     run *= p
     run = np.cumsum(run, dtype=_U)
     before = np.where(s > 0, run[s - 1], _U(0))
