@@ -90,3 +90,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every whole text."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_minhash_dedup"] = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+p AS (SELECT doc_id, w, UNNEST(range(1, greatest(len(w), 2))) AS i FROM t WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM p),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * m >= 80 * (nx.n + ny.n - m)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, MIN(other) AS component_id FROM r GROUP BY doc_id) k ON k.doc_id = d.doc_id"""
