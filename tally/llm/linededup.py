@@ -1,18 +1,22 @@
-"""Line deduplication by content-defined chunks of lines.
-
-A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes ends a chunk
-where it is divisible by ``divisor``, so that a passage is cut alike wherever it stands.
-Chunks of at least two lines that occur more than once in the whole table are kept where
-they occur first (by id, then text, then place) and removed elsewhere. A hash counts as
-repeated only if all its occurrences are byte for byte equal: the aggregate that finds
-repeats also compares their least and greatest text, and the few hashes that stand for
-different texts remove nothing.
-
-Null text stays null (0 lines); an empty text has one empty line. Single-line chunks are
-never removed. Rows equal in id and text count as one document: a chunk that is first there
-stays in all of them. Null ids come first. Other columns are passed on, if asked for, in one
-struct, so that their names can't clash; an empty table gives an empty result; texts of any
-length are cut whole, without a greatest chunk size.
+"""Line deduplication: repeated runs of lines, and the older removal of whole chunks.
+
+``dedup_runs`` removes every line that stands in a repeated run of two or more lines. A run
+of two or more lines is repeated where each of its pairs of neighbouring lines occurs before
+(by id, then text, then place), so the index holds a rolling hash over two lines at every
+line: chunk ends chosen by content would miss short runs between unlike neighbours. Pairs
+whose hash occurs more than once are then compared by their bytes, so that texts that share
+a hash by chance are told apart. An occurrence that shares a line with the first one, as in
+three equal lines, is no repeat of it. Single lines between others are never removed.
+
+``dedup_lines`` knows only content-defined chunks: a rolling hash over the last ``WINDOW``
+line hashes ends a chunk where it is divisible by ``divisor``, and chunks of at least two
+lines that occur more than once are kept where they occur first. Runs that don't fill a
+chunk stay, so no query uses it. A hash that stands for different texts removes nothing.
+
+Null text stays null (0 lines); an empty text has one empty line. Rows equal in id and text
+count as one document: what is first there stays in all of them. Null ids come first. Other
+columns are passed on, if asked for, in one struct, so that their names can't clash; an empty
+table gives an empty result; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tally.llm.common import text_ranges, written
+from tally.llm.common import mix, text_ranges, written
 
 WINDOW = 2
 DIVISOR = 2
@@ -107,3 +112,79 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     schema = T.StructType([kinds["doc_id"], kinds["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), kinds["carried"]])
     done = both.mapInArrow(run, schema)
     return done if carry else done.drop("carried")
+
+
+def pair_hashes(text: str) -> np.ndarray:
+    """A hash of every two neighbouring lines."""
+    lines = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in text.split("\n")]
+    h = np.frombuffer(b"".join(lines), np.uint64)
+    return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]).view(np.int64)
+
+
+def pair_table(rows: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, place, h`` of every two neighbouring lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_ranges(batch.column(2)):
+                found = [np.zeros(0, np.int64) if t is None else pair_hashes(t) for t in batch.column(2).slice(a, b - a).to_pylist()]
+                n = [len(x) for x in found]
+                src = pa.array(np.repeat(np.arange(a, b), n))
+                place = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(src), batch.column(1).take(src), pa.array(place, pa.int32()), pa.array(np.concatenate(found))], ["doc_id", "text_hash", "place", "h"])
+
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, place int, h long")
+
+
+def pair_bodies(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, place, body`` of the pairs at the ``places`` of each text."""
+    both = rows.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text"))).select("doc_id", "text_hash", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_ranges(batch.column(2)):
+                part = batch.slice(a, b - a)
+                src, place, body = [], [], []
+                for r, (text, at) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    lines = text.split("\n")
+                    at = [i for i in at if i + 1 < len(lines)]
+                    src += [r] * len(at)
+                    place += at
+                    body += ["\n".join(lines[i:i + 2]) for i in at]
+                src = pa.array(src, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(src), part.column(1).take(src), pa.array(place, pa.int32()), pa.array(body, pa.string())], ["doc_id", "text_hash", "place", "body"])
+
+    return both.mapInArrow(run, "doc_id long, text_hash long, place int, body string")
+
+
+def dedup_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, n_lines, n_removed`` of every row, without the repeated runs of lines, and the struct ``carried``."""
+    extra = F.struct(*[df[c] for c in carry]) if carry else F.lit(None).cast("string")
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[text_col].cast("string")).alias("text_hash"), df[text_col].cast("string").alias("text"), extra.alias("carried"))
+    own = [F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")]
+    often = written(pair_table(rows).groupBy("h").count().filter("count > 1").select("h"), "repeated-pairs")
+    places = pair_table(rows).join(often, "h", "left_semi").groupBy(*own).agg(F.collect_set("place").alias("places"))
+    pairs = written(pair_bodies(rows, places), "pairs")
+    first = written(pairs.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first")).filter("n > 1").select("body", "first"), "first-pairs")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    again = pairs.join(first, "body").filter(~same | (F.col("place") >= F.col("first.place") + 2))
+    drops = again.groupBy(*own).agg(F.collect_set("place").alias("drop"))
+    both = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")), "left").select("doc_id", "text", "carried", "drop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_ranges(batch.column(1)):
+                part = batch.slice(a, b - a)
+                texts, n, gone = [], [], []
+                for text, drop in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    lines = [] if text is None else text.split("\n")
+                    drop = {j for i in drop or () for j in (i, i + 1) if j < len(lines)}
+                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
+                    n.append(len(lines))
+                    gone.append(len(drop))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), part.column(2)], names=schema.fieldNames())
+
+    kinds = {f.name: f for f in both.schema.fields}
+    schema = T.StructType([kinds["doc_id"], kinds["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), kinds["carried"]])
+    done = both.mapInArrow(run, schema)
+    return done if carry else done.drop("carried")

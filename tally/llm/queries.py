@@ -82,8 +82,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that occur before in the table."""
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    """Documents without the runs of two or more lines that occur before in the table."""
+    return linededup.dedup_runs(table(spark, sf_dir, "documents"))
 
 
 @register
