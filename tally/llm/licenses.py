@@ -2,9 +2,11 @@
 
 Candidate blocks are the stretches of a text around words that license notices use. A block
 is compressed (in lower case) alone and with each template as a raw zstandard dictionary;
-templates are ranked by how much smaller they make it. The best ones are confirmed, in that order, by the
-exact differences in wording: a template matches if at most ``tolerance`` of its words are
-missing from the block in order. What stands before and after a match is scanned again, so
+templates are ranked by how much smaller they make it. All are tried in that order until one is
+confirmed by the exact differences in wording: a template matches if at most ``tolerance`` of
+its words are missing from the block in order. A short notice in long prose may save nothing,
+so that savings give the order only; templates of whose words too many are nowhere in the
+block need no comparison. What stands before and after a match is scanned again, so
 that several notices in one block are all found.
 
 Null and empty texts and texts without such words give no rows, others one row per notice.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +32,6 @@ from tally.llm.common import text_ranges
 TOLERANCE = 0.1  # share of a template's words that may be missing
 REACH = 1500  # characters around a cue that a block takes of a long line
 GAP = 3  # lines without a cue that do not end a block
-BEST = 5  # templates that are confirmed by their wording, in the order of their savings
 CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|public domain|spdx|permission is hereby|permission to use|all rights reserved"
 # Wordings of public license notices.
 TEMPLATES = {
@@ -91,6 +93,8 @@ class Scanner:
     def differences(self, name: str, found: list[tuple[str, int, int]]) -> tuple[int, int, int, int, str] | None:
         """Words missing and added, first and last matching word, and the wording that differs; None if it does not match."""
         want = self.words[name]
+        if sum((Counter(want) - Counter(w for w, _, _ in found)).values()) > self.tolerance * len(want):
+            return None
         match = difflib.SequenceMatcher(None, want, [w for w, _, _ in found], autojunk=False)
         same = [(i, j, n) for i, j, n in match.get_matching_blocks() if n]
         missing = len(want) - sum(n for _, _, n in same)
@@ -109,8 +113,8 @@ class Scanner:
         while todo:
             a, b = todo.pop()
             found = words(text[a:b])
-            for name, saved in self.savings(text[a:b])[:BEST]:
-                got = self.differences(name, found) if saved > 0 else None
+            for name, saved in self.savings(text[a:b]):
+                got = self.differences(name, found)
                 if got:
                     missing, added, first, last, wording = got
                     s, e = a + found[first][1], a + found[last - 1][2]
