@@ -6,7 +6,7 @@ templates are ranked by how much smaller they make it. All are tried in that ord
 confirmed by the exact differences in wording: a template matches if at most ``tolerance`` of
 its words are missing from the block in order. A short notice in long prose may save nothing,
 so that savings give the order only; templates of whose words too many are nowhere in the
-block need no comparison. What stands before and after a match is scanned again, so
+block need no comparison. Matching words far from the rest of a match count as missing. What stands before and after a match is scanned again, so
 that several notices in one block are all found.
 
 Null and empty texts and texts without such words give no rows, others one row per notice.
@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -75,6 +76,42 @@ def blocks(text: str, cue=re.compile(CUES)) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def aligned(want: list[str], found: list[tuple[str, int, int]], least: float, most: float) -> tuple[int, int, int, int] | None:
+    """Words missing and added, first and last matching word, of the matching blocks that stay within both limits.
+
+    Blocks at both ends are dropped, and their words count as missing, if the words between
+    would be too many; of the ways to do so, one with the fewest missing and then added words.
+    """
+    match = difflib.SequenceMatcher(None, want, [w for w, _, _ in found], autojunk=False)
+    same = [(j, n) for _, j, n in match.get_matching_blocks() if n]
+    best = None
+    for x in range(len(same)):
+        hits = 0
+        for y in range(x, len(same)):
+            hits += same[y][1]
+            first, last = same[x][0], sum(same[y])
+            got = len(want) - hits, last - first - hits, first, last
+            if got[1] > most:
+                break
+            if got[0] <= least and (best is None or got < best):
+                best = got
+    return best
+
+
+def stretches(want: list[str], found: list[tuple[str, int, int]], size: int, least: float) -> Iterator[int]:
+    """Places where a match can begin: one of the template's first words, and enough of its words among the next ``size``."""
+    there = np.array([w for w, _, _ in found], object)
+    ends = np.minimum(np.arange(len(there)) + size, len(there))
+    hits = np.zeros(len(there), np.int64)
+    for w, n in Counter(want).items():
+        upto = np.concatenate([[0], np.cumsum(there == w)])
+        hits += np.minimum(n, upto[ends] - upto[:-1])
+    begins = set(want[: int(least) + 1])
+    for at in np.flatnonzero(hits >= len(want) - least).tolist():
+        if there[at] in begins:
+            yield at
+
+
 class Scanner:
     """Templates as dictionaries of the compressor, and their words."""
 
@@ -95,16 +132,21 @@ class Scanner:
         want = self.words[name]
         if sum((Counter(want) - Counter(w for w, _, _ in found)).values()) > self.tolerance * len(want):
             return None
-        match = difflib.SequenceMatcher(None, want, [w for w, _, _ in found], autojunk=False)
-        same = [(i, j, n) for i, j, n in match.get_matching_blocks() if n]
-        missing = len(want) - sum(n for _, _, n in same)
-        if not same or missing > self.tolerance * len(want):
-            return None
-        first, last = same[0][1], same[-1][1] + same[-1][2]
-        added = last - first - sum(n for _, _, n in same)
-        if added > 2 * self.tolerance * len(want) + 8 * ("<" in TEMPLATES.get(name, "")):
+        most = 2 * self.tolerance * len(want) + 8 * ("<" in TEMPLATES.get(name, ""))
+        best = aligned(want, found, self.tolerance * len(want), most)
+        if best is None:  # stray words may have drawn the alignment away: one stretch after the other
+            size = len(want) + int(most)  # no match is longer
+            for at in stretches(want, found, size, self.tolerance * len(want)):
+                got = aligned(want, found[at:at + size], self.tolerance * len(want), most)
+                if got and (best is None or got[0] + got[1] < best[0] + best[1]):
+                    best = (*got[:2], got[2] + at, got[3] + at)
+                if best and (not sum(best[:2]) or at >= best[3]):
+                    break
+        if best is None:
             return None
-        text = "; ".join(f"{' '.join(want[i1:i2])} -> {' '.join(w for w, _, _ in found[j1:j2])}" for op, i1, i2, j1, j2 in match.get_opcodes() if op != "equal" and j1 >= first and j2 <= last)
+        missing, added, first, last = best
+        there = [w for w, _, _ in found[first:last]]
+        text = "; ".join(f"{' '.join(want[i1:i2])} -> {' '.join(there[j1:j2])}" for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, want, there, autojunk=False).get_opcodes() if op != "equal")
         return missing, added, first, last, text
 
     def scan(self, text: str) -> list[tuple]:

@@ -35,3 +35,20 @@ def test_a_short_notice_in_long_text_of_one_block():
         body = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(12)) + " license" for _ in range(n)]
         body.insert(n // 2, licenses.TEMPLATES["MIT"])
         assert names("\n".join(body)) == ["MIT"]
+
+
+def test_stray_words_far_from_a_notice():
+    found = {k: licenses.TEMPLATES[k] for k in ("MIT-text", "ISC")}
+    reserved = "Copyright 2020 Foo. All rights reserved."
+    intro = "Copyright notice: see the file that comes with this work for all terms."
+    warranty = "The above software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."
+    mit = found["MIT-text"].replace("substantial portions of the Software", "copies of it")
+    isc = found["ISC"].replace("Permission to use", "You may use")
+    ask = "Permission is needed from the owner to do anything with this that the following terms leave out."
+    for text, name in ((f"{intro}\n{reserved}", "all-rights-reserved"), (f"{TERMS}\n{reserved}\n{TERMS}", "all-rights-reserved"), (f"{mit}\n{warranty}", "MIT-text"), (f"{ask}\n{isc}", "ISC")):
+        rows = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE).scan(text)
+        assert [x[2] for x in rows] == [name]
+    (start, end, _, _, missing, added, wording), = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE).scan(f"{intro}\n{reserved}")
+    assert (start, end) == (len(intro) + 1, len(intro) + len(reserved)) and (missing, added) == (0, 2) and wording == " -> 2020 foo"
+    rows = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE).scan(f"{warranty}\n{mit}\n{warranty}")
+    assert [(x[0], x[2]) for x in rows] == [(len(warranty) + 1, "MIT-text")]
