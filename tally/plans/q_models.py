@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tally.operators import compare as C
@@ -10,7 +12,7 @@ from tally.operators import search
 from tally.operators.encode import Prep
 from tally.plans.q_metrics import r6
 from tally.plans.q_prep import split_risk
-from tally.plans.presets import PRESETS
+from tally.plans.presets import GRIDS, NESTED, PRESETS, SEARCH, SPACES
 from tally.plans.registry import register
 from tally.session import checkpoint_dir
 
@@ -49,8 +51,9 @@ def model_logistic(spark, sf):
 
 @register("model_gbt", "L2 L7")
 def model_gbt(spark, sf):
-    return _scored(spark, sf, lambda tr: MD.gbt({"n_estimators": 30, "learning_rate": 0.1, "max_depth": 3,
-                                                 "subsample": 0.8}))
+    """The tuned boosting preset (500 trees)."""
+    model, _, test, _, _ = _preset(spark, sf, "xgboost_tuned")
+    return r6(MD.predict(model, test))
 
 
 def _preset(spark, sf, name):
@@ -94,36 +97,35 @@ def model_mlp(spark, sf):
 
 @register("model_comparison", "L1 L2 L3 M16 W4")
 def model_comparison(spark, sf):
-    """Fit three models on train, pool their test scores, compare (>= 0.5) and rank by F1."""
+    """Fit the presets of the six models on train, pool their test scores, compare (>= 0.5) and rank by F1."""
     train, test, feats = prepared_splits(spark, sf)
-    wsum = train.agg(F.sum("weight")).first()[0]
     parts = []
-    for name, est in (("LogisticRegression", MD.logistic(1.0, wsum)),
-                      ("GBT", MD.gbt({"n_estimators": 20, "max_depth": 3})),
-                      ("RandomForest", MD.random_forest(20, 8, 10))):
-        parts.append(MD.predict(MD.fit(est, train, feats), test).withColumn("model", F.lit(name)))
-    pooled = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return r6(C.compare_models(pooled))
+    for name, kind, params in (("LogisticRegression", "logistic", {"C": 1.0}),
+                               *((n, *PRESETS[n][:2]) for n in ("xgboost_tuned", "lightgbm_baseline", "catboost_tuned", "rf_tuned", "svm_tuned"))):
+        est, cols, prepare = MD.estimator(kind, params, train, feats)
+        scored = MD.predict(MD.fit(est, prepare(train), cols), prepare(test))
+        if kind == "svm":
+            scored = MD.calibrate(MD.platt_out_of_fold(est, prepare(train), cols, k=5), scored)
+        parts.append(scored.withColumn("model", F.lit(name)))
+    return r6(C.compare_models(functools.reduce(lambda x, y: x.unionByName(y), parts)))
 
 
 @register("random_search", "L8 R4")
 def random_search(spark, sf):
+    """The reference's search: for each of its five models 50 draws of its space, F1 over five folds."""
     train, _, feats = prepared_splits(spark, sf)
-    est = MD.logistic(1.0, None).setWeightCol("weight")
-    space = {"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
-    _, results = search.random_search(train, feats, est, space, n_iter=4, k=3, seed=42)
-    return r6(results)
+    found = [search.search_models(train, feats, kind, space, n_iter=SEARCH["n_iter"], k=SEARCH["cv"], seed=42)[0]
+             .select(F.lit(kind).alias("model"), "*") for kind, space in SPACES.items()]
+    return r6(functools.reduce(lambda x, y: x.unionByName(y), found))
 
 
 @register("nested_cv", "L9 R4 E8 E10 U2")
 def nested_cv(spark, sf):
-    """3 outer folds x LR grid of 2 (inner 2-fold): pooled out-of-fold scores, compared per model."""
+    """The reference's six grids, 3 repeats x 10 outer x 3 inner folds: pooled out-of-fold scores, compared per model."""
     from tally.plans.q_prep import numeric_risk
     from tally.operators import clean
     r = clean.impute(numeric_risk(spark, sf), {"balance": "median"}).select("id", "y", "flag_a", *NUM, *CAT)
-    est = MD.logistic(1.0, None).setWeightCol("weight")
-    scored, _ = search.nested_cv(r, NUM, CAT, ["flag_a"], {"LogisticRegression": (est, {"regParam": [0.0, 0.01]})},
-                                 outer_k=3, repeats=1, inner_k=2, seed=42)
+    scored, _ = search.nested_cv(r, NUM, CAT, ["flag_a"], GRIDS, **NESTED, seed=42)
     return r6(C.compare_models(scored))
 
 
