@@ -5,7 +5,8 @@ import hashlib
 import public_tokenizers
 import pytest
 from helpers import SF, docs, fixture
-from test_overlap import brute_components, brute_lines, brute_overlaps
+from test_line_runs import brute_runs
+from test_overlap import brute_components, brute_overlaps
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def test_all_stages_against_brute_force(spark):
     keys = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
     rows = [(r.doc_id, keys[r.doc_id], r.text) for r in df.collect()]
     df = stages["line_dedup"](spark, df, SF)
-    want = {i: t for (i, _), t in brute_lines(rows).items()}
+    want = {i: t for (i, _), (t, _) in brute_runs(rows).items()}
     assert df.columns == COLUMNS and {r.doc_id: r.text for r in df.collect()} == want
     assert all(r.n_chars == len(r.text) for r in df.collect())
     df = stages["minhash_dedup"](spark, df, SF)
@@ -50,7 +51,7 @@ def test_stages_on_odd_documents(spark):
         assert stage(spark, df.limit(0), SF).count() == 0
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_a_query_for_each_operator(n):
     assert sum(q.startswith(f"op{n}_") for q in entry.queries()) == 1
 
