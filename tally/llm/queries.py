@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, ctw, decontaminate, hard_negatives, langid, licenses, linededup, neardup, token_counts, toxicity
+from tally.llm import ann, bpe, ctw, decontaminate, hard_negatives, langid, licenses, linededup, neardup, periods, token_counts, toxicity
 from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,26 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@register
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of whole documents, of which a tenth are first made periodic from some word on."""
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.coalesce(docs.doc_id.cast("string"), F.lit("")).cast("binary"))
+    w = F.filter(F.split(docs.text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, w).alias("w"))
+    chosen = chosen.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    chosen = chosen.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    period = F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))
+    periodic = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(period), F.lit(1), rest))
+    out = periods.periodic_runs(chosen.select("doc_id", F.coalesce(F.array_join(periodic, " "), "text").alias("text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    out = out.withColumn("r", longest).withColumn("length", -F.col("r.less"))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("r.start").alias("start"), "length", F.col("r.period").alias("period"),
+                      F.expr("(1000 * length) div r.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 ORACLE["op10_minhash_dedup"] = """
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
