@@ -23,7 +23,7 @@ and the next, which matches nothing, and a scale takes only texts that can hold
 periods. Words are compared as bytes (a dictionary numbers them), without folding case.
 
 Null, empty or wordless text: no runs, empty text. A very long text is numbered in slices,
-so that no list of all its words is ever made; search needs about 100 bytes a
+so that no list of all its words is ever made; the search needs about 100 bytes a
 word. Rows with a null id and repeated rows are treated as any other. Ties need no rule: all
 runs are returned, by start and period. Other input columns are ignored unless named in
 ``carry``; an empty table gives an empty result.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import ann, bpe, ctw, decontaminate, hard_negatives, langid, licenses, linededup, neardup, periods, token_counts, toxicity
+from tally.llm import ann, bpe, chat, ctw, decontaminate, hard_negatives, langid, licenses, linededup, neardup, periods, token_counts, toxicity
 from tally.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,15 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.expr("(1000 * length) div r.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@register
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, and one whose texts hold the template's own control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.unionByName(own)))
+
+
 ORACLE["op10_minhash_dedup"] = """
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
@@ -151,3 +160,23 @@ n AS (
          ROW_NUMBER() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank
   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+ORACLE["op13_chat"] = """
+WITH c AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, ROW_NUMBER() OVER w AS i, LAG(role) OVER w AS prev,
+         length(text) + length(regexp_replace(text, '[^\\x5C]', '', 'g')) + len(regexp_extract_all(text, '</s>|\\[(OUT|/?INST|/?SYS|/?ROLE|TEXT)\\]'))
+           + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 END AS formatted
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+b AS (
+  SELECT *, NOT ((prev IS NULL AND role IN ('system', 'user')) OR (prev IS NOT NULL AND (prev, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))) AS bad
+  FROM t)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(SUM(formatted) AS BIGINT) AS formatted_chars, COUNT(*) FILTER (WHERE bad) AS n_errors,
+       MIN(i) FILTER (WHERE bad) AS first_error, arg_max(role, i) = 'assistant' AS complete
+FROM b GROUP BY conv_id"""
