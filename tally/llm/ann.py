@@ -130,8 +130,8 @@ _FOUND = ("query", pa.string()), ("node", pa.string()), ("least", pa.int64()), (
 def _scanned(nodes: DataFrame, short: DataFrame, k: int, blocks: int) -> DataFrame:
     """The ``k + 1`` nearest of each block of all vectors of a query's length, for the queries ``short``."""
     n_parts = short.count() // SCAN_QUERIES + 1
-    rows = nodes.select("dim", "node", "vec", "least", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
-    asks = short.select(F.col("dim").alias("d"), F.col("node").alias("query"), F.col("vec").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("node"), F.lit(n_parts)).alias("p"))
+    rows = nodes.select("dim", "node", "vec", "least", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
+    asks = short.select(F.col("dim").alias("d"), F.col("node").alias("query"), F.col("vec").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("node"), F.lit(n_parts)).cast("int").alias("p"))
 
     def scan(rows: pa.Table, asks: pa.Table) -> pa.Table:
         found: dict[str, list] = {c: [] for c, _ in _FOUND}

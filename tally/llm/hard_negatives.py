@@ -123,9 +123,11 @@ def _cells(rows: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int, by_
     nb = max(math.ceil(n_rows / BLOCK), min(tasks, math.ceil(n_rows / SMALL)))
     na = math.ceil(n_anchors / BLOCK)
     key = ["dim", *(["label"] if by_label else [])]
+    # both sides' keys have one type: hashes of unequal types send equal numbers to different tasks
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    r = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(nb))).withColumn("part", upto(na))
-    a = anchors.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(na))).withColumn("block", upto(nb))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    r = rows.withColumn("block", place(nb)).withColumn("part", upto(na))
+    a = anchors.withColumn("part", place(na)).withColumn("block", upto(nb))
     return r.groupBy(*key, "block", "part").cogroup(a.groupBy(*key, "block", "part"))
 
 
