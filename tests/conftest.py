@@ -14,6 +14,7 @@ def spark():
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[4]").appName("tally-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")  # groups in different tasks, as on a cluster
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
