@@ -1,4 +1,4 @@
-"""Model fitting and scoring on pyspark.ml (L1-L7), with the reference's parameter mapping.
+"""Model fitting and scoring (L1-L7), with the reference's parameter mapping.
 
 Every fitted model scores into the common scored shape (id, y, score), so the
 evaluation operators apply unchanged. Class weights are a weight column (E10).
@@ -9,13 +9,13 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tally.operators import trees
 from tally.operators.encode import with_weight
 from tally.operators.vectors import polynomial_features, rbf_features
 
@@ -34,24 +34,23 @@ def logistic(C: float = 1.0, weight_sum: float | None = None, label: str = "y",
     return lr.setWeightCol(weight) if weight else lr
 
 
-# How the booster parameters of the reference map onto GBTClassifier.
-GBT_PARAM_MAP = {
-    "n_estimators": "maxIter", "iterations": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth",
-    "depth": "maxDepth", "subsample": "subsamplingRate", "bagging_fraction": "subsamplingRate",
-    "min_child_samples": "minInstancesPerNode", "gamma": "minInfoGain", "colsample_bytree": "featureSubsetStrategy",
-    "feature_fraction": "featureSubsetStrategy",
+# Defaults of the three boosters and of the forest, by the names of ``trees.Spec``.
+DEFAULTS = {
+    "xgboost": {"growth": "depth", "n_trees": 100, "learning_rate": 0.3, "max_depth": 6, "min_weight": 1.0, "reg_lambda": 1.0},
+    "lightgbm": {"growth": "leaf", "n_trees": 100, "learning_rate": 0.1, "max_depth": None, "num_leaves": 31, "min_rows": 20, "min_weight": 1e-3, "start": "average"},
+    "catboost": {"growth": "oblivious", "n_trees": 1000, "learning_rate": 0.03, "max_depth": 6, "reg_lambda": 3.0},
+    "random_forest": {"growth": "forest", "n_trees": 100, "max_depth": None, "node_features": "sqrt", "pos_weight": "balanced"},
 }
-# Names that change nothing here: the loss is logistic, every tree is subsampled, seeds are arguments.
-NO_EFFECT = {"objective", "eval_metric", "loss_function", "use_label_encoder", "random_state", "n_jobs", "verbose",
-             "bagging_freq", "class_weight", "probability", "scale_pos_weight"}
-# Regularisers without a counterpart: accepted, and reported by ``unmapped``.
-NO_COUNTERPART = {"l2_leaf_reg", "reg_alpha", "reg_lambda"}
-MAX_DEPTH = 30  # of a tree, an engine limit
-
-
-def unmapped(params: dict) -> list[str]:
-    """Parameters that were given but have no counterpart in the engine."""
-    return sorted(NO_COUNTERPART & params.keys())
+# The libraries' parameter names and what they set.
+TREE_PARAMS = {
+    "n_estimators": "n_trees", "iterations": "n_trees", "learning_rate": "learning_rate", "max_depth": "max_depth", "depth": "max_depth",
+    "num_leaves": "num_leaves", "min_child_samples": "min_rows", "min_samples_leaf": "min_rows", "min_samples_split": "min_split",
+    "min_child_weight": "min_weight", "reg_lambda": "reg_lambda", "l2_leaf_reg": "reg_lambda", "reg_alpha": "reg_alpha", "gamma": "min_gain",
+    "min_split_gain": "min_gain", "colsample_bytree": "colsample", "feature_fraction": "colsample", "subsample": "subsample",
+    "bagging_fraction": "subsample", "bagging_freq": "subsample_every", "max_features": "node_features",
+}
+# Names that change nothing here: the loss is logistic, weights and seeds are arguments.
+NO_EFFECT = {"objective", "eval_metric", "loss_function", "use_label_encoder", "random_state", "n_jobs", "verbose", "class_weight", "probability", "scale_pos_weight"}
 
 
 def _check(params: dict, known: set[str], what: str) -> None:
@@ -60,40 +59,19 @@ def _check(params: dict, known: set[str], what: str) -> None:
         raise ValueError(f"unknown {what} parameters: {', '.join(unknown)}")
 
 
-def gbt(params: dict, label: str = "y", weight: str | None = "weight", validation: str | None = None,
-        seed: int = 42) -> GBTClassifier:
-    """L2: one gradient-boosted-trees operator for the three boosters; unknown keys raise.
+def tree_spec(kind: str, params: dict, patience: int | None = None, seed: int = 42, held_out: int | None = None) -> trees.Spec:
+    """L2 / L3: settings of a booster or forest from the library's parameters; unknown keys raise.
 
-    ``num_leaves`` bounds the depth (a tree of that many leaves is at least that deep);
-    ``unmapped`` lists what has no counterpart.
-    """
-    _check(params, GBT_PARAM_MAP.keys() | NO_COUNTERPART | {"num_leaves"}, "booster")
-    kw = {GBT_PARAM_MAP[k]: v for k, v in params.items() if k in GBT_PARAM_MAP}
-    if "featureSubsetStrategy" in kw:
-        kw["featureSubsetStrategy"] = str(float(kw["featureSubsetStrategy"])) if kw["featureSubsetStrategy"] < 1 else "all"
-    if "num_leaves" in params:
-        kw["maxDepth"] = min(kw.get("maxDepth", MAX_DEPTH), (int(params["num_leaves"]) - 1).bit_length())
-    g = GBTClassifier(labelCol=label, seed=seed, **kw)
-    if weight:
-        g = g.setWeightCol(weight)
-    if validation:
-        g = g.setValidationIndicatorCol(validation)
-    return g
-
-
-def random_forest(n_estimators: int = 100, max_depth: int = 8, min_samples_leaf: int = 1, min_samples_split: int = 2,
-                  max_features: str = "sqrt", label: str = "y", weight: str | None = "weight",
-                  seed: int = 42) -> RandomForestClassifier:
-    """L3. No depth limit is beyond the engine: depth has to be given, at most 30.
-
-    A node of ``min_samples_split`` rows is split into children of at least half as many.
+    A depth of None or below 1 is no limit. As in the library, the leaf-wise booster draws rows only with
+    ``bagging_freq``.
     """
-    if max_depth is None or max_depth > MAX_DEPTH:
-        raise ValueError(f"max_depth must be at most {MAX_DEPTH} (trees without a limit are not available)")
-    rf = RandomForestClassifier(labelCol=label, numTrees=n_estimators, maxDepth=max_depth,
-                                minInstancesPerNode=max(min_samples_leaf, (min_samples_split + 1) // 2),
-                                featureSubsetStrategy=max_features, seed=seed)
-    return rf.setWeightCol(weight) if weight else rf
+    _check(params, TREE_PARAMS.keys(), kind)
+    values = {**DEFAULTS[kind], **{TREE_PARAMS[k]: v for k, v in params.items() if k in TREE_PARAMS}}
+    if values["max_depth"] is not None and values["max_depth"] < 1:
+        values["max_depth"] = None
+    if kind == "lightgbm" and not params.get("bagging_freq"):
+        values.update(subsample=1.0, subsample_every=1)
+    return trees.Spec(**values, patience=patience, seed=seed, held_out=held_out)
 
 
 def linear_svm(C: float = 1.0, n: int | None = None, label: str = "y", weight: str | None = "weight") -> LinearSVC:
@@ -135,18 +113,15 @@ def kernel_map(df: DataFrame, cols: list[str], kernel: str, gamma: float, n_feat
     return out.select("*", *[F.col(prefix)[i].alias(c) for i, c in enumerate(names)]).drop(prefix), names
 
 
-def estimator(kind: str, params: dict, train: DataFrame, cols: list[str], label: str = "y", seed: int = 42):
+def estimator(kind: str, params: dict, train: DataFrame, cols: list[str], label: str = "y", seed: int = 42, patience: int | None = None):
     """An estimator by model kind and the reference's parameter names.
 
     Returns (estimator, feature columns, prepare), where ``prepare`` adds the feature
     columns to a frame (kernel features for an SVM, otherwise nothing).
     """
     same = lambda df: df
-    if kind in ("xgboost", "lightgbm", "catboost"):
-        return gbt(params, label, seed=seed), cols, same
-    if kind == "random_forest":
-        _check(params, {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features"}, kind)
-        return random_forest(**{k: v for k, v in params.items() if k not in NO_EFFECT}, label=label, seed=seed), cols, same
+    if kind in DEFAULTS:
+        return tree_spec(kind, params, patience, seed), cols, same
     if kind == "logistic":
         _check(params, {"C", "max_iter"}, kind)
         return logistic(params.get("C", 1.0), train.agg(F.sum("weight")).first()[0], label, max_iter=params.get("max_iter", 100)), cols, same
@@ -167,14 +142,25 @@ def mlp(layers: list[int], label: str = "y", seed: int = 42, max_iter: int = 200
     return MultilayerPerceptronClassifier(labelCol=label, layers=layers, seed=seed, maxIter=max_iter)
 
 
-def fit(estimator, train: DataFrame, feature_cols: list[str]) -> PipelineModel:
-    """Assemble + estimator as one PipelineModel (save/load-able, S8)."""
+def fit(estimator, train: DataFrame, feature_cols: list[str], label: str = "y", id_col: str = "id", val: DataFrame | None = None):
+    """Assemble + estimator as one PipelineModel, or a ``TreeModel`` of a ``trees.Spec`` (both save/load-able, S8).
+
+    ``val`` holds the validation rows for early stopping of boosted trees.
+    """
+    if isinstance(estimator, trees.Spec):
+        cols = [id_col, label, *feature_cols]
+        rows = train.select(*cols, F.lit(trees.TRAIN).alias("_part"))
+        if val is not None:
+            rows = rows.unionByName(val.select(*cols, F.lit(trees.VALIDATE).alias("_part")))
+        return trees.fit_many(trees.prepare(rows, feature_cols, label, id_col, part="_part"), [estimator])[0]
     asm = VectorAssembler(inputCols=feature_cols, outputCol=estimator.getFeaturesCol(), handleInvalid="error")
     return Pipeline(stages=[asm, estimator]).fit(train)
 
 
 def predict(model, df: DataFrame, id_col: str = "id", label: str = "y", keep: list[str] | None = None) -> DataFrame:
     """Scored rows (id, y, score = P(class 1)); SVM-like models give their margin as score."""
+    if isinstance(model, trees.TreeModel):
+        return model.predict(df, [id_col, label, *(keep or [])])
     out = model.transform(df)
     if "probability" in out.columns:
         score = vector_to_array("probability")[1]
@@ -220,28 +206,6 @@ def weighted(df: DataFrame, label: str = "y") -> DataFrame:
     return with_weight(df, label, "weight")
 
 
-def gbt_early_stopping(params: dict, train: DataFrame, val: DataFrame, feature_cols: list[str],
-                       patience: int, label: str = "y", weight: str | None = "weight", seed: int = 42):
-    """L2 + W2: early_stopping_rounds for the boosters.
-
-    Fit ``maxIter`` trees, compute the validation log-loss after every tree
-    (``evaluateEachIteration``: one value per tree, a short list), replay it with
-    the early-stopping operator (patience in rounds), then refit with the best
-    number of trees (same seed, so the first trees are the same).
-    Returns (model, history DataFrame (iteration, val_loss), stop DataFrame).
-    """
-    from tally.operators.history import early_stopping
-    est = gbt(params, label, weight, seed=seed)
-    full = fit(est, train, feature_cols)
-    gbt_model = full.stages[-1]
-    asm = full.stages[0]
-    if weight and weight not in val.columns:
-        val = val.withColumn(weight, F.lit(1.0))  # validation loss is unweighted
-    losses = gbt_model.evaluateEachIteration(asm.transform(val))  # the model's logistic loss
-    spark = train.sparkSession
-    hist = spark.createDataFrame([("gbt", i + 1, float(v)) for i, v in enumerate(losses)],
-                                 "run string, iteration int, val_loss double")
-    stop = early_stopping(hist, "run", "iteration", "val_loss", patience=patience, mode="min")
-    best = stop.first()["best_epoch"]
-    refit = fit(gbt({**params, "n_estimators": int(best)}, label, weight, seed=seed), train, feature_cols)
-    return refit, hist, stop
+def loss_history(model: trees.TreeModel, spark: SparkSession, run: str = "gbt") -> DataFrame:
+    """Validation loss after every tree of a boosted model, as a history (run, iteration, val_loss)."""
+    return spark.createDataFrame([(run, i, v) for i, v in enumerate(model.losses, 1)], "run string, iteration int, val_loss double")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tally.operators import compare as C
 from tally.operators import models as MD
-from tally.operators import search
+from tally.operators import search, trees
 from tally.operators.encode import Prep
+from tally.operators.history import early_stopping
 from tally.plans.q_metrics import r6
 from tally.plans.q_prep import split_risk
 from tally.plans.presets import GRIDS, NESTED, PRESETS, SEARCH, SPACES
@@ -26,13 +27,19 @@ def prepared_splits(spark, sf):
     Iterative fits and cross-validation then read the checkpoint instead of
     re-running impute / rank / encode lineage on every pass.
     """
+    train, _, test, feats = prepared_three(spark, sf)
+    return train, test, feats
+
+
+def prepared_three(spark, sf):
+    """As ``prepared_splits``, with the validation split."""
     checkpoint_dir(spark)
     s = split_risk(spark, sf).select("id", "split", "y", "flag_a", *NUM, *CAT).checkpoint(eager=True)
     prep = Prep(numeric=NUM, categorical=CAT).fit(s.where(F.col("split") == "train"))
     p = prep.transform(s)
     feats = [c for c in p.columns if c not in ("id", "split", "y")]
     train = MD.weighted(p.where(F.col("split") == "train")).checkpoint(eager=True)
-    return train, p.where(F.col("split") == "test"), feats
+    return train, p.where(F.col("split") == "val"), p.where(F.col("split") == "test"), feats
 
 
 def _scored(spark, sf, make):
@@ -51,17 +58,17 @@ def model_logistic(spark, sf):
 
 @register("model_gbt", "L2 L7")
 def model_gbt(spark, sf):
-    """The tuned boosting preset (500 trees)."""
+    """The tuned boosting preset: up to 500 trees, stopped after 50 without a better validation loss."""
     model, _, test, _, _ = _preset(spark, sf, "xgboost_tuned")
     return r6(MD.predict(model, test))
 
 
 def _preset(spark, sf, name):
-    """Fit a named preset on train and score the test split."""
-    kind, params, _ = PRESETS[name]
-    train, test, feats = prepared_splits(spark, sf)
-    est, cols, prepare = MD.estimator(kind, params, train, feats)
-    return MD.fit(est, prepare(train), cols), prepare(train), prepare(test), cols, est
+    """Fit a named preset on train, boosters with early stopping on the validation split."""
+    kind, params, training = PRESETS[name]
+    train, val, test, feats = prepared_three(spark, sf)
+    est, cols, prepare = MD.estimator(kind, params, train, feats, patience=training.get("early_stopping_rounds"))
+    return MD.fit(est, prepare(train), cols, val=prepare(val) if training.get("early_stopping_rounds") else None), prepare(train), prepare(test), cols, est
 
 
 @register("model_random_forest", "L3 L7")
@@ -95,13 +102,20 @@ def model_mlp(spark, sf):
     return r6(MD.predict(MD.fit(est, balanced, feats), test))
 
 
-@register("model_comparison", "L1 L2 L3 M16 W4")
+@register("model_comparison", "L1 L2 L3 L4 L5 M16 W4")
 def model_comparison(spark, sf):
-    """Fit the presets of the six models on train, pool their test scores, compare (>= 0.5) and rank by F1."""
-    train, test, feats = prepared_splits(spark, sf)
-    parts = []
-    for name, kind, params in (("LogisticRegression", "logistic", {"C": 1.0}),
-                               *((n, *PRESETS[n][:2]) for n in ("xgboost_tuned", "lightgbm_baseline", "catboost_tuned", "rf_tuned", "svm_tuned"))):
+    """Fit the presets of the six models on train, pool their test scores, compare (>= 0.5) and rank by F1.
+
+    The tree models share one set of binned rows and are fitted together; boosters stop early on the validation split.
+    """
+    train, val, test, feats = prepared_three(spark, sf)
+    cols = ["id", "y", *feats]
+    rows = train.select(*cols, F.lit(trees.TRAIN).alias("part")).unionByName(val.select(*cols, F.lit(trees.VALIDATE).alias("part")))
+    names = ["xgboost_tuned", "lightgbm_baseline", "catboost_tuned", "rf_tuned"]
+    specs = [MD.tree_spec(kind, params, training.get("early_stopping_rounds")) for kind, params, training in map(PRESETS.get, names)]
+    fitted = trees.fit_many(trees.prepare(rows, feats, part="part"), specs)
+    parts = [MD.predict(m, test).withColumn("model", F.lit(n)) for n, m in zip(names, fitted)]
+    for name, kind, params in (("LogisticRegression", "logistic", {"C": 1.0}), ("svm_tuned", *PRESETS["svm_tuned"][:2])):
         est, cols, prepare = MD.estimator(kind, params, train, feats)
         scored = MD.predict(MD.fit(est, prepare(train), cols), prepare(test))
         if kind == "svm":
@@ -131,32 +145,21 @@ def nested_cv(spark, sf):
 
 @register("evaluate_experiment", "L10 S8 S9")
 def evaluate_experiment(spark, sf):
-    """Fit, save the pipeline to the shared checkpoint folder, load it back, score test, metrics."""
+    """Fit the tuned forest, save it to the shared checkpoint folder, load it back, score test, metrics."""
     import uuid
-    from pyspark.ml import PipelineModel
-    train, test, feats = prepared_splits(spark, sf)
-    model = MD.fit(MD.random_forest(20, 6, 10), train, feats)
+    model, _, test, _, _ = _preset(spark, sf, "rf_tuned")
     path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    scored = MD.predict(loaded, test)
-    return r6(C.report(scored, [], 0.5, ">"))
+    model.save(spark, path)
+    return r6(C.report(MD.predict(trees.load(spark, path), test), [], 0.5, ">"))
 
 
 @register("model_gbt_early_stopping", "L2 W2")
 def model_gbt_early_stopping(spark, sf):
-    """Boosting with early stopping on the validation split (patience 3 rounds); its loss history."""
-    s = split_risk(spark, sf).select("id", "split", "y", "flag_a", *NUM, *CAT)
-    prep = Prep(numeric=NUM, categorical=CAT).fit(s.where(F.col("split") == "train"))
-    p = prep.transform(s)
-    feats = [c for c in p.columns if c not in ("id", "split", "y")]
-    train = MD.weighted(p.where(F.col("split") == "train")).checkpoint(eager=True)
-    val = p.where(F.col("split") == "val")
-    _, hist, stop = MD.gbt_early_stopping({"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3}, train, val,
-                                          feats, patience=3)
-    st = stop.first()
-    return r6(hist.withColumns({"stop_iteration": F.lit(st["stop_epoch"]).cast("int"),
-                                "best_iteration": F.lit(st["best_epoch"]).cast("int")}))
+    """The tuned boosting preset with early stopping on the validation split: its loss history, and where the callback stops."""
+    model, _, _, _, _ = _preset(spark, sf, "xgboost_tuned")
+    hist = MD.loss_history(model, spark)
+    stop = early_stopping(hist, "run", "iteration", "val_loss", patience=50, mode="min", tie="count").first()
+    return r6(hist.withColumns({"stop_iteration": F.lit(stop["stop_epoch"]).cast("int"), "best_iteration": F.lit(stop["best_epoch"]).cast("int")}))
 
 
 @register("run_experiment", "S11 L1 L10")
@@ -168,8 +171,7 @@ def run_experiment(spark, sf):
         train, test, feats = prepared_splits(spark, sf)
         est = {"logistic": lambda: MD.logistic(exp.params.get("C", 1.0),
                                                train.agg(F.sum("weight")).first()[0]),
-               "random_forest": lambda: MD.random_forest(exp.params.get("n_estimators", 100),
-                                                         exp.params.get("max_depth", 8))}[exp.model]()
+               "random_forest": lambda: MD.tree_spec("random_forest", exp.params)}[exp.model]()
         scored = MD.predict(MD.fit(est, train, feats), test)
         return r6(C.report(scored, [], 0.5, ">")).withColumn("experiment", F.lit(exp.key))
 

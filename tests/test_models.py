@@ -47,14 +47,13 @@ def test_run_dispatch():
 
 
 def test_gbt_early_stopping_history(spark):
-    h = q_models.model_gbt_early_stopping(spark, SF).collect()
-    assert len(h) == 20
-    best = h[0].best_iteration
-    losses = {r.iteration: r.val_loss for r in h}
-    stop = h[0].stop_iteration
-    # the best iteration is the minimum validation loss up to the stop (or the end)
-    last = stop or 20
-    assert losses[best] == min(losses[i] for i in range(1, last + 1))
+    h = sorted(q_models.model_gbt_early_stopping(spark, SF).collect(), key=lambda r: r.iteration)
+    best, stop = h[0].best_iteration, h[0].stop_iteration
+    losses = [r.val_loss for r in h]
+    assert len(h) <= 500 and [r.iteration for r in h] == list(range(1, len(h) + 1))
+    # the first iteration of least loss; the fit ends 50 trees after it, or with the last tree
+    assert losses[best - 1] == min(losses) and losses.index(min(losses)) == best - 1
+    assert (stop, len(h)) == (best + 50, best + 50) if stop else len(h) == 500
 
 
 def test_svm_platt_probabilities(spark):
