@@ -6,18 +6,18 @@ evaluation operators apply unchanged. Class weights are a weight column (E10).
 
 from __future__ import annotations
 
-import math
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.operators import trees
+from tally.operators import linear, trees
 from tally.operators.encode import with_weight
-from tally.operators.vectors import polynomial_features, rbf_features
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -80,37 +80,21 @@ def linear_svm(C: float = 1.0, n: int | None = None, label: str = "y", weight: s
     return svc.setWeightCol(weight) if weight else svc
 
 
-def svm_gamma(train: DataFrame, cols: list[str], gamma: float | str = "scale") -> float:
-    """Kernel width: 'scale' is 1 / (features * variance of all values), 'auto' 1 / features."""
-    if gamma == "auto":
-        return 1.0 / len(cols)
-    if gamma == "scale":
-        values = train.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v"))
-        var = values.agg(F.var_pop("v")).first()[0]
-        return 1.0 / (len(cols) * var) if var else 1.0
-    return float(gamma)
+def linear_spec(kind: str, params: dict, train: DataFrame, cols: list[str], held_out: int | None = None, landmarks: tuple | None = None,
+                id_col: str = "id") -> linear.LinearSpec:
+    """L1 / L4: settings of a logistic regression or an SVM from the library's parameters; unknown keys raise.
 
-
-def kernel_map(df: DataFrame, cols: list[str], kernel: str, gamma: float, n_features: int = 256, degree: int = 3,
-               seed: int = 0, prefix: str = "_k") -> tuple[DataFrame, list[str]]:
-    """Columns on which a linear SVM acts like one with the kernel.
-
-    'rbf': random Fourier features; 'poly': monomials up to ``degree`` of
-    sqrt(gamma) x; 'linear': the columns themselves.
+    The logistic regression penalises its intercept, the SVM doesn't. Kernels are mapped by
+    ``landmarks`` (by default the first of ``train`` in a seeded order).
     """
-    if kernel == "linear":
-        return df, list(cols)
-    x = F.array(*[F.col(c).cast("double") for c in cols])
-    if kernel == "rbf":
-        z, n = rbf_features(x, len(cols), n_features, gamma, seed), n_features
-    elif kernel == "poly":
-        z = polynomial_features(F.transform(x, lambda v: v * F.lit(float(gamma) ** 0.5)), len(cols), degree)
-        n = math.comb(len(cols) + degree, degree) - 1
-    else:
-        raise ValueError(f"unknown kernel {kernel!r}")
-    out = df.withColumn(prefix, z)
-    names = [f"{prefix}{i}" for i in range(n)]
-    return out.select("*", *[F.col(prefix)[i].alias(c) for i, c in enumerate(names)]).drop(prefix), names
+    if kind == "logistic":
+        _check(params, {"C", "max_iter", "solver"}, kind)
+        return linear.LinearSpec(C=params.get("C", 1.0), max_iter=params.get("max_iter", 100), held_out=held_out)
+    _check(params, {"C", "kernel", "gamma", "degree"}, kind)
+    name, kernel = params.get("kernel", "rbf"), None
+    if name != "linear":
+        kernel = linear.Kernel(name, linear.gamma_of(train, cols, params.get("gamma", "scale")), params.get("degree", 3), landmarks or linear.landmarks(train, cols, id_col=id_col))
+    return linear.LinearSpec(loss="hinge", C=params.get("C", 1.0), penalised=False, kernel=kernel, held_out=held_out)
 
 
 def estimator(kind: str, params: dict, train: DataFrame, cols: list[str], label: str = "y", seed: int = 42, patience: int | None = None):
@@ -122,15 +106,8 @@ def estimator(kind: str, params: dict, train: DataFrame, cols: list[str], label:
     same = lambda df: df
     if kind in DEFAULTS:
         return tree_spec(kind, params, patience, seed), cols, same
-    if kind == "logistic":
-        _check(params, {"C", "max_iter"}, kind)
-        return logistic(params.get("C", 1.0), train.agg(F.sum("weight")).first()[0], label, max_iter=params.get("max_iter", 100)), cols, same
-    if kind == "svm":
-        _check(params, {"C", "kernel", "gamma", "degree"}, kind)
-        kernel = params.get("kernel", "rbf")
-        gamma = svm_gamma(train, cols, params.get("gamma", "scale")) if kernel != "linear" else 0.0
-        make = lambda df: kernel_map(df, cols, kernel, gamma, degree=params.get("degree", 3))
-        return linear_svm(params.get("C", 1.0), train.count(), label), make(train.limit(0))[1], lambda df: make(df)[0]
+    if kind in ("logistic", "svm"):
+        return linear_spec(kind, params, train, cols), cols, same
     if kind == "mlp":
         _check(params, {"hidden", "epochs"}, kind)
         return mlp([len(cols), *params.get("hidden", [128, 64]), 2], label, seed, params.get("epochs", 100)), cols, same
@@ -143,7 +120,7 @@ def mlp(layers: list[int], label: str = "y", seed: int = 42, max_iter: int = 200
 
 
 def fit(estimator, train: DataFrame, feature_cols: list[str], label: str = "y", id_col: str = "id", val: DataFrame | None = None):
-    """Assemble + estimator as one PipelineModel, or a ``TreeModel`` of a ``trees.Spec`` (both save/load-able, S8).
+    """Assemble + estimator as one PipelineModel, or a ``TreeModel`` or ``LinearModel`` of their settings.
 
     ``val`` holds the validation rows for early stopping of boosted trees.
     """
@@ -153,13 +130,15 @@ def fit(estimator, train: DataFrame, feature_cols: list[str], label: str = "y",
         if val is not None:
             rows = rows.unionByName(val.select(*cols, F.lit(trees.VALIDATE).alias("_part")))
         return trees.fit_many(trees.prepare(rows, feature_cols, label, id_col, part="_part"), [estimator])[0]
+    if isinstance(estimator, linear.LinearSpec):
+        return linear.fit_many(linear.prepare(train, feature_cols, label, id_col), [estimator])[0]
     asm = VectorAssembler(inputCols=feature_cols, outputCol=estimator.getFeaturesCol(), handleInvalid="error")
     return Pipeline(stages=[asm, estimator]).fit(train)
 
 
 def predict(model, df: DataFrame, id_col: str = "id", label: str = "y", keep: list[str] | None = None) -> DataFrame:
     """Scored rows (id, y, score = P(class 1)); SVM-like models give their margin as score."""
-    if isinstance(model, trees.TreeModel):
+    if isinstance(model, (trees.TreeModel, linear.LinearModel)):
         return model.predict(df, [id_col, label, *(keep or [])])
     out = model.transform(df)
     if "probability" in out.columns:
@@ -169,36 +148,33 @@ def predict(model, df: DataFrame, id_col: str = "id", label: str = "y", keep: li
     return out.select(id_col, label, *(keep or []), score.alias("score"))
 
 
-def platt(scored_train: DataFrame, label: str = "y") -> PipelineModel:
-    """1-feature logistic calibration of an SVM margin (probability=True)."""
-    x = scored_train.select(label, array_to_vector(F.array("score")).alias("features"))
-    return Pipeline(stages=[LogisticRegression(labelCol=label, maxIter=100)]).fit(x)
+SIGMOID = linear.LinearSpec(weights="none", targets="smoothed", penalty=0.0)
 
 
-def platt_out_of_fold(estimator, train: DataFrame, feature_cols: list[str], k: int = 5, label: str = "y",
-                      id_col: str = "id", seed: int = 42) -> PipelineModel:
+def platt(scored: DataFrame, label: str = "y", id_col: str = "id") -> linear.LinearModel:
+    """Sigmoid of an SVM margin ``score``, fitted to smoothed targets by Newton steps."""
+    return linear.fit_many(linear.prepare(scored, ["score"], label, id_col), [SIGMOID])[0]
+
+
+def platt_out_of_fold(spec: linear.LinearSpec, train: DataFrame, feature_cols: list[str], k: int = 5, label: str = "y",
+                      id_col: str = "id", seed: int = 42) -> linear.LinearModel:
     """L5 as the library does it: margins for calibration come from k-fold out-of-fold fits.
 
     Each fold's rows are scored by a model fitted on the other folds (stratified
-    folds, R4); the calibrator is fitted on the union of those margins.
+    folds, R4; all fits in one pass); the sigmoid is fitted on the union of those margins.
     """
     from tally.operators.splits import stratified_kfold
     from tally.session import checkpoint_dir
     checkpoint_dir(train.sparkSession)
     folded = stratified_kfold(train, label, id_col, k=k, seed=seed).checkpoint(eager=True)
-    parts = []
-    for f in range(k):
-        m = fit(estimator, folded.where(F.col("fold") != f).drop("fold"), feature_cols)
-        parts.append(predict(m, folded.where(F.col("fold") == f).drop("fold"), id_col, label))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    return platt(oof, label)
-
-
-def calibrate(platt_model: PipelineModel, scored: DataFrame, label: str = "y") -> DataFrame:
-    x = scored.withColumn("features", array_to_vector(F.array("score")))
-    return platt_model.transform(x).select(*scored.columns[:-1], vector_to_array("probability")[1].alias("score"))
+    models = linear.fit_many(linear.prepare(folded, feature_cols, label, id_col, fold="fold"), [replace(spec, held_out=f) for f in range(k)])
+    parts = [m.margins(folded.where(F.col("fold") == f), [id_col, label]) for f, m in enumerate(models)]
+    return platt(reduce(DataFrame.unionByName, parts), label, id_col)
+
+
+def calibrate(sigmoid: linear.LinearModel, scored: DataFrame) -> DataFrame:
+    """``scored`` with probabilities in place of its margins."""
+    return sigmoid.predict(scored, [c for c in scored.columns if c != "score"])
 
 
 def weighted(df: DataFrame, label: str = "y") -> DataFrame:
