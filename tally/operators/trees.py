@@ -394,6 +394,31 @@ class Layout:
         self.offsets = np.concatenate([[0], np.cumsum(bins)]).astype(np.int64)
         self.width = int(self.offsets[-1])
         self.feature = np.repeat(np.arange(len(bins)), bins)
+        # features of few bins are counted together, by one code of all their bins
+        self.bundles: list[tuple[list[int], int, np.ndarray]] = []  # features, codes, and which of the features' bins a code adds to
+        small = sorted(range(len(bins)), key=lambda f: bins[f])
+        while small:
+            group = [small.pop(0)]
+            codes = bins[group[0]]
+            while small and codes * bins[small[0]] <= MAX_BINS + 1:
+                codes *= bins[small[0]]
+                group.append(small.pop(0))
+            adds = np.zeros((codes, sum(bins[f] for f in group)))
+            at, step = 0, 1
+            for f in group:
+                adds[np.arange(codes), at + np.arange(codes) // step % bins[f]] = 1
+                at, step = at + bins[f], step * bins[f]
+            self.bundles.append((group, codes, adds))
+
+    def codes(self, columns: np.ndarray) -> np.ndarray:
+        """Codes of every bundle (bundles x rows)."""
+        out = np.zeros((len(self.bundles), columns.shape[1]), np.int64)
+        for b, (group, _, _) in enumerate(self.bundles):
+            step = 1
+            for f in group:
+                out[b] += columns[f].astype(np.int64) * step
+                step *= self.bins[f]
+        return out
 
 
 @dataclass
@@ -495,8 +520,8 @@ class Block:
                 del self.cache[k]
             g, h, seen = self.gradients(fit, spec, totals, ask.number)
             rows = np.flatnonzero(seen)
-            mine = self.cache[fit, ask.number] = [rows, columns[:, rows], g[rows], h[rows], np.zeros(len(rows), np.int64)]
-        rows, columns, g, h, node = mine
+            mine = self.cache[fit, ask.number] = [columns[:, rows], totals.layout.codes(columns[:, rows]), g[rows], h[rows], np.zeros(len(rows), np.int64)]
+        columns, codes, g, h, node = mine
         mine[4] = node = ask.tree.route(columns, node)
         place = np.full(len(ask.tree.left), -1, np.int64)
         place[ask.nodes] = np.arange(len(ask.nodes))
@@ -504,22 +529,26 @@ class Block:
         if len(ask.nodes) > 1 or len(ask.tree.left) > 1:
             live = np.flatnonzero(at >= 0)
             if len(live) < len(at):
-                at, columns, g, h = at[live], columns[:, live], g[live], h[live]
-        return _sums(at, columns, g, h, len(ask.nodes), totals.layout)
+                at, columns, codes, g, h = at[live], columns[:, live], codes[:, live], g[live], h[live]
+        return _sums(at, columns, codes, g, h, len(ask.nodes), totals.layout)
 
 
-def _sums(at: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, n_nodes: int, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+def _sums(at: np.ndarray, columns: np.ndarray, codes: np.ndarray, g: np.ndarray, h: np.ndarray, n_nodes: int, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
     n_features, n = columns.shape
     if not n:
         return np.zeros(0, np.int64), np.zeros((0, 3))
     if n_nodes * layout.width <= 4 * n_features * n + 1024:  # a dense table is about as large as the rows
         table = np.empty((n_nodes, layout.width, 3))
-        for f, bins in enumerate(layout.bins):
-            place = at * bins + columns[f]
-            some = table[:, layout.offsets[f]: layout.offsets[f + 1]]
-            some[..., 0] = np.bincount(place, g, n_nodes * bins).reshape(n_nodes, bins)
-            some[..., 1] = np.bincount(place, h, n_nodes * bins).reshape(n_nodes, bins)
-            some[..., 2] = np.bincount(place, minlength=n_nodes * bins).reshape(n_nodes, bins)
+        for (group, width, adds), code in zip(layout.bundles, codes, strict=True):
+            place = at * width + code
+            sums = [np.bincount(place, w, n_nodes * width).reshape(n_nodes, width) for w in (g, h, None)]
+            for c, some in enumerate(sums):
+                if len(group) > 1:
+                    some = some @ adds  # whole multiples of one power of two: exact
+                begin = 0
+                for f in group:
+                    table[:, layout.offsets[f]: layout.offsets[f + 1], c] = some[:, begin: begin + layout.bins[f]]
+                    begin += layout.bins[f]
         table = table.reshape(-1, 3)
         keys = np.flatnonzero(table[:, 2])
         return keys, table[keys]
