@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
+MAX_KEYS = 1000  # of a table that ``keyed_values`` looks up
 
 
 def col(c: ColumnOrName) -> Column:
@@ -52,8 +53,11 @@ def keyed_values(table: DataFrame, keys: list[str], values: list[str]) -> dict[s
     """Columns that look up ``values`` of a small table by ``keys``, as one map-valued scalar subquery.
 
     For tables with a row per class, model, fold or split: rows are not shuffled on
-    such a key, which a few values would carry. NULL keys match NULL keys.
+    such a key, which a few values would carry. NULL keys match NULL keys. A table of more
+    than ``MAX_KEYS`` rows raises (a lookup reads the keys one by one): join it instead.
     """
     entry = F.struct(F.struct(*keys).alias("k"), F.struct(*values).alias("v"))
-    found = table.select(F.map_from_entries(F.collect_list(entry))).scalar()
+    listed = F.collect_list(entry)
+    checked = F.when(F.size(listed) <= MAX_KEYS, listed).otherwise(F.raise_error(F.lit(f"keyed_values: more than {MAX_KEYS} keys")))
+    found = table.limit(MAX_KEYS + 1).select(F.map_from_entries(checked)).scalar()
     return {v: found[F.struct(*keys)].getField(v) for v in values}

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.operators.ordered import dense_index
+from tally.functions.exprs import keyed_values, seeded_key
+from tally.operators.ordered import dense_index, running_counts
 
 
 # ---------------------------------------------------------------- E1 / E2
@@ -21,23 +22,56 @@ from tally.operators.ordered import dense_index
 MAX_COLUMNS = 10_000
 
 
+# A lookup reads its levels one by one: so many stand in a map at most, and so many rows' share makes a level frequent.
+MAX_LOOKUP = 200
+_SPREAD = 1 << 16  # join keys over which the rows of frequent levels are spread
+
+
 def label_codes(fit: DataFrame, column: str) -> DataFrame:
     """E1 fit: sorted distinct non-NULL values -> code 0..k-1 (value, code), built distributed."""
     return dense_index(fit.select(column), [], column, "code")
 
 
+def _lookup(codes: DataFrame, column: str) -> Column:
+    entry = F.struct(F.col(column).alias("k"), F.col("code").alias("v"))
+    found = codes.select(F.map_from_entries(F.collect_list(entry))).scalar()
+    return found[F.col(column)]
+
+
+def with_code(df: DataFrame, column: str, fit: DataFrame, out: str) -> DataFrame:
+    """``df`` with the code of ``column`` among the levels of ``fit`` (NULL: none).
+
+    Up to ``MAX_LOOKUP`` levels are looked up in one map-valued scalar subquery. Of more levels the
+    rest is joined; those that hold at least a ``MAX_LOOKUP``-th of the fitted rows (so no more than
+    ``MAX_LOOKUP`` levels) are looked up, and their rows get join keys of their own, so that no
+    join key is frequent.
+    """
+    codes = label_codes(fit, column)
+    if codes.limit(MAX_LOOKUP + 1).count() <= MAX_LOOKUP:
+        return df.withColumn(out, _lookup(codes, column))
+    counts = fit.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    total = fit.select(F.count(column)).scalar()
+    often = counts.where(F.col("_n") * MAX_LOOKUP >= total).select(column)
+    known = _lookup(codes.join(often, column, "left_semi"), column)
+    rest = codes.join(often, column, "left_anti").select(F.col(column).alias("_join_level"), F.col("code").alias("_join_code"), F.lit(-1).cast("long").alias("_join_spread"))
+    x = df.withColumn("_join_known", known)
+    spread = F.when(F.col("_join_known").isNull() & F.col(column).isNotNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(*df.columns), F.lit(_SPREAD)))
+    x = x.withColumn("_join_own", spread)
+    x = x.join(rest, (F.when(F.col("_join_own") < 0, F.col(column)) == F.col("_join_level")) & (F.col("_join_own") == F.col("_join_spread")), "left")
+    return x.withColumn(out, F.coalesce("_join_known", "_join_code")).drop("_join_known", "_join_own", "_join_level", "_join_code", "_join_spread")
+
+
 def label_encode(df: DataFrame, columns: list[str], fit: DataFrame | None = None,
                  suffix: str = "", strict: bool = True) -> DataFrame:
     """Replace each categorical by its code (position in sorted order, fitted on ``fit``).
 
-    The code table is joined back, whatever its size. A value absent from the
+    Any number of levels; see ``with_code``. A value absent from the
     fitted levels fails the query as in the reference; with ``strict=False`` it
     gets a NULL code. NULL stays NULL.
     """
     out = df
     for c in columns:
-        codes = label_codes(fit if fit is not None else df, c).withColumnRenamed("code", f"_code_{c}")
-        out = out.join(codes, c, "left")
+        out = with_code(out, c, fit if fit is not None else df, f"_code_{c}")
         code = F.col(f"_code_{c}")
         if strict and fit is not None:
             unseen = F.raise_error(F.concat(F.lit(f"{c}: value not among the fitted levels: "), F.col(c).cast("string")))
@@ -46,6 +80,37 @@ def label_encode(df: DataFrame, columns: list[str], fit: DataFrame | None = None
     return out if suffix else out.select(*df.columns)
 
 
+# ---------------------------------------------------------------- ordered target statistics (L2)
+def ordered_target_statistics(df: DataFrame, columns: list[str], label: str = "y", id_col: str = "id", prior: float = 0.5,
+                              seed: int = 42) -> DataFrame:
+    """Each category replaced by (positives + prior) / (rows + 1) of the earlier rows of its level.
+
+    Rows stand in a seeded order of their ids, so that no row's own label is in its
+    statistic. NULL is a level. Running sums are taken over ranges (``running_counts``), so
+    that a level that most rows have is no single task. Ids must be unique.
+    """
+    out = df.withColumns({"_order": F.concat(seeded_key(seed, id_col), F.lit("|"), F.col(id_col).cast("string")), "_one": F.lit(1), "_hit": F.col(label).cast("int")})
+    for c in columns:
+        x = out.withColumn("_level", F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")))
+        x = running_counts(x, ["_level"], "_order", ["_one", "_hit"])
+        before = (F.col("cum__hit") - F.col("_hit") + F.lit(prior)) / F.col("cum__one")  # rows before it and one
+        out = x.withColumn(c, before.cast("double")).select(*out.columns)
+    return out.select(*df.columns)
+
+
+def target_statistics(df: DataFrame, columns: list[str], fit: DataFrame, label: str = "y", prior: float = 0.5) -> DataFrame:
+    """Each category replaced by (positives + prior) / (rows + 1) of all rows of its level in ``fit``; ``prior`` for new levels.
+
+    For rows that were not fitted on.
+    """
+    out = df
+    for c in columns:
+        sums = fit.groupBy(c).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("int")).alias("_p"))
+        found = keyed_values(sums.select(F.col(c), ((F.col("_p") + F.lit(prior)) / (F.col("_n") + 1)).alias("_stat")), [c], ["_stat"])
+        out = out.withColumn(c, F.coalesce(found["_stat"], F.lit(prior)))
+    return out
+
+
 def code_table(fit: DataFrame, columns: list[str]) -> DataFrame:
     """E1 state as one long table (column, value, code), built distributed."""
     parts = [label_codes(fit, c).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "code")
@@ -90,11 +155,10 @@ def one_hot_vector(df: DataFrame, column: str, fit: DataFrame | None = None, dro
     values and the dropped first level have a NULL position: all zeros.
     """
     fit = fit if fit is not None else df
-    codes = label_codes(fit, column).withColumnRenamed("code", "_code")
-    size = codes.select(F.coalesce(F.max("_code") + 1, F.lit(0))).scalar() - int(drop_first)
+    size = label_codes(fit, column).select(F.coalesce(F.max("code") + 1, F.lit(0))).scalar() - int(drop_first)
     index = F.col("_code") - int(drop_first)
     hot = F.struct(F.greatest(size, F.lit(0)).cast("int").alias("size"), F.when(index >= 0, index).cast("int").alias("position"))
-    return df.join(codes, column, "left").withColumn(out or f"{column}_hot", hot).drop("_code")
+    return with_code(df, column, fit, "_code").withColumn(out or f"{column}_hot", hot).drop("_code")
 
 
 def one_hot(df: DataFrame, column: str, lvls: list | None = None, drop_first: bool = False,

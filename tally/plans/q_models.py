@@ -144,6 +144,19 @@ def _preset(spark, sf, name):
     return MD.fit(est, prepare(train), cols, val=prepare(val) if training.get("early_stopping_rounds") else None), prepare(train), prepare(test), cols, est
 
 
+@register("model_catboost", "L2 L7")
+def model_catboost(spark, sf):
+    """The tuned oblivious preset on ordered target statistics of the categories, with early stopping; scores of the test split."""
+    kind, params, training = PRESETS["catboost_tuned"]
+    s = split_risk(spark, sf).select("id", "split", "y", "flag_a", *NUM, *CAT)
+    train, rest = s.where(F.col("split") == "train"), s.where(F.col("split") != "train")
+    fitted = encode.ordered_target_statistics(train, CAT)
+    rest = encode.target_statistics(rest, CAT, train)
+    feats = ["flag_a", *NUM, *CAT]
+    spec = MD.tree_spec(kind, params, training["early_stopping_rounds"])
+    return r6(MD.predict(MD.fit(spec, fitted, feats, val=rest.where(F.col("split") == "val")), rest.where(F.col("split") == "test")))
+
+
 @register("model_random_forest", "L3 L7")
 def model_random_forest(spark, sf):
     model, _, test, _, _ = _preset(spark, sf, "rf_tuned")

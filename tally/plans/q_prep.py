@@ -432,3 +432,15 @@ def write_read_splits(spark, sf):
     sinks.write_splits(split_risk(spark, sf).select("id", "y", "amount", "split"), path)
     test = sinks.read_split(spark, path, "test")  # partition pruning: only split=test files are read
     return r6(test.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount")))
+
+
+@register("ordered_target_statistics", "L2", views=("risk_raw",), oracle="""
+SELECT id, y, ROUND((COALESCE(SUM(y) OVER s, 0) + CAST(0.5 AS DOUBLE)) / (COUNT(*) OVER s + 1), 6) AS segment,
+       ROUND((COALESCE(SUM(y) OVER p, 0) + CAST(0.5 AS DOUBLE)) / (COUNT(*) OVER p + 1), 6) AS priority
+FROM risk_raw
+WINDOW s AS (PARTITION BY segment ORDER BY md5('42|' || CAST(id AS VARCHAR)), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+       p AS (PARTITION BY priority ORDER BY md5('42|' || CAST(id AS VARCHAR)), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def ordered_target_statistics(spark, sf):
+    """Categories as positive shares of the earlier rows of their level, in a seeded order."""
+    r = encode.ordered_target_statistics(R(spark, sf).select("id", "y", "segment", "priority"), ["segment", "priority"])
+    return r.select("id", "y", F.round("segment", 6).alias("segment"), F.round("priority", 6).alias("priority"))

@@ -10,7 +10,8 @@ from tally.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 MODEL_QUERIES = {"model_logistic", "model_gbt", "model_random_forest", "model_svm_platt", "model_mlp",
-                 "model_comparison", "model_svm_rbf", "random_search", "nested_cv", "evaluate_experiment", "model_gbt_early_stopping"}
+                 "model_comparison", "model_svm_rbf", "random_search", "nested_cv", "evaluate_experiment", "model_gbt_early_stopping", "model_catboost",
+                 "logistic_coefficients", "logistic_predictions", "sigmoid_calibration", "run_experiment"}
 NAMES = sorted(n for n in QUERIES if n not in MODEL_QUERIES)
 
 
@@ -39,9 +40,9 @@ def test_confusion_scan_is_pruned(plans):
     assert schemas and all("o_orderdate" not in s and "c_name" not in s for s in schemas)
 
 
-FEW_VALUES = {"y", "model", "fold", "repeat", "split", "class", "_g"}
+FEW_VALUES = {"y", "model", "fold", "repeat", "split", "class", "_g", "segment", "priority", "status", "flag_a", "label", "_level", "param"}
 CLASS_QUERIES = ["risk_split_balance", "stratified_kfold", "holdout_from_fold", "split_image_folder", "study_split",
-                 "stratified_split_72_8_20", "histogram_density", "boxplot_stats", "sigmoid_bce"]
+                 "stratified_split_72_8_20", "histogram_density", "boxplot_stats", "sigmoid_bce", "label_encode", "image_manifest", "ordered_target_statistics", "param_value_distribution"]
 
 
 @pytest.mark.parametrize("name", CLASS_QUERIES)

@@ -198,3 +198,47 @@ def test_quantiles_of_a_tied_value(spark):
     got = {r.p: r.q for r in exact_quantiles(df, [], "x", [0.05, 0.5, 0.93]).collect()}
     for p in got:
         assert abs(got[p] - np.quantile(x, p)) < 1e-12
+
+
+def test_codes_of_many_levels_without_hot_join_keys(spark):
+    """Beyond the lookup's levels: frequent ones are looked up, the rest joined; the same codes as ranks."""
+    from tally.operators import encode
+    n = 4000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("v"), (F.col("id") % 900).cast("string"))).alias("c"))
+    levels = sorted({r.c for r in df.collect() if r.c is not None})
+    assert len(levels) > encode.MAX_LOOKUP
+    want = {r.id: None if r.c is None else levels.index(r.c) for r in df.collect()}
+    assert {r.id: r.c for r in encode.label_encode(df, ["c"]).collect()} == want
+    assert encode.label_encode(df, ["c"]).columns == ["id", "c"]
+    some = df.where("id % 900 < 450 or c = 'hot'")
+    got = encode.label_encode(df, ["c"], fit=some, strict=False).where("c is not null").count()
+    assert got == df.join(some.select("c").distinct(), "c", "left_semi").count()
+    with pytest.raises(Exception, match="not among the fitted levels"):
+        encode.label_encode(df, ["c"], fit=some).collect()
+    hot = encode.one_hot_vector(df, "c").collect()
+    assert all((r.c_hot.position, r.c_hot.size) == (want[r.id], len(levels)) for r in hot)
+
+
+def test_keyed_values_raise_beyond_their_bound(spark):
+    from tally.functions import exprs
+    table = spark.range(exprs.MAX_KEYS + 1).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    with pytest.raises(Exception, match="more than"):
+        spark.range(2).select(F.col("id").alias("k")).select(exprs.keyed_values(table, ["k"], ["v"])["v"]).collect()
+
+
+def test_target_statistics_use_earlier_rows_only(spark):
+    import hashlib
+
+    from tally.operators import encode
+    rows = [(i, ["a", "b", None][i % 3 if i % 5 else 0], int(i % 4 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, c string, y int")
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), str(r[0])))
+    seen, want = {}, {}
+    for i, c, y in order:
+        n, p = seen.get(c, (0, 0))
+        want[i] = (p + 0.5) / (n + 1)
+        seen[c] = n + 1, p + y
+    assert {r.id: r.c for r in encode.ordered_target_statistics(df, ["c"]).collect()} == pytest.approx(want)
+    new = spark.createDataFrame([(1, "a"), (2, None), (3, "new")], "id long, c string")
+    got = {r.id: r.c for r in encode.target_statistics(new, ["c"], df).collect()}
+    assert got == pytest.approx({1: (seen["a"][1] + 0.5) / (seen["a"][0] + 1), 2: (seen[None][1] + 0.5) / (seen[None][0] + 1), 3: 0.5})
