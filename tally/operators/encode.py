@@ -9,8 +9,9 @@ they decide the schema.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.functions.exprs import keyed_values, seeded_key
@@ -245,6 +246,41 @@ class Prep:
             out = one_hot(out, c, self._levels[c], drop_first=self.drop_first)
         return out
 
+    def save(self, fit: DataFrame, path: str) -> None:
+        """The state fitted on ``fit`` as Parquet tables: settings, means and deviations, levels with positions."""
+        spark = fit.sparkSession
+        spark.createDataFrame([(self.numeric, self.categorical, self.drop_first)], "numeric array<string>, categorical array<string>, drop_first boolean") \
+            .write.mode("overwrite").parquet(f"{path}/settings")
+        p = scaling_params(fit, self.numeric) if self.numeric else None
+        rows = spark.range(1).select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), p.getField(f"{c}__mean").alias("mean"), p.getField(f"{c}__std").alias("std"))
+            for c in self.numeric])).alias("s")).select("s.*") if self.numeric else spark.createDataFrame([], "column string, mean double, std double")
+        rows.write.mode("overwrite").parquet(f"{path}/scaling")
+        parts = [label_codes(fit, c).select(F.lit(c).alias("column"), F.col("code").alias("position"), F.to_json(F.struct(F.col(c).alias("v"))).alias("value"),
+                                            F.lit(fit.schema[c].dataType.simpleString()).alias("type")) for c in self.categorical]
+        levels_ = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "column string, position int, value string, type string")
+        levels_.write.mode("overwrite").parquet(f"{path}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Prep":
+        """A saved state. Means and deviations stay a scalar subquery; levels name the output columns."""
+        s = spark.read.parquet(f"{path}/settings").first()
+        prep = cls(list(s.numeric), list(s.categorical), s.drop_first)
+        if prep.numeric:
+            table = spark.read.parquet(f"{path}/scaling")
+            field = lambda c, v: F.max(F.when(F.col("column") == c, F.col(v))).alias(f"{c}__{v}")
+            prep._params = table.agg(*[field(c, v) for c in prep.numeric for v in ("mean", "std")]) \
+                .select(F.struct(*[f"{c}__{v}" for c in prep.numeric for v in ("mean", "std")])).scalar()
+        table = spark.read.parquet(f"{path}/levels")
+        for c in prep.categorical:
+            one = table.where(F.col("column") == c).orderBy("position").limit(MAX_COLUMNS + 1)
+            kind = one.select("type").first()
+            got = one.select(F.from_json("value", f"v {kind.type}")["v"].alias("v")).collect() if kind else []
+            if len(got) > MAX_COLUMNS:
+                raise ValueError(f"{c}: more than {MAX_COLUMNS} levels")
+            prep._levels[c] = [r.v for r in got]
+        return prep
+
     def output_columns(self, df: DataFrame) -> list[str]:
         return self.transform(df).columns
 

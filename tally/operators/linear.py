@@ -329,6 +329,25 @@ class LinearModel:
         return out.withColumn("score", sigmoid("score")) if self.spec.loss == "logistic" else out
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Two Parquet tables: weights by position (the intercept last), and settings with the kernel."""
+        names = [*(self.columns if self.spec.kernel is None else [f"landmark {i}" for i in range(len(self.weights))]), "intercept"]
+        rows = [(i, n, float(w)) for i, (n, w) in enumerate(zip(names, [*self.weights, self.intercept], strict=True))]
+        spark.createDataFrame(rows, "position int, feature string, weight double").write.mode("overwrite").parquet(f"{path}/weights")
+        k = self.spec.kernel
+        kernel = None if k is None else (k.name, float(k.gamma), int(k.degree), [list(map(float, z)) for z in k.landmarks])
+        spark.createDataFrame([(self.spec.loss, self.columns, kernel)], "loss string, columns array<string>, kernel struct<name:string,gamma:double,degree:int,landmarks:array<array<double>>>") \
+            .write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str) -> LinearModel:
+    """A model that ``LinearModel.save`` wrote, to predict with (of its settings only the loss and the kernel)."""
+    s = spark.read.parquet(f"{path}/settings").first()
+    w = [r.weight for r in spark.read.parquet(f"{path}/weights").orderBy("position").collect()]
+    kernel = s.kernel and Kernel(s.kernel.name, s.kernel.gamma, s.kernel.degree, tuple(map(tuple, s.kernel.landmarks)))
+    return LinearModel(LinearSpec(loss=s.loss, kernel=kernel), list(s.columns), np.array(w[:-1]), w[-1])
+
+
 def fit_many(data: Data, specs: list[LinearSpec]) -> list[LinearModel]:
     """Fit all settings at once; the models in their order."""
     sc, totals = data.spark.sparkContext, data.totals

@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fuse_concat(left: DataFrame, right: DataFrame, on: str, lcol: str, rcol: str, out: str = "fused") -> DataFrame:
@@ -212,15 +214,41 @@ def rbf_features(x: Column | str, dim: int, n_features: int = 64, gamma: float =
     return F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), feature)
 
 
-def polynomial_features(x: Column | str, dim: int, degree: int = 3) -> Column:
-    """E20 (poly kernel stand-in): all monomials of total degree 1..degree."""
-    import itertools
-    c = F.col(x) if isinstance(x, str) else x
-    terms = []
-    for d in range(1, degree + 1):
-        for combo in itertools.combinations_with_replacement(range(dim), d):
-            t = F.lit(1.0)
-            for j in combo:
-                t = t * c[j]
-            terms.append(t)
-    return F.array(*terms)
+def sketch_params(dim: int, n_out: int, degree: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places 0..n_out-1 and signs of every component in each of ``degree`` count sketches."""
+    rng = np.random.default_rng([seed, dim, n_out])
+    return rng.integers(0, n_out, (degree, dim)), rng.choice([-1.0, 1.0], (degree, dim))
+
+
+def tensor_sketch(df: DataFrame, col: str, dim: int, n_out: int = 256, degree: int = 3, gamma: float = 1.0, coef0: float = 0.0,
+                  seed: int = 0, out: str = "sketch") -> DataFrame:
+    """E20 (polynomial kernel): vectors whose inner products estimate (gamma x'z + coef0)^degree (Pham & Pagh 2013).
+
+    The count sketch of a tensor power is the circular convolution of count sketches of the
+    vector, a product of their Fourier transforms: ``n_out`` numbers whatever the dimension
+    and degree. A NULL vector gives NULL, other lengths than ``dim`` raise.
+    """
+    at, sign = sketch_params(dim + 1, n_out, degree, seed)  # the last component is sqrt(coef0)
+    root, scale = math.sqrt(coef0), math.sqrt(gamma)
+    rows, keep = df.withColumn("_x", F.col(col).cast("array<double>")), df.columns
+
+    def sketches(batches):
+        for batch in batches:
+            column = batch.column("_x")
+            has = np.array([v is not None for v in column.to_pylist()], bool)
+            x = column.drop_null().flatten().to_numpy(zero_copy_only=False)
+            if len(x) != has.sum() * dim or (np.diff(column.drop_null().offsets.to_numpy()) != dim).any():
+                raise ValueError(f"{col}: vectors must have {dim} components")
+            x = np.hstack([x.reshape(-1, dim) * scale, np.full((int(has.sum()), 1), root)])
+            product = np.ones((len(x), n_out // 2 + 1), complex)
+            for places, signs in zip(at, sign, strict=True):
+                counts = np.zeros((len(x), n_out))
+                for j in range(dim + 1):
+                    counts[:, places[j]] += signs[j] * x[:, j]
+                product *= np.fft.rfft(counts)
+            found = np.fft.irfft(product, n_out)
+            ends = np.concatenate([[0], np.cumsum(has * n_out)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()), mask=pa.array(~has))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, out])
+
+    return rows.mapInArrow(sketches, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))

@@ -17,6 +17,7 @@ from tally.plans.q_metrics import r6
 from tally.plans.q_prep import split_risk
 from tally.plans.presets import GRIDS, NESTED, PRESETS, SEARCH, SPACES
 from tally.plans.registry import register
+from tally.plans.sqlparts import stratified_split_ctes
 from tally.session import checkpoint_dir
 from tally.sources.tables import Tables
 
@@ -229,14 +230,38 @@ def nested_cv(spark, sf):
     return r6(C.compare_models(scored))
 
 
-@register("evaluate_experiment", "L10 S8 S9")
+EVALUATED = f"""
+{stratified_split_ctes('risk_raw', name='sp')},
+m AS (SELECT AVG(amount) AS mu, STDDEV_POP(amount) AS sd FROM sp WHERE split = 'train'),
+all_ AS (SELECT id, split, y, CAST(1 AS DOUBLE) AS one, (amount - mu) / sd AS x1, CASE WHEN status = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS x2 FROM sp, m),
+rows_ AS (SELECT *, CAST(COUNT(*) OVER () AS DOUBLE) / (2 * COUNT(*) OVER (PARTITION BY y)) AS c FROM all_ WHERE split = 'train'),
+{newton_sql('rows_', [], ['x1', 'x2', 'one'], 'y', 'c', 1.0, 9)},
+p AS (SELECT y, 1 / (1 + EXP(-(w0 * x1 + w1 * x2 + w2))) > 0.5 AS hit FROM all_, w WHERE split = 'test'),
+k AS (SELECT COUNT(*) FILTER (hit AND y = 1) AS tp, COUNT(*) FILTER (hit AND y = 0) AS fp, COUNT(*) FILTER (NOT hit AND y = 1) AS fn, COUNT(*) FILTER (NOT hit AND y = 0) AS tn FROM p)"""
+
+
+@register("evaluate_experiment", "L10 E8 L1 L7 S8 S9", views=("risk_raw",), oracle=f"""
+WITH {EVALUATED}
+SELECT tp, fp, fn, tn, ROUND((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy, ROUND(tp / CAST(tp + fp AS DOUBLE), 6) AS precision,
+       ROUND(tp / CAST(tp + fn AS DOUBLE), 6) AS recall FROM k""")
 def evaluate_experiment(spark, sf):
-    """Fit the tuned forest, save it to the shared checkpoint folder, load it back, score test, metrics."""
+    """Fit preparation and logistic regression on train and save both; load them, prepare and score test, write the metrics, read them back."""
     import uuid
-    model, _, test, _, _ = _preset(spark, sf, "rf_tuned")
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
-    model.save(spark, path)
-    return r6(C.report(MD.predict(trees.load(spark, path), test), [], 0.5, ">"))
+    from tally.operators.splits import stratified_split
+    from tally.sources import sinks
+    path = f"{checkpoint_dir(spark).rstrip('/')}/experiments/{uuid.uuid4().hex}"
+    rows = fx.risk_raw(Tables(spark, sf)).withColumn("status", F.when(F.col("status") == "O", "b").otherwise("a"))
+    s = stratified_split(rows, "y", "id", 0.2, 0.1, seed=42).select("id", "split", "y", "amount", "status").checkpoint(eager=True)
+    train = s.where(F.col("split") == "train")
+    prep = Prep(numeric=["amount"], categorical=["status"]).fit(train)
+    prep.save(train, f"{path}/prep")
+    ready = prep.transform(train)
+    feats = [c for c in ready.columns if c not in ("id", "split", "y")]
+    MD.fit(MD.linear_spec("logistic", {"C": 1.0}, ready, feats), ready, feats).save(spark, f"{path}/model")
+    scored = MD.predict(linear.load(spark, f"{path}/model"), Prep.load(spark, f"{path}/prep").transform(s.where(F.col("split") == "test")))
+    sinks.write_metrics(C.report(scored, [], 0.5, ">"), f"{path}/metrics")
+    found = spark.read.schema("tp long, fp long, fn long, tn long, accuracy double, precision double, recall double").json(f"{path}/metrics")
+    return r6(found)
 
 
 @register("model_gbt_early_stopping", "L2 W2")

@@ -172,3 +172,24 @@ def rbf_features(spark, sf):
     z = r.select("id", vectors.rbf_features("x", dim=2, n_features=16, gamma=0.5, seed=7).alias("z"))
     return z.select("id", F.size("z").alias("n_features"),
                     F.round(F.aggregate("z", F.lit(0.0), lambda a, b: a + b * b), 6).alias("sq_norm"))
+
+
+def _sketch_oracle(dim=64, n=32, degree=3, seed=5):
+    """Count sketches of the tile's pixels, folded one into another place by place (circular convolution)."""
+    at, sign = vectors.sketch_params(dim + 1, n, degree, seed)
+    values = ", ".join(f"({d}, {j}, {at[d, j]}, {sign[d, j]:.1f})" for d in range(degree) for j in range(dim))
+    return f"""
+WITH h(d, j, place, sign) AS (VALUES {values}),
+x AS (SELECT id, UNNEST(range(0, 64)) AS j, CAST(UNNEST(px) AS DOUBLE) AS v FROM tiles),
+c AS (SELECT id, d, place, SUM(v * sign) AS s FROM x JOIN h USING (j) GROUP BY ALL),
+p AS (SELECT a.id, (a.place + b.place) % {n} AS place, SUM(a.s * b.s) AS s FROM c a JOIN c b ON a.id = b.id AND a.d = 0 AND b.d = 1 GROUP BY ALL),
+q AS (SELECT a.id, (a.place + b.place) % {n} AS place, SUM(a.s * b.s) AS s FROM p a JOIN c b ON a.id = b.id AND b.d = 2 GROUP BY ALL),
+k AS (SELECT id, UNNEST(range(0, {n})) AS place FROM tiles)
+SELECT k.id, CAST(k.place AS INT) AS place, ROUND(COALESCE(s, 0), 6) + 0 AS value FROM k LEFT JOIN q ON q.id = k.id AND q.place = k.place"""
+
+
+@register("tensor_sketch", "E20", views=("tiles",), oracle=_sketch_oracle())
+def tensor_sketch(spark, sf):
+    """Cubic kernel features of every tile by sketched tensor powers: all 32 numbers of each."""
+    t = vectors.tensor_sketch(fx.tiles(Tables(spark, sf)).select("id", "px"), "px", 64, n_out=32, degree=3, seed=5)
+    return t.select("id", F.posexplode("sketch").alias("place", "value")).select("id", "place", (F.round("value", 6) + F.lit(0.0)).alias("value"))

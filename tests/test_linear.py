@@ -140,3 +140,22 @@ def test_unknown_names_and_bad_rows_raise(spark):
         L.prepare(df.withColumn("x1", F.lit(None).cast("double")), cols)
     with pytest.raises(ValueError):
         L.fit_many(dataclasses.replace(L.prepare(df, cols), totals=L.Totals({0: (30, 10)}, L.MAX_DIM + 1)), [L.LinearSpec()])
+
+
+def test_saved_models_and_preparations_score_the_same(spark, tmp_path):
+    from tally.operators.encode import Prep
+    df, cols = table(spark)
+    df = df.withColumn("c", F.concat(F.lit("v"), (F.col("id") % 4).cast("string"))).withColumn("n", (F.col("id") % 3).cast("int"))
+    prep = Prep(numeric=["x1", "x2"], categorical=["c", "n"]).fit(df)
+    prep.save(df, str(tmp_path / "prep"))
+    back = Prep.load(spark, str(tmp_path / "prep"))
+    new = df.withColumn("c", F.when(F.col("id") == 5, "unseen").otherwise(F.col("c")))
+    assert back._levels == prep._levels == {"c": ["v0", "v1", "v2", "v3"], "n": [0, 1, 2]}
+    assert back.transform(new).orderBy("id").collect() == prep.transform(new).orderBy("id").collect()
+    ready = prep.transform(df)
+    feats = [c for c in ready.columns if c not in ("id", "y", "fold")]
+    for kind, params in (("logistic", {"C": 1.0}), ("svm", {"C": 1.0})):
+        model = MD.fit(MD.linear_spec(kind, params, ready, feats), ready, feats)
+        model.save(spark, str(tmp_path / kind))
+        a, b = (m.predict(back.transform(df), ["id"]).orderBy("id").collect() for m in (model, L.load(spark, str(tmp_path / kind))))
+        assert np.allclose([r.score for r in a], [r.score for r in b], rtol=1e-9, atol=1e-12)

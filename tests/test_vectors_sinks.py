@@ -145,3 +145,24 @@ def test_align_columns_raw_frames(spark):
     val = spark.createDataFrame([(1, 1, 0)], "id int, c_a int, c_z int")
     out = encode.align_columns(val, ["id", "c_a", "c_b"])
     assert out.columns == ["id", "c_a", "c_b"] and tuple(out.first()) == (1, 1, 0)
+
+
+def test_tensor_sketch_estimates_the_polynomial_kernel(spark):
+    """Errors of inner products of sketches stay within the bound of their variance, in few and in many dimensions."""
+    from tally.operators import vectors
+    for dim, n_out, degree, coef0 in ((5, 512, 3, 0.0), (50, 512, 3, 1.0), (50, 512, 2, 0.0)):
+        rng = np.random.default_rng(dim)
+        x = rng.normal(size=(30, dim)) / np.sqrt(dim)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+        got = vectors.tensor_sketch(df, "v", dim, n_out, degree, gamma=0.7, coef0=coef0, seed=3).orderBy("id").collect()
+        z = np.array([r.sketch for r in got])
+        kernel = (0.7 * x @ x.T + coef0) ** degree
+        norm = np.sqrt(np.outer(kernel.diagonal(), kernel.diagonal()))
+        error = (z @ z.T - kernel) / norm
+        assert z.shape == (30, n_out) and np.sqrt((error**2).mean()) < 3 * np.sqrt(3**degree / n_out) and abs(error.mean()) < 0.1
+        few = np.array([r.sketch for r in vectors.tensor_sketch(df, "v", dim, 32, degree, gamma=0.7, coef0=coef0, seed=3).orderBy("id").collect()])
+        assert ((few @ few.T - kernel) ** 2 / norm**2).mean() > (error**2).mean()
+    odd = spark.createDataFrame([(1, None), (2, [1.0, 2.0])], "id int, v array<double>")
+    assert [r.sketch is None for r in vectors.tensor_sketch(odd, "v", 2, 4).orderBy("id").collect()] == [True, False]
+    with pytest.raises(Exception, match="components"):
+        vectors.tensor_sketch(odd, "v", 3, 4).collect()
