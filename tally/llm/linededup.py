@@ -1,17 +1,28 @@
-"""Line deduplication: repeated runs of lines, and the older removal of whole chunks.
-
-``dedup_runs`` removes every line that stands in a repeated run of two or more lines. A run
-of two or more lines is repeated where each of its pairs of neighbouring lines occurs before
-(by id, then text, then place), so the index holds a rolling hash over two lines at every
-line: chunk ends chosen by content would miss short runs between unlike neighbours. Pairs
-whose hash occurs more than once are then compared by their bytes, so that texts that share
-a hash by chance are told apart. An occurrence that shares a line with the first one, as in
-three equal lines, is no repeat of it. Single lines between others are never removed.
-
-``dedup_lines`` knows only content-defined chunks: a rolling hash over the last ``WINDOW``
-line hashes ends a chunk where it is divisible by ``divisor``, and chunks of at least two
-lines that occur more than once are kept where they occur first. Runs that don't fill a
-chunk stay, so no query uses it. A hash that stands for different texts removes nothing.
+"""Line deduplication: repeated runs of lines, through content-defined chunks.
+
+A rolling hash over the last ``WINDOW`` line hashes ends a chunk where it is divisible by
+a divisor, so that boundaries shift with the text. ``dedup_runs`` removes every line that
+stands in a repeated run of two or more lines, in two levels:
+
+1. Chunks of at least two lines whose hash repeats are compared by their bytes. All
+   occurrences but the first (by id, then text, then place) go whole. Most of what is
+   repeated goes here, and takes no part in what follows.
+2. What is left between and inside kept chunks may still be repeated by shorter runs, or by
+   runs that no boundary falls into alike. The second level has a chunk of two lines at
+   every line: those that lie across boundaries or in chunks that stay. Their repeats are
+   found in the same way, by hash and then by bytes, and line by line they extend a
+   removed chunk into its neighbours.
+
+Together that is every line of a pair of neighbouring lines that occurs before: the first
+occurrence of a pair never lies in a removed chunk, whose own first occurrence is earlier.
+An occurrence that shares a line with the first one, as in three equal lines, is no repeat
+of it. Single lines between others are never removed. Since the first occurrence of each
+pair stays, not of each run, a run may stay only in parts that stand in different
+documents: of ``a b`` in document 1, ``a b c`` in 2 and ``b c`` in 3 no document keeps
+``b c``, whose first occurrence shares a line with the repeated ``a b``.
+
+``dedup_lines`` knows only the first level, with shorter chunks; no query uses it. A hash
+that stands for different texts removes nothing there.
 
 Null text stays null (0 lines); an empty text has one empty line. Rows equal in id and text
 count as one document: what is first there stays in all of them. Null ids come first. Other
@@ -35,6 +46,7 @@ from tally.llm.common import mix, text_ranges, written
 WINDOW = 2
 DIVISOR = 2
 LINES = 2  # of a chunk that may be removed
+RUN_DIVISOR = 4  # of the first level of ``dedup_runs``
 _MASK = (1 << 64) - 1
 
 
@@ -122,18 +134,32 @@ def pair_hashes(text: str) -> np.ndarray:
 
 
 def pair_table(rows: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, place, h`` of every two neighbouring lines."""
+    """``doc_id, text_hash, place, chunk, h`` of every two neighbouring lines; ``chunk`` (null across a boundary) holds both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_ranges(batch.column(2)):
-                found = [np.zeros(0, np.int64) if t is None else pair_hashes(t) for t in batch.column(2).slice(a, b - a).to_pylist()]
-                n = [len(x) for x in found]
+                found, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for t in batch.column(2).slice(a, b - a).to_pylist():
+                    found.append(np.zeros(0, np.int64) if t is None else pair_hashes(t))
+                    of = np.zeros(0, np.int64) if t is None else np.repeat(*np.array([(i, n) for i, (_, n, _) in enumerate(chunks(t, RUN_DIVISOR))]).T)
+                    owner.append(np.where(of[:-1] == of[1:], of[:-1], -1))
+                n = [len(x) for x in found[1:]]
                 src = pa.array(np.repeat(np.arange(a, b), n))
-                place = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(src), batch.column(1).take(src), pa.array(place, pa.int32()), pa.array(np.concatenate(found))], ["doc_id", "text_hash", "place", "h"])
+                place = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
+                chunk = np.concatenate(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(src), batch.column(1).take(src), pa.array(place, pa.int32()), pa.array(chunk, pa.int32(), mask=chunk < 0), pa.array(np.concatenate(found))], ["doc_id", "text_hash", "place", "chunk", "h"])
+
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, place int, chunk int, h long")
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, place int, h long")
+
+def repeated_chunks(rows: DataFrame) -> DataFrame:
+    """``of, of_text, chunk`` of all chunks that occur before: first by hash, then by their bytes."""
+    often = written(chunk_table(rows, RUN_DIVISOR, False).groupBy("h").count().filter("count > 1").select("h"), "repeated-hashes")
+    found = written(chunk_table(rows, RUN_DIVISOR, True).join(often, "h", "left_semi").drop("h").distinct(), "chunk-bodies")
+    first = found.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first")).filter("n > 1").select("body", "first")
+    again = found.join(first, "body").filter(~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first")))
+    return again.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"), F.col("place").alias("chunk"))
 
 
 def pair_bodies(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -162,23 +188,32 @@ def dedup_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     extra = F.struct(*[df[c] for c in carry]) if carry else F.lit(None).cast("string")
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[text_col].cast("string")).alias("text_hash"), df[text_col].cast("string").alias("text"), extra.alias("carried"))
     own = [F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")]
-    often = written(pair_table(rows).groupBy("h").count().filter("count > 1").select("h"), "repeated-pairs")
-    places = pair_table(rows).join(often, "h", "left_semi").groupBy(*own).agg(F.collect_set("place").alias("places"))
+    gone = written(repeated_chunks(rows), "repeated-chunks")
+    inside = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")) & (F.col("pairs.chunk") == F.col("gone.chunk"))
+    left = pair_table(rows).alias("pairs").join(gone.alias("gone"), inside, "left_anti").drop("chunk")
+    left = written(left, "second-level")
+    often = left.groupBy("h").count().filter("count > 1").select("h")
+    places = left.join(often, "h", "left_semi").groupBy(*own).agg(F.collect_set("place").alias("places"))
     pairs = written(pair_bodies(rows, places), "pairs")
     first = written(pairs.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first")).filter("n > 1").select("body", "first"), "first-pairs")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     again = pairs.join(first, "body").filter(~same | (F.col("place") >= F.col("first.place") + 2))
-    drops = again.groupBy(*own).agg(F.collect_set("place").alias("drop"))
-    both = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")), "left").select("doc_id", "text", "carried", "drop")
+    drops = again.select(*own, "place", F.lit(None).cast("int").alias("chunk")).unionByName(gone.select("of", "of_text", F.lit(None).cast("int").alias("place"), "chunk"))
+    drops = drops.groupBy("of", "of_text").agg(F.collect_set("place").alias("drop"), F.collect_set("chunk").alias("whole"))
+    both = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")), "left").select("doc_id", "text", "carried", "drop", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_ranges(batch.column(1)):
                 part = batch.slice(a, b - a)
                 texts, n, gone = [], [], []
-                for text, drop in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for text, drop, whole in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                     lines = [] if text is None else text.split("\n")
                     drop = {j for i in drop or () for j in (i, i + 1) if j < len(lines)}
+                    if whole:
+                        sizes = [k for _, k, _ in chunks(text, RUN_DIVISOR)]
+                        begin = np.concatenate([[0], np.cumsum(sizes)])
+                        drop |= {j for i in whole for j in range(begin[i], begin[i + 1])}
                     texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
                     n.append(len(lines))
                     gone.append(len(drop))

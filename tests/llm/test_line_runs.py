@@ -53,12 +53,36 @@ def test_equal_hashes_of_unequal_pairs(spark, monkeypatch):
     rows = [(1, "a\nb"), (2, "c\nd"), (3, "a\nb")]
 
     def table(rows):
-        return rows.filter("text is not null").select("doc_id", "text_hash", F.lit(0).alias("place"), F.lit(42).cast("long").alias("h"))
+        return rows.filter("text is not null").select("doc_id", "text_hash", F.lit(0).alias("place"), F.lit(None).cast("int").alias("chunk"), F.lit(42).cast("long").alias("h"))
 
     monkeypatch.setattr(linededup, "pair_table", table)
     assert sorted((r.doc_id, r.text) for r in linededup.dedup_runs(docs(spark, rows)).collect()) == [(1, "a\nb"), (2, "c\nd"), (3, "")]
 
 
+def test_chunks_carry_most_of_the_work(spark):
+    """Whole repeated chunks go at the first level; of a copy, the second level sees only pairs across boundaries."""
+    rng = random.Random(13)
+    passage = "\n".join(f"line {rng.random()}" for _ in range(60))
+    rows = [(i, f"own {i}\n{passage}\nend {i}") for i in range(5)]
+    frame = docs(spark, rows).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    gone = linededup.repeated_chunks(frame).collect()
+    sizes = {i: [n for _, n, _ in linededup.chunks(t, linededup.RUN_DIVISOR)] for i, t in rows}
+    lines = {i: sum(sizes[i][r.chunk] for r in gone if r.of == i) for i, _ in rows}
+    assert lines[0] == 0 and all(30 < lines[i] <= 60 for i in range(1, 5))
+    pairs = linededup.pair_table(frame).collect()
+    inside = [r for r in pairs if (r.doc_id, r.chunk) in {(g.of, g.chunk) for g in gone}]
+    assert len(inside) > 100 and all(r.chunk is None or sizes[r.doc_id][r.chunk] >= 2 for r in pairs)
+    got = {r.doc_id: r.text for r in linededup.dedup_runs(docs(spark, rows)).collect()}
+    assert got == {i: t if i == 0 else f"own {i}\nend {i}" for i, t in rows}
+
+
+def test_chunks_of_one_hash_and_unequal_bytes(spark, monkeypatch):
+    """Chunks are told apart by their bytes."""
+    real = linededup.chunk_table
+    monkeypatch.setattr(linededup, "chunk_table", lambda rows, divisor, bodies: real(rows, divisor, bodies).withColumn("h", F.lit(1).cast("long")))
+    test_planted_passages_of_every_length_go(spark)
+
+
 def test_the_query_removes_runs(spark):
     from helpers import SF
     rows = {r.doc_id: r.h for r in spark.createDataFrame(texts(), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("h")).collect()}
