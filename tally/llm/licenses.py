@@ -1,6 +1,11 @@
 """License scans by conditional compression.
 
-Candidate blocks are the stretches of a text around words that license notices use. A block
+Candidate blocks are the stretches of a text around cue words. Cues come from the templates:
+of each one more word than a match may lack, so that every match holds a cue of its own
+template. A block reaches to both sides as many words as the longest match can have, over
+lines and comment signs of any width, and overlapping blocks are one. Long blocks are gone
+through in windows of bounded size that overlap by the longest match, so that the work grows
+with the text. What stands in a window
 is compressed (in lower case) alone and with each template as a raw zstandard dictionary;
 templates are ranked by how much smaller they make it. All are tried in that order until one is
 confirmed by the exact differences in wording: a template matches if at most ``tolerance`` of
@@ -9,8 +14,8 @@ so that savings give the order only; templates of whose words too many are nowhe
 block need no comparison. Matching words far from the rest of a match count as missing. What stands before and after a match is scanned again, so
 that several notices in one block are all found.
 
-Null and empty texts and texts without such words give no rows, others one row per notice.
-Whole texts are scanned. Repeated rows give repeated results; null ids are kept as null;
+Null and empty texts and texts without cues give no rows, others one row per notice.
+Whole texts are scanned; of a very long one only blocks are split into words. Repeated rows give repeated results; null ids are kept as null;
 other input columns are ignored; an empty table gives an empty result. Templates that save
 equally much go by name. Placeholders in angle brackets stand for any words.
 """
@@ -31,9 +36,8 @@ from pyspark.sql import functions as F
 from tally.llm.common import text_ranges
 
 TOLERANCE = 0.1  # share of a template's words that may be missing
-REACH = 1500  # characters around a cue that a block takes of a long line
-GAP = 3  # lines without a cue that do not end a block
-CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|public domain|spdx|permission is hereby|permission to use|all rights reserved"
+WINDOW = 4  # longest matches that a window holds
+LEGAL = re.compile(r"(?i)licen[cs]|copyright|warrant|redistribut|spdx|permission")  # words of this kind are the first choice as cues
 # Wordings of public license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -62,18 +66,38 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in _WORD(text)]
 
 
-def blocks(text: str, cue=re.compile(CUES)) -> list[tuple[int, int]]:
-    """Spans around cues: whole lines (long ones as far as ``REACH``), joined over small gaps."""
+def reach(text: str, at: int, n: int, backward: bool) -> int:
+    """Place of the ``n``-th word before or after ``at`` (or the text's end)."""
+    size = 16 * n
+    while True:
+        a, b = (max(0, at - size), at) if backward else (at, min(len(text), at + size))
+        found = words(text[a:b])
+        if len(found) > n or (a == 0 if backward else b == len(text)):  # the outermost word may be cut
+            break
+        size *= 2
+    if len(found) <= n:
+        return a if backward else b
+    return a + found[-n][1] if backward else a + found[n - 1][2]
+
+
+def blocks(text: str, cue: re.Pattern, n: int) -> list[tuple[int, int]]:
+    """Spans of ``n`` words to both sides of every cue, overlapping ones joined."""
     out: list[list[int]] = []
     for m in cue.finditer(text):
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        b = len(text) if b < 0 else b
-        a, b = max(a, m.start() - REACH), min(b, m.end() + REACH)
-        if out and (a <= out[-1][1] or text.count("\n", out[-1][1], a) <= GAP + 1 and a - out[-1][1] <= REACH):
-            out[-1][1] = max(out[-1][1], b)
+        if out and m.end() <= out[-1][2]:  # far inside: only the right end moves
+            out[-1][3] = m.end()
+            continue
+        if out:
+            out[-1][1] = reach(text, out[-1][3], n, False)
+        a = reach(text, m.start(), n, True)
+        if out and a <= out[-1][1]:
+            out[-1][3] = m.end()
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append([a, m.end(), 0, m.end()])
+        out[-1][2] = m.end() + n  # n words are more than n characters
+    if out:
+        out[-1][1] = reach(text, out[-1][3], n, False)
+    return [(a, b) for a, b, *_ in out]
 
 
 def aligned(want: list[str], found: list[tuple[str, int, int]], least: float, most: float) -> tuple[int, int, int, int] | None:
@@ -118,8 +142,16 @@ class Scanner:
     def __init__(self, templates: dict[str, str], tolerance: float):
         self.tolerance = tolerance
         self.alone = zstandard.ZstdCompressor(level=9)
+        templates = {k: t for k, t in templates.items() if words(_HOLE.sub(" ", t))}
         self.given = {k: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(_HOLE.sub("", t).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in sorted(templates.items())}
         self.words = {k: [w for w, _, _ in words(_HOLE.sub(" ", t))] for k, t in templates.items()}
+        self.holes = {k for k, t in templates.items() if _HOLE.search(t)}
+        self.longest = max((len(w) + int(self.most(k)) for k, w in self.words.items()), default=0) + 1
+        self.cue = re.compile(cues(self.words, tolerance))
+
+    def most(self, name: str) -> float:
+        """Words that may stand between those of a match."""
+        return 2 * self.tolerance * len(self.words[name]) + 8 * (name in self.holes)
 
     def savings(self, block: str) -> list[tuple[str, int]]:
         """Templates by the bytes they save, most first."""
@@ -132,7 +164,7 @@ class Scanner:
         want = self.words[name]
         if sum((Counter(want) - Counter(w for w, _, _ in found)).values()) > self.tolerance * len(want):
             return None
-        most = 2 * self.tolerance * len(want) + 8 * ("<" in TEMPLATES.get(name, ""))
+        most = self.most(name)
         best = aligned(want, found, self.tolerance * len(want), most)
         if best is None:  # stray words may have drawn the alignment away: one stretch after the other
             size = len(want) + int(most)  # no match is longer
@@ -149,26 +181,58 @@ class Scanner:
         text = "; ".join(f"{' '.join(want[i1:i2])} -> {' '.join(there[j1:j2])}" for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, want, there, autojunk=False).get_opcodes() if op != "equal")
         return missing, added, first, last, text
 
-    def scan(self, text: str) -> list[tuple]:
-        """``(start, end, license, saved bytes, words missing, words added, differences)`` of every notice."""
-        out, todo = [], blocks(text)
+    def window(self, text: str, found: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, tuple]]:
+        """First and last word and result of every notice among the words ``found``."""
+        todo = [(0, len(found))]
         while todo:
             a, b = todo.pop()
-            found = words(text[a:b])
-            for name, saved in self.savings(text[a:b]):
-                got = self.differences(name, found)
+            if a == b or not self.cue.search(text, found[a][1], found[b - 1][2]):
+                continue
+            some = found[a:b]
+            for name, saved in self.savings(text[some[0][1]: some[-1][2]]):
+                got = self.differences(name, some)
                 if got:
                     missing, added, first, last, wording = got
-                    s, e = a + found[first][1], a + found[last - 1][2]
-                    out.append((s, e, name, saved, missing, added, wording))
-                    todo += [(a + x, a + y) for x, y in blocks(text[a:s])] + [(e + x, e + y) for x, y in blocks(text[e:b])]
+                    yield a + first, a + last, (found[a + first][1], found[a + last - 1][2], name, saved, missing, added, wording)
+                    todo += [(a, a + first), (a + last, b)]
                     break
+
+    def scan(self, text: str) -> list[tuple]:
+        """``(start, end, license, saved bytes, words missing, words added, differences)`` of every notice."""
+        out = []
+        for a, b in blocks(text, self.cue, self.longest) if self.words else ():
+            found = [(w, a + x, a + y) for w, x, y in words(text[a:b])]
+            at, size = 0, WINDOW * self.longest
+            while at < len(found):
+                whole = at + size >= len(found)
+                certain = len(found) if whole else at + size - self.longest  # later beginnings belong to the next window
+                last = certain
+                for x, y, row in self.window(text, found[at: at + size]):
+                    if at + x < certain:
+                        out.append(row)
+                        last = max(last, at + y)
+                at = last
         return sorted(out)
 
 
+def cues(templates: dict[str, list[str]], tolerance: float) -> str:
+    """A pattern of words of which every match holds one: of each template one more than may be missing.
+
+    Legal words come first, then long ones.
+    """
+    out: set[str] = set()
+    for want in templates.values():
+        order = sorted(set(want), key=lambda w: (LEGAL.search(w) is None, -len(w), w))
+        out.update(order[: int(tolerance * len(want)) + 1])
+    return "(?i)" + "|".join(re.escape(w) for w in sorted(out))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """``doc_id, start, stop, license, saved_bytes, n_missing, n_added, wording`` of every notice in every row's text."""
     templates = TEMPLATES if templates is None else templates
+    if not any(words(_HOLE.sub(" ", t)) for t in templates.values()):
+        raise ValueError("templates need words")
+    pattern = Scanner(templates, tolerance).cue.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, tolerance)
@@ -179,5 +243,5 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "stop", "license", "saved_bytes", "n_missing", "n_added", "wording"])
 
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).filter(F.col("text").rlike(CUES))
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).filter(F.col("text").rlike(pattern))
     return rows.mapInArrow(run, "doc_id long, start int, stop int, license string, saved_bytes int, n_missing int, n_added int, wording string")

@@ -52,3 +52,61 @@ def test_stray_words_far_from_a_notice():
     assert (start, end) == (len(intro) + 1, len(intro) + len(reserved)) and (missing, added) == (0, 2) and wording == " -> 2020 foo"
     rows = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE).scan(f"{warranty}\n{mit}\n{warranty}")
     assert [(x[0], x[2]) for x in rows] == [(len(warranty) + 1, "MIT-text")]
+
+
+PROSE = "It was a calm day and nobody in the village knew what the river would bring before the evening came."
+
+
+def wrapped(text, width, sign=""):
+    import textwrap
+    return "\n".join(sign + x for x in textwrap.wrap(text, width - len(sign), break_long_words=False))
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_template_in_every_layout(name):
+    notice = licenses._HOLE.sub("Foo", licenses.TEMPLATES[name])
+    for width, sign in ((20, ""), (30, ""), (40, "// "), (50, "# "), (60, ""), (60, " * "), (72, ""), (80, ";; ")):
+        for before, after in ((PROSE, PROSE), ("", ""), (PROSE * 30, ""), ("", PROSE * 30)):
+            text = f"{before}\n{wrapped(notice, width, sign)}\n{after}"
+            assert name in names(text), (width, sign)
+            assert len(names(text)) == 1
+    for times in (1, 10, 200):  # on one long line
+        assert names(f"{PROSE * times} {notice} {PROSE * times}") == [name]
+    want = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE).words[name]
+    rng = random.Random(name)
+    for _ in range(10):  # as many words missing as may be, the cues among them first
+        gone = sorted(range(len(want)), key=lambda i: (licenses.LEGAL.search(want[i]) is None, rng.random()))[: int(0.1 * len(want))]
+        text = f"{PROSE}\n{wrapped(' '.join(w for i, w in enumerate(want) if i not in gone), 50)}\n{PROSE}"
+        assert names(text) == [name]
+
+
+def test_a_long_template_and_one_without_legal_words():
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(1700))
+    given = {"long": long, "plain": "Take it and do whatever you like with these pages, friend."}
+    scanner = licenses.Scanner(given, 0.1)
+    for text, want in ((long, ["long"]), (f"{PROSE} {long} {PROSE}", ["long"]), (wrapped(given["plain"], 20, "# "), ["plain"]), (f"{PROSE}\n{wrapped(long, 40)}\n{given['plain']}", ["long", "plain"])):
+        assert [x[2] for x in scanner.scan(text)] == want
+
+
+def test_notices_at_all_places_of_long_blocks():
+    """Windows end at no notice's cost: many in a row, apart by any number of words."""
+    rng = random.Random(10)
+    order = [rng.choice([k for k in licenses.TEMPLATES if k != "Apache-2.0"]) for _ in range(60)]
+    filler = PROSE.split()
+    text = "\n".join(f"{' '.join(rng.choices(filler, k=rng.randint(0, 40)))}\n{licenses._HOLE.sub('Foo', licenses.TEMPLATES[k])}" for k in order)
+    assert names(text) == order
+
+
+def test_work_grows_with_the_number_of_notices():
+    import time
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.TOLERANCE)
+    took = {}
+    for n in (100, 400):
+        text = "\n".join(f"{PROSE} {licenses.TEMPLATES['MIT']}" for _ in range(n))
+        began = time.perf_counter()
+        assert len(scanner.scan(text)) == n
+        took[n] = time.perf_counter() - began
+    assert took[400] < 8 * took[100]
+    began = time.perf_counter()
+    assert scanner.scan((PROSE + "\n") * 50_000 + "license") == [] and time.perf_counter() - began < 5
