@@ -158,6 +158,7 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     often = written(chunk_table(rows, RUN_DIVISOR, False).groupBy("h").count().filter("count > 1").select("h"), "repeated-hashes")
     found = written(chunk_table(rows, RUN_DIVISOR, True).join(often, "h", "left_semi").drop("h").distinct(), "chunk-bodies")
     first = found.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first")).filter("n > 1").select("body", "first")
+    first = written(first, "first-chunks")  # so that a join on it can split a body that many texts hold
     again = found.join(first, "body").filter(~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first")))
     return again.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"), F.col("place").alias("chunk"))
 
