@@ -189,8 +189,8 @@ class Totals:
 class Block:
     """Rows of one block, mapped by each kernel once."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray):
-        self.x, self.y, self.fold = x, y, fold
+    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, key: np.ndarray | None = None):
+        self.x, self.y, self.fold, self.key = x, y, fold, key  # key: a hash of the row's id
         self.cache: dict = {}
 
     def __getstate__(self):
@@ -242,11 +242,11 @@ def prepare(df: DataFrame, columns: list[str], label: str = "y", id_col: str = "
     rows = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.col(label).cast("double").alias("y"), fold_col)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y, fold, n = [], [], [], 0
+        x, y, fold, key, n = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             raw = io.BytesIO()
-            np.savez(raw, x=np.concatenate(x), y=np.concatenate(y), fold=np.concatenate(fold))
+            np.savez(raw, x=np.concatenate(x), y=np.concatenate(y), fold=np.concatenate(fold), key=np.concatenate(key))
             return pa.RecordBatch.from_pydict({"block": pa.array([raw.getvalue()], pa.binary())})
 
         for batch in batches:
@@ -258,8 +258,9 @@ def prepare(df: DataFrame, columns: list[str], label: str = "y", id_col: str = "
                 s = slice(a, a + BLOCK)
                 if n and n + len(labels[s]) > BLOCK:
                     yield out()
-                    x, y, fold, n = [], [], [], 0
+                    x, y, fold, key, n = [], [], [], [], 0
                 x, y, fold, n = [*x, values[s]], [*y, labels[s]], [*fold, batch.column("fold").to_numpy()[s]], n + len(labels[s])
+                key = [*key, batch.column("key").to_numpy().view(np.uint64)[s]]
         if n:
             yield out()
 

@@ -10,13 +10,13 @@ from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.operators import linear, trees
+from tally.operators import linear, network, trees
 from tally.operators.encode import with_weight
 
 
@@ -74,12 +74,6 @@ def tree_spec(kind: str, params: dict, patience: int | None = None, seed: int =
     return trees.Spec(**values, patience=patience, seed=seed, held_out=held_out)
 
 
-def linear_svm(C: float = 1.0, n: int | None = None, label: str = "y", weight: str | None = "weight") -> LinearSVC:
-    """L4: linear SVM (kernels via ``kernel_map``); regParam = 1 / (C * n)."""
-    svc = LinearSVC(labelCol=label, regParam=1.0 / (C * n) if n else 0.0, maxIter=100)
-    return svc.setWeightCol(weight) if weight else svc
-
-
 def linear_spec(kind: str, params: dict, train: DataFrame, cols: list[str], held_out: int | None = None, landmarks: tuple | None = None,
                 id_col: str = "id") -> linear.LinearSpec:
     """L1 / L4: settings of a logistic regression or an SVM from the library's parameters; unknown keys raise.
@@ -109,16 +103,11 @@ def estimator(kind: str, params: dict, train: DataFrame, cols: list[str], label:
     if kind in ("logistic", "svm"):
         return linear_spec(kind, params, train, cols), cols, same
     if kind == "mlp":
-        _check(params, {"hidden", "epochs"}, kind)
-        return mlp([len(cols), *params.get("hidden", [128, 64]), 2], label, seed, params.get("epochs", 100)), cols, same
+        _check(params, {"hidden", "epochs", "batch", "learning_rate", "decay", "dropout", "pos_weight"}, kind)
+        return network.NetworkSpec(**{k: tuple(v) if k == "hidden" else v for k, v in params.items() if k not in NO_EFFECT}, patience=patience, seed=seed), cols, same
     raise ValueError(f"unknown model {kind!r}")
 
 
-def mlp(layers: list[int], label: str = "y", seed: int = 42, max_iter: int = 200) -> MultilayerPerceptronClassifier:
-    """MLP head; layers = [input dim, hidden..., 2]."""
-    return MultilayerPerceptronClassifier(labelCol=label, layers=layers, seed=seed, maxIter=max_iter)
-
-
 def fit(estimator, train: DataFrame, feature_cols: list[str], label: str = "y", id_col: str = "id", val: DataFrame | None = None):
     """Assemble + estimator as one PipelineModel, or a ``TreeModel`` or ``LinearModel`` of their settings.
 
@@ -130,6 +119,8 @@ def fit(estimator, train: DataFrame, feature_cols: list[str], label: str = "y",
         if val is not None:
             rows = rows.unionByName(val.select(*cols, F.lit(trees.VALIDATE).alias("_part")))
         return trees.fit_many(trees.prepare(rows, feature_cols, label, id_col, part="_part"), [estimator])[0]
+    if isinstance(estimator, network.NetworkSpec):
+        return network.fit(train, feature_cols, estimator, val, label, id_col)
     if isinstance(estimator, linear.LinearSpec):
         return linear.fit_many(linear.prepare(train, feature_cols, label, id_col), [estimator])[0]
     asm = VectorAssembler(inputCols=feature_cols, outputCol=estimator.getFeaturesCol(), handleInvalid="error")
@@ -138,7 +129,7 @@ def fit(estimator, train: DataFrame, feature_cols: list[str], label: str = "y",
 
 def predict(model, df: DataFrame, id_col: str = "id", label: str = "y", keep: list[str] | None = None) -> DataFrame:
     """Scored rows (id, y, score = P(class 1)); SVM-like models give their margin as score."""
-    if isinstance(model, (trees.TreeModel, linear.LinearModel)):
+    if isinstance(model, (trees.TreeModel, linear.LinearModel, network.NetworkModel)):
         return model.predict(df, [id_col, label, *(keep or [])])
     out = model.transform(df)
     if "probability" in out.columns:

@@ -178,15 +178,13 @@ def model_svm_rbf(spark, sf):
     return r6(MD.predict(model, test))
 
 
-@register("model_mlp", "L6 L7 E9")
+@register("model_mlp", "L6 L7 M17")
 def model_mlp(spark, sf):
-    """MLP head; it takes no weight column, so the training split is balanced with SMOTE first."""
-    from tally.operators import resample
-    train, test, feats = prepared_splits(spark, sf)
-    balanced = resample.smote(train, "y", "id", feats, k=5, seed=42).select(*feats, "y").checkpoint(eager=True)
-    kind, params, _ = PRESETS["tabular_deep_baseline"]
-    est, _, _ = MD.estimator(kind, params, balanced, feats)
-    return r6(MD.predict(MD.fit(est, balanced, feats), test))
+    """The network preset: weighted mini-batches, patience on the validation split; scores of the test split."""
+    kind, params, training = PRESETS["tabular_deep_baseline"]
+    train, val, test, feats = prepared_three(spark, sf)
+    est, _, _ = MD.estimator(kind, params, train, feats, patience=training["patience"])
+    return r6(MD.predict(MD.fit(est, train, feats, val=val), test))
 
 
 @register("model_comparison", "L1 L2 L3 L4 L5 M16 W4")
