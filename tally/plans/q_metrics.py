@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tally.functions.exprs import keyed_values, sigmoid, softplus
+from tally.functions.exprs import sigmoid
 from tally.operators import compare as C
+from tally.operators import losses
 from tally.operators import metrics as M
 from tally.operators import thresholds as TH
 from tally.plans import fixtures as fx
@@ -327,14 +328,9 @@ SELECT model, ROUND(AVG(prob), 6) AS mean_prob, ROUND(MAX(pw), 6) AS pos_weight,
        ROUND(AVG(y * sp_neg + (1 - y) * sp_pos), 6) AS bce
 FROM l GROUP BY model""")
 def sigmoid_bce(spark, sf):
+    """Mean probability and losses of every model's logits."""
     s = S(spark, sf).withColumn("z", F.col("score") * 10 - 5)
-    pw = F.sqrt(F.sum(1 - F.col("y")).cast("double") / F.sum("y"))
-    x = s.withColumns(keyed_values(s.groupBy("model").agg(pw.alias("pw")), ["model"], ["pw"]))
-    y = F.col("y")
-    wbce = F.col("pw") * y * softplus(-F.col("z")) + (1 - y) * softplus(F.col("z"))
-    bce = y * softplus(-F.col("z")) + (1 - y) * softplus(F.col("z"))
-    return r6(x.groupBy("model").agg(F.avg(sigmoid("z")).alias("mean_prob"), F.max("pw").alias("pos_weight"),
-                                     F.avg(wbce).alias("weighted_bce"), F.avg(bce).alias("bce")))
+    return r6(losses.weighted_bce(s, ["model"], "z", extra=(F.avg(sigmoid("z")).alias("mean_prob"),)))
 
 
 @register("write_read_report", "S10 M16", views=("scored",), oracle=COMPARE_MODELS_SQL)

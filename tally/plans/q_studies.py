@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tally.functions.exprs import softplus
 from tally.operators import compare as C
-from tally.operators import metrics as M
-from tally.operators import splits, studies
+from tally.operators import losses, splits, studies
 from tally.plans import fixtures as fx
 from tally.plans.q_metrics import r6
 from tally.plans.registry import register
@@ -150,15 +148,7 @@ SELECT (SELECT COUNT(*) FROM ok) AS n_valid, (SELECT COUNT(*) FROM v) - (SELECT
 FROM cm, auc""")
 def slice_metrics(spark, sf):
     """Metrics over real (unpadded) slice positions; NaN predictions are dropped and counted."""
-    v = ordered(spark, sf).where(F.col("pos") < MAX_LEN)
-    ok = v.where(~F.isnan("slice_score"))
-    cm = M.with_rates(M.confusion(ok, [], "slice_score", "label", 0.5, ">"))
-    auc = M.auroc(ok, [], "slice_score", "label").select("auc").scalar()
-    counts = v.agg(F.sum((~F.isnan("slice_score")).cast("long")).alias("n_valid"),
-                   F.sum(F.isnan("slice_score").cast("long")).alias("n_nan_dropped"))
-    c = counts.select(F.struct("n_valid", "n_nan_dropped")).scalar()
-    return r6(cm.select(c.getField("n_valid").alias("n_valid"), c.getField("n_nan_dropped").alias("n_nan_dropped"),
-                        "*", auc.alias("auc")))
+    return r6(losses.slice_metrics(ordered(spark, sf), "slice_score", "label", F.col("pos") < MAX_LEN))
 
 
 @register("masked_bce", "M18 M17", views=("slices",), oracle=f"""
@@ -169,13 +159,8 @@ SELECT study_id, ROUND(SUM((label * (GREATEST(-z, 0) + LN(1 + EXP(-ABS(z)))) + (
        CAST(SUM(mask) AS BIGINT) AS n_real
 FROM l GROUP BY study_id""")
 def masked_bce(spark, sf):
-    o = ordered(spark, sf)
-    z = F.col("slice_score") * 10 - 5
-    y = F.col("label")
-    loss = y * softplus(-z) + (1 - y) * softplus(z)
-    mask = (F.col("pos") < MAX_LEN).cast("double")
-    return r6(o.groupBy("study_id").agg((F.sum(loss * mask) / (F.sum(mask) + 1e-8)).alias("loss"),
-                                        F.sum(mask).cast("long").alias("n_real")))
+    """Loss of every study over its real positions."""
+    return r6(losses.masked_bce(ordered(spark, sf), ["study_id"], F.col("slice_score") * 10 - 5, "label", F.col("pos") < MAX_LEN))
 
 
 @register("study_split", "R3 A8", views=("slices",), oracle="""

@@ -129,3 +129,25 @@ def test_best_f1_default_when_no_positive_f1(spark):
     df = scored_df(spark, [("a", 1, 0.05), ("a", 0, 0.02)])
     sw = TH.threshold_sweep(df, ["g"], TH.GRID_A, ">")
     assert TH.best_f1_threshold(sw, ["g"]).first().best_threshold == 0.5
+
+
+def test_losses_by_hand(spark):
+    from tally.operators import losses
+    rows = [("a", 2.0, 1), ("a", -1.0, 0), ("a", 0.5, 0), ("b", 800.0, 0), ("b", -800.0, 1), ("c", 1.0, 0)]
+    df = spark.createDataFrame(rows, "g string, z double, y int")
+
+    def plain(z, y, w=1.0):
+        return w * math.log1p(math.exp(-z)) if y else math.log1p(math.exp(z))
+
+    got = {r.g: r for r in losses.weighted_bce(df, ["g"], "z", extra=(F.count("*").alias("n"),)).collect()}
+    w = math.sqrt(2.0)
+    assert got["a"].n == 3 and got["a"].pos_weight == pytest.approx(w)
+    assert got["a"].bce == pytest.approx(sum(plain(z, y) for g, z, y in rows if g == "a") / 3)
+    assert got["a"].weighted_bce == pytest.approx(sum(plain(z, y, w) for g, z, y in rows if g == "a") / 3)
+    assert got["b"].bce == pytest.approx(800.0) and got["c"].weighted_bce is None and got["c"].bce == pytest.approx(plain(1.0, 0))
+    assert losses.weighted_bce(df, [], "z").columns == ["pos_weight", "weighted_bce", "bce"]
+    masked = {r.g: r for r in losses.masked_bce(df, ["g"], "z", "y", F.col("z") > 0).collect()}
+    assert masked["a"].n_real == 2 and masked["a"].loss == pytest.approx((plain(2.0, 1) + plain(0.5, 0)) / 2)
+    nan = spark.createDataFrame([(0.9, 1, True), (float("nan"), 1, True), (0.2, 0, True), (0.7, 0, False)], "s double, y int, v boolean")
+    r = losses.slice_metrics(nan, "s", "y", "v").first()
+    assert (r.n_valid, r.n_nan_dropped, r.tp, r.fp, r.fn, r.tn, r.auc) == (2, 1, 1, 0, 0, 1, 1.0)
