@@ -111,14 +111,14 @@ def test_resize_volume_distributed_matches_numpy(spark):
 def test_read_image_folder_labels_sorted_classes(spark):
     from tally.sources import images
     root = tempfile.mkdtemp()
-    for cls, n in (("stroke", 2), ("normal", 3)):
+    for cls, n in (("ill", 2), ("normal", 3)):
         os.makedirs(os.path.join(root, cls))
         for i in range(n):
             with open(os.path.join(root, cls, f"{i}.png"), "wb") as fh:
                 fh.write(bytes([i, 1, 2]))
     m = images.read_image_folder(spark, root, pattern="*.png").collect()
     assert len(m) == 5
-    assert {r["class"]: r.label for r in m} == {"normal": 0, "stroke": 1}
+    assert {r["class"]: r.label for r in m} == {"ill": 0, "normal": 1}
     linked, missing = images.link_records(
         spark.createDataFrame([(m[0].path,), ("/nope/x.png",)], "path string"),
         spark.createDataFrame([(r.path,) for r in m], "path string"))
