@@ -3,11 +3,14 @@
 Exact k-NN without an all-pairs product:
 1. equal vectors become one vector with its k + 1 smallest ids, which is all an
    answer can hold; a bounded sample of the vectors is cut into cells by median
-   splits (a k-d tree of fixed cell size, whatever the number of points);
+   splits (a k-d tree), and cells that hold too many vectors are cut again by a
+   bounded sample of each, until none holds more than twice ``CELL``;
 2. the k-th distance inside a vector's own cell bounds its true k-th distance;
 3. the vector visits just the cells whose box (of the points in it) is not
    farther than that, distances there are exact, and the k nearest (ties by id)
-   are kept.
+   are kept. Boxes of the first cells, whose number is bounded, go to the tasks;
+   boxes of cells cut later are joined with the vectors that visit the cell they
+   were cut from.
 A vector meets the points of its own and of neighbouring cells, so that the work
 per point stays level as points are added (in few dimensions; in many, boxes
 overlap and more cells have to be visited).
@@ -15,6 +18,7 @@ overlap and more cells have to be visited).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +29,10 @@ from pyspark.sql import functions as F
 from tally.functions.exprs import seeded_key
 from tally.operators.ordered import running_counts
 
-SAMPLE = 20_000  # vectors that decide the cuts
+SAMPLE = 20_000  # vectors that decide the first cuts, into at most a quarter as many cells
 CELL = 1024  # points of a cell, about
-MAX_CELLS = SAMPLE // 4
+FAN = 64  # cells that one cell is cut into at most in one pass
+PICK = 64 * FAN  # vectors of a cell, about, that decide its cuts
 
 
 def _cuts(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +48,8 @@ def _cuts(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
             if spread[j] > 0:
                 axis[node] = j
                 value[node] = np.partition(x[:, j], len(x) // 2)[len(x) // 2]
+                if value[node] == x[:, j].min():  # most are equal here: the others go to the right
+                    value[node] = x[x[:, j] > value[node], j].min()
         right = x[:, axis[node]] >= value[node] if axis[node] >= 0 else np.zeros(len(x), bool)
         parts[2 * node], parts[2 * node + 1] = x[~right], x[right]
     return axis, value
@@ -68,11 +75,45 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(-1, dim)
 
 
+def _cut_again(placed: DataFrame, dim: int, id_type: str, seed: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Cut every cell of more than 2 * ``CELL`` vectors by about ``PICK`` of its own, until there is none.
+
+    Returns ``node, v, cell`` and, for every pass, ``parent, child, lo, hi``: the new cells' boxes.
+    """
+    def cut(t: pa.Table) -> pa.Table:
+        size = t["n"][0].as_py()
+        axis, value = _cuts(_matrix(t["v"], dim), min(FAN, size // CELL + 1))
+        return pa.table({"cell": t["cell"][:1], "axis": pa.array([axis.tolist()], pa.list_(pa.int32())), "value": pa.array([value.tolist()])})
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, parent = _matrix(batch.column("v"), dim), batch.column("cell").to_numpy()
+            child = np.zeros(len(x), np.int64)
+            for c, first in zip(*np.unique(parent, return_index=True), strict=True):
+                own = parent == c
+                axis, value = (np.array(batch.column(k)[int(first)].as_py()) for k in ("axis", "value"))
+                child[own] = c * 2 * FAN + _cells(x[own], axis, value)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array(child), batch.column("cell")], ["node", "v", "cell", "parent"])
+
+    parts, boxes, at = [], [], placed
+    while True:
+        sizes = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * CELL).checkpoint(eager=True)
+        if sizes.isEmpty():
+            return functools.reduce(DataFrame.unionByName, [*parts, at.select("node", "v", "cell")]), boxes
+        parts.append(at.select("node", "v", "cell").join(sizes, "cell", "left_anti"))
+        full = at.select("node", "v", "cell").join(sizes, "cell")
+        picked = full.where(F.pmod(F.xxhash64("v", F.lit(seed + len(parts))), F.col("n")) < PICK)
+        cuts = picked.groupBy("cell").applyInArrow(cut, "cell long, axis array<int>, value array<double>").checkpoint(eager=True)
+        at = full.join(cuts, "cell").mapInArrow(move, f"node {id_type}, v array<double>, cell long, parent long").checkpoint(eager=True)
+        edge = lambda f: F.array(*[f(F.col("v")[j]) for j in range(dim)])
+        boxes.append(at.groupBy("parent", F.col("cell").alias("child")).agg(edge(F.min).alias("lo"), edge(F.max).alias("hi")))
+
+
 def knn(points: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, seed: int = 0, stats: dict | None = None) -> DataFrame:
     """Exact k nearest neighbours (excluding self) -> (id, nn_rank 1..k, nn_id, dist2).
 
     Raises if there are not more than k points, as the library does. ``stats`` gets
-    the number of cells and of visits of vectors to cells.
+    the numbers of cells and of visits of vectors to cells, and the size of the largest cell.
     """
     from tally.session import checkpoint_dir
 
@@ -84,27 +125,30 @@ def knn(points: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, seed: in
         raise ValueError(f"{n} points are too few for {k} neighbours")
     ids = p.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r").checkpoint(eager=True)
     nodes = ids.groupBy("v").agg(F.min("id").alias("node"))
-    some = nodes.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(SAMPLE).toArrow()
-    axis, value = _cuts(_matrix(some["v"], dim), int(min(MAX_CELLS, n // CELL + 1)))
+    some = _matrix(nodes.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(SAMPLE).toArrow()["v"], dim)
+    axis, value = _cuts(some, int(min(SAMPLE // 4, nodes.count() // CELL + 1)))
+    some = some[:CELL]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("cell", pa.array(_cells(_matrix(batch.column("v"), dim), axis, value)))
 
     id_type = points.schema[id_col].dataType.simpleString()
-    placed = nodes.select("node", "v").mapInArrow(place, f"node {id_type}, v array<double>, cell long").checkpoint(eager=True)
+    first = nodes.select("node", "v").mapInArrow(place, f"node {id_type}, v array<double>, cell long").checkpoint(eager=True)
+    placed, later = _cut_again(first, dim, id_type, seed)
 
     def reach(t: pa.Table) -> pa.Table:
         x = _matrix(t["v"], dim)
         far = np.full(len(x), np.inf)
-        if len(x) > k:
+        y = x if len(x) > k else some  # any k + 1 vectors give a bound
+        if len(y) > k:
             for i in range(0, len(x), 256):
-                far[i:i + 256] = np.partition(_dist2(x[i:i + 256], x), k, axis=1)[:, k]
+                far[i:i + 256] = np.partition(_dist2(x[i:i + 256], y), k, axis=1)[:, k]
         return t.append_column("far", pa.array(far))
 
     known = placed.groupBy("cell").applyInArrow(reach, f"node {id_type}, v array<double>, cell long, far double").checkpoint(eager=True)
     edges = [f(F.col("v")[j]).alias(f"{c}{j}") for j in range(dim) for f, c in ((F.min, "lo"), (F.max, "hi"))]
-    boxes = placed.groupBy("cell").agg(*edges).toArrow()  # at most MAX_CELLS x 2 rows
+    boxes = first.groupBy("cell").agg(*edges).toArrow()  # at most SAMPLE / 2 rows
     cells = boxes["cell"].to_numpy()
     lo, hi = (np.stack([boxes[f"{c}{j}"].to_numpy() for j in range(dim)], 1) for c in ("lo", "hi"))
 
@@ -117,11 +161,18 @@ def knn(points: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, seed: in
                 for j in range(dim):
                     gap += np.square(np.maximum(0, np.maximum(lo[None, :, j] - x[:, j, None], x[:, j, None] - hi[None, :, j])))
                 row, at = np.nonzero(gap <= part.column("far").to_numpy()[:, None] * (1 + 1e-12))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(cells[at])], ["node", "v", "cell"])
-
-    visits = known.select("node", "v", "cell", "far").mapInArrow(visit, f"node {id_type}, v array<double>, cell long")
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("node", "v", "far")), pa.array(cells[at])], ["node", "v", "far", "cell"])
+
+    visits = known.select("node", "v", "cell", "far").mapInArrow(visit, f"node {id_type}, v array<double>, far double, cell long")
+    below = F.zip_with("v", "lo", lambda x, e: e - x)
+    above = F.zip_with("v", "hi", lambda x, e: x - e)
+    gap = F.aggregate(F.zip_with(below, above, lambda b, a: F.greatest(b, a, F.lit(0.0))), F.lit(0.0), lambda t, g: t + g * g)
+    for box in later:
+        met = visits.join(box, F.col("cell") == F.col("parent"), "left").where(F.col("parent").isNull() | (gap <= F.col("far") * (1 + 1e-12)))
+        visits = met.select("node", "v", "far", F.coalesce("child", "cell").alias("cell"))
     if stats is not None:
-        stats.update(cells=len(cells), visits=visits.count(), points=placed.count())
+        sizes = placed.groupBy("cell").count().agg(F.count("*"), F.sum("count"), F.max("count")).first()
+        stats.update(cells=sizes[0], visits=visits.count(), points=sizes[1], largest=sizes[2])
 
     def nearest(asks: pa.Table, there: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]

@@ -171,6 +171,36 @@ def test_knn_visits_stay_level(spark, monkeypatch):
         assert per[1] < 2 * per[0], (dim, per)
 
 
+def _brute_knn(x, k):
+    out = {}
+    for i in range(len(x)):
+        d = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            d += np.square(x[:, j] - x[i, j])
+        near = np.lexsort((np.arange(len(x)), d))
+        out.update({(i, r + 1): (int(o), d[o]) for r, o in enumerate(near[near != i][:k])})
+    return out
+
+
+def test_knn_cells_are_cut_until_small(spark, monkeypatch):
+    """A sample for four cells only: they are cut again, and the largest cell stays level."""
+    monkeypatch.setattr(resample, "SAMPLE", 16)
+    monkeypatch.setattr(resample, "CELL", 24)
+    monkeypatch.setattr(resample, "FAN", 4)
+    monkeypatch.setattr(resample, "PICK", 64)
+    rng = np.random.default_rng(7)
+    even = [rng.normal(size=(n, 2)) for n in (600, 2400)]
+    lumps = np.vstack([rng.normal(size=(250, 2)) * 1e-6, [[5, 5], [5, 6]], np.c_[np.zeros(150), np.arange(150)]])
+    visits = []
+    for x in (*even, lumps):
+        stats = {}
+        got = resample.knn(_points(spark, x), "id", "v", 2, k=5, stats=stats).collect()
+        assert {(r.id, r.nn_rank): (r.nn_id, r.dist2) for r in got} == _brute_knn(x, 5)
+        assert stats["points"] == len(x) and stats["largest"] <= 48
+        visits.append(stats["visits"] / len(x))
+    assert visits[1] < 1.5 * visits[0]
+
+
 def test_too_few_points_raise(spark):
     with pytest.raises(ValueError, match="3 points are too few for 5"):
         resample.knn(_points(spark, np.eye(3)), "id", "v", 3, k=5)
