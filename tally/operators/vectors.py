@@ -26,10 +26,24 @@ def fuse_concat(left: DataFrame, right: DataFrame, on: str, lcol: str, rcol: str
         on, F.concat("_l", "_r").alias(out))
 
 
-def normalize_image(px: Column | str, mean: float, std: float, scale: float = 255.0) -> Column:
-    """E18 (normalise part): (x / scale - mean) / std per element (one channel)."""
+def normalize_image(px: Column | str, mean: float | list[float], std: float | list[float], scale: float = 255.0) -> Column:
+    """E18 (normalise part): (x / scale - mean) / std per element.
+
+    With lists, element i belongs to channel i % len(mean) (channels lie side by side in each pixel).
+    """
+    c = F.col(px) if isinstance(px, str) else px
+    if isinstance(mean, (int, float)):
+        return F.transform(c, lambda x: (x.cast("double") / scale - mean) / std)
+    if len(mean) != len(std):
+        raise ValueError(f"{len(mean)} means and {len(std)} deviations")
+    m, s, k = _const_array(mean), _const_array(std), len(mean)
+    return F.transform(c, lambda x, i: (x.cast("double") / scale - F.element_at(m, i % k + 1)) / F.element_at(s, i % k + 1))
+
+
+def to_channels(px: Column | str, channels: int = 3) -> Column:
+    """A one-channel image with each pixel repeated for every channel."""
     c = F.col(px) if isinstance(px, str) else px
-    return F.transform(c, lambda x: (x.cast("double") / scale - mean) / std)
+    return F.flatten(F.transform(c, lambda x: F.array_repeat(x, channels)))
 
 
 # ---------------------------------------------------------------- E17 resampling
@@ -123,51 +137,71 @@ def _rng(seed: int, key: int, epoch: int) -> np.random.Generator:
 
 
 def _rotate(img: np.ndarray, deg: float) -> np.ndarray:
-    """Rotate about the centre with bilinear sampling; outside -> 0."""
-    h, w = img.shape
+    """Rotate about the centre with bilinear sampling; outside, the image is mirrored at its border pixels."""
+    h, w = img.shape[:2]
     t = math.radians(deg)
     yy, xx = np.mgrid[0:h, 0:w].astype(np.float64)
     cy, cx = (h - 1) / 2, (w - 1) / 2
     sy = math.cos(t) * (yy - cy) + math.sin(t) * (xx - cx) + cy
     sx = -math.sin(t) * (yy - cy) + math.cos(t) * (xx - cx) + cx
     y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
-    out = np.zeros_like(img, dtype=np.float64)
+    out = np.zeros(img.shape, np.float64)
     for dy in (0, 1):
         for dx in (0, 1):
             yi, xi = y0 + dy, x0 + dx
             wgt = (1 - np.abs(sy - yi)) * (1 - np.abs(sx - xi))
-            ok = (yi >= 0) & (yi < h) & (xi >= 0) & (xi < w)
-            out[ok] += wgt[ok] * img[yi[ok], xi[ok]]
+            out += wgt.reshape(h, w, *[1] * (img.ndim - 2)) * img[_mirror(yi, h), _mirror(xi, w)]
     return out
 
 
-def augment_one(img: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flip .5, rotate +-15 deg .5, brightness/contrast +-.2 .5, Gaussian noise .3, coarse dropout .3 (4-8 holes)."""
+def _mirror(at: np.ndarray, n: int) -> np.ndarray:
+    """Index of the mirrored position (the border pixel is not repeated)."""
+    if n == 1:
+        return np.zeros_like(at)
+    at = np.abs(at) % (2 * n - 2)
+    return np.minimum(at, 2 * n - 2 - at)
+
+
+# Probabilities and ranges of the reference's training transforms (noise variance on a scale of 0-255,
+# sides of the holes in pixels up to a tenth of the image).
+FLIP, ROTATE, LIGHT, NOISE, HOLES = 0.5, 0.5, 0.5, 0.3, 0.3
+DEGREES, CHANGE, VARIANCE, HOLE_NUMBER, HOLE_LEAST, HOLE_SHARE = 15, 0.2, (10.0, 50.0), (4, 8), 8, 10
+
+
+def augment_one(img: np.ndarray, rng: np.random.Generator, top: float = 255.0) -> np.ndarray:
+    """Flip, rotation, brightness and contrast, Gaussian noise and coarse dropout of an image, each with its probability.
+
+    ``img`` has height, width and perhaps channels, values from 0 to ``top`` (results are clipped to that). A hole's
+    sides are drawn from 8 pixels to a tenth of the image, 8 where that is less, and never exceed the image.
+    """
     out = img.astype(np.float64)
-    if rng.random() < 0.5:
+    if rng.random() < FLIP:
         out = out[:, ::-1]
-    if rng.random() < 0.5:
-        out = _rotate(out, rng.uniform(-15, 15))
-    if rng.random() < 0.5:
-        alpha = 1 + rng.uniform(-0.2, 0.2)
-        beta = rng.uniform(-0.2, 0.2) * (out.max() - out.min() if out.size else 0)
-        out = out * alpha + beta
-    if rng.random() < 0.3:
-        out = out + rng.normal(0, 0.05 * (out.std() or 1.0), out.shape)
-    if rng.random() < 0.3:
-        h, w = out.shape
-        for _ in range(int(rng.integers(4, 9))):
-            hh, ww = max(1, h // 8), max(1, w // 8)
-            y, x = int(rng.integers(0, h - hh + 1)), int(rng.integers(0, w - ww + 1))
-            out[y:y + hh, x:x + ww] = 0
+    if rng.random() < ROTATE:
+        out = _rotate(out, rng.uniform(-DEGREES, DEGREES))
+    if rng.random() < LIGHT:
+        contrast, light = rng.uniform(-CHANGE, CHANGE, 2)
+        out = np.clip(out * (1 + contrast) + light * top, 0, top)
+    if rng.random() < NOISE:
+        sigma = math.sqrt(rng.uniform(*VARIANCE)) * top / 255
+        out = np.clip(out + rng.normal(0, sigma, out.shape), 0, top)
+    if rng.random() < HOLES:
+        out = out.copy()
+        size = out.shape[:2]
+        for _ in range(int(rng.integers(HOLE_NUMBER[0], HOLE_NUMBER[1] + 1))):
+            hole = [min(n, int(rng.integers(HOLE_LEAST, max(HOLE_LEAST, n // HOLE_SHARE) + 1))) for n in size]
+            y, x = (int(rng.integers(0, n - k + 1)) for n, k in zip(size, hole))
+            out[y:y + hole[0], x:x + hole[1]] = 0
     return np.ascontiguousarray(out)
 
 
-def augment_images(df: DataFrame, id_col: str, px: str, side: int, seed: int, epoch: int = 0) -> DataFrame:
+def augment_images(df: DataFrame, id_col: str, px: str, side: int, seed: int, epoch: int = 0, channels: int = 1, top: float = 255.0) -> DataFrame:
     """Seeded random augmentation; the RNG depends on (seed, id, epoch) only, not on partitioning."""
+    shape = (side, side) if channels == 1 else (side, side, channels)
+
     def per_batch(it):
         for pdf in it:
-            out = [augment_one(np.asarray(p, dtype=np.float64).reshape(side, side), _rng(seed, i, epoch)).ravel().tolist()
+            out = [augment_one(np.asarray(p, dtype=np.float64).reshape(shape), _rng(seed, i, epoch), top).ravel().tolist()
                    for i, p in zip(pdf[id_col], pdf[px])]
             yield pd.DataFrame({id_col: pdf[id_col], "augmented": out})
 

@@ -100,6 +100,12 @@ def trials(t: Tables) -> DataFrame:
     )
 
 
+def fits(t: Tables) -> DataFrame:
+    """Training times: one row per fit with its model and seconds (models m1 and m2 only)."""
+    return t.lineitem.select(F.concat(F.lit("m"), (F.col("l_linenumber") % 2 + 1).cast("string")).alias("model"),
+                             F.col("l_orderkey").alias("fit"), F.col("l_quantity").alias("seconds"))
+
+
 def doc_risk(t: Tables) -> DataFrame:
     """Second labelled table (documents with real toxicity labels)."""
     d = t.documents.select("doc_id", "lang", "source", "n_chars")

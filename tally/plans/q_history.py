@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.functions.exprs import softplus
-from tally.operators import clean, history, thresholds as TH, trials
+from tally.operators import clean, compare, history, thresholds as TH, trials
 from tally.plans import fixtures as fx
 from tally.plans.q_metrics import r6, sweep_sql
 from tally.plans.registry import register
@@ -135,17 +135,20 @@ def epoch_metrics(spark, sf):
     return r6(history.epoch_metrics(s, "epoch", "slice_id", loss, 128))
 
 
-@register("cv_summary", "A12 M10", views=("scored",), oracle=f"""
+@register("cv_summary", "A12 M10", views=("scored", "fits"), oracle=f"""
 WITH v AS (SELECT * FROM scored WHERE split = 'val'), {sweep_sql('v', 'model, repeat', TH.GRID_A, '>')},
 f AS (SELECT model, repeat, MAX(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END) AS best_f1
-      FROM cm GROUP BY model, repeat)
-SELECT model, ROUND(AVG(best_f1), 6) AS mean_best_f1, COUNT(*) AS n_runs FROM f GROUP BY model""")
+      FROM cm GROUP BY model, repeat),
+t AS (SELECT model, ROUND(AVG(seconds), 6) AS mean_seconds, COUNT(*) AS n_fits FROM fits GROUP BY model)
+SELECT f.model, ROUND(AVG(best_f1), 6) AS mean_best_f1, COUNT(*) AS n_runs, ANY_VALUE(mean_seconds) AS mean_seconds,
+       COALESCE(ANY_VALUE(n_fits), 0) AS n_fits FROM f LEFT JOIN t ON f.model = t.model GROUP BY f.model""")
 def cv_summary(spark, sf):
-    """Mean best validation F1 over the repeats of each model."""
-    v = fx.scored(Tables(spark, sf)).where(F.col("split") == "val")
+    """Mean best validation F1 over the repeats of each model, and its mean training time."""
+    tables = Tables(spark, sf)
+    v = fx.scored(tables).where(F.col("split") == "val")
     sw = TH.threshold_sweep(v, ["model", "repeat"], TH.GRID_A, ">")
     best = sw.groupBy("model", "repeat").agg(F.max("f1").alias("best_f1"))
-    return r6(best.groupBy("model").agg(F.avg("best_f1").alias("mean_best_f1"), F.count(F.lit(1)).alias("n_runs")))
+    return r6(compare.cv_summary(best, fx.fits(tables), "best_f1", "seconds"))
 
 
 @register("param_mode", "A10 P10", views=("trials",), oracle="""

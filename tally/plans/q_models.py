@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tally.operators import compare as C
 from tally.operators import models as MD
-from tally.operators import encode, linear, search, trees
+from tally.operators import encode, experiments, linear, search, trees
 from tally.operators.encode import Prep
 from tally.operators.history import early_stopping
 from tally.plans import fixtures as fx
@@ -271,17 +271,13 @@ def model_gbt_early_stopping(spark, sf):
     return r6(hist.withColumns({"stop_iteration": F.lit(stop["stop_epoch"]).cast("int"), "best_iteration": F.lit(stop["best_epoch"]).cast("int")}))
 
 
-@register("run_experiment", "S11 L1 L10")
+@register("run_experiment", "S11 L4 L6 L8")
 def run_experiment(spark, sf):
-    """Config-driven dispatch (experiment_type 'ml'): fit the configured model, report test metrics."""
+    """One experiment of each type (ml, dl, tuning) with its preset or the whole search, metrics written and read back."""
+    import uuid
     from tally.sources import sinks
 
-    def ml(exp, out_path):
-        train, test, feats = prepared_splits(spark, sf)
-        est = {"logistic": lambda: MD.linear_spec("logistic", exp.params, train, feats),
-               "random_forest": lambda: MD.tree_spec("random_forest", exp.params)}[exp.model]()
-        scored = MD.predict(MD.fit(est, train, feats), test)
-        return r6(C.report(scored, [], 0.5, ">")).withColumn("experiment", F.lit(exp.key))
-
-    exp = sinks.Experiment("ml", data="risk", model="logistic", params={"C": 1.0})
-    return sinks.run(exp, {"ml": ml}, checkpoint_dir(spark))
+    what = experiments.handlers(experiments.Data(*prepared_three(spark, sf)), PRESETS, SPACES, SEARCH)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/experiments/{uuid.uuid4().hex}"
+    runs = [sinks.Experiment("ml", "risk", "svm_tuned"), sinks.Experiment("dl", "risk", "tabular_deep_baseline"), sinks.Experiment("tuning", "risk", "svm")]
+    return r6(functools.reduce(lambda x, y: x.unionByName(y), [sinks.run(e, what, root) for e in runs]))

@@ -37,16 +37,17 @@ def read_csv(spark, sf):
 
 @register("image_folder", "S2 S3", views=("image_paths",), oracle="""
 WITH m AS (SELECT id, string_split(replace(image_path, chr(92), '/'), '/')[-2] AS class FROM image_paths),
-f AS (SELECT CASE WHEN id % 10 < 7 THEN 'train' WHEN id % 10 = 7 THEN 'val' ELSE 'test' END AS split, class FROM m),
+c AS (SELECT class, COUNT(*) AS n, CEIL(CAST(0.2 AS DOUBLE) * COUNT(*)) AS q_test FROM m GROUP BY class),
+q AS (SELECT class, q_test, CEIL(CAST(0.125 AS DOUBLE) * (n - q_test)) AS q_val FROM c),
+r AS (SELECT m.*, ROW_NUMBER() OVER (PARTITION BY class ORDER BY md5('42|' || CAST(id AS VARCHAR)), id) AS rk FROM m),
+f AS (SELECT r.id, CASE WHEN rk <= q_test THEN 'test' WHEN rk <= q_test + q_val THEN 'val' ELSE 'train' END AS split, r.class FROM r JOIN q ON r.class = q.class),
 l AS (SELECT class, CAST(DENSE_RANK() OVER (ORDER BY class) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT class FROM f))
 SELECT split, class, label, COUNT(*) AS n FROM f JOIN l USING (class) GROUP BY ALL""")
 def image_folder(spark, sf):
-    """Records written as files in folders ``split/class`` and listed again with their content."""
+    """Every class split 70/10/20, written as files in folders ``split/class`` and listed again with their content."""
     p = fx.image_paths(Tables(spark, sf)).select("id", images.class_of("image_path").alias("class"))
-    k = F.col("id") % 10
-    p = p.withColumn("split", F.when(k < 7, "train").when(k == 7, "val").otherwise("test"))
     root = _path(spark, "folder")
-    p.select(F.col("id").cast("string").alias("value"), "split", "class").write.partitionBy("split", "class").text(root)
+    images.split_folder(p.withColumn("value", F.col("id")), root)
     found = images.read_image_folder(spark, root, with_content=True, pattern="part-*")
     lines = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\\n]", ""))
     folder = lambda c: F.regexp_replace(c, "^.*=", "")

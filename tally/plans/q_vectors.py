@@ -87,6 +87,22 @@ def normalize_image(spark, sf):
                        F.col("n")[0].alias("first")))
 
 
+# The reference's channel means and deviations.
+MEANS, DEVIATIONS = [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]
+
+
+@register("normalize_rgb", "E18", views=("tiles",), oracle=f"""
+WITH n AS (SELECT id, {', '.join(f"list_transform(px, lambda x: (CAST(x AS DOUBLE) - {m}) / {s}) AS c{i}" for i, (m, s) in enumerate(zip(MEANS, DEVIATIONS)))} FROM tiles)
+SELECT id, CAST(3 * len(c0) AS INTEGER) AS size, {', '.join(f"ROUND(c{i}[64], 6) AS last{i}, ROUND(list_sum(c{i}), 6) AS sum{i}" for i in range(3))} FROM n""")
+def normalize_rgb(spark, sf):
+    """Three-channel images normalised per channel: size, last pixel and sum of each channel."""
+    t = fx.tiles(Tables(spark, sf)).select("id", vectors.to_channels(F.transform("px", lambda x: x.cast("double") * 255.0)).alias("px"))
+    n = t.select("id", vectors.normalize_image("px", MEANS, DEVIATIONS).alias("n"))
+    one = lambda i: F.filter("n", lambda x, k: k % 3 == i)
+    return r6(n.select("id", F.size("n").alias("size"), *[c for i in range(3) for c in (
+        F.col("n")[189 + i].alias(f"last{i}"), F.aggregate(one(i), F.lit(0.0), lambda a, b: a + b).alias(f"sum{i}"))]))
+
+
 def _lst(v) -> str:
     return "[" + ", ".join(repr(x) for x in v) + "]"
 
@@ -149,7 +165,10 @@ def resize_images(spark, sf):
 @register("augment_images", "E19", views=("tiles",))
 def augment_images(spark, sf):
     t = fx.tiles(Tables(spark, sf))
-    a = vectors.augment_images(t, "id", "px", side=8, seed=42, epoch=0)
+    top = 4.0  # the tiles' values as grey levels from 0 to 4, resized and with three channels
+    grey = vectors.resize_images(t.withColumn("px", F.transform("px", lambda x: x + F.lit(top / 2))), "id", "px", side=8, size=32)
+    rgb = grey.select("id", vectors.to_channels("resized").alias("px"))
+    a = vectors.augment_images(rgb, "id", "px", side=32, seed=42, epoch=0, channels=3, top=top)
     return a.select("id", F.size("augmented").alias("n_px"),
                     F.round(F.aggregate("augmented", F.lit(0.0), lambda x, y: x + y), 6).alias("px_sum"))
 

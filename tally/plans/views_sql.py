@@ -37,6 +37,8 @@ SELECT p_brand AS model, CAST(p_partkey AS INT) AS run,
        CAST(FLOOR(p_partkey / CAST(10 AS DOUBLE)) AS INT) % 3 + 1 AS repeat,
        p_type AS param_a, CAST(p_size % 3 AS VARCHAR) AS param_b
 FROM part""",
+    "fits": """
+SELECT 'm' || CAST(l_linenumber % 2 + 1 AS VARCHAR) AS model, l_orderkey AS fit, l_quantity AS seconds FROM lineitem""",
     "doc_risk": """
 SELECT d.doc_id AS id, lang, source, n_chars, toxic AS y, quality
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",

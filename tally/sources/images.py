@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.operators import encode
+from tally.operators import encode, splits
 
 
 def resolve_path(root: str, rel: Column | str) -> Column:
@@ -40,6 +40,13 @@ def read_image_folder(spark: SparkSession, root: str, with_content: bool = False
     return label_classes(df.select(*cols))
 
 
+def split_folder(files: DataFrame, root: str, class_col: str = "class", id_col: str = "id", content: str = "value",
+                 test: float = 0.2, val: float = 0.1, seed: int = 42) -> None:
+    """S3: split every class on its own (R2) and write the files' content below ``root/split=.../class=...``."""
+    s = splits.per_class_split(files, class_col, id_col, test, val, seed)
+    s.select(F.col(content).cast("string").alias("value"), "split", class_col).write.partitionBy("split", class_col).text(root)
+
+
 def link_records(records: DataFrame, manifest: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """Records -> files by resolved path; returns (linked rows, records whose file is missing)."""
     found = records.join(manifest.select(F.col(path_col).alias("_p")).distinct(),

@@ -41,6 +41,78 @@ def test_augment_deterministic_and_flip():
     assert np.array_equal(img[:, ::-1][:, ::-1], img)
 
 
+class _Drawn:
+    """A generator whose coin flips are given and whose other draws come from numpy."""
+
+    def __init__(self, *flips):
+        self.flips, self.rng = list(flips), np.random.default_rng(4)
+
+    def random(self):
+        return self.flips.pop(0)
+
+    def __getattr__(self, name):
+        return getattr(self.rng, name)
+
+
+def test_augment_each_transform():
+    img = np.full((100, 100, 3), 128.0)
+    assert np.array_equal(vectors.augment_one(img, _Drawn(1, 1, 1, 1, 1)), img)
+    ramp = np.arange(100.0)[None, :, None] + np.zeros((100, 1, 3))
+    assert np.array_equal(vectors.augment_one(ramp, _Drawn(0, 1, 1, 1, 1)), ramp[:, ::-1])
+    assert np.allclose(vectors.augment_one(img, _Drawn(1, 0, 1, 1, 1)), img)  # the border is mirrored, nothing turns black
+    noise = vectors.augment_one(img, _Drawn(1, 1, 1, 0, 1)) - img
+    assert 9 < noise.var() < 55 and abs(np.corrcoef(noise[..., 0].ravel(), noise[..., 1].ravel())[0, 1]) < 0.05
+    holes = (vectors.augment_one(img, _Drawn(1, 1, 1, 1, 0)) == 0).all(2)
+    assert 64 <= holes.sum() <= 8 * 100
+    small = vectors.augment_one(np.full((4, 4), 9.0), _Drawn(1, 0, 0, 0, 0))
+    assert small.shape == (4, 4) and (small == 0).all()  # a hole as large as the image
+
+
+def test_rotation_against_loops():
+    rng = np.random.default_rng(3)
+    img = rng.uniform(0, 9, (7, 5))
+    got, t = vectors._rotate(img, 12.0), np.radians(12.0)
+    pad = np.pad(img, 4, mode="reflect")
+    for y in range(7):
+        for x in range(5):
+            sy, sx = np.cos(t) * (y - 3) + np.sin(t) * (x - 2) + 3, -np.sin(t) * (y - 3) + np.cos(t) * (x - 2) + 2
+            a, b = int(np.floor(sy)), int(np.floor(sx))
+            part = pad[a + 4:a + 6, b + 4:b + 6]
+            fy, fx = sy - a, sx - b
+            assert np.isclose(got[y, x], (1 - fy) * ((1 - fx) * part[0, 0] + fx * part[0, 1]) + fy * ((1 - fx) * part[1, 0] + fx * part[1, 1]))
+
+
+def test_normalize_channels(spark):
+    df = spark.createDataFrame([(1, [0.0, 255.0]), (2, []), (3, None)], "id long, px array<double>")
+    n = vectors.normalize_image(vectors.to_channels("px"), [0.5, 0.25, 0.0], [0.5, 0.25, 1.0])
+    got = {r.id: r.n for r in df.select("id", n.alias("n")).collect()}
+    assert got == {1: [-1.0, -1.0, 0.0, 1.0, 3.0, 1.0], 2: [], 3: None}
+    with pytest.raises(ValueError, match="2 means and 1 deviations"):
+        vectors.normalize_image("px", [0.5, 0.5], [1.0])
+
+
+def test_experiments_by_type(spark, tmp_path):
+    from tally.operators import experiments
+    from tally.sources import sinks
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    rows = [(i, int(v[0] + 0.3 * rng.normal() > 0), *map(float, v), 1.0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double, weight double")
+    data = experiments.Data(df.where("id < 200"), df.where("id between 200 and 249"), df.where("id >= 250"), ["a", "b"])
+    presets = {"tree": ("xgboost", {"n_estimators": 20, "max_depth": 2}, {"early_stopping_rounds": 5}), "net": ("mlp", {"hidden": [4], "epochs": 30}, {"patience": 10})}
+    what = experiments.handlers(data, presets, {"svm": {"C": [1, 10], "kernel": ["linear"]}}, {"n_iter": 50, "cv": 3})
+    runs = [sinks.Experiment("ml", "d", "tree"), sinks.Experiment("dl", "d", "net"), sinks.Experiment("tuning", "d", "svm")]
+    for e in runs:
+        m = sinks.run(e, what, str(tmp_path)).collect()
+        assert len(m) == 1 and m[0].n == 50 and m[0].auc > 0.85 and m[0].experiment == e.key
+        assert (tmp_path / e.key / "metrics").is_dir()
+    assert spark.read.option("header", True).csv(str(tmp_path / runs[2].key / "trials")).count() == 2
+    with pytest.raises(ValueError, match="no model of type 'dl'"):
+        sinks.run(sinks.Experiment("dl", "d", "tree"), what, str(tmp_path))
+    with pytest.raises(ValueError, match="unknown experiment_type"):
+        sinks.run(sinks.Experiment("other", "d", "tree"), what, str(tmp_path))
+
+
 def test_augment_images_partition_independent(spark):
     rows = [(i, [float(j) for j in range(64)]) for i in range(20)]
     df = spark.createDataFrame(rows, "id long, px array<double>")
