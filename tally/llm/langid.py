@@ -7,8 +7,9 @@ probabilities, whose size is checked, is broadcast, and batches of whole texts a
 by gathering its rows in numpy.
 
 A text that is null or holds no letter is ``und`` with score 0, as is every text if there
-is nothing to learn from. Ties go to the first language in alphabetical order. Repeated
-rows are scored one by one; other input columns are ignored; an empty table gives an
+is nothing to learn from. Ties go to the first language in alphabetical order. Very long
+texts are counted and scored in slices that overlap by two characters, whose log probabilities
+are added, so that memory beside the text is bounded. Repeated rows are scored one by one; other input columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -28,13 +29,28 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.1  # added to every count
 MAX_MATRIX = 64 << 20  # bytes of log probabilities that may be broadcast
+SLICE = 1 << 18  # characters of a long text that are taken at a time
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 
 
 def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[list[np.ndarray], np.ndarray]:
     """Per order, the bucket of the gram at every position (``buckets``: crosses the text's end); text offsets."""
-    low = ["\0" + t.lower() + "\0" for t in texts]
+    return _grams([_marked(t) for t in texts], buckets)
+
+
+def _marked(text: str) -> str:
+    return "\0" + text.lower() + "\0"
+
+
+def slices(text: str, buckets: int = BUCKETS) -> Iterator[list[np.ndarray]]:
+    """The same buckets of one text, slice by slice."""
+    low = _marked(text)
+    for a in range(0, len(low), SLICE):
+        yield [g[:SLICE] for g in _grams([low[a: a + SLICE + max(ORDERS) - 1]], buckets)[0]]
+
+
+def _grams(low: list[str], buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
     offs = np.cumsum([0, *map(len, low)])
     c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint32)
     left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(c))
@@ -61,8 +77,10 @@ def gram_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                     by.setdefault(l, []).append(t)
                 for lang, texts in by.items():
                     n = total.setdefault(lang, np.zeros(buckets + 1, np.int64))
-                    for g in grams(texts, buckets)[0]:
-                        n[:buckets] += np.bincount(g, minlength=buckets + 1)[:buckets]
+                    short = [t for t in texts if len(t) <= SLICE]
+                    for by_order in (grams(short, buckets)[0], *(s for t in texts if len(t) > SLICE for s in slices(t, buckets))):
+                        for g in by_order:
+                            n[:buckets] += np.bincount(g, minlength=buckets + 1)[:buckets]
                     n[buckets] += len(texts)
         for lang, n in total.items():
             at = np.flatnonzero(n)
@@ -77,15 +95,26 @@ class Model:
     def __init__(self, langs: list[str], matrix: np.ndarray, prior: np.ndarray):
         self.langs, self.matrix, self.prior = langs, matrix, prior
 
+    def _rows(self, by_order: list[np.ndarray]) -> np.ndarray:
+        at = self.matrix[by_order[0]]
+        for g in by_order[1:]:
+            at += self.matrix[g]
+        return at
+
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and its posterior probability of each text."""
         if not self.langs or not texts:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        by_order, offs = grams(texts, len(self.matrix) - 1)
-        at = self.matrix[by_order[0]]
-        for g in by_order[1:]:
-            at += self.matrix[g]
-        logs = np.add.reduceat(at, offs[:-1], axis=0, dtype=np.float64) + self.prior
+        logs = np.zeros((len(texts), len(self.langs)))
+        short = [i for i, t in enumerate(texts) if len(t) <= SLICE]
+        if short:
+            by_order, offs = grams([texts[i] for i in short], len(self.matrix) - 1)
+            logs[short] = np.add.reduceat(self._rows(by_order), offs[:-1], axis=0, dtype=np.float64)
+        for i, t in enumerate(texts):
+            if len(t) > SLICE:
+                for by_order in slices(t, len(self.matrix) - 1):
+                    logs[i] += self._rows(by_order).sum(axis=0, dtype=np.float64)
+        logs += self.prior
         logs -= logs.max(axis=1, keepdims=True)
         p = np.exp(logs)
         p /= p.sum(axis=1, keepdims=True)
