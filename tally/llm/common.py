@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tally.session import checkpoint_dir
 
 PIECE_BYTES = 1 << 21  # texts are handled in pieces of about this many bytes inside a task
+WORD_BYTES = 1 << 22  # bytes of a long text whose words are hashed together
 _U = np.uint64
 
 
@@ -96,15 +97,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def spans(data: np.ndarray, breaks: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` bytes that end at a byte in ``breaks`` (a longer word stays whole) or at the end."""
+    a, n = 0, len(data)
+    while a < n:
+        b = a + size
+        while b < n:
+            hit = np.flatnonzero(breaks[data[b: b + size]])
+            if len(hit):
+                b += int(hit[0])
+                break
+            b += size
+        b = min(b, n)
+        yield a, b
+        a = b
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and each text's offsets into them.
 
     ``breaks`` marks the bytes between words;
     with ``prefixes`` the result has a column for the word and one for each prefix of so many bytes.
+    Long texts are taken in parts that end between words, so that beside the hashes memory is bounded.
     """
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, _U), np.zeros(len(offsets), np.int64)
+    parts = []
+    for a, b in spans(data, breaks, WORD_BYTES):
+        inner = offsets[np.searchsorted(offsets, a, "right"): np.searchsorted(offsets, b)] - a
+        h, s = _part_hashes(data[a:b], inner, breaks, prefixes)
+        parts.append((h, s + a))
+    h, s = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, np.searchsorted(s, offsets).astype(np.int64)
+
+
+def _part_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words; texts also end at ``offsets``."""
+    n = len(data)
     low = _LOWER[data]
     inside = ~breaks[low]
     edge = np.zeros(n + 1, bool)
@@ -126,7 +155,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPA
     h = hashed(e, 0)
     if prefixes:
         h = np.stack([h, *(hashed(np.minimum(e, s + k - 1), k) for k in prefixes)], 1)
-    return h, np.searchsorted(s, offsets).astype(np.int64)
+    return h, s
 
 
 def shingle_hashes(words: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
