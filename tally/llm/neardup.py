@@ -40,6 +40,7 @@ from tally.llm.components import components
 
 _U = np.uint64
 BINS = 8  # bits of a shingle hash that choose its histogram bin
+FULL = 65535  # a bin that holds so many shingles or more
 BITMAP = 24  # bits of a digest that choose its place in the bitmap of wanted sets
 REST_ROWS, OTHER_ROWS = 512, 8192  # rows of a block of a bucket that is compared pair by pair
 
@@ -78,7 +79,7 @@ def sketches(rows: DataFrame, k: int, side: int, per_key: int) -> DataFrame:
                     low = segment_reduce(np.minimum, hashes * m, offs, _U(0))
                     keys[j // per_key] = mix(keys[j // per_key] + low + _U(j))
                 sets = _distinct(hashes, offs)
-                hist = [np.minimum(np.bincount((s >> _U(64 - BINS)).astype(np.int64), minlength=1 << BINS), 65535).astype(np.uint16).tobytes() for s in sets]
+                hist = [np.minimum(np.bincount((s >> _U(64 - BINS)).astype(np.int64), minlength=1 << BINS), FULL).astype(np.uint16).tobytes() for s in sets]
                 flat = keys.T.view(np.int64) if n else np.zeros((0, 2 * side), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _fixed_lists(flat[:, :side]), _fixed_lists(flat[:, side:]), pa.array(hist, pa.binary())],
@@ -166,7 +167,8 @@ def cross_pairs(rest: pa.Table, others: pa.Table, percent: int) -> pa.Table:
             at = at[x["left"][same.argmax(1)] == key]
             at = at[(b["right"][at] == x["right"]).any(1)]
             most = np.minimum(b["hist"][at], x["hist"]).sum(1, dtype=np.int64)  # at least the overlap
-            at = at[100 * most >= percent * (b["n"][at] + x["n"] - most)]
+            full = ((b["hist"][at] == FULL) & (x["hist"] == FULL)).any(1)  # such bins bound nothing
+            at = at[full | (100 * most >= percent * (b["n"][at] + x["n"] - most))]
             us += [x["node"]] * len(at)
             vs += b["node"][at].tolist()
     return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
