@@ -6,10 +6,12 @@ pass over the documents keeps the windows whose hash may be one of the benchmark
 bitmap of fixed size, broadcast, with two probes); these are joined with the benchmark's
 windows by hash. Around every hit the document and the item are then compared word by word
 on the hit's diagonal: the longest stretch of which at least ``percent`` % are equal counts
-as an overlap if it has ``least`` words, or the whole item's length if that is shorter.
-Equal texts are compared once.
+as an overlap if it has ``least`` words, or ``percent`` % of the item's words if that is less.
+Items of fewer than six words, into which no mask fits, are looked up whole and overlap where
+they stand word for word in a text. Equal texts are compared once; places of a frequent window
+are gathered by text and by item, and all diagonals of a text and an item are compared together.
 
-Null and wordless texts and items, and items of fewer than six words, overlap with nothing.
+Null and wordless texts and items overlap with nothing.
 Result rows are per document row (repeated rows give repeated results) and item id; of
 several items with one id, the longest overlap counts. Null ids are kept as null. Other
 input columns are ignored; an empty table on either side gives an empty result; texts of
@@ -30,15 +32,20 @@ from tally.llm.common import mix, pieces, string_buffer, word_hashes, written
 
 MASKS = ("111111", "1110100011", "11010010101", "1100110101")
 BITS = 24  # of the index of each of two bitmaps: 2 MB each, whatever the size of the benchmark
+SHORT = 6  # items of fewer words are looked up whole
 LEAST = 13
 PERCENT = 80
+DIFFERENCES = 1 << 20  # differences of places that are formed together
 _U = np.uint64
 
 
-def windows(words: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For every mask, start positions of the windows that fit into their text, and their hashes."""
+def windows(words: np.ndarray, offs: np.ndarray, short: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every mask, start positions of the windows that fit into their text, and their hashes.
+
+    ``short`` are lengths of which all windows are given as well, without ignored words.
+    """
     left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(words))
-    for m, mask in enumerate(MASKS):
+    for m, mask in [*enumerate(MASKS), *((len(MASKS) + k, "1" * k) for k in short or ())]:
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
@@ -76,7 +83,7 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words, offs = word_hashes(*string_buffer(batch.column(1)))
             for key, a, b in zip(batch.column(0).to_pylist(), offs[:-1], offs[1:], strict=True):
                 own = words[a:b]
-                got = list(windows(own, np.array([0, b - a])))
+                got = list(windows(own, np.array([0, b - a]), [int(b - a)] if 0 < b - a < SHORT else None))
                 if got:
                     out.append((key, _digest(own), own.tobytes(), np.concatenate([p for p, _ in got]).tolist(), np.concatenate([h for _, h in got]).view(np.int64).tolist()))
             cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -91,7 +98,7 @@ def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> _U(64 - BITS)).astype(np.int64), (h & _U((1 << BITS) - 1)).astype(np.int64)
 
 
-def suspects(rows: DataFrame, bitmap) -> DataFrame:
+def suspects(rows: DataFrame, bitmap, short: list[int] | None = None) -> DataFrame:
     """Documents with windows that may be the benchmark's: their words, and these windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +108,7 @@ def suspects(rows: DataFrame, bitmap) -> DataFrame:
             for a, b in pieces(offs):
                 words, wo = word_hashes(data[offs[a]: offs[b]], offs[a: b + 1] - offs[a])
                 at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-                for pos, h in windows(words, wo):
+                for pos, h in windows(words, wo, short):
                     one, two = _probes(h)
                     ok = first[one]
                     ok[ok] = second[two[ok]]
@@ -135,28 +142,47 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     bits[1, -1 - slots[slots < 0]] = True
     bitmap = df.sparkSession.sparkContext.broadcast((np.packbits(bits[0]), np.packbits(bits[1])))
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[text_col]).alias("text_hash"), df[text_col].cast("string").alias("text"))
-    found = written(suspects(rows, bitmap), "suspects")
+    width = F.length("words") / 8
+    short = sorted(int(r[0]) for r in items.select(width).where((width > 0) & (width < SHORT)).distinct().collect())  # at most five
+    found = written(suspects(rows, bitmap, short), "suspects")
     bodies = found.dropDuplicates(["body"])
-    hits = bodies.select("body", F.explode(F.arrays_zip("pos", "h")).alias("w")).select("body", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
-    lines = hits.join(marks, "h").select("body", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    hits = bodies.select("body", F.explode(F.arrays_zip("pos", "h")).alias("w")).groupBy("body", F.col("w.h").alias("h")).agg(F.collect_list("w.pos").alias("pos"))
+    marks = marks.groupBy("item", "h").agg(F.collect_list("at").alias("at"))
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch["pos"], batch["at"], strict=True):
+                x, y = (v.values.to_numpy() for v in (x, y))
+                step = max(1, DIFFERENCES // len(y))
+                out.append(np.unique(np.concatenate([np.unique(x[i: i + step, None] - y) for i in range(0, len(x), step)])))
+            yield pa.RecordBatch.from_arrays([batch["body"], batch["item"], pa.array(out, pa.list_(pa.int32()))], ["body", "item", "diagonals"])
+
+    met = hits.join(marks, "h").select("body", "item", "pos", "at").mapInArrow(differences, "body binary, item binary, diagonals array<int>")
+    lines = met.groupBy("body", "item").agg(F.array_distinct(F.flatten(F.collect_list("diagonals"))).alias("diagonals"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
                 x, y = (np.frombuffer(batch[c][r].as_buffer(), _U) for c in ("words", "item_words"))
-                d = batch["diagonal"][r].as_py()
-                x0, y0 = max(d, 0), max(-d, 0)
-                n = min(len(x) - x0, len(y) - y0)
-                equal = x[x0: x0 + n] == y[y0: y0 + n]
-                s, size = longest_overlap(equal, percent)
-                if size and size >= min(least, len(y) * percent // 100):
-                    out.append((r, size, int(equal[s: s + size].sum()), x0 + s, y0 + s))
+                need = len(y) if len(y) < SHORT else min(least, len(y) * percent // 100)
+                best = (0, 0, 0, 0)
+                for d in batch["diagonals"][r].values.to_numpy().tolist():
+                    x0, y0 = max(d, 0), max(-d, 0)
+                    n = min(len(x) - x0, len(y) - y0)
+                    equal = x[x0: x0 + n] == y[y0: y0 + n]
+                    s, size = longest_overlap(equal, percent)
+                    same = int(equal[s: s + size].sum())
+                    if size and size >= need and (len(y) >= SHORT or same == size):
+                        best = max(best, (size, same, -x0 - s, -y0 - s))
+                if best[0]:
+                    out.append((r, best[0], best[1], -best[2], -best[3]))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch["body"].take(pa.array(cols[0], pa.int64())), batch["item"].take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int32()) for c in cols[1:])], ["of", "item", "n_words", "n_equal", "doc_start", "item_start"])
 
     pairs = lines.join(bodies.select("body", "words"), "body").join(items.dropDuplicates(["item"]).select("item", F.col("words").alias("item_words")), "item")
-    best = pairs.select("body", "item", "diagonal", "words", "item_words").mapInArrow(compare, "of binary, item binary, n_words int, n_equal int, doc_start int, item_start int")
+    best = pairs.select("body", "item", "diagonals", "words", "item_words").mapInArrow(compare, "of binary, item binary, n_words int, n_equal int, doc_start int, item_start int")
     named = best.join(items.select("item", "item_id").distinct(), "item")
     top = F.max(F.struct("n_words", "n_equal", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("m")
     named = named.groupBy("of", "item_id").agg(top)
