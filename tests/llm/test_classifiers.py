@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from helpers import ROWS, SF, docs, fixture, texts
 
-from tally.llm import ctw, langid, queries, toxicity
+from tally.llm import common, ctw, langid, queries, toxicity
 from tally.llm.common import remainder, word_hashes
 
 SF2 = "/root/testdata/sf0.01"
@@ -45,6 +45,82 @@ def test_bayes_by_hand():
     assert lang == ["a" if odds >= 0 else "b"] and abs(p[0] - 1 / (1 + math.exp(-abs(odds)))) < 1e-5
 
 
+def test_long_texts_are_scored_in_slices(monkeypatch):
+    """Slices give what the whole text gives, at every length around their borders."""
+    rng = np.random.default_rng(6)
+    made = ["".join(rng.choice(list("abcdé İ'."), n)) for n in (0, 1, 6, 7, 8, 9, 13, 14, 15, 16, 40, 300)]
+    model = langid.Model(["a", "b", "c"], np.log(rng.dirichlet(np.ones(64), 3).T).astype(np.float32), np.log([0.2, 0.3, 0.5]))
+    model.matrix = np.vstack([model.matrix, np.zeros((1, 3), np.float32)])
+    whole = model.score(made)
+    counts = [sum(np.bincount(g, minlength=65)[:64] for g in langid.grams([t], 64)[0]) for t in made]
+    monkeypatch.setattr(langid, "SLICE", 7)
+    sliced = model.score(made)
+    assert whole[0] == sliced[0] and np.allclose(whole[1], sliced[1], rtol=1e-9, atol=0)
+    for t, n in zip(made, counts):
+        assert np.array_equal(sum(np.bincount(g, minlength=65)[:64] for s in langid.slices(t, 64) for g in s), n)
+
+    docs_ = [toxicity.word_slots(np.frombuffer(f"{w} one two {w} three".encode(), np.uint8), np.array([0, len(f"{w} one two {w} three")]))[0] for w in ("bad", "good", "worse", "fine") * 5]
+    m = toxicity.train(docs_, np.array([1.0, 0, 1, 0] * 5), ["x", "y", None, "y"] * 5)
+    for size in (8, 12, 32):
+        monkeypatch.setattr(toxicity, "TEXT", size)
+        for t in [*made, "bad one two", "one, bad! " * 30, "x" * 50, "a bad " + "y" * 60 + " two bad"]:
+            data = np.frombuffer(t.encode(), np.uint8)
+            want = toxicity.scores(m, *toxicity.word_slots(data, np.array([0, len(data)])))[0]
+            assert abs(toxicity.long_score(m, data) - want) < 1e-6
+
+
+def test_word_hashes_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts_ = ["".join(rng.choice(list("ab \n\u00e9"), n)) for n in (0, 5, 40, 0, 1, 17, 90)] + ["w" * 60, " " * 30, ""]
+    data = np.frombuffer("".join(texts_).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts_)])
+    for prefixes in ((), (2, 3)):
+        want = word_hashes(data, offs, prefixes=prefixes)
+        for size in (1, 4, 16):
+            monkeypatch.setattr(common, "WORD_BYTES", size)
+            got = word_hashes(data, offs, prefixes=prefixes)
+            assert all(np.array_equal(x, y) for x, y in zip(want, got, strict=True))
+        monkeypatch.undo()
+
+
+def test_gradients_equal_finite_differences(monkeypatch):
+    """The step's gradients are those of the weighted log loss."""
+    monkeypatch.setattr(toxicity, "SLOTS", 32)
+    rng = np.random.default_rng(11)
+    k = len(toxicity.WIDTHS) * toxicity.FILTERS
+    m = toxicity.Model(rng.normal(size=(32, toxicity.DIM)), rng.normal(size=(toxicity.DIM, sum(toxicity.WIDTHS) * toxicity.FILTERS)), rng.normal(size=k), rng.normal(size=k) / 5, -0.3, None, None, 1)
+    docs_ = [rng.integers(0, 32, (n, 2 + len(toxicity.PREFIXES))) for n in (5, 1, 0, 9)]
+    y, weight = np.array([1.0, 0, 1, 0]), np.array([0.5, 2, 1, 1.5])
+
+    def loss():
+        z = toxicity.logits(m, *toxicity._pack(docs_))
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).sum() / len(docs_))
+
+    g, rows, table = toxicity._step(m, docs_, y, weight)
+    dense = np.zeros_like(m.table)
+    dense[rows] = table
+    for name, got in (("filters", g["filters"]), ("bias", g["bias"]), ("out", g["out"]), ("table", dense)):
+        value = getattr(m, name)
+        for at in rng.choice(value.size, 25):
+            at = np.unravel_index(at, value.shape)
+            old, sides = value[at], []
+            for step in (1e-6, -1e-6):
+                value[at] = old + step
+                sides.append(loss())
+            value[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-6 - got[at]) < 1e-5, name
+
+
+def test_thresholds_against_all_cuts():
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        n = rng.integers(2, 20)
+        z, y, w = rng.integers(0, 6, n).astype(float), (rng.random(n) < 0.5).astype(float), rng.choice([0.25, 1.0], n)
+        y[0] = 1
+        f1 = lambda cut: 2 * (w * y * (z >= cut)).sum() / ((w * (z >= cut)).sum() + (w * y).sum())
+        assert np.isclose(f1(toxicity._threshold(z, y, w)), max(f1(c) for c in z))
+
+
 def test_toxicity_learns_and_is_calibrated(spark):
     marks = {r[0]: r[2] for r in fixture_labels()}
     got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, SF2).collect()}

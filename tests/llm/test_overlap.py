@@ -151,6 +151,8 @@ def brute_overlaps(rows, items, least=13, percent=80):
         for item, u in items:
             y = words(u)
             if len(y) < 6:
+                if y and any(x[i:i + len(y)] == y for i in range(len(x))):
+                    out.add((key, item))
                 continue
             for d in range(-len(y) + 1, len(x)):
                 equal = [0 <= i + d < len(x) and x[i + d] == y[i] for i in range(len(y))]
@@ -182,6 +184,32 @@ def test_planted_overlaps_with_substitutions(spark):
     assert decontaminate.overlaps(frame.limit(0), bench).count() == 0 and decontaminate.overlaps(frame, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_hot_windows(spark, monkeypatch):
+    """Items of one to five words stand word for word in a text; windows of equal words meet as positions, not as pairs."""
+    monkeypatch.setattr(decontaminate, "DIFFERENCES", 64)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    rows += [(50, "z " * 3000), (51, "z z z z z z z y z"), (52, "Z"), (53, None), (54, "a b c d q q d e")]
+    items = [(1, "a"), (2, "A b"), (3, "a c b"), (4, "b b a c"), (5, "c a b a b"), (6, "a b c d e"), (7, "z " * 200), (8, "z z"), (9, ""), (10, None), (2, "c c c")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # the brute force takes minutes on the long text: its overlaps are known
+    assert {i for d, i in got if d == 50} == {7, 8}
+    want = brute_overlaps([r for r in rows if r[0] != 50], items)
+    assert {x for x in got if x[0] != 50} == want and (54, 6) not in want and {1, 2, 3, 4, 8} <= {i for _, i in want}
+
+
+def test_full_bins_rule_nothing_out():
+    """Two sets whose histogram bins are full may share more than the bins say."""
+    import pyarrow as pa
+    def row(node, full):
+        hist = np.full(1 << neardup.BINS, 1, np.uint16)
+        hist[0] = neardup.FULL if full else 1
+        return {"key": 7, "main": b"m", "node": node, "label": node, "n": 200_000, "left": [7, 1], "right": [3, 4], "hist": hist.tobytes()}
+    for full in (True, False):
+        got = neardup.cross_pairs(pa.Table.from_pylist([row(b"a", full)]), pa.Table.from_pylist([row(b"b", full)]), 80)
+        assert got.num_rows == int(full)
+
+
 def test_exact_passages_of_the_benchmark(spark):
     exact = {(i, b) for i, t in texts() for b, u in fixture("benchmark") if u in t}
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op6_decontaminate"](spark, SF).collect()}
