@@ -36,6 +36,7 @@ SHORT = 6  # items of fewer words are looked up whole
 LEAST = 13
 PERCENT = 80
 DIFFERENCES = 1 << 20  # differences of places that are formed together
+FEW = 64  # differences of one window of one text and item that are listed as they are, repeated ones too
 _U = np.uint64
 
 
@@ -151,12 +152,18 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch["pos"], batch["at"], strict=True):
-                x, y = (v.values.to_numpy() for v in (x, y))
-                step = max(1, DIFFERENCES // len(y))
-                out.append(np.unique(np.concatenate([np.unique(x[i: i + step, None] - y) for i in range(0, len(x), step)])))
-            yield pa.RecordBatch.from_arrays([batch["body"], batch["item"], pa.array(out, pa.list_(pa.int32()))], ["body", "item", "diagonals"])
+            (x, x0, nx), (y, y0, ny) = ((c.values.to_numpy(), c.offsets.to_numpy()[:-1], np.diff(c.offsets.to_numpy())) for c in (batch["pos"], batch["at"]))
+            few = np.flatnonzero(nx.astype(np.int64) * ny <= FEW)
+            n = nx[few] * ny[few]
+            row = np.repeat(few, n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            flat = x[x0[row] + k // ny[row]] - y[y0[row] + k % ny[row]]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(few)) for c in ("body", "item")), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32()))], ["body", "item", "diagonals"])
+            for r in np.flatnonzero(nx.astype(np.int64) * ny > FEW):
+                u, v = x[x0[r]: x0[r] + nx[r]], y[y0[r]: y0[r] + ny[r]]
+                step = max(1, DIFFERENCES // len(v))
+                some = np.unique(np.concatenate([np.unique(u[i: i + step, None] - v) for i in range(0, len(u), step)]))
+                yield pa.RecordBatch.from_arrays([batch["body"].slice(r, 1), batch["item"].slice(r, 1), pa.array([some], pa.list_(pa.int32()))], ["body", "item", "diagonals"])
 
     met = hits.join(marks, "h").select("body", "item", "pos", "at").mapInArrow(differences, "body binary, item binary, diagonals array<int>")
     lines = met.groupBy("body", "item").agg(F.array_distinct(F.flatten(F.collect_list("diagonals"))).alias("diagonals"))

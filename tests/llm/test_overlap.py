@@ -187,6 +187,7 @@ def test_planted_overlaps_with_substitutions(spark):
 def test_short_items_and_hot_windows(spark, monkeypatch):
     """Items of one to five words stand word for word in a text; windows of equal words meet as positions, not as pairs."""
     monkeypatch.setattr(decontaminate, "DIFFERENCES", 64)
+    monkeypatch.setattr(decontaminate, "FEW", 4)
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))) for i in range(40)]
     rows += [(50, "z " * 3000), (51, "z z z z z z z y z"), (52, "Z"), (53, None), (54, "a b c d q q d e")]
