@@ -233,3 +233,23 @@ def test_constant_and_single_class_tables(spark):
     for kind in MD.DEFAULTS:
         model = MD.fit(MD.tree_spec(kind, {"n_estimators": 2} if kind != "catboost" else {"iterations": 2}), df, ["x1"])
         assert all(r.score <= 0.5 for r in model.predict(df, ["id"]).collect())
+
+
+def test_a_table_of_few_blocks_is_fitted_in_tasks(spark, monkeypatch):
+    """Up to WHOLE blocks' rows there is no job for every level; beyond, sums come the same by shuffle and on the driver."""
+    df, cols = table(spark)
+    specs = [T.Spec(n_trees=5, max_depth=3, reg_lambda=1.0), T.Spec(growth="forest", n_trees=5, max_depth=4)]
+    monkeypatch.setattr(T, "BLOCK", 600)
+    few = T.prepare(df, cols, fold="fold")
+    assert few.n_blocks == 1
+    monkeypatch.setattr(T, "BLOCK", 300)
+    cut = T.prepare(df, cols, fold="fold")
+    assert cut.n_blocks > 3
+    jobs = []
+    monkeypatch.setattr(T, "_in_passes", lambda *a, real=T._in_passes: jobs.append(1) or real(*a))
+    want = T.fit_many(few, specs)
+    assert not jobs
+    for size in (T.SMALL, 0):
+        monkeypatch.setattr(T, "SMALL", size)
+        assert all(same(a, b) for a, b in zip(want, T.fit_many(cut, specs), strict=True))
+    assert len(jobs) == 2
