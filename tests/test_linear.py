@@ -159,3 +159,30 @@ def test_saved_models_and_preparations_score_the_same(spark, tmp_path):
         model.save(spark, str(tmp_path / kind))
         a, b = (m.predict(back.transform(df), ["id"]).orderBy("id").collect() for m in (model, L.load(spark, str(tmp_path / kind))))
         assert np.allclose([r.score for r in a], [r.score for r in b], rtol=1e-9, atol=1e-12)
+
+
+def test_rows_are_whitened_only_for_the_gram_matrix(spark, monkeypatch):
+    """Sums are those of mapped rows; few blocks are fitted in tasks, and passes give the same."""
+    x, y = np.random.default_rng(3).normal(size=(300, 3)), np.arange(300) % 3 == 0
+    kernel = L.Kernel("rbf", 0.4, 3, tuple(map(tuple, x[:40])))
+    block = L.Block(x, y.astype(float), np.zeros(300, int))
+    totals, spec = L.Totals({0: (300, 100)}, 3), L.LinearSpec(loss="hinge", kernel=kernel, penalised=False)
+    rng = np.random.default_rng(4)
+    ask = L.Ask(rng.normal(size=41), rng.normal(size=41), rng.normal(size=41), 0.7)
+    got = block.sums(spec, totals, ask)
+    want = L.Block(kernel.mapped(x), block.y, block.fold).sums(L.LinearSpec(loss="hinge", penalised=False), totals, ask)
+    assert all(np.allclose(getattr(got, c), getattr(want, c), rtol=1e-7, atol=1e-7) for c in ("losses", "gradient", "gram", "judged"))
+    assert block.cache[kernel][0].shape == (300, 40)  # the values are kept, not mapped rows
+
+    df, cols = table(spark)
+    monkeypatch.setattr(L, "BLOCK", 200)
+    cut = L.prepare(df, cols, fold="fold")
+    specs = [MD.linear_spec("svm", {"C": 1, "kernel": k, "gamma": "scale"}, df, cols, held_out=f) for f in range(3) for k in ("rbf", "linear")]
+    jobs = []
+    monkeypatch.setattr(L, "_in_passes", lambda *a, real=L._in_passes: jobs.append(1) or real(*a))
+    tasks = L.fit_many(cut, specs)
+    assert cut.n_blocks > 3 and not jobs
+    monkeypatch.setattr(L, "WHOLE", 1)
+    for a, b in zip(tasks, L.fit_many(cut, specs), strict=True):
+        assert np.allclose(a.weights, b.weights, atol=1e-4) and abs(a.f1 - b.f1) < 0.01
+    assert jobs
