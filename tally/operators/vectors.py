@@ -3,7 +3,7 @@
 Per-element work uses Spark's higher-order array functions (``transform``,
 ``zip_with``, ``aggregate``) so it stays inside generated code. Resampling and
 augmentation need neighbourhood arithmetic over a whole image or volume; those
-run in ``applyInPandas`` / ``mapInPandas`` with NumPy, one image or one study
+run in ``applyInPandas`` / ``mapInArrow`` with NumPy, one image or one study
 per call, so the work is spread by Spark and bounded per call.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+IMAGES = 128  # that are augmented and handed on together
+
 
 def fuse_concat(left: DataFrame, right: DataFrame, on: str, lcol: str, rcol: str, out: str = "fused") -> DataFrame:
     """Join on id and concatenate two vectors (image || tabular)."""
@@ -199,13 +201,15 @@ def augment_images(df: DataFrame, id_col: str, px: str, side: int, seed: int, ep
     """Seeded random augmentation; the RNG depends on (seed, id, epoch) only, not on partitioning."""
     shape = (side, side) if channels == 1 else (side, side, channels)
 
-    def per_batch(it):
-        for pdf in it:
-            out = [augment_one(np.asarray(p, dtype=np.float64).reshape(shape), _rng(seed, i, epoch), top).ravel().tolist()
-                   for i, p in zip(pdf[id_col], pdf[px])]
-            yield pd.DataFrame({id_col: pdf[id_col], "augmented": out})
+    def per_batch(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, IMAGES):
+                ids, images = (batch.column(c).slice(a, IMAGES) for c in (id_col, px))
+                out = [augment_one(np.asarray(p.values, dtype=np.float64).reshape(shape), _rng(seed, i.as_py(), epoch), top).ravel() for i, p in zip(ids, images)]
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(out))], [id_col, "augmented"])
 
-    return df.select(id_col, px).mapInPandas(per_batch, f"{id_col} long, augmented array<double>")
+    return df.select(id_col, px).mapInArrow(per_batch, f"{id_col} long, augmented array<double>")
 
 
 # ---------------------------------------------------------------- E20 kernel features

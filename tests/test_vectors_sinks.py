@@ -238,3 +238,17 @@ def test_tensor_sketch_estimates_the_polynomial_kernel(spark):
     assert [r.sketch is None for r in vectors.tensor_sketch(odd, "v", 2, 4).orderBy("id").collect()] == [True, False]
     with pytest.raises(Exception, match="components"):
         vectors.tensor_sketch(odd, "v", 3, 4).collect()
+
+
+def test_augmented_images_are_handed_on_in_small_batches(spark, monkeypatch):
+    """The same images whatever the batch, and never a whole input batch of them at once."""
+    df = spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(48)), lambda i: ((i * 7 + F.col("id")) % 5).cast("double")).alias("px")).coalesce(1)
+    got = {r.id: r.augmented for r in vectors.augment_images(df, "id", "px", side=4, seed=3, channels=3, top=4.0).collect()}
+    for r in df.collect():
+        want = vectors.augment_one(np.array(r.px).reshape(4, 4, 3), vectors._rng(3, r.id, 0), 4.0).ravel()
+        assert np.array_equal(got[r.id], want)
+    monkeypatch.setattr(vectors, "IMAGES", 7)
+    sizes = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: sizes.extend(b.num_rows for b in f(self.toArrow().to_batches())) or self)
+    vectors.augment_images(df, "id", "px", side=4, seed=3, channels=3, top=4.0)
+    assert sizes == [7] * 5 + [5]
