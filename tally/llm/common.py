@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -189,3 +190,11 @@ def segment_reduce(ufunc, values: np.ndarray, offs: np.ndarray, empty):
     if len(has):
         out[has] = ufunc.reduceat(values, offs[:-1][has], axis=0)
     return out
+
+
+def released() -> None:
+    """Give memory back that earlier work of this process freed: reused workers would hold it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import _LOWER, pieces, string_buffer, text_ranges, word_hashes, written
+from tally.llm.common import _LOWER, pieces, released, string_buffer, text_ranges, word_hashes, written
 
 BLOCK_BYTES = 64 << 20  # texts of a block at most
 LEAST_BYTES = 4 << 20  # of a block, where there are more tasks than blocks
@@ -228,6 +228,7 @@ def packed(rows: DataFrame, block_bytes: int) -> DataFrame:
     """Rows of ``doc_id, text, held_out`` packed into blocks: ids, flags, offsets and compressed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         block, size, zip_ = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for a, b in text_ranges(batch.column(1), PACK_BYTES):
@@ -262,6 +263,7 @@ def block_counts(packs: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(n), block)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n), "is_word": pa.array(np.full(len(n), is_word))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         now, grams, words = None, [], []
         for batch in batches:
             for block, _, held, data, offs in unpacked(batch):
@@ -276,6 +278,8 @@ def block_counts(packs: DataFrame, depth: int) -> DataFrame:
                     grams, words = [summed(grams)], [summed(words)]
         if grams:
             yield from rows_of(now, grams, words)
+        del grams, words
+        released()
 
     return packs.mapInArrow(run, "block long, key long, n long, is_word boolean")
 
@@ -305,6 +309,7 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             order = np.argsort(keys)
             return Lookup(keys[order]), part[column].to_numpy()[order].astype(kind)
 
+        released()
         gram_at, value = ordered("value", np.float64)
         word_at, c = ordered("c", np.int64)
         del known
@@ -318,7 +323,7 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             for col, x in zip(out.values(), got, strict=True):
                 col.append(pa.array(x, pa.int64()) if col is out["doc_id"] else pa.array(x))
         del gram_at, word_at, value, c, logs
-        pa.default_memory_pool().release_unused()
+        released()
         cols = {k: pa.chunked_array(v) for k, v in out.items()}
         return pa.table({**cols, "train_tokens": pa.array(np.full(len(cols["doc_id"]), n_all))})
 

@@ -234,3 +234,15 @@ def test_word_hashes_cut_words_as_specified():
     h, wo = word_hashes(data, offs)
     assert np.diff(wo).tolist() == [3, 0, 0, 2, 1]
     assert h[1] == h[2] == h[5] and h[0] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_freed_memory_is_given_back():
+    """What a worker freed below its last allocation goes back to the system."""
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    big = np.ones(31 << 17)
+    del big  # blocks of up to this size now come from the heap
+    parts = [np.ones(1 << 14) for _ in range(1600)]  # 200 MB, in pieces below a last one
+    last, before = np.ones(1 << 14), held()
+    del parts
+    common.released()
+    assert held() < before - (150 << 20) and last[0] == 1
