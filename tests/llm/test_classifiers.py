@@ -5,7 +5,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from helpers import ROWS, SF, docs, fixture, texts
+import pyarrow as pa
+from helpers import LONG, ROWS, SF, docs, fixture, texts
 
 from tally.llm import common, ctw, langid, queries, toxicity
 from tally.llm.common import remainder, word_hashes
@@ -147,6 +148,44 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs(spark).limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """A word that no document of the bounded start holds is learnt, the same however rows are dealt."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 40)
+    monkeypatch.setattr(toxicity, "SHARD", 256)
+    rng = np.random.default_rng(3)
+    first = {k: {r.id for r in spark.range(1600).filter(F.col("id") % 2 == k).orderBy(F.xxhash64("id"), "id").limit(100).collect()} for k in (0, 1)}
+    rows = []
+    for i in range(2000):
+        words = [f"word{k}" for k in rng.integers(0, 60, 12)]
+        if i % 2:
+            words[rng.integers(0, 12)] = "foul" if i in first[1] else "vile"
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1600)] + [(5, 0, 0), (7, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    frame = docs(spark, [*rows, (None, "no id vile"), (1, None), (3, LONG + " vile"), (3000, "")])
+    got = sorted(map(tuple, toxicity.classify(frame.repartition(3, "text"), labels).collect()), key=str)
+    held = [p for i, _, p in got if i is not None and 1600 <= i < 2000]
+    assert len(got) == 2004 and np.mean([p == i % 2 for i, _, p in got if i is not None and 1600 <= i < 2000]) > 0.95 and len(held) == 400
+    assert got == sorted(map(tuple, toxicity.classify(frame.repartition(7, "doc_id"), labels.repartition(5)).collect()), key=str)
+
+
+def test_steps_of_shards_are_averaged():
+    """Of a table row over the shards that moved it, of dense parameters by documents; words are added."""
+    def batch(key, n, at, value):
+        return pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int32()), "n": pa.array([n], pa.int64()), "rows": pa.array([np.array(at, np.int32).tobytes()], pa.binary()), "value": pa.array([value.tobytes()], pa.binary())})
+
+    def result(*batches):
+        t, = toxicity._added(iter(batches))
+        return np.frombuffer(t["rows"][0].as_py(), np.int32).tolist(), np.frombuffer(t["value"][0].as_py(), np.float64)
+
+    size, one = toxicity.SLOTS // toxicity.RANGES, np.ones(toxicity.DIM, np.float32)
+    at, value = result(batch(2, 9, [2 * size, 2 * size + 3], np.stack([one, one])), batch(2, 1, [2 * size + 3], 3 * one[None]))
+    assert at == [0, 3] and value.reshape(2, -1)[:, 0].tolist() == [1, 2]
+    assert result(batch(-1, 3, [], np.array([1.0, 2])), batch(-1, 1, [], np.array([5.0, 2])))[1].tolist() == [2, 2]
+    at, value = result(batch(-3, 0, [1, 4], np.array([2, 1])), batch(-3, 0, [4], np.array([6])))
+    assert at == [1, 4] and value.tolist() == [2, 7]
+
+
 def test_pooling_against_loops():
     rng = np.random.default_rng(0)
     m = toxicity.Model(rng.normal(size=(8, toxicity.DIM)), rng.normal(size=(toxicity.DIM, sum(toxicity.WIDTHS) * toxicity.FILTERS)), rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS), None, 0, None, None, 1)
