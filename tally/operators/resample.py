@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def _dist2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(-1, dim)
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _cut_again(placed: DataFrame, dim: int, id_type: str, seed: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -109,6 +110,28 @@ def _cut_again(placed: DataFrame, dim: int, id_type: str, seed: int) -> tuple[Da
         boxes.append(at.groupBy("parent", F.col("cell").alias("child")).agg(edge(F.min).alias("lo"), edge(F.max).alias("hi")))
 
 
+def nearest_in_cell(asks: pa.Table, there: pa.Table, dim: int, k: int) -> pa.Table:
+    """``node, other, dist2``: the ``k`` nearest of ``there`` for every vector of ``asks`` that are not farther than its ``far``."""
+    rows, others, dists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if asks.num_rows and there.num_rows:
+        x, y = _matrix(asks["v"], dim), _matrix(there["v"], dim)
+        far = asks["far"].to_numpy() * (1 + 1e-12)
+        mine, names = np.array(asks["node"].to_pylist()), np.array(there["node"].to_pylist())
+        for i in range(0, len(x), 256):
+            d = _dist2(x[i:i + 256], y)
+            row, at = np.nonzero(d <= far[i:i + 256, None])
+            other = names[at] != mine[i + row]
+            row, at = row[other], at[other]
+            order = np.lexsort((names[at], d[row, at], row))
+            row, at = row[order], at[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            rows.append(i + row[first])
+            others.append(at[first])
+            dists.append(d[row[first], at[first]])
+    rows, others = pa.array(np.concatenate(rows)), pa.array(np.concatenate(others))
+    return pa.table({"node": asks["node"].take(rows), "other": there["node"].take(others), "dist2": pa.array(np.concatenate(dists))})
+
+
 def knn(points: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, seed: int = 0, stats: dict | None = None) -> DataFrame:
     """Exact k nearest neighbours (excluding self) -> (id, nn_rank 1..k, nn_id, dist2).
 
@@ -175,20 +198,7 @@ def knn(points: DataFrame, id_col: str, vec: str, dim: int, k: int = 5, seed: in
         stats.update(cells=sizes[0], visits=visits.count(), points=sizes[1], largest=sizes[2])
 
     def nearest(asks: pa.Table, there: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if asks.num_rows and there.num_rows:
-            x, y = _matrix(asks["v"], dim), _matrix(there["v"], dim)
-            mine, names = np.array(asks["node"].to_pylist()), np.array(there["node"].to_pylist())
-            for i in range(0, len(x), 256):
-                d = _dist2(x[i:i + 256], y)
-                for r in range(len(d)):
-                    at = np.flatnonzero(d[r] <= np.partition(d[r], min(k, len(y) - 1))[min(k, len(y) - 1)])
-                    at = at[names[at] != mine[i + r]]
-                    at = at[np.lexsort((names[at], d[r][at]))][:k]
-                    out[0] += [mine[i + r]] * len(at)
-                    out[1] += names[at].tolist()
-                    out[2] += d[r][at].tolist()
-        return pa.table({"node": pa.array(out[0], asks["node"].type), "other": pa.array(out[1], asks["node"].type), "dist2": pa.array(out[2], pa.float64())})
+        return nearest_in_cell(asks, there, dim, k)
 
     found = visits.groupBy("cell").cogroup(placed.select(F.col("cell").alias("of"), "node", "v").groupBy("of")).applyInArrow(
         nearest, f"node {id_type}, other {id_type}, dist2 double")

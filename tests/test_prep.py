@@ -171,6 +171,16 @@ def test_knn_visits_stay_level(spark, monkeypatch):
         assert per[1] < 2 * per[0], (dim, per)
 
 
+def test_cells_answer_with_what_is_near_enough():
+    """A visited cell gives no rows beyond the bound of the vector that visits it, ties by id, never the vector itself."""
+    import pyarrow as pa
+    there = pa.table({"of": [1] * 5, "node": [4, 3, 2, 9, 1], "v": [[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [5.0, 0.0], [2.0, 0.0]]})
+    asks = pa.table({"node": [4, 7, 8], "v": [[0.0, 0.0], [5.0, 1.0], [9.0, 9.0]], "far": [4.0, np.inf, 1.0], "cell": [1] * 3})
+    got = resample.nearest_in_cell(asks, there, 2, 2).to_pylist()
+    assert [(r["node"], r["other"], r["dist2"]) for r in got] == [(4, 2, 1.0), (4, 3, 1.0), (7, 9, 1.0), (7, 1, 10.0)]
+    assert resample.nearest_in_cell(asks[:0], there, 2, 2).num_rows == resample.nearest_in_cell(asks, there[:0], 2, 2).num_rows == 0
+
+
 def _brute_knn(x, k):
     out = {}
     for i in range(len(x)):
