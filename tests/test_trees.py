@@ -128,7 +128,7 @@ def test_oblivious_trees_against_brute_force(seed):
 
 def test_forest_trees_grow_until_pure():
     block, totals = data(8, 400, (200, 90, 2, 8))
-    spec = T.Spec(growth="forest", n_trees=6, max_depth=None, node_features="sqrt", pos_weight="balanced")
+    spec = T.Spec(growth="forest", n_trees=6, max_depth=None, node_features="sqrt")
     trees, _, judged = T._fit_in_block(block, 0, spec, totals)
     assert max(len(t.left) for t in trees) > 60 and judged["n"] == 0
     for i, t in enumerate(trees):
@@ -253,3 +253,24 @@ def test_a_table_of_few_blocks_is_fitted_in_tasks(spark, monkeypatch):
         monkeypatch.setattr(T, "SMALL", size)
         assert all(same(a, b) for a, b in zip(want, T.fit_many(cut, specs), strict=True))
     assert len(jobs) == 2
+
+
+def test_a_forest_alone_grows_many_trees_in_a_pass(spark, monkeypatch):
+    """A single forest's passes don't grow with every four trees; dense and sparse sums are merged alike."""
+    df, cols = table(spark)
+    monkeypatch.setattr(T, "BLOCK", 300)
+    data = T.prepare(df, cols)
+    assert data.n_blocks > T.WHOLE
+    passes = []
+    monkeypatch.setattr(T._Sent, "unpersist", lambda self, real=T._Sent.unpersist: passes.append(1) or real(self))
+    model, = T.fit_many(data, [T.Spec(growth="forest", n_trees=16, max_depth=3, node_features="sqrt")])
+    assert len(model.trees) == 16 and len(passes) <= 5
+    rng = np.random.default_rng(0)
+    for step in (1, 1000):
+        a, b = ((np.sort(rng.choice(200, 90, replace=False)) * step, rng.integers(1, 9, (90, 3)).astype(float)) for _ in range(2))
+        keys, sums = T._merged(a, b)
+        want = {}
+        for k, v in [*zip(a[0], a[1]), *zip(b[0], b[1])]:
+            want[int(k)] = want.get(int(k), 0) + v
+        assert keys.tolist() == sorted(want) and np.array_equal(sums, np.array([want[k] for k in sorted(want)]))
+    assert len(T._merged((np.zeros(0, np.int64), np.zeros((0, 3))), (np.zeros(0, np.int64), np.zeros((0, 3))))[0]) == 0
