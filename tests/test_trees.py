@@ -274,3 +274,19 @@ def test_a_forest_alone_grows_many_trees_in_a_pass(spark, monkeypatch):
             want[int(k)] = want.get(int(k), 0) + v
         assert keys.tolist() == sorted(want) and np.array_equal(sums, np.array([want[k] for k in sorted(want)]))
     assert len(T._merged((np.zeros(0, np.int64), np.zeros((0, 3))), (np.zeros(0, np.int64), np.zeros((0, 3))))[0]) == 0
+
+
+def test_fits_of_fewer_trees_are_beginnings(spark, monkeypatch):
+    """Fits that differ in the number of trees are made once, and equal fits by themselves."""
+    df, cols = table(spark)
+    data_ = T.prepare(df, cols, fold="fold")
+    specs = [T.Spec(n_trees=n, max_depth=3, subsample=0.8, held_out=1) for n in (3, 7, 7)] + [T.Spec(growth="forest", n_trees=n, max_depth=4, held_out=0) for n in (6, 2)] \
+        + [T.Spec(growth="leaf", n_trees=n, num_leaves=5, max_depth=None, held_out=0) for n in (2, 4)] + [T.Spec(n_trees=4, max_depth=2, patience=2, held_out=1)] * 2
+    alone = [T.fit_many(data_, [s])[0] for s in specs]
+    tasks = []
+    real = data_.spark.sparkContext.parallelize
+    monkeypatch.setattr(data_.spark.sparkContext, "parallelize", lambda x, n: tasks.append(n) or real(x, n))
+    got = T.fit_many(data_, specs)
+    assert tasks == [4]
+    for a, b in zip(alone, got, strict=True):
+        assert same(a, b) and a.losses == b.losses and a.judged == b.judged
