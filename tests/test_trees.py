@@ -290,3 +290,44 @@ def test_fits_of_fewer_trees_are_beginnings(spark, monkeypatch):
     assert tasks == [4]
     for a, b in zip(alone, got, strict=True):
         assert same(a, b) and a.losses == b.losses and a.judged == b.judged
+
+
+GROWN = [T.Spec(n_trees=4, max_depth=4, reg_lambda=1.0, held_out=1), T.Spec(n_trees=4, max_depth=4, subsample=0.7, held_out=0), T.Spec(growth="leaf", n_trees=4, num_leaves=9, max_depth=5, min_rows=5, held_out=1),
+         T.Spec(growth="oblivious", n_trees=4, max_depth=4, reg_lambda=2.0, held_out=2), T.Spec(growth="forest", n_trees=4, max_depth=4, node_features="sqrt", held_out=0)]
+
+
+@pytest.mark.parametrize("spec", GROWN)
+def test_of_two_children_one_is_counted(spec, monkeypatch):
+    """Rows go into sums once a tree and then at most half of them a level; the sums are those of counting all rows."""
+    block, totals = data(11, 3000, (40, 3, 2, 30))
+    trees, losses, judged = T._fit_in_block(block, 0, spec, totals)
+    monkeypatch.setattr(T, "KEPT", 0)
+    plain = T._fit_in_block(block, 0, spec, totals)
+    assert (losses, judged) == plain[1:] and all(np.array_equal(a.sums, b.sums) and np.array_equal(a.left, b.left) and np.array_equal(a.bin, b.bin) for a, b in zip(trees, plain[0], strict=True))
+    monkeypatch.undo()
+    counted = []
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, n=0, real=np.bincount: counted.append(len(x)) or real(x, weights, n))
+    T._fit_in_block(block, 0, spec, totals)
+    each = 3 * len(totals.layout.bundles)  # gradient, hessian and rows of each bundle
+    asks = counted[::each]
+    rows = max(asks)
+    assert sum(asks) > rows and all(n <= rows / 2 for n in asks if n < 0.8 * rows)
+    assert sum(n >= 0.8 * rows for n in asks) == spec.n_trees
+
+
+@pytest.mark.parametrize("spec", GROWN)
+def test_rows_of_a_finished_tree_are_known(spec, monkeypatch):
+    """Boosting in a task sends no training row through a tree again; scores are those of the trees from the root."""
+    block, totals = data(12, 3000, (40, 3, 2, 30))
+    again = []
+    monkeypatch.setattr(T.Tree, "route", lambda self, columns, at=None, *x, real=T.Tree.route: (at is None and again.append(columns.shape[1])) or real(self, columns, at, *x))
+    trees, _, judged = T._fit_in_block(block, 0, spec, totals)
+    out = block.fold == spec.held_out
+    assert again == ([out.sum()] * spec.n_trees if spec.forest else [])
+    s = np.full(out.sum(), totals.start(spec))
+    for t in trees:
+        s += t.values(spec)[t.route(block.columns[:, out])]
+    hit = s > spec.n_trees / 2 if spec.forest else s > 0
+    y = block.y[out] == 1
+    assert (judged["n"], judged["tp"], judged["fp"], judged["fn"]) == (out.sum(), (hit & y).sum(), (hit & ~y).sum(), (~hit & y).sum())
+    assert any((t.left >= 0).sum() > 3 for t in trees)
