@@ -331,3 +331,29 @@ def test_rows_of_a_finished_tree_are_known(spec, monkeypatch):
     y = block.y[out] == 1
     assert (judged["n"], judged["tp"], judged["fp"], judged["fn"]) == (out.sum(), (hit & y).sum(), (hit & ~y).sum(), (~hit & y).sum())
     assert any((t.left >= 0).sum() > 3 for t in trees)
+
+
+def test_fits_of_a_search_hand_on_no_trees(spark, monkeypatch):
+    """A search sends scores to the driver, however large the trees are; they equal those of fits that keep their trees."""
+    import pickle
+
+    from tally.operators import search
+
+    df, cols = table(spark)
+    draws = [("random_forest", {"n_estimators": n, "max_depth": None}) for n in (3, 5)] + [("xgboost", {"n_estimators": n, "max_depth": 3}) for n in (3, 6)] + [("lightgbm", {"n_estimators": 4})]
+    specs = [MD.tree_spec(*d, held_out=f) for d in draws for f in range(3)] + [T.Spec(n_trees=30, learning_rate=0.9, patience=2, held_out=1)] * 2
+    wide = T.prepare(df, cols, fold="fold")
+    monkeypatch.setattr(T, "BLOCK", 300)
+    cut = T.prepare(df, cols, fold="fold")
+    assert wide.n_blocks == 1 and cut.n_blocks > 3
+    kept = T.fit_many(wide, specs)
+    for data_ in (wide, cut):
+        bare = T.fit_many(data_, specs, keep=False)
+        assert [(m.judged, m.losses) for m in bare] == [(m.judged, m.losses) for m in kept]
+        assert not any(m.trees for m in bare) and all(m.trees for m in kept)
+    monkeypatch.undo()
+    sent = []
+    monkeypatch.setattr(T, "_in_tasks", lambda *a, real=T._in_tasks: sent.append(real(*a)) or sent[-1])
+    scores = search.cross_validate(df.drop("fold"), cols, draws, 3)
+    assert len(scores) == 5 and all(len(s) == 3 for s in scores) and max(map(max, scores)) > 0
+    assert max(len(pickle.dumps(x)) for some in sent for x in some) < 1000
