@@ -255,6 +255,20 @@ def test_a_table_of_few_blocks_is_fitted_in_tasks(spark, monkeypatch):
     assert len(jobs) == 2
 
 
+def test_a_table_that_a_task_can_hold_is_one_block(spark, monkeypatch):
+    """By rows and by bytes: 200,000 rows of few features need no job for every level, wide ones and more rows are cut into small blocks."""
+    df = spark.range(200_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(50))).alias("x1"), (F.col("id") % 2).alias("y"))
+    assert T.prepare(df, ["x1"]).n_blocks == 1
+    monkeypatch.setattr(T, "HELD", 200_000 * 33 - 1)
+    assert T.prepare(df, ["x1"]).n_blocks >= 200_000 / T.CUT
+    monkeypatch.undo()
+    df, cols = table(spark)
+    monkeypatch.setattr(T, "CUT", 300)
+    assert T.prepare(df, cols).n_blocks == 1
+    monkeypatch.setattr(T, "BLOCK", 499)
+    assert T.prepare(df, cols).n_blocks > T.WHOLE
+
+
 def test_a_forest_alone_grows_many_trees_in_a_pass(spark, monkeypatch):
     """A single forest's passes don't grow with every four trees; dense and sparse sums are merged alike."""
     df, cols = table(spark)
