@@ -186,3 +186,31 @@ def test_rows_are_whitened_only_for_the_gram_matrix(spark, monkeypatch):
     for a, b in zip(tasks, L.fit_many(cut, specs), strict=True):
         assert np.allclose(a.weights, b.weights, atol=1e-4) and abs(a.f1 - b.f1) < 0.01
     assert jobs
+
+
+def test_fits_of_one_kernel_share_their_products(monkeypatch):
+    """Scores and gradients of many fits come from one pass over the kernel values, and are those of each fit alone."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    block = L.Block(x, (x[:, 0] > 0.4).astype(float), np.arange(300) % 3)
+    totals = L.Totals({f: (100, int(block.y[block.fold == f].sum())) for f in range(3)}, 3)
+    for kernel in (L.Kernel("rbf", 0.5, 3, tuple(map(tuple, x[:40]))), None):
+        dim = 40 if kernel else 3
+        asks = []
+        for i, (loss, held_out, only) in enumerate((("hinge", 0, None), ("hinge", 2, None), ("logistic", None, None), ("hinge", None, 1))):
+            w, d = rng.normal(size=dim + 1), rng.normal(size=dim + 1) * (i != 1)
+            asks.append((L.LinearSpec(loss=loss, kernel=kernel, held_out=held_out, only=only), L.Ask(w + d if i < 3 else 2 * w, w, d, 0.7)))
+        calls = []
+        monkeypatch.setattr(L.Kernel, "values", lambda self, *a, real=L.Kernel.values: calls.append(1) or real(self, *a))
+        block.cache = {}
+        got = block.many(asks, totals)
+        assert len(calls) == (2 if kernel else 0)  # of the rows, and of the landmarks
+        monkeypatch.undo()
+        f, c = block.features(kernel), np.where(block.y == 1, 150 / block.y.sum(), 150 / (300 - block.y.sum()))
+        for (spec, ask), s in zip(asks, got, strict=True):
+            alone = block.sums(spec, totals, ask)
+            assert all(np.allclose(getattr(s, k), getattr(alone, k)) for k in ("losses", "gradient", "gram", "judged"))
+        first, second = L.slopes(asks[2][0], f @ asks[2][1].weights, block.y, 0.7)
+        assert np.allclose(got[2].gradient, f.T @ (c * first)) and np.allclose(got[2].gram, (f * (c * second)[:, None]).T @ f)
+        z = f @ asks[0][1].weights
+        assert got[0].judged.tolist()[:2] == [100, ((z > 0) & (block.y == 1) & (block.fold == 0)).sum()]
