@@ -371,3 +371,19 @@ def test_fits_of_a_search_hand_on_no_trees(spark, monkeypatch):
     scores = search.cross_validate(df.drop("fold"), cols, draws, 3)
     assert len(scores) == 5 and all(len(s) == 3 for s in scores) and max(map(max, scores)) > 0
     assert max(len(pickle.dumps(x)) for some in sent for x in some) < 1000
+
+
+def test_training_rows_stand_first(spark):
+    """A fit with a validation split takes a block's rows as they stand, without a copy; labels travel as small numbers, if they are."""
+    import pickle
+
+    df, cols = table(spark, 300)
+    data_ = T.prepare(df.withColumn("part", (F.col("id") % 3 == 0).cast("int")), cols, part="part")
+    block = T._block(bytes(data_.blocks().first()["block"]))
+    n, columns, y, _, judged = block.rows(None)
+    assert n == 200 and columns is block.columns and (block.part[:n] == T.TRAIN).all() and (block.part[n:] == T.VALIDATE).all()
+    assert np.array_equal(np.concatenate([y, judged]), block.y) and y.sum() == df.where("id % 3 > 0 and y = 1").count()
+    copy = pickle.loads(pickle.dumps(block))
+    assert copy.y.dtype == np.float64 and np.array_equal(copy.y, block.y) and block.__getstate__()["y"].dtype == np.int8
+    block.y = block.y + 0.5
+    assert np.array_equal(pickle.loads(pickle.dumps(block)).y, block.y)
