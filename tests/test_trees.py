@@ -387,3 +387,16 @@ def test_training_rows_stand_first(spark):
     assert copy.y.dtype == np.float64 and np.array_equal(copy.y, block.y) and block.__getstate__()["y"].dtype == np.int8
     block.y = block.y + 0.5
     assert np.array_equal(pickle.loads(pickle.dumps(block)).y, block.y)
+
+
+def test_few_rows_in_many_blocks_are_fitted_in_tasks(spark, monkeypatch):
+    """However a session deals out rows, a table that a task can hold needs no job for every level."""
+    df, cols = table(spark)
+    specs = [T.Spec(n_trees=4, max_depth=3, reg_lambda=1.0, held_out=1)]
+    want = T.fit_many(T.prepare(df, cols, fold="fold"), specs)
+    monkeypatch.setattr(T, "BLOCK", 300)
+    cut = T.prepare(df, cols, fold="fold")
+    monkeypatch.undo()
+    assert cut.n_blocks > 3
+    monkeypatch.setattr(T, "_in_passes", None)
+    assert all(same(a, b) for a, b in zip(want, T.fit_many(cut, specs), strict=True))
